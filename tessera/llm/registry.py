@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination
+from tessera.llm import decontamination, quality, toxicity, url_filters
 
-QUERIES = {"op8_benchmark_decontamination": decontamination.op8}
+QUERIES = {
+    "op1_url_filters": url_filters.op1,
+    "op6_toxicity": toxicity.op6,
+    "op8_benchmark_decontamination": decontamination.op8,
+    "op10_quality_rules": quality.op10,
+}
 SQL = {"op8_benchmark_decontamination": decontamination.OP8_SQL}
