@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, quality, toxicity, url_filters
+from tessera.llm import decontamination, line_dedup, quality, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
+    "op4_line_dedup": line_dedup.op4,
     "op6_toxicity": toxicity.op6,
     "op8_benchmark_decontamination": decontamination.op8,
     "op10_quality_rules": quality.op10,
 }
-SQL = {"op8_benchmark_decontamination": decontamination.OP8_SQL}
+SQL = {"op4_line_dedup": line_dedup.OP4_SQL, "op8_benchmark_decontamination": decontamination.OP8_SQL}
