@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, line_dedup, quality, toxicity, url_filters
+from tessera.llm import decontamination, line_dedup, quality, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
+    "op2_simhash_near_dedup": simhash.op2,
     "op4_line_dedup": line_dedup.op4,
     "op6_toxicity": toxicity.op6,
     "op8_benchmark_decontamination": decontamination.op8,
