@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, line_dedup, quality, simhash, toxicity, url_filters
+from tessera.llm import decontamination, line_dedup, quality, simhash, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
     "op2_simhash_near_dedup": simhash.op2,
     "op4_line_dedup": line_dedup.op4,
+    "op5_substring_dedup": substring_dedup.op5,
     "op6_toxicity": toxicity.op6,
     "op8_benchmark_decontamination": decontamination.op8,
     "op10_quality_rules": quality.op10,
 }
-SQL = {"op4_line_dedup": line_dedup.OP4_SQL, "op8_benchmark_decontamination": decontamination.OP8_SQL}
+SQL = {"op5_substring_dedup": substring_dedup.OP5_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_benchmark_decontamination": decontamination.OP8_SQL}
