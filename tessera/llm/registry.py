@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, line_dedup, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filters
+from tessera.llm import decontamination, line_dedup, quality, sentence_pieces, simhash, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
     "op2_simhash_near_dedup": simhash.op2,
+    "op3_token_counts": token_counts.op3,
     "op4_line_dedup": line_dedup.op4,
     "op5_substring_dedup": substring_dedup.op5,
     "op6_toxicity": toxicity.op6,
     "op7_suffix_array_dedup": suffix_dedup.op7,
     "op8_benchmark_decontamination": decontamination.op8,
+    "op9_sentence_pieces": sentence_pieces.op9,
     "op10_quality_rules": quality.op10,
 }
 SQL = {"op7_suffix_array_dedup": suffix_dedup.OP7_SQL, "op5_substring_dedup": substring_dedup.OP5_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_benchmark_decontamination": decontamination.OP8_SQL}
