@@ -59,7 +59,7 @@ def _tokens(w_words, sizes: list[int]):
 
 
 def hits(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row for each document row: id, its words' count, and `found`, the (start, length, items) of each window found."""
+    """One row for each document row: id, row (a hash of id and text), its words' count, and `found`, the (start, length, items) of each window found."""
     spark = docs.sparkSession
     shingle = min(shingle, window)
     windows = item_windows(bench, item, item_text, window)
@@ -105,7 +105,7 @@ def hits(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "tex
     return (
         rows.groupBy("id", "row", "n_words")
         .agg(F.count(F.when(F.col("len") == 0, 1)).alias("copies"), F.collect_set(F.when(F.col("len") > 0, F.struct("start", "len", "items"))).alias("found"))
-        .select("id", "n_words", "found", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        .select("id", "row", "n_words", "found", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
         .drop("copy")
     )
 

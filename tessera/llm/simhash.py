@@ -26,6 +26,8 @@ from tessera.llm.common import written
 from tessera.llm.graph import components
 
 SHINGLE, BITS, BLOCKS, SEED = 4, 4, 8, 42
+#: Cells of up to so many fingerprints are compared together.
+SMALL = 128
 ODD = np.uint64(0x5555555555555555)
 
 
@@ -52,14 +54,10 @@ def segment_counts(prints: np.ndarray) -> np.ndarray:
     return (prints & ODD) + ((prints >> np.uint64(1)) & ODD)
 
 
-def manhattan(a: np.ndarray, b: np.uint64) -> np.ndarray:
-    """Manhattan distance of segment counts: each coordinate is 0, 1 or 2."""
-    total = np.zeros(len(a), dtype=np.uint8)
-    a, b = a.view(np.uint8).reshape(-1, 8), np.array([b], dtype=np.uint64).view(np.uint8)
-    for shift in (0, 2, 4, 6):
-        x, y = (a >> shift) & 3, (b >> shift) & 3
-        total += np.where(x > y, x - y, y - x).sum(axis=1, dtype=np.uint8)
-    return total
+def manhattan(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Manhattan distance of segment counts. Coordinates are 0, 1 or 2: written as 00, 01 and 11, differing bits are distances."""
+    unary = lambda c: c | ((c >> np.uint64(1)) & ODD)
+    return np.bitwise_count(unary(a) ^ unary(b))
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -80,7 +78,7 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
         queue, rest, counts = [rest[0]], rest[1:], counts[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = manhattan(counts, segment_counts(np.array([at]))[0]) <= bits if len(rest) > 8 else np.ones(len(rest), dtype=bool)
+            near = manhattan(counts, segment_counts(at)) <= bits
             near[near] = np.bitwise_count(rest[near] ^ at) <= bits
             if near.any():
                 reached = rest[near]
@@ -94,7 +92,7 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: in
     """(a, b): edges between distinct fingerprints (column fp) that connect all that differ in at most `bits` bits."""
     buckets = buckets or max(8, 4 * prints.rdd.getNumPartitions(), int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chosen = [np.array(c) for c in combinations(range(blocks), blocks - bits)]
-    width = 64 // blocks
+    width = 64 // blocks // 2 * 2
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,13 +122,25 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: in
             return x
 
         out = []
-        for a, b in zip(starts[:-1], starts[1:]):
-            if b - a > 1:
-                for x, y in _forest(fp[a:b], bits):
-                    p, q = find(x), find(y)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        out.append((x, y))
+
+        def join(pairs) -> None:
+            for x, y in pairs:
+                p, q = find(x), find(y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((x, y))
+
+        sizes = np.diff(starts)
+        for a, b in zip(starts[:-1][sizes > SMALL], starts[1:][sizes > SMALL]):
+            join(_forest(fp[a:b], bits))
+        # Small cells are compared all at once, each fingerprint with the one `by` places on.
+        counts, end = segment_counts(fp), np.repeat(np.where(sizes > SMALL, 0, starts[1:]), sizes)
+        at = np.arange(len(fp))
+        for by in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+            at = at[at + by < end[at]]
+            near = at[manhattan(counts[at], counts[at + by]) <= bits]
+            near = near[np.bitwise_count(fp[near] ^ fp[near + by]) <= bits]
+            join(zip(fp[near].tolist(), fp[near + by].tolist()))
         pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
