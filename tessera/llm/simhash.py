@@ -28,6 +28,8 @@ from tessera.llm.graph import components
 SHINGLE, BITS, BLOCKS, SEED = 4, 4, 8, 42
 #: Cells of up to so many fingerprints are compared together.
 SMALL = 128
+#: Entries that a task gathers before it sends them.
+HELD = 2_000_000
 ODD = np.uint64(0x5555555555555555)
 
 
@@ -90,23 +92,34 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: int | None = None) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) that connect all that differ in at most `bits` bits."""
-    buckets = buckets or max(8, 4 * prints.rdd.getNumPartitions(), int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chosen = [np.array(c) for c in combinations(range(blocks), blocks - bits)]
     width = 64 // blocks // 2 * 2
 
+    def filed(prints: list[np.ndarray]) -> pd.DataFrame:
+        """One row a bucket: the cells of all combinations that fall into it, and the fingerprints in them."""
+        fp = np.concatenate(prints)
+        counts, keys = segment_counts(fp), []
+        for n, groups in enumerate(chosen):
+            mask = np.uint64(sum(((1 << width) - 1) << (width * int(g)) for g in groups))
+            key = (counts & mask) * np.uint64(0x9E3779B97F4A7C15)
+            keys.append((key ^ (key >> np.uint64(29)) ^ np.uint64(n * 0x632BE59BD9B4E019 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9))
+        key, fp = np.concatenate(keys), np.tile(fp, len(chosen))
+        bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        parts = [p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
+        return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts], "data": [np.stack([key[p], fp[p]]).tobytes() for p in parts]})
+
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for batch in batches:
-            fp = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            counts = segment_counts(fp)
-            for n, groups in enumerate(chosen):
-                mask = np.uint64(sum(((1 << width) - 1) << (width * int(g)) for g in groups))
-                key = (counts & mask) * np.uint64(0x9E3779B97F4A7C15)
-                key = (key ^ (key >> np.uint64(29)) ^ np.uint64(n * 0x632BE59BD9B4E019 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-                bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order])) + 1
-                parts = np.split(order, edges)
-                yield pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts if len(p)], "data": [np.stack([key[p], fp[p]]).tobytes() for p in parts if len(p)]})
+            held.append(batch["fp"].to_numpy(np.int64).view(np.uint64))
+            n += len(batch)
+            if n * len(chosen) >= HELD:
+                yield filed(held)
+                held, n = [], 0
+        if n:
+            yield filed(held)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         both = np.concatenate([np.frombuffer(d, dtype=np.uint64).reshape(2, -1) for d in pdf["data"]], axis=1)
@@ -144,8 +157,7 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: in
         pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    filed = prints.select("fp").mapInPandas(cells, "bucket int, data binary")
-    return filed.groupBy("bucket").applyInPandas(search, "a long, b long")
+    return prints.select("fp").mapInPandas(cells, "bucket int, data binary").groupBy("bucket").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
