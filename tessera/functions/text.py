@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIGNATURE_CAP = 200
 #: Scores of the signal words.
@@ -24,7 +25,7 @@ def normalize_ascii(text: Column) -> Column:
     return F.regexp_replace(out, "[ \t]+(\n|$)", "$1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize(texts: pd.Series) -> pd.Series:
     """Byte order mark off, line ends to LF, NFC, then white space off the end of each line."""
 
@@ -101,7 +102,7 @@ def split_identifier(atom: str | None) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def identifier_tokens_any(atoms: pd.Series) -> pd.Series:
     return atoms.map(split_identifier)
 
@@ -126,7 +127,7 @@ def body_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def folded_tokens(texts: pd.Series) -> pd.Series:
     """As `body_tokens`, without diacritics."""
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMS = 256
 #: Query vectors are compared in blocks of at most so many, which bounds what is broadcast.
@@ -102,12 +103,12 @@ def delete(points: DataFrame, ids: DataFrame, id: str = "vec_id") -> DataFrame:
 # ---- codec
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_le(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_le(blobs: pd.Series) -> pd.Series:
     """Null for a length that is no multiple of four."""
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
@@ -142,7 +143,7 @@ def embed_text(text: str | None, dims: int = DIMS) -> np.ndarray:
     return (out / n if n else out).astype(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
     return texts.map(embed_text)
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKER = "[REDACTED]"
 # Credential prefixes with their least lengths, keys, and words that show a value to be no secret.
@@ -86,12 +87,12 @@ def redact_text(text: str | None) -> tuple[str | None, int]:
     return data.decode(), len(spans)
 
 
-@F.pandas_udf("struct<text:string,findings:int>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("findings", T.IntegerType())]))
 def redact(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([redact_text(t) for t in texts], columns=["text", "findings"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def has_secret(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: bool(scan(t))).astype(bool)
 

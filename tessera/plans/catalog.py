@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational
+from tessera.plans import relational, retrieval
 
-QUERIES = {**relational.Q}
-SQL = {**relational.SQL}
+QUERIES = {**retrieval.Q, **relational.Q}
+SQL = {**retrieval.SQL, **relational.SQL}
