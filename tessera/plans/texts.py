@@ -1,0 +1,299 @@
+"""Queries over scans, classification, redaction, identities, scalars and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import identity, text as fx
+from tessera.operators import chunk, classify, code_units, redact
+from tessera.plans.views import files, observations, with_
+from tessera.session import table
+from tessera.sources import events as ev, files as src
+
+Q, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- scans and sources
+
+
+@query("s1_s4_scan_manifest")
+def s1(spark, d):
+    now = src.scan(spark, f"{d}/region.parquet")
+    return src.reuse_hashes(now, now).select("path", "size", "content_hash", "reused")
+
+
+@query("s2_s3_scan_paths")
+def s2(spark, d):
+    return src.scan_paths(spark, f"{d}/nation.parquet", rules=[("", ["*.tmp", "!keep.tmp"])])
+
+
+@query("s5_f20_prepare_source", "SELECT doc_id, 'utf-8' AS encoding, CASE WHEN (length(t) - length(replace(t, chr(13) || chr(10), ''))) = 0 THEN 'lf' WHEN (length(t) - length(replace(t, chr(13) || chr(10), ''))) / 2 = length(t) - length(replace(t, chr(10), '')) THEN 'crlf' ELSE 'mixed' END AS newline, CAST(strlen(t) AS INTEGER) AS n_bytes, sha256(t) AS content_hash FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN text ELSE chr(13) || chr(10) || text END AS t FROM documents)")
+def s5(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("\r\n"), "text"))
+    return src.prepare(table(spark, d, "documents").select("doc_id", t.alias("text"))).select("doc_id", "encoding", "newline", "n_bytes", "content_hash")
+
+
+@query("s7_hook_events", "SELECT 's' || user_id AS session_id, CASE WHEN event_id % 3 = 0 THEN 'Stop' ELSE 'PreToolUse' END AS hook_event_name FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+def s7(spark, d):
+    e = table(spark, d, "events")
+    session = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("s"), "user_id"))
+    name = F.when(F.col("event_id") % 7 == 0, F.lit("Unknown")).when(F.col("event_id") % 3 == 0, F.lit("Stop")).otherwise(F.lit("PreToolUse"))
+    return ev.parse_hook(e.select(F.to_json(F.struct(session.alias("session_id"), name.alias("hook_event_name"))).alias("value")))[0].select("session_id", "hook_event_name")
+
+
+@query("s8_f12_paths_and_json", "SELECT event_id, unnest([json_extract_string(props, '$.k')]) AS path FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def s8(spark, d):
+    as_input = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("file_path"), F.lit("").alias("path")))
+    return table(spark, d, "events").select("event_id", F.explode(ev.input_paths(as_input)).alias("path"))
+
+
+@query("s9_s10_point_upsert_delete", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 3")
+def s10(spark, d):
+    from tessera.operators import dense
+
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.lit(1).alias("version"))
+    newer = e.filter("vec_id % 4 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(2).alias("version"))
+    return dense.delete(dense.upsert(e, newer), e.filter("vec_id % 10 = 3")).select("vec_id", "label")
+
+
+@query("s11_vector_codec")
+def s11(spark, d):
+    from tessera.operators import dense
+
+    e = table(spark, d, "embeddings").select("vec_id", dense.encode_le("embedding").alias("blob"), F.size("embedding").alias("dimensions"))
+    e = e.withColumn("checksum", F.when(F.col("vec_id") % 10 == 0, "bad").otherwise(F.sha2("blob", 256)))
+    return dense.verified(e).select("vec_id", "checksum", "divergence", F.size(dense.decode_le("blob")).alias("decoded"))
+
+
+@query("s13_upsert_on_key", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -c_custkey, c_acctbal FROM customer WHERE c_custkey % 50 = 0 AND c_custkey > 0")
+def s13(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    changed = c.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    return src.upsert(src.upsert(c, changed, ["c_custkey"]), c.filter("c_custkey % 50 = 0").withColumn("c_custkey", -F.col("c_custkey")), ["c_custkey"], update=False)
+
+
+@query("g1_g2_build_plan", with_("files", rest="rev AS (SELECT sha256(text) AS content_hash FROM files WHERE doc_id % 2 = 0)") + "SELECT path, sha256(text) AS content_hash, CASE WHEN strlen(text) > 6000 THEN 'skip_huge' WHEN sha256(text) IN (SELECT content_hash FROM rev) THEN 'reuse' ELSE 'parse' END AS action FROM files")
+def g2(spark, d):
+    f = files(spark, d).select("path", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("content_hash"), "doc_id")
+    rev = f.filter("doc_id % 2 = 0").select("content_hash", F.lit("v1").alias("parser_fingerprint"))
+    return src.plan_build(f.drop("doc_id"), rev, "v1", 6000)
+
+
+@query("a18_manifest_hash")
+def a18(spark, d):
+    return src.manifest_hash(files(spark, d), "path", "text")
+
+
+# ---- classification and predicates
+
+
+@query("p1_p4_classify", with_("files") + "SELECT doc_id, CASE WHEN strlen(text) > 12000 THEN 'huge' WHEN doc_id % 5 = 9 THEN 'lfs' ELSE 'indexed' END AS reason FROM files WHERE NOT regexp_matches(text, '(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[bpas]-|sk-|BEGIN|password|passwd|secret|key|token|[A-Za-z0-9_/+=-]{40})')")
+def p1(spark, d):
+    f = files(spark, d).filter(~F.col("text").rlike(r"(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[bpas]-|sk-|BEGIN|password|passwd|secret|key|token|[A-Za-z0-9_/+=-]{40})"))
+    return classify.classify(f, content="text", max_bytes=12000).select("doc_id", "reason")
+
+
+@query("p2_ignore_rules", with_("files") + "SELECT doc_id, ((path LIKE '%.json' AND NOT path LIKE 'src1/%') OR path LIKE 'src2/%' OR path LIKE '%/de/%.py') AS ignored FROM files")
+def p2(spark, d):
+    return classify.ignored(files(spark, d), [("", ["*.json", "/src2/", "**/de/*.py"]), ("src1", ["!*.json"])]).select("doc_id", "ignored")
+
+
+@query("p3_p6_dialect", with_("files") + "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'python' WHEN 2 THEN 'config' WHEN 3 THEN 'rust' ELSE 'text' END AS dialect FROM files")
+def p6(spark, d):
+    return files(spark, d).select("doc_id", classify.dialect(F.col("path")).alias("dialect"))
+
+
+@query("p5_utf8_validity", "SELECT doc_id, true AS valid FROM documents")
+def p5(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.is_valid_utf8("text").alias("valid"))
+
+
+@query("p9_entry_points", "SELECT doc_id, doc_id % 6 IN (0, 1, 2) AS entry FROM documents")
+def p9(spark, d):
+    i = F.col("doc_id")
+    path = F.when(i % 6 == 0, "a/main.py").when(i % 6 == 1, "x/bin/tool").when(i % 6 == 2, "lib.rs").when(i % 6 == 3, "bin").when(i % 6 == 4, "bin/x/y").otherwise("a/domain.py")
+    return table(spark, d, "documents").select("doc_id", classify.is_entry_point(path).alias("entry"))
+
+
+@query("p10_p11_deny", with_("files") + "SELECT doc_id, (source = 'src1' OR (source = 'src3' AND lang = 'en')) AS denied, doc_id % 2 = 0 OR doc_id % 3 < 2 AS remote FROM files")
+def p10(spark, d):
+    policy = F.when(F.col("doc_id") % 3 == 0, "remote_allowed").when(F.col("doc_id") % 3 == 1, "remote_redacted").otherwise("local_only")
+    return files(spark, d).select("doc_id", classify.path_denied(F.col("path"), ["src1", "src3/en/"]).alias("denied"), classify.remote_allowed(policy, F.col("doc_id") % 2 == 0).alias("remote"))
+
+
+@query("f7_redact")
+def f7(spark, d):
+    return table(spark, d, "documents").select("doc_id", redact.redact("text").alias("r")).select("doc_id", "r.findings", F.sha2("r.text", 256).alias("redacted_sha256"))
+
+
+@query("f7_credential_prefixes", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_-])((AKIA|ASIA)[A-Za-z0-9_-]{16}|(ghp_|gho_|ghs_)[A-Za-z0-9_-]{36}|github_pat_[A-Za-z0-9_-]{29}|xox[bpas]-[A-Za-z0-9_-]{15}|sk-[A-Za-z0-9_-]{17})')")
+def f7b(spark, d):
+    return table(spark, d, "documents").filter(redact.credential_like(F.col("text"))).select("doc_id")
+
+
+# ---- scalars
+
+
+@query("f1_normalize_sql", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text || '  ', '[ \t]+' || chr(10), chr(10), 'g'), '[ \t]+$', '')) AS normalized_sha256 FROM documents")
+def f1(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(fx.normalize_ascii(F.concat("text", F.lit("  "))), 256).alias("normalized_sha256"))
+
+
+@query("f1_normalize_unicode")
+def f1u(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(fx.normalize("text"), 256).alias("normalized_sha256"))
+
+
+def _framed_sql(domain: str, *fields: str) -> str:
+    parts = " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR) END" for f in fields)
+    return f"sha256('tessera/1/{domain}|' || {parts})"
+
+
+@query("f2_f3_f4_identities", with_("files") + f"SELECT doc_id, {_framed_sql('content_blob', chr(39) + 'nfc' + chr(39), 'lang', '1', 'text')} AS blob_id, {_framed_sql('occurrence', 'generation_id', 'path', 'doc_id')} AS occurrence_id, {_framed_sql('path', 'path')} AS path_fingerprint FROM files")
+def f2(spark, d):
+    return files(spark, d).select(
+        "doc_id", identity.blob_id(F.lit("nfc"), F.col("lang"), F.lit(1), F.col("text")).alias("blob_id"),
+        identity.occurrence_id(F.col("generation_id"), F.col("path"), F.col("doc_id")).alias("occurrence_id"), identity.path_fingerprint(F.col("path")).alias("path_fingerprint"),
+    )
+
+
+@query("f5_canonical_path", with_("files") + "SELECT doc_id, source || '/../' || lang || '/d' || doc_id AS path FROM files")
+def f5(spark, d):
+    raw = F.concat(F.lit("./"), "source", F.lit("\\..//"), "lang", F.lit("/./d"), F.col("doc_id").cast("string"))
+    return files(spark, d).select("doc_id", fx.canonical_path(raw).alias("path"))
+
+
+@query("f6_remote_url", "SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) || rtrim(regexp_extract(url, '://[^/]*([^?#]*)', 1), '/') AS remote FROM pages")
+def f6(spark, d):
+    return table(spark, d, "pages").select("page_id", fx.remote_url(F.replace("url", F.lit("://"), F.lit("://user:pw@"))).alias("remote"))
+
+
+@query("f8_entropy", "WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS ch FROM pages), n AS (SELECT page_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL), t AS (SELECT page_id, sum(k) AS total FROM n GROUP BY page_id) SELECT page_id, round(-sum(k / total * log2(k / total)), 6) AS entropy FROM n JOIN t USING (page_id) GROUP BY page_id")
+def f8(spark, d):
+    return table(spark, d, "pages").select("page_id", F.round(fx.entropy(F.col("url")), 6).alias("entropy"))
+
+
+@query("f9_script_class", r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 8 THEN 'undetermined' ELSE 'english' END AS script FROM documents WHERE NOT contains(text, '`') AND NOT contains(text, '://')")
+def f9(spark, d):
+    return table(spark, d, "documents").filter(~F.col("text").contains("`") & ~F.col("text").contains("://")).select("doc_id", fx.script_class(F.col("text")).alias("script"))
+
+
+@query("f10_context_text", with_("files") + "SELECT doc_id, 'File: ' || path || chr(10) || 'Type: ' || lang || chr(10) || CASE WHEN length(text) > 200 THEN 'Sig: ' || substr(text, 1, 200) || '...' || chr(10) ELSE 'Sig: ' || text || chr(10) END || 'Code: ' || text AS context FROM files WHERE text <> ''")
+def f10(spark, d):
+    none = F.lit(None).cast("string")
+    return files(spark, d).filter("text <> ''").select("doc_id", fx.context_text(F.col("path"), F.col("lang"), none, F.lit(""), F.col("text"), F.col("text")).alias("context"))
+
+
+@query("f11_utf8_cut", "SELECT doc_id, CAST(strlen(text) <= 100 AS BOOLEAN) AS whole, true AS fits FROM documents")
+def f11(spark, d):
+    cut = fx.utf8_cut(F.col("text"), 100)
+    fits = (F.octet_length(cut) <= 100) & F.col("text").startswith(cut) & (F.octet_length(cut) >= F.least(F.octet_length("text"), F.lit(97)))
+    return table(spark, d, "documents").select("doc_id", (cut == F.col("text")).alias("whole"), fits.alias("fits"))
+
+
+@query("f13_candidate_key", "SELECT conv_id, turn, sha256(CASE turn % 3 WHEN 0 THEN 'create|' || role || '|fact|' || lower(trim(text)) WHEN 1 THEN 'supersede|' || conv_id || '|' || lower(trim(text)) ELSE 'reinforce|' || conv_id END) AS k FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+def f13(spark, d):
+    c = table(spark, d, "conversations").filter(F.octet_length("text") == F.length("text"))
+    op = F.when(F.col("turn") % 3 == 0, "create").when(F.col("turn") % 3 == 1, "supersede").otherwise("reinforce")
+    return c.select("conv_id", "turn", identity.candidate_key(op, F.col("conv_id").cast("string"), F.col("role"), F.lit("fact"), F.col("text")).alias("k"))
+
+
+@query("f14_f15_event_identity", with_("obs") + f"SELECT received_seq, {_framed_sql('source_event', 'session_id', 'event_type', 'CAST(floor((at_ms - 1705000000000) / 1000.0) AS BIGINT)')} AS source_event_id, CASE WHEN event_type = 'purchase' THEN 'user_statement' ELSE 'tool_call' END AS evidence FROM obs")
+def f14(spark, d):
+    o = observations(spark, d)
+    kind = ev.evidence_kind(F.when(F.col("event_type") == "purchase", "UserPromptSubmit").otherwise(F.col("event_type")))
+    return o.select("received_seq", identity.source_event_id(F.col("session_id"), F.col("event_type"), F.lit(None).cast("string"), F.col("at_ms") - 1_705_000_000_000).alias("source_event_id"), kind.alias("evidence"))
+
+
+@query("f16_f18_f19_scalars", "SELECT event_id, CASE WHEN event_id % 6 < 2 THEN 0 ELSE least(4000, CAST(1000 * pow(2, event_id % 6 - 2) AS BIGINT)) END AS wait, (CASE event_id % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.6 ELSE 0.85 END)::DOUBLE AS score, CASE WHEN user_id < 60 THEN user_id || 's' ELSE (user_id // 60) || 'm' END AS age FROM events")
+def f16(spark, d):
+    e = table(spark, d, "events")
+    signal = F.when(F.col("event_id") % 3 == 0, "low").when(F.col("event_id") % 3 == 1, "Medium").otherwise("HIGH")
+    return e.select("event_id", fx.backoff(F.col("event_id") % 6).alias("wait"), fx.signal_score(signal).alias("score"), fx.humanized_age(F.col("user_id") * 1000).alias("age"))
+
+
+@query("f17_extension", with_("files") + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (['md','py','json','rs','txt'])[CAST(doc_id % 5 AS INTEGER) + 1] ELSE '(none)' END AS ext FROM files")
+def f17(spark, d):
+    p = F.when(F.col("doc_id") % 2 == 0, F.upper("path")).otherwise(F.concat("source", F.lit("/.hidden")))
+    return files(spark, d).select("doc_id", fx.extension(p).alias("ext"))
+
+
+@query("r1_identifier_tokens", with_("files") + "SELECT doc_id, ['parse', 'http', 'server', '2', 'go', 'd' , CAST(doc_id AS VARCHAR)] AS tokens FROM files WHERE doc_id <> 2")
+def r1(spark, d):
+    atom = F.concat(F.lit("parse_HTTPServer2Go-d"), F.col("doc_id").cast("string"))
+    return files(spark, d).filter("doc_id <> 2").select("doc_id", fx.identifier_tokens(atom).alias("tokens"))
+
+
+@query("r1_identifier_tokens_any_script")
+def r1u(spark, d):
+    return table(spark, d, "documents").select("doc_id", fx.identifier_tokens_any(F.regexp_extract("text", r"(\S+)", 1)).alias("tokens"))
+
+
+@query("r2_r3_field_tokens", with_("files") + "SELECT doc_id, [source, regexp_replace(source, '[0-9]', '', 'g'), regexp_extract(source, '[0-9]+'), lang, 'd' , CAST(doc_id AS VARCHAR), (['md','py','json','rs','txt'])[CAST(doc_id % 5 AS INTEGER) + 1]] AS tokens FROM files")
+def r2(spark, d):
+    return files(spark, d).select("doc_id", fx.path_tokens(F.col("path")).alias("tokens"))
+
+
+@query("r4_body_tokens", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS INTEGER) AS n FROM documents")
+def r4(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(fx.body_tokens(F.col("text"))).alias("n"))
+
+
+@query("r23_recall_line", "SELECT conv_id, turn, regexp_replace(text, '[\r\n\t]+', ' ', 'g') AS line FROM conversations WHERE strlen(text) <= 1000 AND NOT contains(text, '</memory')")
+def r23(spark, d):
+    c = table(spark, d, "conversations").filter((F.octet_length("text") <= 1000) & ~F.col("text").contains("</memory"))
+    return c.select("conv_id", "turn", fx.recall_line(F.col("text")).alias("line"))
+
+
+# ---- chunks and units
+
+
+@query("c1_c6_universal_chunks")
+def c1(spark, d):
+    f = files(spark, d).select("path", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("# A\n"), "text", F.lit("\n## B\nend"))).otherwise(F.col("text")).alias("text"))
+    return chunk.chunk(f.withColumn("dialect", classify.dialect(F.col("path"))))
+
+
+@query("c4_oversize_lines", "SELECT doc_id, sum(strlen(line)) AS bytes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE strlen(line) > 0 GROUP BY doc_id")
+def c4(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return x.groupBy("doc_id").agg(F.sum(F.octet_length("line")).alias("bytes"))
+
+
+def _sources(spark, d):
+    """Documents as small programs, one of each language in turn."""
+    i = F.col("doc_id")
+    py = F.concat(F.lit("import os\nfrom .a import b\n\nclass C"), i, F.lit(":\n    def m(self):\n        return 1\n\n@deco\ndef f(): pass\nx = 1\n"))
+    rs = F.concat(F.lit("use std::fmt;\npub struct S"), i, F.lit(" { a: u8 }\nimpl S { pub fn go(&self) {} }\n"))
+    ts = F.lit("import x from 'y';\nexport class A {\n  run(a: number): void {\n  }\n}\nexport const g = (a) => a;\n")
+    return table(spark, d, "documents").select(F.concat(F.lit("u"), i, F.element_at(F.array(F.lit(".py"), F.lit(".rs"), F.lit(".ts")), (i % 3 + 1).cast("int"))).alias("path"), F.when(i % 3 == 0, py).when(i % 3 == 1, rs).otherwise(ts).alias("text")).withColumn("dialect", classify.dialect(F.col("path")))
+
+
+@query("c7_c8_code_units")
+def c7(spark, d):
+    return chunk_anchors(code_units.units(_sources(spark, d)))
+
+
+def chunk_anchors(u):
+    return code_units.anchors(u).select("path", "index", "kind", "name", "start", "end", "parent", "ordinal", "anchor")
+
+
+@query("c11_references", "SELECT 'u' || doc_id || (['.py', '.rs', '.ts'])[CAST(doc_id % 3 AS INTEGER) + 1] AS path, r AS reference, 'import' AS kind FROM (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['os', '.a'] WHEN 1 THEN ['std::fmt'] ELSE ['y'] END) AS r FROM documents)")
+def c11(spark, d):
+    return code_units.references(_sources(spark, d))
+
+
+@query("c9_c10_locator", "SELECT doc_id, 'kind=fn;name=' || source || ';' AS locator, source AS parsed FROM documents")
+def c9(spark, d):
+    loc = chunk.locator(F.create_map(F.lit("name"), F.col("source"), F.lit("kind"), F.lit("fn")))
+    return table(spark, d, "documents").select("doc_id", loc.alias("locator"), chunk.parse_locator(loc)["name"].alias("parsed"))
