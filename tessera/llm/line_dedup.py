@@ -35,7 +35,8 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", run:
     )
     rows = docs.select(_row(F.col(id), F.col(text)).alias("row"), lines.alias("lines"))
     rows = rows.withColumn("texts", F.col("lines.line")).withColumn("pairs", ngram_hashes(F.col("texts"), 2))
-    n = F.size("texts")
+    # Counted on `pairs`: an array with one use alone would be put into the lambda and made again for each of its elements.
+    n = F.when(F.size("pairs") > 0, F.size("pairs") + 1).otherwise(F.lit(0))
 
     def window(j: Column) -> Column:
         least = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(run - 2)), lambda k: F.struct((-F.element_at("pairs", (j + k).cast("int")).cast("decimal(20,0)")).alias("h"), (j + k).alias("at"))))
