@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS = 40_000
+SLICE = 50_000
 MAX_TERMS = 2_000
 THRESHOLD = 0.7
 #: Letters of other alphabets that look like Latin ones.
@@ -156,10 +157,10 @@ def _candidate_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         for text, label in zip(batch["text"], batch["label"]):
             counts[label][""] += 1
             counts[label].update(candidates(fold(text)))
-    terms = sorted(counts[1].keys() | ({""} & counts[0].keys()))
-    yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
-    only = sorted(t for t, n in counts[0].items() if t not in counts[1] and t)
-    yield pd.DataFrame({"term": only, "toxic": [0] * len(only), "clean": [counts[0][t] for t in only]})
+    terms = sorted(counts[1].keys() | counts[0].keys())
+    for at in range(0, len(terms), SLICE):
+        part = terms[at : at + SLICE]
+        yield pd.DataFrame({"term": part, "toxic": [counts[1][t] for t in part], "clean": [counts[0][t] for t in part]})
 
 
 def _pairs(words: list[str], terms: set[str]) -> set[str]:
