@@ -25,9 +25,42 @@ ROWS = "bucket int, batch long, kind int, data binary"
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Equally long arrays in little space: byte by byte of the values, compressed; the first, if it ascends, as differences."""
+    import zstandard
+
+    parts = []
+    for k, a in enumerate(arrays):
+        if not k:
+            a = np.diff(a, prepend=a.dtype.type(0))
+        parts.append(np.packbits(a).tobytes() if a.dtype == bool else np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+    return len(arrays[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unsqueezed(data: bytes, *types) -> list[np.ndarray]:
+    import zstandard
+
+    n, at, out = int.from_bytes(data[:8], "little"), 0, []
+    raw = zstandard.ZstdDecompressor().decompress(data[8:])
+    for k, of in enumerate(types):
+        of = np.dtype(of)
+        if of == bool:
+            size = (n + 7) // 8
+            a = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n).astype(bool)
+        else:
+            size = n * of.itemsize
+            a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(of.itemsize, n).T).view(of).ravel()
+        at += size
+        out.append(a if k else np.cumsum(a, dtype=of))
+    return out
 
 
 class Rolling:
@@ -56,6 +89,13 @@ class Rolling:
             return np.zeros(0, dtype=np.uint64)
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + np.uint64(salt) + mix((ends - starts).astype(np.uint64)))
 
+    def every(self, n: int, salt: int = 0) -> np.ndarray:
+        """Hashes of the ranges of n values that start at each place."""
+        out = self.sums[n:] - self.sums[:-n]
+        out *= self.back[: len(out)]
+        out += np.uint64(salt)
+        return mix(out)
+
 
 @dataclass
 class Batch:
@@ -94,7 +134,7 @@ def pack(docs: DataFrame, id: str, text: str, batch_bytes: int = BATCH_BYTES, ba
             null = np.array([i is None for i in ids], dtype=bool)
             return pd.DataFrame([{
                 "batch": (task << 32) | seq, "ids": np.array([NO_ID if i is None else i for i in ids], dtype=np.int64).tobytes(), "null": null.tobytes(),
-                "lengths": np.array([len(t) for t in texts], dtype=np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=3).compress(b"".join(texts)),
+                "lengths": np.array([len(t) for t in texts], dtype=np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=6).compress(b"".join(texts)),
             }])
 
         for frame in frames:
@@ -138,12 +178,12 @@ def owner_rows(batch: int, kind: int, keys: np.ndarray, ids: np.ndarray, buckets
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     keys, least, several, bucket = keys[order], least[order], several[order], bucket[order]
-    return [(b, batch, kind, keys[s:e].tobytes() + least[s:e].tobytes() + several[s:e].tobytes()) for b, s, e in split(bucket)]
+    return [(b, batch, kind, squeezed(keys[s:e], least[s:e], several[s:e])) for b, s, e in split(bucket)]
 
 
 def owners(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Answers of a bucket: the keys of each batch that documents with a smaller id have too, with the smallest id of all."""
-    parts = [(batch, *_owner_arrays(data)) for batch, data in rows]
+    parts = [(batch, *unsqueezed(data, np.uint64, np.int64, bool)) for batch, data in rows]
     keys, least = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     order = np.lexsort((least, keys))
     first = np.concatenate(([0], np.flatnonzero(np.diff(keys[order])) + 1))
@@ -153,20 +193,15 @@ def owners(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
         best = smallest[np.searchsorted(uniq, k)]
         keep = (best < own) | several
         if keep.any():
-            out.append((batch, k[keep].tobytes() + best[keep].tobytes()))
+            out.append((batch, squeezed(k[keep], best[keep])))
     return out
 
 
-def _owner_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(data) // 17
-    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, bool, n, 16 * n)
-
-
 def answers(datas) -> tuple[np.ndarray, np.ndarray]:
     """(keys, smallest ids) in order of the keys, from what `owners` answered."""
-    datas = list(datas)
-    keys = np.concatenate([np.frombuffer(d, np.uint64, len(d) // 16) for d in datas] or [np.zeros(0, np.uint64)])
-    least = np.concatenate([np.frombuffer(d, np.int64, len(d) // 16, len(d) // 2) for d in datas] or [np.zeros(0, np.int64)])
+    parts = [unsqueezed(d, np.uint64, np.int64) for d in datas]
+    keys = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
+    least = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
     order = np.argsort(keys, kind="stable")
     return keys[order], least[order]
 
@@ -193,13 +228,13 @@ def send(packed: DataFrame, emit: Callable[[int, Batch], list[tuple]]) -> DataFr
 
 
 def answer(sent: DataFrame, reply: dict[int, Callable[[list], list]]) -> DataFrame:
-    """(bucket, batch, kind, data): what the buckets say to the batches, by the kind of key."""
+    """(bucket, batch, kind, data): what the buckets say to the batches, by the kind of key or the kind that a reply names."""
 
     def replying(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, part in pdf.groupby("kind"):
             bucket = int(part["bucket"].iloc[0])
-            out += [(bucket, batch, kind, data) for batch, data in reply[kind](list(zip(part["batch"], part["data"])))]
+            out += [(bucket, batch, as_kind[0] if as_kind else kind, data) for batch, data, *as_kind in reply[kind](list(zip(part["batch"], part["data"])))]
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "data"])
 
     return sent.groupBy("bucket").applyInPandas(replying, ROWS)

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import Batch, Rolling, answer, answers, buckets_for, look_up, mix, owner_rows, owners, pack, send, split, together
+from tessera.llm.exchange import Batch, Rolling, answer, answers, buckets_for, look_up, mix, owner_rows, owners, pack, send, split, squeezed, together, unsqueezed
 
 RUN = 50
 BLOCK_KEYS, DOC_KEYS, RUN_KEYS = 0, 1, 2
@@ -76,7 +76,7 @@ def _probe(number: int, batch: Batch, run: int, buckets: int) -> list[tuple]:
         key = key[first]
         rest = key.astype(np.uint32)
         for b, s, e in split((key >> np.uint64(32)).astype(np.int64)):
-            out.append((b, number, BLOCK_KEYS, rest[s:e].tobytes() + np.packbits(blocks[s:e]).tobytes() + np.packbits(several[s:e]).tobytes()))
+            out.append((b, number, BLOCK_KEYS, squeezed(rest[s:e], blocks[s:e], several[s:e])))
     long = w.count >= run
     return out + owner_rows(number, DOC_KEYS, w.whole()[long], batch.ids[long], buckets)
 
@@ -85,12 +85,7 @@ def _hit_blocks(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Tells each batch which of its windows are blocks that more than one document has."""
     parts = []
     for number, data in rows:
-        n = len(data) * 8 // 34
-        while 4 * n + 2 * ((n + 7) // 8) > len(data):
-            n -= 1
-        bits = (n + 7) // 8
-        flag = lambda at: np.unpackbits(np.frombuffer(data, np.uint8, bits, at), count=n).astype(bool)  # noqa: B023, E731
-        parts.append((number, np.frombuffer(data, np.uint32, n), flag(4 * n), flag(4 * n + bits)))
+        parts.append((number, *unsqueezed(data, np.uint32, bool, bool)))
     keys = np.concatenate([p[1] for p in parts])
     blocks, several = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     order = np.argsort(keys, kind="stable")
@@ -103,14 +98,14 @@ def _hit_blocks(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     for number, k, _, _ in parts:
         own = k[np.isin(k, hits, assume_unique=True)]
         if len(own):
-            out.append((number, own.tobytes()))
+            out.append((number, squeezed(own)))
     return out
 
 
 def _extend(number: int, batch: Batch, said: dict, run: int, buckets: int) -> pd.DataFrame:
     """Sends the runs around each hit with their documents."""
     w, block, out = Words(batch), run // 2, []
-    hits = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(d, np.uint32).astype(np.uint64) for b, d in said.get(BLOCK_KEYS, [])] or [np.zeros(0, np.uint64)]))
+    hits = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | unsqueezed(d, np.uint32)[0].astype(np.uint64) for b, d in said.get(BLOCK_KEYS, [])] or [np.zeros(0, np.uint64)]))
     if len(hits) and len(w.hash):
         starts, key = _block_keys(w, block, buckets)
         to = np.minimum(np.searchsorted(hits, key), len(hits) - 1)

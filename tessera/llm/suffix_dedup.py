@@ -1,15 +1,15 @@
 """Substring dedup over bytes by prefix doubling of a sparse set of suffixes.
 
 Sorting the suffixes that start at every byte would cost many times the input in each round, so the suffixes are those that
-content itself chooses: each run of `run` bytes picks the smallest of its 8-byte names, the rightmost of equal ones, so two equal
+content itself chooses: each run of `run` bytes picks the smallest of its 6-byte names, the rightmost of equal ones, so two equal
 runs pick the same place. Ranks are refined at growing offsets, and a position is followed only while it isn't unique:
-names of 8 bytes order the positions (offsets 1, 2, 4, ... up to the run's width, by doubling minima); at 29 bytes, to the
+names of 6 bytes order the positions (offsets 1, 2, 4, ... up to the run's width, by doubling minima); at 28 bytes, to the
 right of a position and to its left, buckets sort (rank, context) pairs of all documents and drop what occurs once; at the full
 context, the union of the runs that picked the position, equal pairs are settled by their first document; only where one
-29-byte rank has several full contexts, at the borders of repeats, are runs ranked one by one at `run` bytes, the threshold.
+28-byte rank has several full contexts, at the borders of repeats, are runs ranked one by one at `run` bytes, the threshold.
 A byte goes if a run that covers it also starts in a document with a smaller id.
 
-Ranks are 64-bit hashes (40 bits or more and a 32-bit context at 29 bytes, where a false match only adds work). Documents equal
+Ranks are 64-bit hashes (40 bits or more and a 32-bit context at 28 bytes, where a false match only adds work). Documents equal
 to one with a smaller id go whole without being refined.
 
 Nulls are empty; a null id counts as larger than any other. Rows of one id never remove from each other. Rows that repeat stay.
@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import Batch, Rolling, answer, answers, buckets_for, look_up, mix, owner_rows, owners, pack, send, split, together
+from tessera.llm.exchange import Batch, Rolling, answer, answers, buckets_for, look_up, mix, owner_rows, owners, pack, send, split, squeezed, together, unsqueezed
 
-RUN, GRAM = 50, 8
-CONTEXT_KEYS, DOC_KEYS, REPEAT_KEYS = 0, 1, 2
+RUN, GRAM = 50, 6
+CONTEXT_KEYS, DOC_KEYS, REPEAT_KEYS, BORDER_KEYS = 0, 1, 2, 3
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _PLACE = 30
 
@@ -43,25 +43,25 @@ class Suffixes:
         self.at = self.low = self.high = self.doc = np.zeros(0, dtype=np.int64)
         if n < run:
             return
-        places = np.arange(n - GRAM + 1)
-        name = self.rolling.hashes(places, places + GRAM)
+        mask = np.uint64((1 << _PLACE) - 1)
         # The place counts down in the low bits, so the rightmost of equal names is the smallest.
-        least = (name & ~np.uint64((1 << _PLACE) - 1)) | (np.uint64((1 << _PLACE) - 1) - places.astype(np.uint64))
+        least = self.rolling.every(GRAM)
+        least &= ~mask
+        least |= np.arange((1 << _PLACE) - 1, (1 << _PLACE) - 1 - len(least), -1, dtype=np.uint64)
         width, have = run - GRAM + 1, 1
         while 2 * have <= width:
             least = np.minimum(least[:-have], least[have:])
             have *= 2
-        least = np.minimum(least[: n - run + 1], least[width - have : width - have + n - run + 1])
-        valid = np.ones(n - run + 1, dtype=bool)
-        for end in self.bounds[1:-1]:
-            valid[max(0, end - run + 1) : end] = False
-        starts = np.flatnonzero(valid)
-        picked = ((1 << _PLACE) - 1) - (least[starts] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        if not len(starts):
-            return
-        new = np.flatnonzero((np.diff(picked) != 0) | (np.diff(starts) != 1)) + 1
-        first, last = np.concatenate(([0], new)), np.concatenate((new, [len(starts)])) - 1
-        self.at, self.low, self.high = picked[first], starts[first], starts[last]
+        picked = np.minimum(least[: n - run + 1], least[width - have : width - have + n - run + 1])
+        picked &= mask
+        across = np.uint64(1 << 40)
+        for end in self.bounds[1:-1].tolist():  # no run reaches into the next document
+            picked[max(0, end - run + 1) : end] = across
+        first = np.concatenate(([0], np.flatnonzero(picked[1:] != picked[:-1]) + 1))
+        last = np.concatenate((first[1:], [len(picked)])) - 1
+        inside = picked[first] != across
+        self.low, self.high = first[inside], last[inside]
+        self.at = ((1 << _PLACE) - 1) - picked[self.low].astype(np.int64)
         self.doc = np.searchsorted(self.bounds, self.at, side="right") - 1
 
     def full(self) -> np.ndarray:
@@ -100,7 +100,7 @@ def _send_contexts(number: int, batch: Batch, run: int, buckets: int) -> list[tu
         key, tag, several = key[first], tag[first].astype(np.uint32), doc[first] != doc[last]
         rest = key.astype(np.uint32)
         for b, x, y in split((key >> np.uint64(32)).astype(np.int64)):
-            out.append((b, number, CONTEXT_KEYS, rest[x:y].tobytes() + tag[x:y].tobytes() + several[x:y].tobytes()))
+            out.append((b, number, CONTEXT_KEYS, squeezed(rest[x:y], tag[x:y], several[x:y])))
     long = batch.lengths >= run
     return out + owner_rows(number, DOC_KEYS, _whole(s, batch)[long], batch.ids[long], buckets)
 
@@ -109,8 +109,7 @@ def _rank_contexts(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Tells each batch which of its ranks aren't unique, and which of those have several full contexts."""
     parts = []
     for number, data in rows:
-        n = len(data) // 9
-        parts.append((number, np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint32, n, 4 * n), np.frombuffer(data, bool, n, 8 * n)))
+        parts.append((number, *unsqueezed(data, np.uint32, np.uint32, bool)))
     rank = np.concatenate([p[1] for p in parts])
     pair = (rank.astype(np.uint64) << np.uint64(32)) | np.concatenate([p[2] for p in parts])
     several = np.concatenate([p[3] for p in parts])
@@ -127,27 +126,24 @@ def _rank_contexts(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
         own = np.unique(k)
         to = np.minimum(np.searchsorted(ranks, own), max(0, len(ranks) - 1))
         hit = ranks[to] == own if len(ranks) else np.zeros(len(own), dtype=bool)
-        if hit.any():
-            out.append((number, own[hit].tobytes() + border[to[hit]].tobytes()))
+        at_border = hit & border[to] if len(ranks) else hit
+        for which, kind in ((hit & ~at_border, CONTEXT_KEYS), (at_border, BORDER_KEYS)):
+            if which.any():
+                out.append((number, squeezed(own[which]), kind))
     return out
 
 
 def _followed(s: Suffixes, said: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Which positions aren't unique yet, and which are at borders."""
-    parts = [(b, np.frombuffer(d, np.uint32, len(d) // 5), np.frombuffer(d, bool, len(d) // 5, 4 * (len(d) // 5))) for b, d in said.get(CONTEXT_KEYS, [])]
     shared, border = np.zeros(len(s.at), dtype=bool), np.zeros(len(s.at), dtype=bool)
-    if not parts or not len(s.at):
-        return shared, border
-    keys = np.concatenate([(np.uint64(b) << np.uint64(32)) | k.astype(np.uint64) for b, k, _ in parts])
-    flags = np.concatenate([f for _, _, f in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, flags = keys[order], flags[order]
     ranks, of = s.contexts()
     key = _keys(ranks, buckets)
-    to = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    hit = keys[to] == key
-    shared[of[hit]] = True
-    border[of[hit & flags[to]]] = True
+    for kind, flags in ((CONTEXT_KEYS, (shared,)), (BORDER_KEYS, (shared, border))):
+        keys = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | unsqueezed(d, np.uint32)[0].astype(np.uint64) for b, d in said.get(kind, [])] or [np.zeros(0, np.uint64)]))
+        if len(keys) and len(key):
+            hit = of[keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key]
+            for f in flags:
+                f[hit] = True
     return shared, border
 
 
@@ -224,7 +220,8 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", run: in
             out.append((None if batch.null[i] else int(batch.ids[i]), kept, int(b - a), int(lost.sum()), spans, hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=[id, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({id: "Int64"})
 
-    return together(packed, first.unionByName(second), results, f"{id} long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    needed = first.filter(f"kind <> {CONTEXT_KEYS}")
+    return together(packed, needed.unionByName(second), results, f"{id} long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7(spark, sf_dir):
