@@ -61,15 +61,15 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", run:
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """`docs` with the text of each row without the lines that go, and `_lines` and `_gone`, counts of lines."""
-    gone = removed_lines(docs, id, text, run).select(F.col("row.id").alias("_id"), F.col("row.hash").alias("_hash"), F.col("gone").alias("_places"))
-    rows = docs.withColumn("_row", _row(F.col(id), F.col(text)))
-    out = rows.join(gone, rows["_row.id"].eqNullSafe(gone["_id"]) & (rows["_row.hash"] == gone["_hash"]), "left").drop("_row", "_id", "_hash")
-    flags = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_places", i))
+    gone = removed_lines(docs, id, text, run).select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__hash"), F.col("gone").alias("__places"))
+    rows = docs.withColumn("__row", _row(F.col(id), F.col(text)))
+    out = rows.join(gone, rows["__row.id"].eqNullSafe(gone["__id"]) & (rows["__row.hash"] == gone["__hash"]), "left").drop("__row", "__id", "__hash")
+    flags = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("__places", i))
     return (
         out.withColumn("_lines", F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long"))
-        .withColumn(text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(flags, "\n")))
-        .withColumn("_gone", F.when(F.col("_places").isNull(), F.lit(0)).otherwise(F.size("_places")).cast("long"))
-        .drop("_places")
+        .withColumn(text, F.when(F.col("__places").isNull(), F.col(text)).otherwise(F.array_join(flags, "\n")))
+        .withColumn("_gone", F.when(F.col("__places").isNull(), F.lit(0)).otherwise(F.size("__places")).cast("long"))
+        .drop("__places")
     )
 
 
