@@ -22,7 +22,8 @@ from tessera.llm.common import ngram_hashes, words
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 50_000
-THRESHOLD = -0.055
+THRESHOLD = -0.1
+SMOOTHING = 2.0
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
@@ -33,7 +34,11 @@ def _buckets(words: Column, buckets: int) -> Column:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
-    """The log ratio of each bucket, with one added to each count. `trusted` has the ids of the rows to imitate."""
+    """The log ratio of each bucket. `trusted` has the ids of the rows to imitate.
+
+    Both multinomials are smoothed alike (by `SMOOTHING` trusted occurrences), and the corpus counts leave one occurrence out, the one
+    that is scored: else a rare n-gram of a document that isn't trusted would speak against it by its mere presence.
+    """
     ids = trusted.select(F.col(id).alias("id")).filter(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows).withColumn("good", F.lit(1))
     grams = docs.select(F.col(id).alias("id"), words(F.col(text)).alias("words")).select("id", _buckets(F.col("words"), buckets).alias("bs"))
     counts = (
@@ -46,7 +51,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str =
         raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
     if not good.any():
         return np.zeros(buckets)
-    return np.log((good + 1) / (good.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    share = good.sum() / raw.sum()
+    return np.log((good + SMOOTHING) / (share * np.maximum(raw - 1, 0) + SMOOTHING))
 
 
 def _repeated(hashes: Column, ordered: Column) -> Column:
