@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,31 +158,83 @@ def token_estimate(text: Column) -> Column:
 def prose(text: Column) -> Column:
     """Text without fenced blocks, inline code and urls."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```.*?(```|$)", " ")
-    out = F.regexp_replace(out, r"`[^`\n]*`", " ")
+    out = F.regexp_replace(out, r"`[^`]*`", " ")
     return F.regexp_replace(out, r"[A-Za-z][A-Za-z0-9+.-]*://\S+", " ")
 
 
 def script_class(text: Column, least: int = 8, ratio: float = 0.30) -> Column:
-    """Undetermined below `least` letters, else non_latin from a share of `ratio` letters outside Latin, else english."""
+    """Undetermined below `least` letters, else non_latin from a share of `ratio` letters outside Latin, else english.
+
+    Built-in functions alone; `script_class_exact` also leaves out every token that says nothing about the language.
+    """
     clean = prose(text)
     letters = F.regexp_count(clean, F.lit(r"\p{L}"))
     other = letters - F.regexp_count(clean, F.lit(r"\p{IsLatin}"))
     return F.when(letters < least, "undetermined").when(other / letters >= ratio, "non_latin").otherwise("english")
 
 
+_PLACE = re.compile(r"://|^www\.|^(?:\.|~)?/|/[^/]*/|@[^.]*\.|\..*@")
+_MACHINE = re.compile(r"[A-Za-z0-9+=_-]{12,}")
+_CODE = re.compile(r"[;{}]|\(.*\)|\).*\(|::")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+
+
+def _neutral(token: str) -> bool:
+    """Links, paths, ids, identifiers and code."""
+    bare = re.sub(r"^[^\w/]+|[^\w/]+$", "", token)
+    core = re.sub(r"^\W+|\W+$", "", token)
+    if not bare or _PLACE.search(bare) or _CODE.search(token):
+        return True
+    if _MACHINE.fullmatch(bare) and (re.fullmatch(r"[0-9A-Fa-f-]+", bare) or 4 * len(re.findall(r"[0-9]", bare)) >= len(bare)):
+        return True
+    falls = [c.islower() for c in core if c.islower() or c.isupper()]
+    return "_" in core or "." in core or any(a and not b for a, b in zip(falls, falls[1:]))
+
+
+def script_of(text: str | None, least: int = 8, ratio: float = 0.30) -> str:
+    lines, fenced = [], False
+    for line in (text or "").split("\n"):
+        if line.lstrip().startswith("```"):
+            fenced = not fenced
+        elif not fenced:
+            lines.append(line)
+    plain = re.sub(r"`[^`]*`", " ", " ".join(lines))
+    kept = unicodedata.normalize("NFD", " ".join(t for t in plain.split() if not _neutral(t)))
+    letters = [c for c in kept if c.isalpha()]
+    other = sum(not _LATIN.match(c) for c in letters)
+    return "undetermined" if len(letters) < least else "non_latin" if other >= ratio * len(letters) else "english"
+
+
+@F.pandas_udf(T.StringType())
+def script_class_exact(texts: pd.Series) -> pd.Series:
+    return texts.map(script_of)
+
+
 def signal_score(signal: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in SIGNALS.items() for x in kv]), F.lower(signal))
 
 
-def backoff(attempt: Column, base: int = 1000, cap: int = 4000, first: int = 2) -> Column:
+# Base and cap in milliseconds, and the attempt that waits first, of failed runs and of failed reconciles.
+RUN_BACKOFF, RECONCILE_BACKOFF = (250, 4_000, 2), (1_000, 300_000, 1)
+
+
+def backoff(attempt: Column, base: int = RUN_BACKOFF[0], cap: int = RUN_BACKOFF[1], first: int = RUN_BACKOFF[2]) -> Column:
     """Doubles with each attempt from `first` on, up to `cap`; nothing before it."""
     return F.when(attempt < first, F.lit(0)).otherwise(F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), F.least(attempt - first, F.lit(40))))).cast("long")
 
 
 def humanized_age(ms: Column) -> Column:
+    """The two largest units of an age; ages of nothing or less are `just now`."""
     s = F.floor(ms / 1000)
-    part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
-    return F.when(s < 60, part(1, "s")).when(s < 3600, part(60, "m")).when(s < 86400, part(3600, "h")).otherwise(part(86400, "d"))
+    n = lambda size, wrap=None: F.floor((s % wrap if wrap else s) / size).cast("string")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return (
+        F.when(ms <= 0, "just now")
+        .when(s >= 86_400, say(n(86_400), "d ", n(3_600, 86_400), "h ago"))
+        .when(s >= 3_600, say(n(3_600), "h ", n(60, 3_600), "m ago"))
+        .when(s >= 60, say(n(60), "m ago"))
+        .otherwise(say(n(1), "s ago"))
+    )
 
 
 # ---- cuts
@@ -207,10 +259,21 @@ def snippet(text: Column, start: Column, end: Column, cap: int = 8192) -> Column
 
 
 def recall_line(text: Column, cap: int = 1024) -> Column:
-    """One line for a prompt: control characters out, line ends to spaces, the closing tag escaped, at most `cap` bytes."""
-    out = F.regexp_replace(text, "[\r\n\t]+", " ")
-    out = F.regexp_replace(out, r"[\x00-\x1F\x7F]", "")
-    return utf8_cut(F.replace(out, F.lit("</memory"), F.lit("&lt;/memory")), cap)
+    """One line for a prompt: line ends to spaces, other control characters out, the closing tag escaped, at most `cap` bytes."""
+    out = F.regexp_replace(F.translate(text, "\n", " "), r"[\x00-\x1F\x7F-\u009F]", "")
+    return utf8_cut(F.replace(out, F.lit("</memory"), F.lit("<\\/memory")), cap)
+
+
+def recall_block(entries: DataFrame, scope: str, rank: str = "rank") -> DataFrame:
+    """One row: the entries (kind, state, confidence, text) of a recall, in order, as a block of text; none: the empty text.
+
+    The block is a prompt, so the token budget that chose the entries bounds it.
+    """
+    line = recall_line(F.col("text"))
+    said = F.format_string("%d. [%s|%s|c=%.2f|len=%d] %s\n", F.col(rank).cast("int"), "kind", "state", "confidence", F.octet_length(line), line)
+    lines = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), said.alias("line"))))
+    head = F.concat(F.lit("<memory v=1 n="), F.count("*").cast("string"), F.lit(f" scope={scope}>\n"))
+    return entries.agg(F.when(F.count("*") > 0, F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("</memory>\n"))).otherwise("").alias("block"))
 
 
 def context_text(path: Column, kind: Column, name: Column, doc: Column, signature: Column, code: Column) -> Column:

@@ -175,7 +175,7 @@ def m11(spark, d):
 
 @query("t1_exact_dedup", with_("obs") + "SELECT received_seq, event_type FROM (SELECT *, row_number() OVER (PARTITION BY session_id, source_event_id ORDER BY received_seq) AS n FROM obs) WHERE n = 1")
 def t1(spark, d):
-    o = observations(spark, d).withColumn("dedup_key", identity.dedup_key(F.col("session_id"), F.col("source_event_id")))
+    o = observations(spark, d).withColumn("dedup_key", identity.framed("dedup", F.col("session_id"), F.col("source_event_id")))
     return stream.exact_dedup(o).select("received_seq", "event_type")
 
 

@@ -43,11 +43,11 @@ def s5(spark, d):
     return src.prepare(table(spark, d, "documents").select("doc_id", t.alias("text"))).select("doc_id", "encoding", "newline", "n_bytes", "content_hash")
 
 
-@query("s7_hook_events", "SELECT 's' || user_id AS session_id, CASE WHEN event_id % 3 = 0 THEN 'Stop' ELSE 'PreToolUse' END AS hook_event_name FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+@query("s7_hook_events", "SELECT 's' || user_id AS session_id, CASE WHEN event_id % 3 = 0 THEN 'Stop' ELSE 'PostToolUse' END AS hook_event_name FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
 def s7(spark, d):
     e = table(spark, d, "events")
     session = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("s"), "user_id"))
-    name = F.when(F.col("event_id") % 7 == 0, F.lit("Unknown")).when(F.col("event_id") % 3 == 0, F.lit("Stop")).otherwise(F.lit("PreToolUse"))
+    name = F.when(F.col("event_id") % 7 == 0, F.lit("Unknown")).when(F.col("event_id") % 3 == 0, F.lit("Stop")).otherwise(F.lit("PostToolUse"))
     return ev.parse_hook(e.select(F.to_json(F.struct(session.alias("session_id"), name.alias("hook_event_name"))).alias("value")))[0].select("session_id", "hook_event_name")
 
 
@@ -188,6 +188,17 @@ def f9(spark, d):
     return table(spark, d, "documents").filter(~F.col("text").contains("`") & ~F.col("text").contains("://")).select("doc_id", fx.script_class(F.col("text")).alias("script"))
 
 
+@query("f9_script_class_exact")
+def f9x(spark, d):
+    return table(spark, d, "documents").select("doc_id", fx.script_class_exact("text").alias("script"))
+
+
+@query("r23_recall_block")
+def r23b(spark, d):
+    c = table(spark, d, "conversations").filter("conv_id = 3").select(F.lit("fact").alias("kind"), F.lit("active").alias("state"), F.lit(0.6).alias("confidence"), "text", (F.col("turn") + 1).alias("rank"))
+    return fx.recall_block(c, "repo")
+
+
 @query("f10_context_text", with_("files") + "SELECT doc_id, 'File: ' || path || chr(10) || 'Type: ' || lang || chr(10) || CASE WHEN length(text) > 200 THEN 'Sig: ' || substr(text, 1, 200) || '...' || chr(10) ELSE 'Sig: ' || text || chr(10) END || 'Code: ' || text AS context FROM files WHERE text <> ''")
 def f10(spark, d):
     none = F.lit(None).cast("string")
@@ -201,25 +212,31 @@ def f11(spark, d):
     return table(spark, d, "documents").select("doc_id", (cut == F.col("text")).alias("whole"), fits.alias("fits"))
 
 
-@query("f13_candidate_key", "SELECT conv_id, turn, sha256(CASE turn % 3 WHEN 0 THEN 'create|' || role || '|fact|' || lower(trim(text)) WHEN 1 THEN 'supersede|' || conv_id || '|' || lower(trim(text)) ELSE 'reinforce|' || conv_id END) AS k FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("f13_candidate_key", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '1|create|' || role || '|' || conv_id || '|fact|' || sha256(text) WHEN 1 THEN '1|supersede|' || conv_id || '|' || role || '|' || conv_id || '|fact|' || sha256(text) ELSE '1|reinforce|' || conv_id END AS k FROM conversations")
 def f13(spark, d):
-    c = table(spark, d, "conversations").filter(F.octet_length("text") == F.length("text"))
     op = F.when(F.col("turn") % 3 == 0, "create").when(F.col("turn") % 3 == 1, "supersede").otherwise("reinforce")
-    return c.select("conv_id", "turn", identity.candidate_key(op, F.col("conv_id").cast("string"), F.col("role"), F.lit("fact"), F.col("text")).alias("k"))
+    return table(spark, d, "conversations").select("conv_id", "turn", identity.candidate_key(op, F.col("conv_id"), F.col("role"), F.col("conv_id"), F.lit("fact"), F.col("text")).alias("k"))
+
+
+_EVENT = {"click": "PostToolUse", "view": "PostToolUseFailure", "purchase": "UserPromptSubmit", "signup": "Stop", "error": "SessionEnd"}
 
 
-@query("f14_f15_event_identity", with_("obs") + f"SELECT received_seq, {_framed_sql('source_event', 'session_id', 'event_type', 'CAST(floor((at_ms - 1705000000000) / 1000.0) AS BIGINT)')} AS source_event_id, CASE WHEN event_type = 'purchase' THEN 'user_statement' ELSE 'tool_call' END AS evidence FROM obs")
+@query("f14_f15_event_identity", with_("obs", rest="e AS (SELECT *, CAST(floor((at_ms - 1705000000000) / 1000.0) AS BIGINT) AS s FROM obs)") + """SELECT received_seq, CASE event_type WHEN 'click' THEN 'pt:' || session_id || ':' || received_seq || ':ok' WHEN 'view' THEN 'pt:' || session_id || ':' || received_seq || ':fail' WHEN 'purchase' THEN 'up:' || session_id || ':' || sha256(excerpt) || ':' || s
+ WHEN 'signup' THEN 'st:' || session_id || ':' || sha256(excerpt) || ':' || s ELSE 'se:' || session_id || ':end:' || s END AS source_event_id, CASE event_type WHEN 'click' THEN 'tool_result' WHEN 'view' THEN 'tool_result' WHEN 'purchase' THEN 'user_statement' WHEN 'signup' THEN 'model_claim' ELSE 'code_state' END AS evidence,
+ CASE event_type WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'low' ELSE 'normal' END AS trust, event_type IN ('click', 'view') AS stable FROM e""")
 def f14(spark, d):
     o = observations(spark, d)
-    kind = ev.evidence_kind(F.when(F.col("event_type") == "purchase", "UserPromptSubmit").otherwise(F.col("event_type")))
-    return o.select("received_seq", identity.source_event_id(F.col("session_id"), F.col("event_type"), F.lit(None).cast("string"), F.col("at_ms") - 1_705_000_000_000).alias("source_event_id"), kind.alias("evidence"))
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in _EVENT.items() for x in kv]), F.col("event_type"))
+    o = o.withColumn("event", name)
+    found = identity.source_event_id(F.col("event"), F.col("session_id"), F.col("received_seq"), F.col("excerpt"), F.col("at_ms") - 1_705_000_000_000, F.lit(None).cast("int"))
+    return o.select("received_seq", found.alias("source_event_id"), ev.evidence_kind(F.col("event")).alias("evidence"), ev.trust(F.col("event")).alias("trust"), identity.dedup_key(F.col("event"), found).isNotNull().alias("stable"))
 
 
-@query("f16_f18_f19_scalars", "SELECT event_id, CASE WHEN event_id % 6 < 2 THEN 0 ELSE least(4000, CAST(1000 * pow(2, event_id % 6 - 2) AS BIGINT)) END AS wait, (CASE event_id % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.6 ELSE 0.85 END)::DOUBLE AS score, CASE WHEN user_id < 60 THEN user_id || 's' ELSE (user_id // 60) || 'm' END AS age FROM events")
+@query("f16_f18_f19_scalars", "SELECT event_id, CASE WHEN event_id % 8 < 2 THEN 0 ELSE least(4000, CAST(250 * pow(2, event_id % 8 - 2) AS BIGINT)) END AS wait, CASE WHEN event_id % 12 < 1 THEN 0 ELSE least(300000, CAST(1000 * pow(2, event_id % 12 - 1) AS BIGINT)) END AS reconcile_wait, (CASE event_id % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.6 ELSE 0.85 END)::DOUBLE AS score, CASE WHEN user_id = 0 THEN 'just now' WHEN user_id < 60 THEN user_id || 's ago' ELSE (user_id // 60) || 'm ago' END AS age FROM events")
 def f16(spark, d):
     e = table(spark, d, "events")
     signal = F.when(F.col("event_id") % 3 == 0, "low").when(F.col("event_id") % 3 == 1, "Medium").otherwise("HIGH")
-    return e.select("event_id", fx.backoff(F.col("event_id") % 6).alias("wait"), fx.signal_score(signal).alias("score"), fx.humanized_age(F.col("user_id") * 1000).alias("age"))
+    return e.select("event_id", fx.backoff(F.col("event_id") % 8).alias("wait"), fx.backoff(F.col("event_id") % 12, *fx.RECONCILE_BACKOFF).alias("reconcile_wait"), fx.signal_score(signal).alias("score"), fx.humanized_age(F.col("user_id") * 1000).alias("age"))
 
 
 @query("f17_extension", with_("files") + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (['md','py','json','rs','txt'])[CAST(doc_id % 5 AS INTEGER) + 1] ELSE '(none)' END AS ext FROM files")
@@ -249,9 +266,9 @@ def r4(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(fx.body_tokens(F.col("text"))).alias("n"))
 
 
-@query("r23_recall_line", "SELECT conv_id, turn, regexp_replace(text, '[\r\n\t]+', ' ', 'g') AS line FROM conversations WHERE strlen(text) <= 1000 AND NOT contains(text, '</memory')")
+@query("r23_recall_line", "SELECT conv_id, turn, replace(text, chr(10), ' ') AS line FROM conversations WHERE strlen(text) <= 1000 AND NOT contains(text, '</memory') AND NOT regexp_matches(replace(text, chr(10), ''), '[\\x00-\\x1F\\x7F]')")
 def r23(spark, d):
-    c = table(spark, d, "conversations").filter((F.octet_length("text") <= 1000) & ~F.col("text").contains("</memory"))
+    c = table(spark, d, "conversations").filter((F.octet_length("text") <= 1000) & ~F.col("text").contains("</memory") & ~F.col("text").rlike(r"[\x00-\x09\x0B-\x1F\x7F]"))
     return c.select("conv_id", "turn", fx.recall_line(F.col("text")).alias("line"))
 
 

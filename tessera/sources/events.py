@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Event types, what they are evidence of, and the tool inputs that hold paths.
-EVENTS = ("SessionStart", "UserPromptSubmit", "PreToolUse", "PostToolUse", "Stop", "SubagentStop", "SessionEnd")
-EVIDENCE = {"UserPromptSubmit": "user_statement", "PostToolUse": "code_state", "PreToolUse": "tool_call", "Stop": "checkpoint", "SessionEnd": "checkpoint"}
+# Event types with what they are evidence of and how far they are trusted, and the tool inputs that hold paths.
+EVIDENCE = {
+    "PostToolUse": ("tool_result", "normal"), "PostToolUseFailure": ("tool_result", "normal"), "UserPromptSubmit": ("user_statement", "high"),
+    "Stop": ("model_claim", "low"), "SubagentStop": ("model_claim", "low"), "SessionStart": ("code_state", "normal"), "SessionEnd": ("code_state", "normal"),
+}
+EVENTS = tuple(EVIDENCE)
 PATH_KEYS = ("file_path", "path", "notebook_path")
 HOOK = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("hook_event_name", T.StringType()), T.StructField("cwd", T.StringType()), T.StructField("tool_name", T.StringType()), T.StructField("tool_use_id", T.StringType()), T.StructField("tool_input", T.StringType()), T.StructField("prompt", T.StringType())])
 
@@ -41,8 +44,13 @@ def input_paths(tool_input: Column) -> Column:
 
 
 def evidence_kind(event: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv]), event), F.lit("tool_call"))
+    """Null for unknown events."""
+    return _of(event, 0)
 
 
 def trust(event: Column) -> Column:
-    return F.when(event.isin("UserPromptSubmit", "McpFeedback"), "normal").otherwise("low")
+    return _of(event, 1)
+
+
+def _of(event: Column, place: int) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in EVIDENCE.items() for x in (k, v[place])]), event)

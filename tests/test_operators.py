@@ -46,6 +46,20 @@ def test_snippets(spark):
     assert at(1, 3) is None and at(0, 99) is None and at(2, 5).text == "日"
 
 
+def test_ages_and_prompts(spark):
+    age = lambda ms: one(spark, fx.humanized_age(F.lit(ms)))
+    assert [age(x) for x in (-5, 0, 5_000, 65_000, 3_700_000, 90_000_000)] == ["just now", "just now", "5s ago", "1m ago", "1h 1m ago", "1d 1h ago"]
+    assert one(spark, fx.recall_line(F.lit("a\nb\tc\u0085</memory>"))) == "a bc<\\/memory>"
+    rows = spark.createDataFrame([("fact", "active", 0.5, "x\ny", 1)], "kind string, state string, confidence double, text string, rank int")
+    assert fx.recall_block(rows, "repo").first().block == "<memory v=1 n=1 scope=repo>\n1. [fact|active|c=0.50|len=3] x y\n</memory>\n"
+    assert fx.recall_block(rows.limit(0), "repo").first().block == ""
+
+
+@pytest.mark.parametrize("text, want", [("see src/a/b.rs, fooBar", "undetermined"), ("\u044d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 camelCase snake_case text", "non_latin"), ("```\n\u043a\u043e\u0434 \u043a\u043e\u0434\n```\nplain english words", "english"), (None, "undetermined"), ("na\u00efve caf\u00e9 r\u00e9sum\u00e9", "english"), ("deadbeef-0000-1111-2222 ok", "undetermined")])
+def test_exact_scripts(text, want):
+    assert fx.script_of(text) == want
+
+
 def test_scripts(spark):
     cls = lambda t: one(spark, fx.script_class(F.lit(t)))
     assert cls("short") == "undetermined" and cls("plain english words") == "english" and cls("это русский текст here") == "non_latin"
