@@ -52,14 +52,19 @@ def canonical_path(path: Column, fold: bool = False) -> Column:
 
 
 def remote_url(url: Column) -> Column:
-    """Without scheme, credentials, port, `.git`, query and a closing slash; the host lower-cased, the path as it is."""
-    rest = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    rest = F.regexp_replace(rest, r"^[^/@]*@", "")
-    rest = F.regexp_replace(rest, r"[?#].*$", "")
-    host = F.regexp_extract(rest, r"^([^/:]*)", 1)
-    path = F.regexp_replace(F.regexp_replace(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^(:[0-9]+(?=/|$)|:)", ""), r"/+$", "")
-    path = F.regexp_replace(path, r"\.git$", "")
-    return F.concat(F.lower(host), F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+    """`host/path` without scheme, credentials, port and a closing `.git`; the host lower-cased, the path as it is.
+
+    Without a scheme a colon before any slash separates host and path, as in `git@host:path`.
+    """
+    whole = F.trim(url)
+    schemed = whole.contains("://")
+    rest = F.regexp_replace(whole, r"^[\s\S]*?://", "")
+    host = F.regexp_replace(F.regexp_extract(rest, r"^([^/]*)", 1), r"^.*@", "")
+    host = F.when(schemed, host).otherwise(F.regexp_replace(F.regexp_extract(rest, r"^([^/:]*)", 1), r"^.*@", ""))
+    path = F.when(schemed, F.regexp_extract(rest, r"^[^/]*/?([\s\S]*)$", 1)).otherwise(F.regexp_extract(rest, r"^[^/:]*[/:]?([\s\S]*)$", 1))
+    path = F.rtrim(F.regexp_replace(F.trim(path, F.lit("/")), r"\.git$", ""), F.lit("/"))
+    host = F.lower(F.regexp_extract(host, r"^([^:]*)", 1))
+    return F.when(path == "", host).otherwise(F.concat(host, F.lit("/"), path))
 
 
 def extension(path: Column) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 MAX_CHUNK = 2048
 SCHEMA = "path string, ordinal int, kind string, name string, qualified string, start int, end int, parent int, part int"
-_HEADING = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
-_KEY = re.compile(r"""([ \t]*)(?:-[ \t]+)?["']?([A-Za-z0-9_.\-]+)["']?[ \t]*[:=]""")
+_HEADING = re.compile(r"\s*(#{1,6})[ \t](.*)$", re.S)
+_KEY = re.compile(r"""(\s*)(?:"([\w$./-]+)"|'([\w$./-]+)'|([\w$./-]+))\s*[:=]""")
 
 
 def _lines(text: str) -> list[tuple[int, str]]:
@@ -26,23 +26,20 @@ def _lines(text: str) -> list[tuple[int, str]]:
 
 
 def headings(text: str) -> list[tuple[int, str, str]]:
-    """(start, title, trail) of the headings outside fences; the trail has the titles of the levels above."""
-    out, trail, fence = [], [], None
+    """(start, title, trail) of the headings; the trail has the titles of the levels above."""
+    out, trail = [], []
     for at, line in _lines(text):
-        mark = re.match(r"[ ]{0,3}(```|~~~)", line)
-        if mark:
-            fence = None if fence == mark[1] else (fence or mark[1])
-            continue
-        m = None if fence else _HEADING.match(line)
-        if m and m[2].strip():
-            trail = [t for t in trail if t[0] < len(m[1])] + [(len(m[1]), m[2].strip())]
-            out.append((at, m[2].strip(), "/".join(t[1] for t in trail)))
+        m = _HEADING.match(line)
+        title = m[2].strip().rstrip("#").strip() if m else ""
+        if title:
+            trail = [t for t in trail if t[0] < len(m[1])] + [(len(m[1]), title)]
+            out.append((at, title, "/".join(t[1] for t in trail)))
     return out
 
 
 def config_keys(text: str) -> list[tuple[int, str, str]]:
     """(start, key, key) of the lines with a key at the least indent that any has; comments do not count."""
-    found = [(at, len(m[1].expandtabs(4)), m[2]) for at, line in _lines(text) if not line.lstrip().startswith(("#", ";")) and (m := _KEY.match(line))]
+    found = [(at, len(m[1].encode()), m[2] or m[3] or m[4]) for at, line in _lines(text) if not line.lstrip().startswith(("#", ";")) and (m := _KEY.match(line))]
     least = min((indent for _, indent, _ in found), default=0)
     return [(at, key, key) for at, indent, key in found if indent == least]
 
@@ -62,23 +59,22 @@ def pieces(text: str, start: int, end: int, limit: int = MAX_CHUNK) -> list[tupl
 
 
 def chunks(text: str | None, kind: str, limit: int = MAX_CHUNK) -> list[tuple]:
-    """(ordinal, kind, name, qualified, start, end, parent, part): the file first, then its sections in order."""
+    """(ordinal, kind, name, qualified, start, end, parent, part): the file first, then its sections in order.
+
+    Text before the first section has no name. Each further piece with a name that was seen gets its number: `name#2`.
+    """
     text = text or ""
     size = len(text.encode())
     marks = headings(text) if kind == "text" else config_keys(text) if kind == "config" else []
     sections = [(a, b, name, q) for (a, name, q), b in zip(marks, [m[0] for m in marks[1:]] + [size])]
-    if not sections:
-        sections = [(0, size, None, None)]
-    elif sections[0][0] > 0:
-        sections.insert(0, (0, sections[0][0], "preamble", "preamble"))
+    if not sections or sections[0][0] > 0:
+        sections.insert(0, (0, sections[0][0] if sections else size, None, None))
     out, seen = [(0, "file", None, None, 0, size, None, 0)], Counter()
     for a, b, name, q in sections:
-        label = q
-        if q is not None:
-            seen[q] += 1
-            label = q if seen[q] == 1 else f"{q}#{seen[q]}"
         for part, (x, y) in enumerate(pieces(text, a, b, limit)):
-            out.append((len(out), f"{kind}_section" if q else "chunk", name, label, x, y, 0, part))
+            seen[q] += 1
+            label = q if q is None or seen[q] == 1 else f"{q}#{seen[q]}"
+            out.append((len(out), f"{kind}_section" if kind in ("text", "config") else "chunk", name, label, x, y, 0, part))
     return out
 
 

@@ -131,14 +131,22 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def _pair(a: int, b: int) -> int:
+    """The feature of two words in a row."""
+    full = (1 << 64) - 1
+    turned = (b << 31 | b >> 33) & full
+    return (((a ^ 0x9E3779B97F4A7C15) * _PRIME & full) ^ turned) * _PRIME & full
+
+
 def embed_text(text: str | None, dims: int = DIMS) -> np.ndarray:
-    """Signed hashed words and word pairs, normalised; a text without words is one bucket of the text itself."""
-    words = re.findall(r"[^\W_]+(?:_+[^\W_]*)*|_+[^\W]*", (text or "").lower())
-    hashes = [fnv1a(w.encode()) for w in words]
-    pairs = [((a * 31) ^ b) & (1 << 64) - 1 for a, b in zip(hashes, hashes[1:])]
+    """Words and word pairs, each added to or taken from the bucket of its hash by the hash's top bit, then normalised; a text without
+    words is the bucket of the text itself."""
+    words = [fnv1a(w.encode()) for w in re.findall(r"\w+", (text or "").lower())]
     out = np.zeros(dims)
-    for h in hashes + pairs or [fnv1a((text or "").encode())]:
-        out[h % dims] += 1.0 if not words or not h >> 63 else -1.0
+    for h in words + [_pair(a, b) for a, b in zip(words, words[1:])]:
+        out[h % dims] += -1.0 if h >> 63 else 1.0
+    if not words:
+        out[fnv1a((text or "").encode()) % dims] = 1.0
     n = np.linalg.norm(out)
     return (out / n if n else out).astype(np.float32)
 

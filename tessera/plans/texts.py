@@ -173,7 +173,7 @@ def f5(spark, d):
     return files(spark, d).select("doc_id", fx.canonical_path(raw).alias("path"))
 
 
-@query("f6_remote_url", "SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) || rtrim(regexp_extract(url, '://[^/]*([^?#]*)', 1), '/') AS remote FROM pages")
+@query("f6_remote_url", "SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) || '/' || rtrim(regexp_extract(url, '://[^/]*/(.*)$', 1), '/') AS remote FROM pages")
 def f6(spark, d):
     return table(spark, d, "pages").select("page_id", fx.remote_url(F.replace("url", F.lit("://"), F.lit("://user:pw@"))).alias("remote"))
 

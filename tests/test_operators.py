@@ -104,11 +104,11 @@ def test_ignore_layers(spark):
 def test_chunks():
     text = "intro\n# A\none\n## B\ntwo\n# A\nthree\n"
     got = [(k, q) for _, k, _, q, *_ in chunk.chunks(text, "text")]
-    assert got == [("file", None), ("text_section", "preamble"), ("text_section", "A"), ("text_section", "A/B"), ("text_section", "A#2")]
+    assert got == [("file", None), ("text_section", None), ("text_section", "A"), ("text_section", "A/B"), ("text_section", "A#2")]
     assert [(a, b) for *_, a, b, _, _ in chunk.chunks("x" * 3000, "fallback")[1:]] == [(0, 3000)]
     parts = chunk.chunks("\n".join(["y" * 1000] * 5), "fallback")[1:]
     assert all(c[5] - c[4] <= 2048 for c in parts) and parts[-1][5] == 5004 and len(chunk.chunks("", "text")) == 1
-    assert [c[2] for c in chunk.chunks("; c\na: 1\n  b: 2\na: 3\n", "config")[1:]] == ["preamble", "a", "a"]
+    assert [c[2] for c in chunk.chunks("; c\n\"a\": 1\n  b: 2\na = 3\n", "config")[1:]] == [None, "a", "a"]
 
 
 def test_python_units_and_broken_source():
@@ -134,6 +134,14 @@ def test_vector_codec(spark):
     assert dense.verified(bad).first().divergence == "checksum" and dense.verified(bad.withColumn("dimensions", F.lit(3))).first().divergence == "length"
 
 
+def test_embedder_and_remotes(spark):
+    v = dense.embed_text("Alpha beta_1")
+    assert abs(float((v * v).sum()) - 1) < 1e-6 and (v != 0).sum() <= 3 and (dense.embed_text("!?") != 0).sum() == 1 and (dense.embed_text(None) == 1).sum() == 1
+    remote = lambda u: one(spark, fx.remote_url(F.lit(u)))
+    assert remote("https://u:p@Git.Example.org:8443/Team/Repo.git/") == "git.example.org/Team/Repo" and remote("git@Host:Team/x.git") == "host/Team/x"
+    assert remote("host/path/") == "host/path" and remote(" ssh://h ") == "h" and remote("h/a:b") == "h/a:b"
+
+
 def test_rrf_by_hand(spark):
     leg = lambda ids: spark.createDataFrame([(0, i, n + 1) for n, i in enumerate(ids)], "query_id int, doc_id int, rank int")
     got = fusion.rrf(leg([1, 2]), leg([2, 3]), weights=(1.0, 1.0)).orderBy("rank").collect()
