@@ -134,28 +134,32 @@ def fold_candidates(candidates: DataFrame, key: Column, id: str = "candidate_id"
     )
 
 
+DURABLE = ("fact", "decision", "convention", "procedure", "task")
+PROMOTED = ("fact", "decision", "convention", "procedure")
+
+
 def evidence_gate(proposals: DataFrame, evidence: DataFrame, id: str = "proposal_id") -> DataFrame:
-    """(id, verdict): apply, or candidate for review. Lasting kinds need a user's statement; claims of a model alone carry none of
-    the promoted ones; a taken key is always reviewed."""
-    seen = evidence.groupBy(id).agg(F.max((F.col("evidence_kind") == "user_statement").cast("int")).alias("user"), F.min((F.col("evidence_kind") == "model_claim").cast("int")).alias("only_model"))
+    """(id, verdict) of creates: noop, candidate for review, reinforce or apply.
+
+    `proposals`: id, kind, scope_kind, confidence_signal, importance_signal, key_taken, same_text (an active entry of the scope has the
+    text). `evidence`: id, evidence_kind, in_window. Durable kinds need a user's statement from the window; promoted kinds must not
+    rest on a model's claims alone; a taken key is always reviewed.
+    """
+    said = (F.col("evidence_kind") == "user_statement") & F.col("in_window")
+    seen = evidence.groupBy(id).agg(F.max(said).alias("user"), F.min(F.col("evidence_kind") == "model_claim").alias("only_model"))
     rows = proposals.join(seen, id, "left")
-    lasting = F.col("kind").isin("decision", "convention", "procedure")
-    promoted = F.col("kind").isin("fact", "decision", "convention", "procedure")
-    verdict = (
-        F.when(~F.col("kind").isin(*KINDS) | F.col("target_state").isin(*TERMINAL), "noop")
-        .when(F.col("key_taken"), "candidate")
-        .when(lasting & (F.coalesce("user", F.lit(0)) == 0), "candidate")
-        .when(promoted & (F.coalesce("only_model", F.lit(1)) == 1), "candidate")
-        .otherwise("apply")
-    )
+    known = F.col("kind").isin(*KINDS) & F.col("scope_kind").isin("global", "repo", "worktree")
+    signals = F.lower("confidence_signal").isin("low", "medium", "high") & F.lower("importance_signal").isin("low", "medium", "high")
+    review = (F.col("kind").isin(*DURABLE) & ~F.coalesce("user", F.lit(False))) | (F.col("kind").isin(*PROMOTED) & F.coalesce("only_model", F.lit(False)))
+    verdict = F.when(~F.coalesce(known & signals, F.lit(False)), "noop").when(review | F.col("key_taken"), "candidate").when(F.col("same_text"), "reinforce").otherwise("apply")
     return rows.select(id, verdict.alias("verdict"))
 
 
 def collapse(plan: DataFrame, target: str = "target_id") -> DataFrame:
-    """One operation for each target: what decides its fate beats what adds evidence, the later of equals wins; all citations stay,
-    in order."""
-    claim = F.when(F.col("op").isin("resolve", "retract", "confirm", "reject", "supersede", "edit", "merge"), 2).when(F.col("op") == "reinforce", 1).otherwise(0)
-    rows = plan.withColumn("_claim", claim)
+    """One operation for each target: what decides its fate beats what adds evidence (reinforcements and candidates), the later of
+    equals wins; all citations stay, in order. Operations that do nothing have no target."""
+    claim = F.when(F.col("op").isin("reinforce", "candidate"), 1).otherwise(2)
+    rows = plan.filter("op <> 'noop'").withColumn("_claim", claim)
     return rows.groupBy(target).agg(
         F.max_by("op", F.struct("_claim", "index")).alias("op"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("index", "citations"))), lambda x: x["citations"]))).alias("citations"),
@@ -205,14 +209,42 @@ def retry(runs: DataFrame, now_ms: int, build: str) -> DataFrame:
     return runs.withColumn("action", action).withColumn("next_batch", F.when(F.col("action") == "shrink", F.greatest(F.floor(F.col("batch") / 2), F.lit(1)).cast("long")).otherwise(F.col("batch")))
 
 
-def stuck_runs(runs: DataFrame, envelopes: DataFrame, build: str, attempts: int = 3, session: str = "session_id") -> DataFrame:
-    """The latest run of each session, if it failed and neither waits for another build nor is young, with the rows in its window."""
-    w = W.partitionBy(session).orderBy(F.desc("created_at"), F.desc("run_id"))
-    latest = runs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    bad = latest.filter((F.col("state") == "failed") & ((F.col("attempt") >= attempts) | F.coalesce(F.col("failed_build") == build, F.lit(False))))
+def _observed(runs: DataFrame, envelopes: DataFrame, session: str) -> DataFrame:
+    """Runs and `observations`, the envelopes in their window; the join meets only rows of one session."""
     e = envelopes.select(F.col(session).alias("_s"), "received_seq")
-    inside = bad.join(e, (F.col(session) == F.col("_s")) & F.col("received_seq").between(F.col("from_seq"), F.col("to_seq")), "left")
-    return inside.groupBy(session, "run_id", "attempt").agg(F.count("received_seq").alias("observations"))
+    inside = runs.join(e, (F.col(session) == F.col("_s")) & F.col("received_seq").between(F.col("from_seq"), F.col("to_seq")), "left")
+    return inside.groupBy("run_id").agg(F.count("received_seq").alias("observations")).join(runs, "run_id")
+
+
+def stuck_runs(runs: DataFrame, cursors: DataFrame, envelopes: DataFrame, build: str, attempts: int = 3, session: str = "session_id") -> DataFrame:
+    """Failed runs past their session's cursor that were tried often or wait for another build, but for a session's latest failure
+    that still can shrink. `runs`: run_id, session, state, attempt, failure_kind, failed_build, overflow, created_at, from_seq, to_seq."""
+    dead = (F.coalesce("failure_kind", F.lit("")) == "mechanical") & (F.coalesce("failed_build", F.lit("")) == build)
+    failed = runs.filter("state = 'failed'").withColumn("dead_lettered", dead).withColumn("_latest", F.max("created_at").over(W.partitionBy(session)) == F.col("created_at"))
+    late = failed.join(cursors, session, "left").filter((F.col("to_seq") > F.coalesce("last_seq", F.lit(0))) & ((F.col("attempt") >= attempts) | F.col("dead_lettered")))
+    shrinks = F.col("overflow") & F.col("dead_lettered") & F.col("_latest") & (F.col("observations") > 1)
+    return _observed(late, envelopes, session).filter(~shrinks).select("run_id", session, "attempt", "dead_lettered", "observations")
+
+
+def blockers(runs: DataFrame, envelopes: DataFrame, build: str, session: str = "session_id") -> DataFrame:
+    """(session, run_id, blocker) by the latest run of each session that wasn't applied; sessions without one have no blocker."""
+    w = W.partitionBy(session).orderBy(F.desc("created_at"), F.desc("run_id"))
+    latest = runs.filter("state <> 'applied'").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    dead = (F.coalesce("failure_kind", F.lit("")) == "mechanical") & (F.coalesce("failed_build", F.lit("")) == build)
+    blocker = (
+        F.when(F.col("state") != "failed", "in_progress").when(~dead, "retryable").when(~F.col("overflow"), "parked")
+        .when(F.col("observations") <= 1, "floored").otherwise("shrinking")
+    )
+    return _observed(latest, envelopes, session).select(session, "run_id", blocker.alias("blocker"))
+
+
+def pending_normalization(entries: DataFrame, done: DataFrame, version: int, now_ms: int, attempts: int = 5) -> DataFrame:
+    """Live entries without a normalisation, with an older one, with a failed one that may be tried again, or with one whose text may
+    have changed. `done`: memory_id, status, attempt_count, next_attempt_at, normalizer_version."""
+    d = done.withColumn("_seen", F.lit(True))
+    rows = entries.filter(~F.col("state").isin(*TERMINAL)).join(d, "memory_id", "left")
+    again = (F.col("status") == "failed") & (F.col("attempt_count") < attempts) & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now_ms))
+    return rows.filter(F.col("_seen").isNull() | (F.col("normalizer_version") < version) | again | F.col("status").isin("translated", "english")).select(*entries.columns)
 
 
 # ---- privacy

@@ -11,13 +11,16 @@ HOUR = 3_600_000
 LIFETIMES = {"candidate": 30 * 24 * HOUR, "session": 14 * 24 * HOUR, "shard": 7 * 24 * HOUR, "payload": 72 * HOUR}
 
 
-def pinned(generations: DataFrame, now_ms: int, keep: int = 2, hours: int = 168, external: DataFrame | None = None) -> DataFrame:
-    """Ids that stay: unfinished, ready and active ones, the last `keep` retiring ones of a worktree, young ones, and pins from outside."""
+def pinned(generations: DataFrame, now_ms: int, keep: int = 2, hours: int = 168, external: DataFrame | None = None, leases: DataFrame | None = None) -> DataFrame:
+    """Ids that stay: unfinished, ready and active ones, the last `keep` retiring ones of a worktree, young ones, pins from outside, and
+    those with a lease (generation_id, lease_until) that still runs."""
     w = W.partitionBy("worktree_id", F.col("state") == "retiring").orderBy(F.desc("number"), F.asc("generation_id"))
     ranked = generations.withColumn("_n", F.row_number().over(w))
     stays = F.col("state").isin("building", "projection_ready", "active") | ((F.col("state") == "retiring") & ((F.col("_n") <= keep) | (now_ms - F.col("created_at") <= hours * HOUR)))
     out = ranked.filter(stays).select("generation_id")
-    return out if external is None else out.unionByName(external.select("generation_id")).distinct()
+    for more in (external, None if leases is None else leases.filter(F.col("lease_until") > now_ms)):
+        out = out if more is None else out.unionByName(more.select("generation_id"))
+    return out.distinct()
 
 
 def sweep_plan(generations: DataFrame, pins: DataFrame, members: dict[str, DataFrame]) -> DataFrame:
@@ -40,17 +43,18 @@ def evict(cache: DataFrame, budget: int, pins: DataFrame | None = None, key: str
     The walk is one running sum over the whole cache, so it is done in two steps: sums of time slots first, whose number is fixed,
     then the running sum within a slot. No task gets more than a slot's rows.
     """
+    over = max(0, (cache.agg(F.sum(size)).first()[0] or 0) - budget)
     free = cache if pins is None else cache.join(pins.select(key).distinct(), key, "left_anti")
-    over = cache.agg(F.greatest(F.sum(size) - budget, F.lit(0)).alias("over"))
+    first, last = free.agg(F.min(used), F.max(used)).first()
+    if not over or first is None:
+        return cache.limit(0)
     slots = 1024
-    ends = free.agg(F.min(used).alias("a"), F.max(used).alias("b"))
-    slot = F.when(F.col("b") > F.col("a"), F.floor((F.col(used) - F.col("a")) * (slots - 1) / (F.col("b") - F.col("a")))).otherwise(F.lit(0)).cast("int")
-    rows = free.join(F.broadcast(ends)).withColumn("_slot", slot).drop("a", "b")
+    rows = free.withColumn("_slot", F.floor((F.col(used) - first) * (slots - 1) / max(1, last - first)).cast("int"))
     sums = rows.groupBy("_slot").agg(F.sum(size).alias("_sum"))  # at most `slots` rows
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     w = W.partitionBy("_slot").orderBy(used, key).rowsBetween(W.unboundedPreceding, -1)
     walk = rows.join(F.broadcast(before), "_slot").withColumn("_freed", F.col("_before") + F.coalesce(F.sum(size).over(w), F.lit(0)))
-    return walk.join(F.broadcast(over)).filter(F.col("_freed") < F.col("over")).select(*cache.columns)
+    return walk.filter(F.col("_freed") < over).select(*cache.columns)
 
 
 def expired(rows: DataFrame, at: str, what: str, now_ms: int) -> DataFrame:

@@ -73,17 +73,3 @@ def divergence(heads: DataFrame) -> DataFrame:
         .when(F.col("head_manifest") != F.col("manifest"), "manifest_hash")
     )
     return heads.withColumn("divergence", ladder)
-
-
-def blockers(sessions: DataFrame) -> DataFrame:
-    """Why a session's backlog does not shrink."""
-    b = (
-        F.when(F.col("pending") == 0, "none")
-        .when(F.col("run_state") == "running", "in_progress")
-        .when((F.col("run_state") == "failed") & F.col("failed_build").isNotNull(), "parked")
-        .when((F.col("run_state") == "failed") & (F.col("error") == "overflow") & (F.col("batch") > 1), "shrinking")
-        .when((F.col("run_state") == "failed") & (F.col("error") == "overflow"), "floored")
-        .when(F.col("run_state") == "failed", "retryable")
-        .otherwise("none")
-    )
-    return sessions.withColumn("blocker", b)

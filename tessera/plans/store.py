@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity
 from tessera.operators import memory, retention
-from tessera.operators.stats import blockers
 from tessera.plans.views import NOW, entries, files, observations, with_
 from tessera.session import table
 from tessera.streaming import observations as stream
@@ -107,18 +106,18 @@ def m3(spark, d):
     return memory.audit(m, "conv_id", "created_at").select("memory_id", F.col("version").cast("bigint").alias("version"))
 
 
-@query("m4_evidence_gates", with_("mem", rest="ev AS (SELECT conv_id AS p, bool_or(role = 'user' AND turn > 2) AS u, bool_and(role = 'assistant' OR turn <= 2) AS om FROM mem GROUP BY conv_id), pr AS (SELECT * FROM mem WHERE turn = conv_id % 3)") + "SELECT conv_id AS proposal_id, CASE WHEN state IN ('resolved', 'superseded') THEN 'noop' WHEN conv_id % 10 = 0 THEN 'candidate' WHEN kind IN ('decision', 'convention', 'procedure') AND NOT u THEN 'candidate' WHEN kind IN ('fact', 'decision', 'convention', 'procedure') AND om THEN 'candidate' ELSE 'apply' END AS verdict FROM pr JOIN ev ON p = conv_id")
+@query("m4_evidence_gates", with_("mem", rest="ev AS (SELECT conv_id AS p, bool_or(role = 'user' AND turn > 2 AND turn % 2 = 0) AS u, bool_and(role = 'assistant' OR turn <= 2) AS om FROM mem GROUP BY conv_id), pr AS (SELECT * FROM mem WHERE turn = conv_id % 3)") + "SELECT conv_id AS proposal_id, CASE WHEN conv_id % 13 = 0 THEN 'noop' WHEN kind IN ('fact', 'decision', 'convention', 'procedure', 'task') AND NOT u THEN 'candidate' WHEN kind IN ('fact', 'decision', 'convention', 'procedure') AND om THEN 'candidate' WHEN conv_id % 10 = 0 THEN 'candidate' WHEN conv_id % 4 = 1 THEN 'reinforce' ELSE 'apply' END AS verdict FROM pr JOIN ev ON p = conv_id")
 def m4(spark, d):
-    m = entries(spark, d)
-    proposals = m.filter("turn = conv_id % 3").select(F.col("conv_id").alias("proposal_id"), "kind", F.col("state").alias("target_state"), (F.col("conv_id") % 10 == 0).alias("key_taken"))
+    m, c = entries(spark, d), F.col("conv_id")
+    proposals = m.filter("turn = conv_id % 3").select(c.alias("proposal_id"), "kind", "scope_kind", F.when(c % 13 != 0, "High").alias("confidence_signal"), F.lit("low").alias("importance_signal"), (c % 10 == 0).alias("key_taken"), (c % 4 == 1).alias("same_text"))
     kind = F.when((F.col("role") == "assistant") | (F.col("turn") <= 2), "model_claim").when(F.col("role") == "user", "user_statement").otherwise("code_state")
-    return memory.evidence_gate(proposals, m.select(F.col("conv_id").alias("proposal_id"), kind.alias("evidence_kind")))
+    return memory.evidence_gate(proposals, m.select(c.alias("proposal_id"), kind.alias("evidence_kind"), (F.col("turn") % 2 == 0).alias("in_window")))
 
 
-@query("m5_plan_collapse", with_("mem", rest="o AS (SELECT conv_id AS target_id, turn, (['reinforce','resolve','noop','edit'])[CAST((conv_id + turn) % 4 AS INTEGER) + 1] AS op FROM mem), c AS (SELECT *, CASE op WHEN 'resolve' THEN 2 WHEN 'edit' THEN 2 WHEN 'reinforce' THEN 1 ELSE 0 END AS cl FROM o)") + "SELECT target_id, op FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY cl DESC, turn DESC) AS n FROM c) WHERE n = 1")
+@query("m5_plan_collapse", with_("mem", rest="o AS (SELECT conv_id AS target_id, turn, (['reinforce','resolve','noop','supersede'])[CAST((conv_id + turn) % 4 AS INTEGER) + 1] AS op FROM mem), c AS (SELECT *, CASE op WHEN 'reinforce' THEN 1 ELSE 2 END AS cl FROM o WHERE op <> 'noop')") + "SELECT target_id, op FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY cl DESC, turn DESC) AS n FROM c) WHERE n = 1")
 def m5(spark, d):
     m = entries(spark, d)
-    op = F.element_at(F.array(*[F.lit(x) for x in ("reinforce", "resolve", "noop", "edit")]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    op = F.element_at(F.array(*[F.lit(x) for x in ("reinforce", "resolve", "noop", "supersede")]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
     plan = m.select(F.col("conv_id").alias("target_id"), F.col("turn").alias("index"), op.alias("op"), F.array("memory_id").alias("citations"))
     return memory.collapse(plan).select("target_id", "op")
 
@@ -229,23 +228,37 @@ def t7(spark, d):
     return memory.retry(r, 50, "b1").select("run_id", "action", "next_batch")
 
 
-@query("t8_stuck_runs", "WITH " + _RUN + ", l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY slot DESC, run_id DESC) AS n FROM runs) SELECT session_id, run_id, attempt, count(event_id) AS observations FROM l LEFT JOIN events ON user_id = session_id AND event_id BETWEEN run_id AND run_id + 2000 WHERE n = 1 AND state = 'failed' AND (attempt >= 3 OR failed_build = 'b1') GROUP BY ALL")
+_FULL = _RUN + """, full_runs AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 'mechanical' ELSE 'transient' END AS kind, run_id % 3 = 0 AS overflow, run_id + 2000 AS to_seq FROM runs),
+obs_n AS (SELECT run_id, count(event_id) AS observations FROM full_runs LEFT JOIN events ON user_id = session_id AND event_id BETWEEN run_id AND to_seq GROUP BY run_id)"""
+
+
+def _full_runs(spark, d):
+    r = F.col("run_id")
+    return _runs(spark, d).select(
+        "run_id", "session_id", "state", "attempt", "failed_build", F.when(r % 2 == 0, "mechanical").otherwise("transient").alias("failure_kind"), (r % 3 == 0).alias("overflow"),
+        F.col("at").alias("created_at"), r.alias("from_seq"), (r + 2000).alias("to_seq"),
+    )
+
+
+@query("t8_stuck_runs", "WITH " + _FULL + """, f AS (SELECT *, kind = 'mechanical' AND coalesce(failed_build, '') = 'b1' AS dead, slot = max(slot) OVER (PARTITION BY session_id) AS latest FROM full_runs WHERE state = 'failed')
+SELECT run_id, session_id, attempt, dead AS dead_lettered, observations FROM f JOIN obs_n USING (run_id) WHERE to_seq > CASE WHEN session_id % 2 = 0 THEN 9000 ELSE 0 END AND (attempt >= 3 OR dead) AND NOT (overflow AND dead AND latest AND observations > 1)""")
 def t8(spark, d):
-    r = _runs(spark, d).withColumn("created_at", F.col("at")).withColumn("from_seq", F.col("run_id")).withColumn("to_seq", F.col("run_id") + 2000)
-    return memory.stuck_runs(r, observations(spark, d), "b1")
+    cursors = _runs(spark, d).filter("session_id % 2 = 0").select("session_id").distinct().withColumn("last_seq", F.lit(9000))
+    return memory.stuck_runs(_full_runs(spark, d), cursors, observations(spark, d), "b1")
 
 
-@query("t9_backlog_blockers", "WITH " + _RUN + " SELECT run_id, CASE WHEN attempt = 0 THEN 'none' WHEN state = 'running' THEN 'in_progress' WHEN state = 'failed' AND failed_build IS NOT NULL THEN 'parked' WHEN state = 'failed' AND error = 'overflow' AND batch > 1 THEN 'shrinking' WHEN state = 'failed' AND error = 'overflow' THEN 'floored' WHEN state = 'failed' THEN 'retryable' ELSE 'none' END AS blocker FROM runs")
+@query("t9_backlog_blockers", "WITH " + _FULL + """, l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY slot DESC, run_id DESC) AS n FROM full_runs WHERE state <> 'applied')
+SELECT session_id, run_id, CASE WHEN state <> 'failed' THEN 'in_progress' WHEN NOT (kind = 'mechanical' AND coalesce(failed_build, '') = 'b1') THEN 'retryable' WHEN NOT overflow THEN 'parked' WHEN observations <= 1 THEN 'floored' ELSE 'shrinking' END AS blocker FROM l JOIN obs_n USING (run_id) WHERE n = 1""")
 def t9(spark, d):
-    r = _runs(spark, d).withColumn("pending", F.col("attempt")).withColumn("run_state", F.col("state"))
-    return blockers(r).select("run_id", "blocker")
+    return memory.blockers(_full_runs(spark, d), observations(spark, d), "b1")
 
 
-@query("t10_normalization_queue", with_("mem") + "SELECT memory_id FROM mem WHERE turn % 4 = 0 OR (turn % 4 = 1 AND turn % 6 < 5 AND created_at % 10 <= 4)")
+@query("t10_normalization_queue", with_("mem", rest="n AS (SELECT memory_id, (['failed','translated','given_up','english','failed'])[CAST(turn % 5 AS INTEGER) + 1] AS status, conv_id % 7 AS attempts, CASE WHEN conv_id % 3 > 0 THEN conv_id % 10 END AS next_at, 1 + turn % 2 AS version FROM mem WHERE turn % 4 <> 0)") + f"SELECT memory_id FROM mem LEFT JOIN n USING (memory_id) WHERE {_LIVE} AND (status IS NULL OR version < 2 OR (status = 'failed' AND attempts < 5 AND (next_at IS NULL OR next_at <= 4)) OR status IN ('translated', 'english'))")
 def t10(spark, d):
-    m = entries(spark, d)
-    norm = m.filter("turn % 4 <> 0").select("memory_id", (F.col("turn") % 6).alias("attempts"), (F.col("created_at") % 10).alias("next_at"), (F.col("turn") % 4 == 1).alias("open"), F.lit(True).alias("seen"))
-    return m.select("memory_id").join(norm, "memory_id", "left").filter("seen is null or (open and attempts < 5 and next_at <= 4)").select("memory_id")
+    m, c, t = entries(spark, d), F.col("conv_id"), F.col("turn")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("failed", "translated", "given_up", "english", "failed")]), (t % 5 + 1).cast("int"))
+    done = m.filter("turn % 4 <> 0").select("memory_id", status.alias("status"), (c % 7).alias("attempt_count"), F.when(c % 3 > 0, c % 10).alias("next_attempt_at"), (1 + t % 2).alias("normalizer_version"))
+    return memory.pending_normalization(m, done, 2, 4).select("memory_id")
 
 
 # ---- retention
@@ -262,10 +275,11 @@ def _generations(spark, d):
 _GEN = "g AS (SELECT o_orderkey AS generation_id, o_custkey AS worktree_id, (['retiring','active','failed','retiring','building'])[CAST(o_orderkey % 5 AS INTEGER) + 1] AS state, o_orderkey % 400 AS hours FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY worktree_id, state = 'retiring' ORDER BY generation_id DESC) AS n FROM g), pin AS (SELECT generation_id FROM r WHERE state IN ('building', 'active') OR (state = 'retiring' AND (n <= 2 OR hours <= 168)))"
 
 
-@query("g4_u4_pins", "WITH " + _GEN + " SELECT generation_id FROM pin UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 = 0")
+@query("g4_u4_pins", "WITH " + _GEN + " SELECT generation_id FROM pin UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 = 0 OR o_orderkey % 997 = 0")
 def g4(spark, d):
     g = _generations(spark, d)
-    return retention.pinned(g, NOW, external=g.filter("generation_id % 1000 = 0"))
+    leases = g.select("generation_id", F.when(F.col("generation_id") % 997 == 0, NOW + 1).otherwise(NOW).alias("lease_until"))
+    return retention.pinned(g, NOW, external=g.filter("generation_id % 1000 = 0"), leases=leases)
 
 
 @query("g5_sweep_plan", "WITH " + _GEN + ", gone AS (SELECT generation_id FROM g WHERE generation_id NOT IN (SELECT generation_id FROM pin)) SELECT 'generation' AS phase, count(*) AS rows FROM gone UNION ALL SELECT 'occurrence', count(*) FROM lineitem WHERE l_orderkey IN (SELECT generation_id FROM gone)")
