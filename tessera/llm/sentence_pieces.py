@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,12 +27,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm.common import bounded_batches
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 WORD = r"▁*[^▁\n]+|\n|▁+"
-FREQUENT, REMEMBERED, SEEN = 60_000, 300_000, 4
+FREQUENT, REMEMBERED, SEEN, SLICE = 200_000, 150_000, 3, 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -269,52 +273,95 @@ def encode_words(words: DataFrame, model: Model, word: str = "word") -> DataFram
 
 
 def frequent_words(docs: DataFrame, model: Model, text: str = "text", most: int = FREQUENT, seen: int = SEEN) -> DataFrame:
-    """The words seen most often, of those that some batch of rows holds `seen` times."""
+    """The words seen most often, of those that some stretch of rows holds `seen` times."""
 
     def counting(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
-        find = re.compile(WORD).findall
+        find, counts = re.compile(WORD).findall, Counter()
+
+        def sent() -> pd.DataFrame:
+            kept = [(w, n) for w, n in counts.items() if n >= seen and len(w) <= 64]
+            counts.clear()
+            return pd.DataFrame(kept, columns=["word", "n"])
+
         for frame in frames:
-            counts: Counter = Counter()
             for t in frame["text"]:
                 counts.update(find(model.escaped(t)))
-            kept = [(w, n) for w, n in counts.items() if n >= seen and len(w) <= 64]
-            yield pd.DataFrame(kept, columns=["word", "n"])
+                if len(counts) > REMEMBERED:
+                    yield sent()
+        yield sent()
 
     counts = docs.select(F.col(text).alias("text")).mapInPandas(counting, "word string, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
-def encode(docs: DataFrame, model: Model, text: str = "text", to: str = "ids", most: int = FREQUENT) -> DataFrame:
-    """`docs` and the ids of each row's text."""
-    known = encode_words(frequent_words(docs, model, text, most), model).collect()  # at most `most` short words
+def encode(docs: DataFrame, model: Model, text: str = "text", to: str = "ids", most: int = FREQUENT, back: str | None = None) -> DataFrame:
+    """`docs` and the ids of each row's text; with `back`, also what they decode to, under that name.
+
+    Rows pass through in slices of `SLICE`, so that a task holds the ids of few texts at a time. Columns that `docs` has under the new
+    names are replaced.
+    """
+    bounded_batches(docs.sparkSession)
+    docs = docs.drop(*[c for c in (to, back) if c])
+    words = encode_words(frequent_words(docs, model, text, most), model)
+    known = words.select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids")).toPandas()  # at most `most` short words
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], dtype=np.int32).tobytes() for r in known})
+    shared = spark.sparkContext.broadcast({w: array("i", map(int, ids.split())).tobytes() for w, ids in zip(known["word"], known["ids"])})
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches):
         import re
 
-        find, rule, frequent = re.compile(WORD).findall, Rule(model), shared.value
+        import pyarrow as pa
+
+        find, rule, frequent, decoder = re.compile(WORD).findall, Rule(model), shared.value, Decoder(model)
         rare: dict[str, bytes] = {}
-        for texts in batches:
-            out = []
-            for t in texts:
-                parts = []
-                for w in find(model.escaped(t)):
-                    ids = frequent.get(w) or rare.get(w)
-                    if ids is None:
-                        if len(rare) >= REMEMBERED:
-                            rare.clear()
-                        ids = np.array(rule.ids(w), dtype=np.int32).tobytes()
-                        if len(w) <= 64:
-                            rare[w] = ids
-                    parts.append(ids)
-                out.append(np.frombuffer(b"".join(parts), dtype=np.int32))
-            yield pd.Series(out)
-
-    return docs.withColumn(to, encoded(F.col(text)))
+        before: dict[str, bytes] = {}  # what was remembered before `rare` was last full
+
+        def seldom(w: str) -> bytes:
+            nonlocal rare, before
+            ids = before.get(w)
+            if ids is None:
+                ids = array("i", rule.ids(w)).tobytes()
+            if len(w) <= 64:
+                if len(rare) >= REMEMBERED:
+                    rare, before = {}, rare
+                rare[w] = ids
+            return ids
+
+        def ids_of(t: str | None) -> np.ndarray:
+            parts = [frequent.get(w) or rare.get(w) or seldom(w) for w in find(model.escaped(t))]
+            return np.frombuffer(b"".join(parts), dtype=np.int32)
+
+        for batch in batches:
+            column = batch.schema.get_field_index(text)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [ids_of(t) for t in part.column(column).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                arrays = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))]
+                names = [*part.schema.names, to]
+                if back:
+                    arrays.append(pa.array([decoder.text(x) for x in found], pa.string()))
+                    names.append(back)
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    more = [T.StructField(to, T.ArrayType(T.IntegerType()))] + ([T.StructField(back, T.StringType())] if back else [])
+    return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, *more]))
+
+
+class Decoder:
+    def __init__(self, model: Model):
+        self.plain, self.cut = np.array([*model.plain(), b""], dtype=object), model.dummy_prefix
+
+    def text(self, ids) -> str | None:
+        if ids is None:
+            return None
+        n = len(self.plain) - 1
+        if getattr(ids, "dtype", None) != np.int32:
+            ids = np.array([n if i is None or i != i else int(i) for i in ids], dtype=np.int64)
+        raw = b"".join(self.plain[np.where((ids >= 0) & (ids < n), ids, n)].tolist())
+        return (raw[1:] if self.cut and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 def decode(rows: DataFrame, model: Model, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -322,17 +369,9 @@ def decode(rows: DataFrame, model: Model, ids: str = "ids", to: str = "decoded")
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        plain, cut = model.plain(), int(model.dummy_prefix)
-        n = len(plain)
+        decoder = Decoder(model)
         for given in batches:
-            out = []
-            for x in given:
-                if x is None:
-                    out.append(None)
-                    continue
-                raw = b"".join([plain[i] for i in x if i is not None and 0 <= i < n])
-                out.append((raw[1:] if cut and raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([decoder.text(x) for x in given], dtype=object)
 
     return rows.withColumn(to, decoded(F.col(ids)))
 
@@ -347,5 +386,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = Model.read(public_tokenizers.path("piece_bpe_32k.model"))
-    rows = decode(encode(docs, model), model)
+    rows = encode(docs, model, back="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
