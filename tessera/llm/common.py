@@ -60,6 +60,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """Bytes of text in all rows, for sizing partitions."""
-    return docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Keeps the Arrow batches of this session small, so that a task holds few texts at a time, however long they are.
+
+    Sets session options that are there for it; smaller values that a session has already stay.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if key.endswith("RecordsPerBatch") and now is not None and 0 < int(now) <= rows:
+            continue
+        spark.conf.set(key, str(value))

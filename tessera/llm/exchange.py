@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import bounded_batches, written
 
 BATCH_BYTES, BATCH_DOCS = 4 << 20, 8000
 NO_ID = np.iinfo(np.int64).max
@@ -149,6 +149,7 @@ def pack(docs: DataFrame, id: str, text: str, batch_bytes: int = BATCH_BYTES, ba
         if ids:
             yield row()
 
+    bounded_batches(docs.sparkSession)
     # Null longs would reach pandas as floats and lose digits, so the id travels as text where there are nulls to carry.
     rows = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"))
     return written(rows.mapInPandas(packing, "batch long, ids binary, null binary, lengths binary, text binary"), "packed")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import bounded_batches, written
 from tessera.llm.graph import components
 
 SHINGLE, BITS, BLOCKS, SEED = 4, 4, 8, 42
@@ -162,6 +162,7 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: in
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """Per row: id, fp and component, the smallest id that links reach from it."""
+    bounded_batches(docs.sparkSession)
     prints = written(fingerprints(docs, id, text, shingle), "prints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(nodes.select("fp"), bits, blocks))

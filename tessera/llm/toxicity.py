@@ -29,8 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 FIT_ROWS = 40_000
-SLICE = 50_000
+SLICE, HELD = 50_000, 400_000
 MAX_TERMS = 2_000
 THRESHOLD = 0.7
 #: Letters of other alphabets that look like Latin ones.
@@ -151,16 +153,25 @@ def curve(features: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _candidate_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Document counts of a partition's candidates, split by label, and the rows of each kind under an empty term."""
+    """Document counts of candidates, split by label, and the rows of each kind under an empty term; sent on whenever `HELD` terms
+    have come together, to be summed later."""
     counts = {0: Counter(), 1: Counter()}
+
+    def sent() -> Iterator[pd.DataFrame]:
+        terms = sorted(counts[1].keys() | counts[0].keys())
+        for at in range(0, len(terms), SLICE):
+            part = terms[at : at + SLICE]
+            yield pd.DataFrame({"term": part, "toxic": [counts[1][t] for t in part], "clean": [counts[0][t] for t in part]})
+        counts[0].clear()
+        counts[1].clear()
+
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"]):
             counts[label][""] += 1
             counts[label].update(candidates(fold(text)))
-    terms = sorted(counts[1].keys() | counts[0].keys())
-    for at in range(0, len(terms), SLICE):
-        part = terms[at : at + SLICE]
-        yield pd.DataFrame({"term": part, "toxic": [counts[1][t] for t in part], "clean": [counts[0][t] for t in part]})
+            if len(counts[0]) + len(counts[1]) > HELD:
+                yield from sent()
+    yield from sent()
 
 
 def _pairs(words: list[str], terms: set[str]) -> set[str]:
@@ -170,6 +181,7 @@ def _pairs(words: list[str], terms: set[str]) -> set[str]:
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Model:
     """Fits lexicon, exception phrases and curve. `labels` holds the rows that may be learned from."""
+    bounded_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
