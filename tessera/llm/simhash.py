@@ -8,6 +8,11 @@ Manhattan bound goes first, then the exact count of differing bits. Only a spann
 breadth-first search compares each fingerprint with those not yet reached. Equal fingerprints are one node, however many texts
 share them.
 
+`similar` asks for a share of common shingles instead. Texts that share 0.8 of their shingles differ in about ten bits of 64, so one
+bound on one fingerprint is either too narrow or links what isn't alike. It takes two independent fingerprints, files each in its own
+grid, and compares all 128 bits of what meets; each bucket sends the shortest edges that connect its candidates, several
+forests deep and never all pairs, and an edge counts only if the sets of shingles themselves, 64 bits each, are as similar as asked.
+
 Nulls and texts without words have fingerprint zero and are linked like any other. A null id never names a component unless all
 its ids are null. Rows that repeat stay. Empty tables give empty results. Only the id and the text are read.
 """
@@ -30,27 +35,48 @@ SHINGLE, BITS, BLOCKS, SEED = 4, 4, 8, 42
 SMALL = 128
 #: Entries that a task gathers before it sends them.
 HELD = 2_000_000
+#: Edge-disjoint forests that a bucket sends: a longer way round where an edge turns out to be too little alike.
+FORESTS = 3
 ODD = np.uint64(0x5555555555555555)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64 bits as an unsigned number."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """A hash for each run of `shingle` words; texts with fewer words have one, texts without words none."""
     import xxhash
 
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, size = memoryview(b" ".join(found)), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(found))
-    hashes = np.fromiter((size(joined[a:b], SEED) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())), dtype="<u8")
+    return np.fromiter((size(joined[a:b], SEED) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())), dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that most of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64 bits as an unsigned number."""
+    return majority(shingles(text, shingle))
+
+
+def sketch(text: str | None, shingle: int) -> tuple[int, int, int]:
+    """A hash of the set of shingles, and two independent fingerprints of it."""
+    import xxhash
+
+    h = np.unique(shingles(text, shingle))
+    other = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    other = (other ^ (other >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED), majority(h), majority(other ^ (other >> np.uint64(31)))
+
+
 def segment_counts(prints: np.ndarray) -> np.ndarray:
     """The bit counts of the 32 two-bit segments, two bits each, in one word."""
     return (prints & ODD) + ((prints >> np.uint64(1)) & ODD)
@@ -171,6 +197,131 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return prints.join(named.join(smallest, "root").select("fp", "component"), "fp").select(F.col("id").alias(id), "fp", "component")
 
 
+def _spanning(fp: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(distance, i, j): the shortest edges of at most `bits` bits that connect the fingerprints (rows of two words), one row at a time."""
+    n = len(fp)
+    best, by, left, at, out = np.full(n, 255, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.arange(1, n), 0, []
+    while len(left):
+        d = np.bitwise_count(fp[left, 0] ^ fp[at, 0]) + np.bitwise_count(fp[left, 1] ^ fp[at, 1])
+        closer = d < best[left]
+        best[left[closer]], by[left[closer]] = d[closer], at
+        k = int(best[left].argmin())
+        at = int(left[k])
+        if best[at] <= bits:
+            out.append((int(best[at]), int(by[at]), at))
+        left = np.delete(left, k)
+    return out
+
+
+def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int = FORESTS, buckets: int | None = None) -> DataFrame:
+    """(a1, a2, b1, b2): short edges between distinct pairs of fingerprints (columns f1, f2) that differ in at most `bits` of 128 bits.
+
+    What shares the bit counts of `fixed` of the `blocks` groups of either fingerprint meets in a cell.
+    """
+    buckets = buckets or max(16, 2 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = 64 // blocks // 2 * 2
+    masks = np.array([sum(((1 << width) - 1) << (width * g) for g in groups) for groups in combinations(range(blocks), fixed)], dtype=np.uint64)
+    cells_a_row = 2 * len(masks)
+
+    def keys(fp: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        side = grid >= len(masks)
+        key = (segment_counts(np.where(side, fp[:, 1], fp[:, 0])) & masks[grid % len(masks)]) * np.uint64(0x9E3779B97F4A7C15)
+        return (key ^ (key >> np.uint64(29)) ^ (grid.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def filed(held: list[np.ndarray]) -> pd.DataFrame:
+        """One row a bucket: the fingerprints in it, each with the number of the grid that put it there."""
+        fp = np.concatenate(held)
+        bucket = np.concatenate([((keys(fp, np.full(len(fp), g)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32) for g in range(cells_a_row)])
+        order = np.argsort(bucket, kind="stable")
+        parts = [p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
+        return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts], "grid": [(p // len(fp)).astype(np.uint16).tobytes() for p in parts], "data": [fp[p % len(fp)].tobytes() for p in parts]})
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch[["f1", "f2"]].to_numpy(np.int64).view(np.uint64))
+            n += len(batch)
+            if n * cells_a_row >= HELD:
+                yield filed(held)
+                held, n = [], 0
+        if n:
+            yield filed(held)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.concatenate([np.frombuffer(g, dtype=np.uint16) for g in pdf["grid"]]).astype(np.int64)
+        fp = np.concatenate([np.frombuffer(d, dtype=np.uint64).reshape(-1, 2) for d in pdf["data"]])
+        key = keys(fp, grid)
+        order = np.lexsort((fp[:, 1], fp[:, 0], key))
+        key, fp = key[order], np.ascontiguousarray(fp[order])
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+        sizes = np.diff(starts)
+        found = [np.array([(d, a + i, a + j) for d, i, j in _spanning(fp[a:b], bits)], dtype=np.int64).reshape(-1, 3) for a, b in zip(starts[:-1][sizes > SMALL], starts[1:][sizes > SMALL])]
+        # Small cells are compared all at once, each fingerprint with the one `by` places on.
+        end, at, (one, two) = np.repeat(np.where(sizes > SMALL, 0, starts[1:]), sizes), np.arange(len(fp)), np.ascontiguousarray(fp.T)
+        for by in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+            at = at[at + by < end[at]]
+            d = np.bitwise_count(one[at] ^ one[at + by]) + np.bitwise_count(two[at] ^ two[at + by])
+            near = d <= bits
+            found.append(np.stack([d[near].astype(np.int64), at[near], at[near] + by], axis=1))
+        pairs = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found])
+        nodes, where = np.unique(fp[pairs[:, 1:].ravel()], axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack([pairs[:, 0], np.sort(where.reshape(-1, 2), axis=1)]), axis=0)
+        out, rest = [], pairs[pairs[:, 1] != pairs[:, 2]].tolist()  # shortest first
+        for _ in range(forests):
+            root, later = list(range(len(nodes))), []
+            for edge in rest:
+                x, y = edge[1:]
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                while root[y] != y:
+                    root[y] = y = root[root[y]]
+                if x == y:
+                    later.append(edge)
+                else:
+                    root[max(x, y)] = min(x, y)
+                    out.append(edge)
+            rest = later
+        ends = np.array(out, dtype=np.int64).reshape(-1, 3)
+        return pd.DataFrame(np.concatenate([nodes[ends[:, 1]], nodes[ends[:, 2]]], axis=1).view(np.int64), columns=["a1", "a2", "b1", "b2"])
+
+    filled = prints.select("f1", "f2").distinct().mapInPandas(cells, "bucket int, grid binary, data binary")
+    return filled.groupBy("bucket").applyInPandas(search, "a1 long, a2 long, b1 long, b2 long").distinct()
+
+
+def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 30, fixed: int = 3, blocks: int = 10) -> DataFrame:
+    """Per row: id and component, the smallest id that links between texts sharing at least `least` of their shingles reach from it."""
+    bounded_batches(docs.sparkSession)
+    kind = "struct<set:bigint,f1:bigint,f2:bigint>"
+
+    @F.pandas_udf(kind)
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        found = np.array([sketch(t, shingle) for t in texts], dtype=np.uint64).reshape(-1, 3)
+        return pd.DataFrame(found.view(np.int64), columns=["set", "f1", "f2"])
+
+    @F.pandas_udf("array<bigint>")
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, shingle)).view(np.int64) for t in texts])
+
+    whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = written(docs.select(F.col(id).alias("id"), whole.alias("whole"), sketched(F.col(text)).alias("s")).select("id", "whole", "s.*"), "sketches")
+    nodes = rows.groupBy("set").agg(F.min("id").alias("least"), F.min("whole").alias("whole"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
+    first = nodes.groupBy("f1", "f2").agg(F.min("set").alias("first"))
+    ends = [first.select(F.col("f1").alias(f"{e}1"), F.col("f2").alias(f"{e}2"), F.col("first").alias(e)) for e in "ab"]
+    edges = close(rows, bits, fixed, blocks).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
+    # Different sets with the same fingerprints are held against the first of them.
+    edges = written(edges.unionByName(nodes.join(first, ["f1", "f2"]).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))), "candidates")
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(nodes.select("set", "whole"), "set")
+    sets = docs.select(whole.alias("whole"), F.col(text).alias("text")).join(wanted, "whole").groupBy("set").agg(F.first("text").alias("text"))
+    sets = written(sets.select("set", shingled("text").alias("shingles")), "sets")
+    both = edges.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    linked = both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    roots = components(linked)
+    named = nodes.join(roots.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.join(named.join(smallest, "root").select("set", "component"), "set").select(F.col("id").alias(id), "component")
+
+
 def op2(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)

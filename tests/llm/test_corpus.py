@@ -500,3 +500,42 @@ def test_pipeline(spark):
             assert out.filter("not round_trip").count() == 0 and out.count() == docs.count()
         docs = out
     assert p.run(spark, D).count() == docs.count() <= before
+
+
+# ---- near copies by the share of common shingles
+
+
+def altered(r, words, share):
+    """A copy that shares about `share` of the five-word shingles: words changed one at a time, well apart."""
+    out, at, n = list(words), list(range(2, len(words) - 2, 5)), len(words) - 4
+    r.shuffle(at)
+    changed = set()
+    for p in at:
+        more = changed | set(range(max(0, p - 4), min(n, p + 1)))
+        if (n - len(more)) / (n + len(more)) < share:
+            break
+        out[p], changed = f"z{r.random()}", more
+    return out
+
+
+def shingle_share(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_links_by_shared_shingles(spark):
+    r = random.Random(7)
+    pairs, rows = [], []
+    for n in range(240):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randint(150, 600))]
+        other = altered(r, words, (0.6, 0.7, 0.8, 0.85, 0.9, 0.95)[n % 6])
+        pairs.append(shingle_share(words, other))
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    found = {x.doc_id: x.component for x in simhash.similar(table(spark, rows, extra=True)).collect()}
+    linked = [found[2 * n + 1] == 2 * n for n in range(240)]
+    assert not any(k for k, s in zip(linked, pairs) if s < 0.8)
+    due = [k for k, s in zip(linked, pairs) if s >= 0.8]
+    assert len(due) > 140 and sum(due) >= 0.95 * len(due)
+    assert simhash.similar(table(spark, [])).count() == 0
+    same_sets = [(1, "a b c"), (1, "A  b c"), (None, None), (5, ""), (3, "x"), (None, "a b c")]
+    assert sorted((str(x.doc_id), x.component) for x in simhash.similar(table(spark, same_sets)).collect()) == [("1", 1), ("1", 1), ("3", 3), ("5", 5), ("None", 1), ("None", 5)]
