@@ -1,12 +1,14 @@
-"""Quality rules in DataFrame functions alone: base counts, and a log-likelihood ratio of hashed n-grams.
+"""Quality rules in DataFrame functions alone: base counts, and a log-likelihood ratio of n-grams.
 
-Words and pairs of neighbouring words are hashed into `buckets`. Two multinomials over the buckets are counted: one over every
-row of the corpus, one over its trusted rows (at most `trusted_rows` ids, chosen by hash: the documented bound of what is
-broadcast). A document's ratio is the sum of log p(trusted) - log p(corpus) over its n-grams, divided by their number, and it is
-kept if the ratio is at least `threshold` and the base rules hold. No document is drawn at random: equal texts get equal verdicts.
+Words and pairs of neighbouring words are counted as they are (by 64-bit hashes) in two multinomials: one over every row of the
+corpus, one over all of its trusted rows. A document's ratio is the sum of log p(trusted) - log p(corpus) over its n-grams, divided
+by their number, and it is kept if the ratio is at least `threshold` and the base rules hold. No document is drawn at random: equal
+texts get equal verdicts.
 
-The two multinomials are counted in one scan; only bucket sums are shuffled, and the ratios (one double a bucket) travel
-as an array constant, so scoring needs no join and no shuffle.
+`gram_ratios` shuffles counts and leaves a table with a row for each n-gram that says anything (those seen once, in a row that isn't
+trusted, have ratio 0). To score, the n-grams that make up a `FREQUENT`-th of all occurrences or more, at most that many, are
+broadcast and summed where the text is read; the others are joined by n-gram and averaged by row. `ratios` is the form in a
+fixed number of buckets, for small corpora: one array, no join; as the buckets fill up its ratios go to 0.
 
 Nulls and empty texts have no words: all counts are 0 and the base rules fail. Rows that repeat are judged one by one. Null ids
 are never trusted. Empty tables give empty results. Only the named columns are read.
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ngram_hashes, words
+from tessera.llm.common import ngram_hashes, words, written
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 50_000
@@ -26,6 +28,10 @@ THRESHOLD = -0.1
 SMOOTHING = 2.0
 MIN_WORDS = 50
 MAX_REPEATED = 50
+#: N-grams of a share of one in so many are broadcast; there cannot be more of them.
+FREQUENT = 50_000
+#: Up to so many trusted ids are broadcast, more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _buckets(words: Column, buckets: int) -> Column:
@@ -55,6 +61,38 @@ def ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str =
     return np.log((good + SMOOTHING) / (share * np.maximum(raw - 1, 0) + SMOOTHING))
 
 
+def _grams(words: Column) -> Column:
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), ngram_hashes(words, 2))
+
+
+def gram_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(gram, llr, frequent): the log ratio of each n-gram where it isn't 0, smoothed and leaving one out as in `ratios`."""
+    ids = trusted.select(F.col(id).alias("id")).filter(F.col("id").isNotNull()).distinct().withColumn("good", F.lit(1))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    grams = docs.select(F.col(id).alias("id"), words(F.col(text)).alias("words")).select("id", _grams(F.col("words")).alias("grams"))
+    counts = (
+        grams.join(ids, "id", "left").select("good", F.explode_outer("grams").alias("gram")).filter(F.col("gram").isNotNull())
+        .groupBy("gram").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
+    )
+    counts = written(counts, "grams")
+    raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
+    llr = F.log((F.col("good") + SMOOTHING) / ((good or 0) / (raw or 1) * (F.col("raw") - 1) + SMOOTHING)) if good else F.lit(0.0)
+    return counts.select("gram", llr.alias("llr"), (F.col("raw") * FREQUENT >= (raw or 0)).alias("frequent")).filter("llr <> 0 or frequent")
+
+
+def _row_ratios(docs: DataFrame, llr: DataFrame, id: str, text: str) -> DataFrame:
+    """(row_id, row_hash, ratio): the mean log ratio of each row that has words. Rows equal in id and text share one."""
+    grams = docs.select(F.col(id).alias("row_id"), F.xxhash64(F.col(text)).alias("row_hash"), words(F.col(text)).alias("words"))
+    grams = grams.select("row_id", "row_hash", _grams(F.col("words")).alias("grams")).select("row_id", "row_hash", F.explode_outer("grams").alias("gram")).filter(F.col("gram").isNotNull())
+    frequent = F.broadcast(llr.filter("frequent").drop("frequent"))
+    sums = [F.sum("llr").alias("sum"), F.count("*").alias("n")]
+    often = grams.join(frequent, "gram").groupBy("row_id", "row_hash").agg(*sums)
+    rare = grams.join(frequent, "gram", "left_anti").join(llr.filter("not frequent").drop("frequent"), "gram", "left").groupBy("row_id", "row_hash").agg(*sums)
+    both = often.unionByName(rare).groupBy("row_id", "row_hash").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    return both.select("row_id", "row_hash", F.round(F.coalesce("sum", F.lit(0.0)) / F.col("n"), 9).alias("ratio"))
+
+
 def _repeated(hashes: Column, ordered: Column) -> Column:
     """Words inside three-word windows that the text holds twice or more; `ordered`: (hash, place) pairs in order."""
     same = lambda i, by: F.coalesce(F.get(ordered, i)["h"] == F.get(ordered, i + by)["h"], F.lit(False))
@@ -62,35 +100,45 @@ def _repeated(hashes: Column, ordered: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(places))))
 
 
-def measure(docs: DataFrame, llr: np.ndarray, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def measure(docs: DataFrame, llr: np.ndarray | DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept."""
-    buckets = len(llr)
-    table = F.split(F.lit(",".join(f"{x:.9g}" for x in llr)), ",").cast("array<double>")
+    exact = isinstance(llr, DataFrame)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(id).alias("id"),
+        F.xxhash64(F.col(text)).alias("row_hash"),
         words(F.col(text)).alias("words"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    rows = rows.withColumn("h", ngram_hashes(F.col("words"), 3)).withColumn("bs", _buckets(F.col("words"), buckets))
+    rows = rows.withColumn("h", ngram_hashes(F.col("words"), 3))
+    if exact:
+        ratio = F.lit(0.0)
+    else:
+        table = F.split(F.lit(",".join(f"{x:.9g}" for x in llr)), ",").cast("array<double>")
+        rows = rows.withColumn("bs", _buckets(F.col("words"), len(llr)))
+        total = F.aggregate("bs", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b + 1))
+        ratio = F.when(F.size("bs") > 0, F.round(total / F.size("bs"), 9)).otherwise(F.lit(0.0))
     rows = rows.withColumn("ordered", F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    grams = F.size("bs")
-    total = F.aggregate("bs", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b + 1))
     rows = rows.select(
         "id",
+        "row_hash",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("h"), F.col("ordered")).cast("long").alias("n_repeat_words"),
-        F.when(grams > 0, F.round(total / grams, 9)).otherwise(F.lit(0.0)).alias("ratio"),
+        ratio.alias("ratio"),
     )
+    if exact:
+        found = _row_ratios(docs, llr, id, text)
+        rows = rows.drop("ratio").join(found, rows["id"].eqNullSafe(found["row_id"]) & (rows["row_hash"] == found["row_hash"]), "left").drop("row_id", found["row_hash"])
+        rows = rows.withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).withColumnRenamed("id", id)
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop("row_hash").withColumnRenamed("id", id)
 
 
 def op10(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.col("quality") == 1).select("doc_id")
-    return measure(docs, ratios(docs, trusted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+    return measure(docs, gram_ratios(docs, trusted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")

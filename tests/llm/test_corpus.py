@@ -539,3 +539,44 @@ def test_similar_links_by_shared_shingles(spark):
     assert simhash.similar(table(spark, [])).count() == 0
     same_sets = [(1, "a b c"), (1, "A  b c"), (None, None), (5, ""), (3, "x"), (None, "a b c")]
     assert sorted((str(x.doc_id), x.component) for x in simhash.similar(table(spark, same_sets)).collect()) == [("1", 1), ("1", 1), ("3", 3), ("5", 5), ("None", 1), ("None", 5)]
+
+
+# ---- exact n-gram ratios
+
+
+def ratios_brute(rows, good):
+    from collections import Counter
+    from math import log
+
+    grams = {}
+    for n, (_, t) in enumerate(rows):
+        w = re.findall(WORDS, t or "")
+        grams[n] = [(x,) for x in w] + list(zip(w, w[1:]))
+    raw = Counter(g for gs in grams.values() for g in gs)
+    trusted = Counter(g for n, gs in grams.items() if rows[n][0] in good for g in gs)
+    share = sum(trusted.values()) / sum(raw.values())
+    llr = {g: log((trusted[g] + 2) / (share * (raw[g] - 1) + 2)) for g in raw}
+    return sorted(((rows[n][0], round(sum(llr[g] for g in gs) / len(gs), 6) if gs else 0.0) for n, gs in grams.items()), key=repr)
+
+
+@pytest.mark.parametrize("frequent", [50_000, 300, 1])
+def test_quality_ratios_are_exact(spark, monkeypatch, frequent):
+    monkeypatch.setattr(quality, "FREQUENT", frequent)
+    rows = list(enumerate(texts())) + [(None, passage(2)), (None, None), (0, passage(1)), (7, "other words")]
+    docs, good = table(spark, rows, extra=True), {0, 2, 8, 21}
+    got = quality.measure(docs, quality.gram_ratios(docs, spark.createDataFrame([(i,) for i in [*good, None]], "doc_id long"))).collect()
+    want = ratios_brute(rows, good)
+    assert sorted(((x.doc_id, round(x.ratio, 6)) for x in got), key=repr) == want
+    assert {x.ratio for x in quality.measure(docs, quality.gram_ratios(docs, docs.limit(0))).collect()} == {0.0}
+    assert quality.measure(docs.limit(0), quality.gram_ratios(docs.limit(0), docs)).count() == 0
+
+
+def test_quality_holds_as_the_corpus_grows(spark):
+    """The share of long documents of quality 0 that the ratio rejects, and of quality 1 that it keeps."""
+    rejected, kept = [], []
+    for d in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        rows = quality.op10(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("n_words >= 50")
+        low = F.avg((F.col("ratio") < quality.THRESHOLD).cast("int"))
+        found = {r.quality: r.low for r in rows.groupBy("quality").agg(low.alias("low")).collect()}
+        rejected, kept = [*rejected, found[0]], [*kept, 1 - found[1]]
+    assert rejected[1] >= rejected[0] - 0.01 and min(rejected) > 0.9 and min(kept) > 0.95, (rejected, kept)
