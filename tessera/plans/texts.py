@@ -103,6 +103,11 @@ def p1(spark, d):
     return classify.classify(f, content="text", max_bytes=12000).select("doc_id", "reason")
 
 
+@query("p1_p4_classify_all")
+def p1x(spark, d):
+    return classify.classify(files(spark, d), content="text", max_bytes=12000).select("doc_id", "reason")
+
+
 @query("p2_ignore_rules", with_("files") + "SELECT doc_id, ((path LIKE '%.json' AND NOT path LIKE 'src1/%') OR path LIKE 'src2/%' OR path LIKE '%/de/%.py') AS ignored FROM files")
 def p2(spark, d):
     return classify.ignored(files(spark, d), [("", ["*.json", "/src2/", "**/de/*.py"]), ("src1", ["!*.json"])]).select("doc_id", "ignored")
@@ -272,6 +277,11 @@ def r23(spark, d):
     return c.select("conv_id", "turn", fx.recall_line(F.col("text")).alias("line"))
 
 
+@query("r23_recall_line_all")
+def r23x(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", fx.recall_line(F.col("text")).alias("line"))
+
+
 # ---- chunks and units
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,24 @@ def test_locator(spark):
     m = lambda k: F.create_map(F.lit(k), F.lit("v"), F.lit("a"), F.lit("1"))
     assert one(spark, chunk.locator(m("k"))) == "a=1;k=v;" and one(spark, chunk.locator(m("x/y"))) is None
     assert one(spark, chunk.parse_locator(F.lit("a=1;k=v;"))) == {"a": "1", "k": "v"}
+
+
+def test_whole_table_queries_keep_every_row(spark):
+    """Secrets, long turns, closing tags and control characters are in the results, not filtered out before."""
+    from tessera.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.reason for r in catalog.QUERIES["p1_p4_classify_all"](spark, d).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert set(got) == set(texts) and "secret" in got.values()
+    assert {i for i, t in texts.items() if len((t or "").encode()) > 12000} == {i for i, r in got.items() if r == "huge"}
+    key = re.compile(r"(?<![A-Za-z0-9_-])(AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_-])")
+    assert all(got[i] in ("secret", "huge") for i, t in texts.items() if key.search(t or ""))
+
+    def line(t):
+        t = re.sub(r"[\x00-\x1f\x7f-\x9f]", "", t.replace("\n", " ")).replace("</memory", "<\\/memory")
+        return t.encode()[:1024].decode(errors="ignore")
+
+    lines = sorted((r.conv_id, r.turn, r.line) for r in catalog.QUERIES["r23_recall_line_all"](spark, d).collect())
+    turns = spark.read.parquet(f"{d}/conversations.parquet").collect()
+    assert lines == sorted((r.conv_id, r.turn, line(r.text)) for r in turns) and any(len(r.text.encode()) > 1024 for r in turns)
