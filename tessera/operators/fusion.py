@@ -61,7 +61,7 @@ def file_context(units: DataFrame, skipped: DataFrame, path: str) -> DataFrame:
 # ---- recall
 
 
-def recall(candidates: DataFrame, lexical: DataFrame, dense: DataFrame, budget: int, cost: Column, id: str = "memory_id") -> DataFrame:
+def recall(candidates: DataFrame, lexical: DataFrame, dense: DataFrame, budget: int, cost: Column, id: str = "entry_id") -> DataFrame:
     """All candidates by (score, newest, id), unscored ones with 0, up to the first that would overflow the budget.
 
     The running cost needs one order over all candidates of a call; a call's candidates are bounded by its scopes' cap.

@@ -1,4 +1,4 @@
-"""The memory store: states, operations, candidates, consolidation windows and purges, as functions from tables to tables."""
+"""The entry store: states, operations, candidates, consolidation windows and purges, as functions from tables to tables."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def in_scope(entries: DataFrame, kind: str, owner, canonical_key: str | None = N
     return out if canonical_key is None else out.filter(F.col("canonical_key") == canonical_key)
 
 
-def scopes_union(entries: DataFrame, scopes: list[tuple[str, object]], id: str = "memory_id", cap: int = 20_000) -> DataFrame:
+def scopes_union(entries: DataFrame, scopes: list[tuple[str, object]], id: str = "entry_id", cap: int = 20_000) -> DataFrame:
     """Entries of all scopes, each once, at most `cap` by id: the cap is the feature."""
     out = None
     for kind, owner in scopes:
@@ -62,7 +62,7 @@ def create(entries: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """New rows whose idempotency key and, within their scope, canonical key are not taken; version 1, active."""
     replay = entries.select("idempotency_key").filter("idempotency_key is not null")
     taken = entries.filter(~F.col("state").isin(*TERMINAL) & F.col("canonical_key").isNotNull()).select("scope_kind", "scope_owner", "canonical_key").distinct()
-    first = W.partitionBy("idempotency_key").orderBy("memory_id")
+    first = W.partitionBy("idempotency_key").orderBy("entry_id")
     fresh = new.withColumn("_nth", F.when(F.col("idempotency_key").isNull(), 1).otherwise(F.row_number().over(first))).filter("_nth = 1").drop("_nth")
     fresh = fresh.filter(~((F.col("kind").isin("fact", "decision", "convention", "procedure")) & (F.col("evidence_kind") == "model_claim")))
     rows = fresh.join(replay, "idempotency_key", "left_anti").join(taken, ["scope_kind", "scope_owner", "canonical_key"], "left_anti")
@@ -70,51 +70,51 @@ def create(entries: DataFrame, new: DataFrame, now: Column) -> DataFrame:
 
 
 def reinforce(entries: DataFrame, ops: DataFrame) -> DataFrame:
-    """(memory_id, confidence, entry_version) of entries whose version is the expected one; a null confidence keeps the old."""
-    o = ops.select("memory_id", "expected_version", F.col("confidence").alias("_new"))
-    return entries.join(o, "memory_id").filter("entry_version = expected_version").select("memory_id", F.coalesce("_new", "confidence").alias("confidence"), (F.col("entry_version") + 1).alias("entry_version"))
+    """(entry_id, confidence, entry_version) of entries whose version is the expected one; a null confidence keeps the old."""
+    o = ops.select("entry_id", "expected_version", F.col("confidence").alias("_new"))
+    return entries.join(o, "entry_id").filter("entry_version = expected_version").select("entry_id", F.coalesce("_new", "confidence").alias("confidence"), (F.col("entry_version") + 1).alias("entry_version"))
 
 
 def change_state(entries: DataFrame, ops: DataFrame) -> DataFrame:
-    """resolve, retract, confirm and reject: (memory_id, op, from_state, to_state, entry_version, outcome)."""
+    """resolve, retract, confirm and reject: (entry_id, op, from_state, to_state, entry_version, outcome)."""
     to = F.element_at(F.create_map(*[F.lit(x) for kv in STATE_OF.items() for x in kv]), F.col("op"))
-    rows = entries.join(ops.select("memory_id", "op", "expected_version"), "memory_id").withColumn("to_state", to)
+    rows = entries.join(ops.select("entry_id", "op", "expected_version"), "entry_id").withColumn("to_state", to)
     legal = F.broadcast(transitions(entries.sparkSession).select(F.col("machine").alias("kind"), F.col("from_state").alias("state"), "to_state", F.lit(True).alias("legal")))
     rows = rows.join(legal, ["kind", "state", "to_state"], "left")
     outcome = F.when(F.col("entry_version") != F.col("expected_version"), "version_conflict").when(F.col("state") == F.col("to_state"), "unchanged").when(F.col("legal"), "applied").otherwise("illegal")
     rows = rows.withColumn("outcome", outcome)
-    return rows.select("memory_id", "op", F.col("state").alias("from_state"), "to_state", (F.col("entry_version") + F.when(F.col("outcome") == "applied", 1).otherwise(0)).alias("entry_version"), "outcome")
+    return rows.select("entry_id", "op", F.col("state").alias("from_state"), "to_state", (F.col("entry_version") + F.when(F.col("outcome") == "applied", 1).otherwise(0)).alias("entry_version"), "outcome")
 
 
 def supersede(entries: DataFrame, ops: DataFrame) -> DataFrame:
     """Both rows of each replacement: the old one closed, and the new one in its scope that names it."""
-    rows = entries.join(ops.select("memory_id", "new_id", "new_text"), "memory_id").filter(~F.col("state").isin(*TERMINAL))
-    old = rows.select("memory_id", F.lit("superseded").alias("state"), (F.col("entry_version") + 1).alias("entry_version"), F.lit(None).cast("long").alias("supersedes_id"), "text", "scope_kind", "scope_owner")
-    new = rows.select(F.col("new_id").alias("memory_id"), F.lit("active").alias("state"), F.lit(1).cast("long").alias("entry_version"), F.col("memory_id").alias("supersedes_id"), F.col("new_text").alias("text"), "scope_kind", "scope_owner")
+    rows = entries.join(ops.select("entry_id", "new_id", "new_text"), "entry_id").filter(~F.col("state").isin(*TERMINAL))
+    old = rows.select("entry_id", F.lit("superseded").alias("state"), (F.col("entry_version") + 1).alias("entry_version"), F.lit(None).cast("long").alias("supersedes_id"), "text", "scope_kind", "scope_owner")
+    new = rows.select(F.col("new_id").alias("entry_id"), F.lit("active").alias("state"), F.lit(1).cast("long").alias("entry_version"), F.col("entry_id").alias("supersedes_id"), F.col("new_text").alias("text"), "scope_kind", "scope_owner")
     return old.unionByName(new)
 
 
 def edit(entries: DataFrame, ops: DataFrame) -> DataFrame:
     """Text and importance where given; entries in a closing state are left out. `text_changed`: the normalised text must go."""
-    o = ops.select("memory_id", F.col("text").alias("_text"), F.col("importance").alias("_importance"))
-    rows = entries.join(o, "memory_id").filter(~F.col("state").isin(*TERMINAL))
+    o = ops.select("entry_id", F.col("text").alias("_text"), F.col("importance").alias("_importance"))
+    rows = entries.join(o, "entry_id").filter(~F.col("state").isin(*TERMINAL))
     changed = F.col("_text").isNotNull() & (F.col("_text") != F.col("text"))
-    return rows.select("memory_id", F.coalesce("_text", "text").alias("text"), F.coalesce("_importance", "importance").alias("importance"), (F.col("entry_version") + 1).alias("entry_version"), changed.alias("text_changed"))
+    return rows.select("entry_id", F.coalesce("_text", "text").alias("text"), F.coalesce("_importance", "importance").alias("importance"), (F.col("entry_version") + 1).alias("entry_version"), changed.alias("text_changed"))
 
 
 def merge(entries: DataFrame, evidence: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`ops`: (survivor_id, loser_id). Losers of the survivor's scope close and name it, the survivor's version grows once, and it
     gets the evidence that it lacks."""
-    e = entries.select("memory_id", "scope_kind", "scope_owner", "state", "entry_version")
-    s = e.select(F.col("memory_id").alias("survivor_id"), "scope_kind", "scope_owner")
-    losers = ops.join(e, ops["loser_id"] == e["memory_id"]).drop("memory_id").join(s, ["survivor_id", "scope_kind", "scope_owner"]).filter(~F.col("state").isin(*TERMINAL) & (F.col("loser_id") != F.col("survivor_id")))
-    closed = losers.select(F.col("loser_id").alias("memory_id"), F.lit("superseded").alias("state"), (F.col("entry_version") + 1).alias("entry_version"), F.col("survivor_id").alias("superseded_by"))
-    grown = losers.select("survivor_id").distinct().join(e, F.col("survivor_id") == F.col("memory_id")).select("memory_id", "state", (F.col("entry_version") + 1).alias("entry_version"), F.lit(None).cast("long").alias("superseded_by"))
-    moved = evidence.join(losers.select("survivor_id", "loser_id"), evidence["memory_id"] == F.col("loser_id")).select(F.col("survivor_id").alias("memory_id"), "event_id").distinct()
-    return closed.unionByName(grown), moved.join(evidence.select("memory_id", "event_id"), ["memory_id", "event_id"], "left_anti")
+    e = entries.select("entry_id", "scope_kind", "scope_owner", "state", "entry_version")
+    s = e.select(F.col("entry_id").alias("survivor_id"), "scope_kind", "scope_owner")
+    losers = ops.join(e, ops["loser_id"] == e["entry_id"]).drop("entry_id").join(s, ["survivor_id", "scope_kind", "scope_owner"]).filter(~F.col("state").isin(*TERMINAL) & (F.col("loser_id") != F.col("survivor_id")))
+    closed = losers.select(F.col("loser_id").alias("entry_id"), F.lit("superseded").alias("state"), (F.col("entry_version") + 1).alias("entry_version"), F.col("survivor_id").alias("superseded_by"))
+    grown = losers.select("survivor_id").distinct().join(e, F.col("survivor_id") == F.col("entry_id")).select("entry_id", "state", (F.col("entry_version") + 1).alias("entry_version"), F.lit(None).cast("long").alias("superseded_by"))
+    moved = evidence.join(losers.select("survivor_id", "loser_id"), evidence["entry_id"] == F.col("loser_id")).select(F.col("survivor_id").alias("entry_id"), "event_id").distinct()
+    return closed.unionByName(grown), moved.join(evidence.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
 
 
-def audit(changes: DataFrame, id: str = "memory_id", order: str = "at", seen: str = "last_version") -> DataFrame:
+def audit(changes: DataFrame, id: str = "entry_id", order: str = "at", seen: str = "last_version") -> DataFrame:
     """Numbers the changes of each entry on from the last version seen, each idempotency key once."""
     w = W.partitionBy(id).orderBy(order, "idempotency_key")
     once = changes.withColumn("_n", F.row_number().over(W.partitionBy("idempotency_key").orderBy(order, id))).filter("_n = 1").drop("_n")
@@ -240,9 +240,9 @@ def blockers(runs: DataFrame, envelopes: DataFrame, build: str, session: str = "
 
 def pending_normalization(entries: DataFrame, done: DataFrame, version: int, now_ms: int, attempts: int = 5) -> DataFrame:
     """Live entries without a normalisation, with an older one, with a failed one that may be tried again, or with one whose text may
-    have changed. `done`: memory_id, status, attempt_count, next_attempt_at, normalizer_version."""
+    have changed. `done`: entry_id, status, attempt_count, next_attempt_at, normalizer_version."""
     d = done.withColumn("_seen", F.lit(True))
-    rows = entries.filter(~F.col("state").isin(*TERMINAL)).join(d, "memory_id", "left")
+    rows = entries.filter(~F.col("state").isin(*TERMINAL)).join(d, "entry_id", "left")
     again = (F.col("status") == "failed") & (F.col("attempt_count") < attempts) & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now_ms))
     return rows.filter(F.col("_seen").isNull() | (F.col("normalizer_version") < version) | again | F.col("status").isin("translated", "english")).select(*entries.columns)
 
@@ -251,31 +251,31 @@ def pending_normalization(entries: DataFrame, done: DataFrame, version: int, now
 
 
 def purge(entries: DataFrame, evidence: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    gone = ids.select("memory_id").distinct()
-    return entries.join(gone, "memory_id", "left_anti"), evidence.join(gone, "memory_id", "left_anti")
+    gone = ids.select("entry_id").distinct()
+    return entries.join(gone, "entry_id", "left_anti"), evidence.join(gone, "entry_id", "left_anti")
 
 
 def inspect(entries: DataFrame, evidence: DataFrame, audits: DataFrame) -> DataFrame:
     """Entries with their evidence and audit trail nested, in order."""
-    ev = evidence.groupBy("memory_id").agg(F.array_sort(F.collect_list("event_id")).alias("evidence"))
-    au = audits.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("version", "op"))).alias("audit"))
+    ev = evidence.groupBy("entry_id").agg(F.array_sort(F.collect_list("event_id")).alias("evidence"))
+    au = audits.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("version", "op"))).alias("audit"))
     none = F.array().cast("array<bigint>")
-    return entries.join(ev, "memory_id", "left").join(au, "memory_id", "left").withColumn("evidence", F.coalesce("evidence", none)).orderBy("created_at", "memory_id")
+    return entries.join(ev, "entry_id", "left").join(au, "entry_id", "left").withColumn("evidence", F.coalesce("evidence", none)).orderBy("created_at", "entry_id")
 
 
-def list_memory(entries: DataFrame, scopes: list[tuple[str, object]], kind: str | None = None, state: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+def list_entries(entries: DataFrame, scopes: list[tuple[str, object]], kind: str | None = None, state: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page by (created_at, id), with the total and if there is more."""
     rows = None
     for k, owner in scopes:
         part = in_scope(entries, k, owner, live_only=False)
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.dropDuplicates(["memory_id"])
+    rows = rows.dropDuplicates(["entry_id"])
     if kind is not None:
         rows = rows.filter(F.col("kind") == kind)
     if state is not None:
         rows = rows.filter(F.col("state") == state)
     total = rows.count()
-    return rows.orderBy("created_at", "memory_id").offset(offset).limit(limit).withColumn("total", F.lit(total)).withColumn("has_more", F.lit(total > offset + limit))
+    return rows.orderBy("created_at", "entry_id").offset(offset).limit(limit).withColumn("total", F.lit(total)).withColumn("has_more", F.lit(total > offset + limit))
 
 
 def remember(new: DataFrame) -> DataFrame:

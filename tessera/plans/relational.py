@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators import memory, retention
+from tessera.operators import ledger, retention
 from tessera.plans.views import NOW, entries, files, observations, with_
 from tessera.session import table
 
@@ -56,11 +56,11 @@ def j5(spark, d):
     return o.join(p, "received_seq", "left").groupBy("session_id").agg(F.count("*").alias("n"), F.count("payload").alias("with_payload"))
 
 
-@query("j6_pending_normalization", with_("mem", rest="norm AS (SELECT memory_id, turn % 3 AS attempts, 1 + turn % 2 AS version FROM mem WHERE turn % 4 <> 0)") + "SELECT m.memory_id FROM mem m LEFT JOIN norm n USING (memory_id) WHERE n.memory_id IS NULL OR n.version < 2 OR (n.attempts > 0 AND n.attempts < 2)")
+@query("j6_pending_normalization", with_("mem", rest="norm AS (SELECT entry_id, turn % 3 AS attempts, 1 + turn % 2 AS version FROM mem WHERE turn % 4 <> 0)") + "SELECT m.entry_id FROM mem m LEFT JOIN norm n USING (entry_id) WHERE n.entry_id IS NULL OR n.version < 2 OR (n.attempts > 0 AND n.attempts < 2)")
 def j6(spark, d):
     m = entries(spark, d)
-    n = m.filter("turn % 4 <> 0").select("memory_id", (F.col("turn") % 3).alias("attempts"), (1 + F.col("turn") % 2).alias("version"), F.lit(True).alias("seen"))
-    return m.select("memory_id").join(n, "memory_id", "left").filter("seen is null or version < 2 or (attempts > 0 and attempts < 2)").select("memory_id")
+    n = m.filter("turn % 4 <> 0").select("entry_id", (F.col("turn") % 3).alias("attempts"), (1 + F.col("turn") % 2).alias("version"), F.lit(True).alias("seen"))
+    return m.select("entry_id").join(n, "entry_id", "left").filter("seen is null or version < 2 or (attempts > 0 and attempts < 2)").select("entry_id")
 
 
 @query("j8_anti_not_live", "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -152,7 +152,7 @@ def a4(spark, d):
     return files(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("a5_memory_by_kind_state", with_("mem") + "SELECT kind, state, count(*) AS n FROM mem GROUP BY kind, state")
+@query("a5_entries_by_kind_state", with_("mem") + "SELECT kind, state, count(*) AS n FROM mem GROUP BY kind, state")
 def a5(spark, d):
     return entries(spark, d).groupBy("kind", "state").agg(F.count("*").alias("n"))
 
@@ -179,7 +179,7 @@ def _cursors(o):
 @query("a11_a12_backlog", with_("obs", rest=_CURSORS) + "SELECT o.session_id, max(received_seq) AS last, count(*) FILTER (WHERE received_seq > coalesce(last_seq, 0)) AS pending FROM obs o LEFT JOIN cur USING (session_id) GROUP BY o.session_id HAVING max(received_seq) > coalesce(max(last_seq), 0)")
 def a11(spark, d):
     o = observations(spark, d)
-    return memory.backlog(o, _cursors(o))
+    return ledger.backlog(o, _cursors(o))
 
 
 @query("a13_distinct_sessions", with_("obs") + "SELECT event_type, count(DISTINCT session_id) AS sessions FROM obs GROUP BY event_type")
@@ -224,7 +224,7 @@ def a17(spark, d):
   WHERE received_seq > coalesce(last_seq, 0) WINDOW w AS (PARTITION BY o.session_id ORDER BY received_seq ROWS UNBOUNDED PRECEDING))""") + "SELECT session_id, min(received_seq) AS from_seq, max(received_seq) AS to_seq, count(*) AS n FROM late WHERE n <= 20 AND (n = 1 OR cum <= 120) GROUP BY session_id")
 def w1(spark, d):
     o = observations(spark, d)
-    return memory.consolidation_window(o, _cursors(o), limit=120)
+    return ledger.consolidation_window(o, _cursors(o), limit=120)
 
 
 @query("w3_keep_last_k", "SELECT o_orderkey AS generation_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'O' ORDER BY epoch_us(o_orderdate) // 1000 DESC, o_orderkey) AS n FROM orders) WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND n <= 2)")
@@ -272,18 +272,18 @@ def w13(spark, d):
     return retention.stuck_generations(g).select("generation_id", "active_number")
 
 
-@query("w14_next_audit_version", with_("mem") + "SELECT memory_id, conv_id, coalesce(max(entry_version) OVER (PARTITION BY conv_id), 0) + row_number() OVER (PARTITION BY conv_id ORDER BY created_at, memory_id) AS version FROM mem")
+@query("w14_next_audit_version", with_("mem") + "SELECT entry_id, conv_id, coalesce(max(entry_version) OVER (PARTITION BY conv_id), 0) + row_number() OVER (PARTITION BY conv_id ORDER BY created_at, entry_id) AS version FROM mem")
 def w14(spark, d):
-    m = entries(spark, d).withColumn("idempotency_key", F.col("memory_id").cast("string")).withColumn("last_version", F.max("entry_version").over(W.partitionBy("conv_id")))
-    return memory.audit(m, "conv_id", "created_at").select("memory_id", "conv_id", F.col("version").cast("bigint").alias("version"))
+    m = entries(spark, d).withColumn("idempotency_key", F.col("entry_id").cast("string")).withColumn("last_version", F.max("entry_version").over(W.partitionBy("conv_id")))
+    return ledger.audit(m, "conv_id", "created_at").select("entry_id", "conv_id", F.col("version").cast("bigint").alias("version"))
 
 
 # ---- predicates, paging and sets
 
 
-@query("p7_p8_scope_filter", with_("mem") + "SELECT memory_id, kind FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2 AND state NOT IN ('resolved', 'retracted', 'rejected', 'superseded') AND canonical_key = 'k7'")
+@query("p7_p8_scope_filter", with_("mem") + "SELECT entry_id, kind FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2 AND state NOT IN ('resolved', 'retracted', 'rejected', 'superseded') AND canonical_key = 'k7'")
 def p7(spark, d):
-    return memory.in_scope(entries(spark, d), "repo", 2, "k7").select("memory_id", "kind")
+    return ledger.in_scope(entries(spark, d), "repo", 2, "k7").select("entry_id", "kind")
 
 
 @query("p13_ids_in_order", "SELECT page_id, url, pos FROM (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 37) % 101, vec_id) - 1 AS pos FROM embeddings WHERE vec_id < 60) JOIN pages ON page_id = vec_id ORDER BY pos")
@@ -306,14 +306,14 @@ def p15(spark, d):
     return retention.expired(x, "at_ms", "candidate", NOW - 15 * 86_400_000)
 
 
-@query("l4_l5_page", with_("mem") + "SELECT memory_id, kind, (SELECT count(*) FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2) AS total, (SELECT count(*) FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2) > 25 AS has_more FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2 ORDER BY created_at, memory_id LIMIT 20 OFFSET 5")
+@query("l4_l5_page", with_("mem") + "SELECT entry_id, kind, (SELECT count(*) FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2) AS total, (SELECT count(*) FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2) > 25 AS has_more FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2 ORDER BY created_at, entry_id LIMIT 20 OFFSET 5")
 def l4(spark, d):
-    return memory.list_memory(entries(spark, d), [("repo", 2)], offset=5).select("memory_id", "kind", F.col("total").cast("bigint").alias("total"), "has_more")
+    return ledger.list_entries(entries(spark, d), [("repo", 2)], offset=5).select("entry_id", "kind", F.col("total").cast("bigint").alias("total"), "has_more")
 
 
-@query("l6_u2_scope_union", with_("mem") + "SELECT DISTINCT memory_id, kind FROM mem WHERE state NOT IN ('resolved', 'retracted', 'rejected', 'superseded') AND ((scope_kind = 'global' AND scope_owner = 0) OR (scope_kind = 'repo' AND scope_owner = 2) OR (scope_kind = 'worktree' AND scope_owner = 1)) ORDER BY memory_id LIMIT 20000")
+@query("l6_u2_scope_union", with_("mem") + "SELECT DISTINCT entry_id, kind FROM mem WHERE state NOT IN ('resolved', 'retracted', 'rejected', 'superseded') AND ((scope_kind = 'global' AND scope_owner = 0) OR (scope_kind = 'repo' AND scope_owner = 2) OR (scope_kind = 'worktree' AND scope_owner = 1)) ORDER BY entry_id LIMIT 20000")
 def l6(spark, d):
-    return memory.scopes_union(entries(spark, d), [("global", 0), ("repo", 2), ("worktree", 1), ("repo", 2)]).select("memory_id", "kind")
+    return ledger.scopes_union(entries(spark, d), [("global", 0), ("repo", 2), ("worktree", 1), ("repo", 2)]).select("entry_id", "kind")
 
 
 @query("u1_union_distinct", "SELECT source AS name FROM documents UNION SELECT lang FROM documents UNION SELECT role FROM conversations")

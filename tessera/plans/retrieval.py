@@ -155,39 +155,39 @@ def r18(spark, d):
     return directory_rollup(f, occurrences="one").select(F.col("depth").cast("bigint").alias("depth"), "directory", "files", "occurrences")
 
 
-_RECALL = """cand AS (SELECT memory_id, text, created_at FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2 AND state NOT IN ('resolved', 'retracted', 'rejected', 'superseded')),
-lx AS (SELECT memory_id, row_number() OVER (ORDER BY length(text) DESC, memory_id) AS rank FROM cand WHERE memory_id % 2 = 0), dx AS (SELECT memory_id, row_number() OVER (ORDER BY created_at % 97, memory_id) AS rank FROM cand WHERE memory_id % 3 = 0),
-sc AS (SELECT c.*, round(coalesce(1.0::DOUBLE / (60 + lx.rank), 0) + coalesce(1.0::DOUBLE / (60 + dx.rank), 0), 9) AS score, CAST(ceil(length(text) / 4.0) + 8 AS BIGINT) AS cost FROM cand c LEFT JOIN lx USING (memory_id) LEFT JOIN dx USING (memory_id)),
-sp AS (SELECT *, sum(cost) OVER w AS spent, row_number() OVER w AS rank FROM sc WINDOW w AS (ORDER BY score DESC, created_at DESC, memory_id ROWS UNBOUNDED PRECEDING))"""
+_RECALL = """cand AS (SELECT entry_id, text, created_at FROM mem WHERE scope_kind = 'repo' AND scope_owner = 2 AND state NOT IN ('resolved', 'retracted', 'rejected', 'superseded')),
+lx AS (SELECT entry_id, row_number() OVER (ORDER BY length(text) DESC, entry_id) AS rank FROM cand WHERE entry_id % 2 = 0), dx AS (SELECT entry_id, row_number() OVER (ORDER BY created_at % 97, entry_id) AS rank FROM cand WHERE entry_id % 3 = 0),
+sc AS (SELECT c.*, round(coalesce(1.0::DOUBLE / (60 + lx.rank), 0) + coalesce(1.0::DOUBLE / (60 + dx.rank), 0), 9) AS score, CAST(ceil(length(text) / 4.0) + 8 AS BIGINT) AS cost FROM cand c LEFT JOIN lx USING (entry_id) LEFT JOIN dx USING (entry_id)),
+sp AS (SELECT *, sum(cost) OVER w AS spent, row_number() OVER w AS rank FROM sc WINDOW w AS (ORDER BY score DESC, created_at DESC, entry_id ROWS UNBOUNDED PRECEDING))"""
 
 
-@query("r12_r19_r22_w5_recall", with_("mem", rest=_RECALL) + "SELECT memory_id, score, cost, CAST(spent AS BIGINT) AS spent, rank FROM sp WHERE spent <= 1500")
+@query("r12_r19_r22_w5_recall", with_("mem", rest=_RECALL) + "SELECT entry_id, score, cost, CAST(spent AS BIGINT) AS spent, rank FROM sp WHERE spent <= 1500")
 def r19(spark, d):
-    from tessera.operators.memory import in_scope
+    from tessera.operators.ledger import in_scope
 
-    c = in_scope(entries(spark, d), "repo", 2).select("memory_id", "text", "created_at")
-    lx = c.filter("memory_id % 2 = 0").select("memory_id", F.row_number().over(W.orderBy(F.desc(F.length("text")), "memory_id")).alias("rank"))
-    dx = c.filter("memory_id % 3 = 0").select("memory_id", F.row_number().over(W.orderBy(F.col("created_at") % 97, "memory_id")).alias("rank"))
+    c = in_scope(entries(spark, d), "repo", 2).select("entry_id", "text", "created_at")
+    lx = c.filter("entry_id % 2 = 0").select("entry_id", F.row_number().over(W.orderBy(F.desc(F.length("text")), "entry_id")).alias("rank"))
+    dx = c.filter("entry_id % 3 = 0").select("entry_id", F.row_number().over(W.orderBy(F.col("created_at") % 97, "entry_id")).alias("rank"))
     out = fusion.recall(c, lx, dx, 1500, fx.token_estimate(F.col("text")))
-    return out.select("memory_id", "score", "cost", "spent", F.col("rank").cast("bigint").alias("rank"))
+    return out.select("entry_id", "score", "cost", "spent", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("r20_recall_lexical")
 def r20(spark, d):
-    from tessera.operators.memory import in_scope
+    from tessera.operators.ledger import in_scope
 
-    c = in_scope(entries(spark, d), "repo", 2).select("memory_id", fx.body_tokens(F.col("text")).alias("body_tokens"))
-    q = c.filter("memory_id % 2 = 1").select(F.col("memory_id").alias("query_id"), F.slice("body_tokens", 1, 6).alias("tokens"))
-    return lexical.lexical_leg(c, q, {"body": "body_tokens"}, 10, "memory_id")
+    c = in_scope(entries(spark, d), "repo", 2).select("entry_id", fx.body_tokens(F.col("text")).alias("body_tokens"))
+    q = c.filter("entry_id % 2 = 1").select(F.col("entry_id").alias("query_id"), F.slice("body_tokens", 1, 6).alias("tokens"))
+    return lexical.lexical_leg(c, q, {"body": "body_tokens"}, 10, "entry_id")
 
 
 @query("r21_recall_dense")
 def r21(spark, d):
-    from tessera.operators.memory import in_scope
+    from tessera.operators.ledger import in_scope
 
-    c = in_scope(entries(spark, d), "repo", 2).select("memory_id", dense.embed(F.col("text")).alias("embedding"))
-    q = c.filter("memory_id % 2 = 1").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return dense.nearest(c, q, 10, id="memory_id")
+    c = in_scope(entries(spark, d), "repo", 2).select("entry_id", dense.embed(F.col("text")).alias("embedding"))
+    q = c.filter("entry_id % 2 = 1").select(F.col("entry_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return dense.nearest(c, q, 10, id="entry_id")
 
 
 @query("r24_r25_backfill")

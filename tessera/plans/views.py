@@ -36,11 +36,11 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of conversations as memory entries."""
+    """Turns of conversations as entries."""
     x = table(spark, d, "conversations")
     c, t = F.col("conv_id"), F.col("turn")
     return x.select(
-        (c * 1000 + t).alias("memory_id"), pick(("global", "repo", "worktree"), c % 3).alias("scope_kind"), (c % 5).alias("scope_owner"), pick(KINDS, t % 7).alias("kind"),
+        (c * 1000 + t).alias("entry_id"), pick(("global", "repo", "worktree"), c % 3).alias("scope_kind"), (c % 5).alias("scope_owner"), pick(KINDS, t % 7).alias("kind"),
         pick(STATES, (c + t) % 5).alias("state"), (c * 100 + t).alias("created_at"), F.col("text"), F.col("role"), c.alias("conv_id"), t.alias("turn"),
         (t % 4 + 1).cast("bigint").alias("entry_version"), ((c * 7 + t) % 10 / 10.0).cast("double").alias("confidence"), F.when((c + t) % 2 == 0, F.concat(F.lit("k"), c % 10)).alias("canonical_key"),
     )
@@ -49,7 +49,7 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "files": """files AS (SELECT doc_id, source || '/' || lang || '/d' || doc_id || '.' || (['md','py','json','rs','txt'])[CAST(doc_id % 5 AS INTEGER) + 1] AS path, text, source, lang, 'g' || (doc_id % 3) AS generation_id, 'w' || (doc_id % 2) AS worktree_id FROM documents)""",
     "obs": """obs AS (SELECT user_id AS session_id, event_id AS received_seq, epoch_us(ts) // 1000 AS at_ms, event_type, event_type || ':' || (event_id % 7) AS source_event_id, props AS excerpt FROM events)""",
-    "mem": """mem AS (SELECT conv_id * 1000 + turn AS memory_id, (['global','repo','worktree'])[CAST(conv_id % 3 AS INTEGER) + 1] AS scope_kind, conv_id % 5 AS scope_owner,
+    "mem": """mem AS (SELECT conv_id * 1000 + turn AS entry_id, (['global','repo','worktree'])[CAST(conv_id % 3 AS INTEGER) + 1] AS scope_kind, conv_id % 5 AS scope_owner,
   (['fact','decision','task','question','hypothesis','convention','procedure'])[CAST(turn % 7 AS INTEGER) + 1] AS kind, (['active','active','resolved','superseded','confirmed'])[CAST((conv_id + turn) % 5 AS INTEGER) + 1] AS state,
   conv_id * 100 + turn AS created_at, text, role, conv_id, turn, CAST(turn % 4 + 1 AS BIGINT) AS entry_version, CAST((conv_id * 7 + turn) % 10 AS DOUBLE) / 10.0 AS confidence, CASE WHEN (conv_id + turn) % 2 = 0 THEN 'k' || (conv_id % 10) END AS canonical_key FROM conversations)""",
 }

@@ -9,7 +9,7 @@ TABLES = (
 ).split()
 
 
-def build_session(cpus: str | int = "*", name: str = "tessera", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def build_session(cpus: str | int = "*", name: str = "tessera", partitions: int = 8, heap: str = "8g") -> SparkSession:
     """A local session; on a cluster the caller brings a session of its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -17,7 +17,7 @@ def build_session(cpus: str | int = "*", name: str = "tessera", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", memory)
+        .config("spark.driver.memory", heap)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -110,14 +110,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: bool = True)
 
 
 def export(entries: DataFrame, evidence: DataFrame, audits: DataFrame, scopes: list[tuple[str, object]], path: str | None = None) -> DataFrame:
-    """Entries of the scopes with evidence and audit trail, by (created_at, memory_id); as JSON lines where a path is given."""
-    from tessera.operators.memory import in_scope, inspect
+    """Entries of the scopes with evidence and audit trail, by (created_at, entry_id); as JSON lines where a path is given."""
+    from tessera.operators.ledger import in_scope, inspect
 
     rows = None
     for kind, owner in scopes:
         part = in_scope(entries, kind, owner, live_only=False)
         rows = part if rows is None else rows.unionByName(part)
-    out = inspect(rows.dropDuplicates(["memory_id"]), evidence, audits)
+    out = inspect(rows.dropDuplicates(["entry_id"]), evidence, audits)
     if path:
         out.write.mode("overwrite").json(path)
     return out

@@ -12,7 +12,7 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(4, "tests", partitions=4, memory="4g")
+    session = build_session(4, "tests", partitions=4, heap="4g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import chunk, classify, code_units, dense, evaluate, fusion, memory, redact, retention
+from tessera.operators import chunk, classify, code_units, dense, evaluate, fusion, ledger, redact, retention
 from tessera.sources import events, files
 from tessera.streaming import observations as stream
 
@@ -154,9 +154,9 @@ def test_rrf_by_hand(spark):
 
 
 def test_recall_stops_at_the_first_overflow(spark):
-    c = spark.createDataFrame([(1, "a" * 40, 3), (2, "b" * 400, 2), (3, "c", 1)], "memory_id long, text string, created_at long")
-    none = spark.createDataFrame([], "memory_id long, rank int")
-    assert [r.memory_id for r in fusion.recall(c, none, none, 60, fx.token_estimate(F.col("text"))).collect()] == [1]
+    c = spark.createDataFrame([(1, "a" * 40, 3), (2, "b" * 400, 2), (3, "c", 1)], "entry_id long, text string, created_at long")
+    none = spark.createDataFrame([], "entry_id long, rank int")
+    assert [r.entry_id for r in fusion.recall(c, none, none, 60, fx.token_estimate(F.col("text"))).collect()] == [1]
 
 
 def test_windowed_dedup(spark):
@@ -227,7 +227,7 @@ def test_eviction_walks_the_oldest_and_spares_pins(spark):
 def test_due_and_gates(spark):
     e = spark.createDataFrame([(1, 1, 0, "x"), (2, 2, 0, "Stop"), (3, 3, 10**9, "x")], "session_id long, received_seq long, at_ms long, event_type string")
     cur = spark.createDataFrame([(3, 9)], "session_id long, last_seq long")
-    got = {r.session_id: r.reason for r in memory.due(e, cur, 90_000_000).collect()}
+    got = {r.session_id: r.reason for r in ledger.due(e, cur, 90_000_000).collect()}
     assert got == {1: "idle", 2: "stop"}
     assert evaluate.gate(0.70, 0.73, 0.03) and not evaluate.gate(0.6998, 0.73, 0.03)
 
