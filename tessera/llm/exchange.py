@@ -8,6 +8,7 @@ batches drop repeats before they send.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm.common import bounded_batches, written
 
@@ -63,38 +65,60 @@ def unsqueezed(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-class Rolling:
-    """Hashes of any range of a sequence of 64-bit values, from prefix sums of value * base ** place (mod 2 ** 64)."""
+class Names:
+    """Names of ranges of a sequence of 64-bit values, by prefix doubling: 2k values are named after the names of their halves, any
+    other length after the two ranges of the largest power of two that cover it, and the length.
+
+    Pairs are mixed at each step, so that no name is a sum over the values: sequences that a polynomial modulo 2 ** 64 cannot tell
+    apart have different names. Ranges are meant to be short; whole documents are told apart by `digest`.
+    """
+
+    first, second, third = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+    block = 1 << 15
+
+    def __init__(self, values: np.ndarray, lengths):
+        """`lengths`: those of the ranges that will be asked for."""
+        keep, k, now = {1 << (int(n).bit_length() - 1) for n in lengths}, 1, values
+        self.levels = {1: values} if 1 in keep else {}
+        while 2 * k <= max(keep, default=1):
+            now = self.pairs(now[: max(0, len(now) - k)], now[k:])
+            k *= 2
+            if k in keep:
+                self.levels[k] = now
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+        out = np.empty(len(a), dtype=np.uint64)
+        for at in range(0, len(a), self.block):  # pieces that stay in the cache
+            x = a[at : at + self.block] * self.first
+            x += b[at : at + self.block]
+            if salt:
+                x += np.uint64(salt & (2**64 - 1))
+            x ^= x >> np.uint64(32)
+            x *= self.second
+            x ^= x >> np.uint64(29)
+            out[at : at + self.block] = x
+        return out
 
-    base = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.back = self.powers(pow(self.base, -1, 1 << 64), n)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * self.powers(self.base, n), out=self.sums[1:])
+    def every(self, n: int, salt: int = 0) -> np.ndarray:
+        """The names of the ranges of n values that start at each place."""
+        k = 1 << (n.bit_length() - 1)
+        level = self.levels[k]
+        size = max(0, len(level) - (n - k))
+        return self.pairs(level[:size], level[n - k : n - k + size], salt=n * int(self.third) + salt)
 
-    @staticmethod
-    def powers(base: int, n: int) -> np.ndarray:
-        out = np.empty(max(n, 1), dtype=np.uint64)
-        out[0], have = 1, 1
-        while have < n:
-            more = min(have, n - have)
-            out[have : have + more] = out[:more] * np.uint64(pow(base, have, 1 << 64))
-            have += more
-        return out[:n]
+    def ranges(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        """The names of the ranges from starts to ends, none of them empty."""
+        out, n = np.zeros(len(starts), dtype=np.uint64), ends - starts
+        for k, level in self.levels.items():
+            of = np.flatnonzero((n >= k) & (n < 2 * k))
+            if len(of):
+                out[of] = self.pairs(level[starts[of]], level[ends[of] - k] + n[of].astype(np.uint64) * self.third, salt)
+        return out
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, dtype=np.uint64)
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + np.uint64(salt) + mix((ends - starts).astype(np.uint64)))
 
-    def every(self, n: int, salt: int = 0) -> np.ndarray:
-        """Hashes of the ranges of n values that start at each place."""
-        out = self.sums[n:] - self.sums[:-n]
-        out *= self.back[: len(out)]
-        out += np.uint64(salt)
-        return mix(out)
+def digest(data: bytes) -> bytes:
+    """128 bits that tell whole documents apart."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 @dataclass
@@ -134,7 +158,7 @@ def pack(docs: DataFrame, id: str, text: str, batch_bytes: int = BATCH_BYTES, ba
             null = np.array([i is None for i in ids], dtype=bool)
             return pd.DataFrame([{
                 "batch": (task << 32) | seq, "ids": np.array([NO_ID if i is None else i for i in ids], dtype=np.int64).tobytes(), "null": null.tobytes(),
-                "lengths": np.array([len(t) for t in texts], dtype=np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=6).compress(b"".join(texts)),
+                "lengths": np.array([len(t) for t in texts], dtype=np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=9).compress(b"".join(texts)),
             }])
 
         for frame in frames:
@@ -144,11 +168,15 @@ def pack(docs: DataFrame, id: str, text: str, batch_bytes: int = BATCH_BYTES, ba
                     yield row()
                     ids, texts, size, seq = [], [], 0, seq + 1
                 ids.append(None if pd.isna(i) else int(i))
+                if ids[-1] == NO_ID:
+                    raise ValueError(f"the id {NO_ID} stands for null")
                 texts.append(t)
                 size += len(t)
         if ids:
             yield row()
 
+    if not isinstance(docs.schema[id].dataType, IntegralType):
+        raise TypeError(f"ids must be whole numbers; {id} is {docs.schema[id].dataType.simpleString()}")
     bounded_batches(docs.sparkSession)
     # Null longs would reach pandas as floats and lose digits, so the id travels as text where there are nulls to carry.
     rows = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"))
@@ -156,7 +184,8 @@ def pack(docs: DataFrame, id: str, text: str, batch_bytes: int = BATCH_BYTES, ba
 
 
 def buckets_for(packed: DataFrame) -> int:
-    return int(min(8192, max(16, packed.count() // 4)))
+    """A bucket gets the keys of about four batches, whatever the size of the corpus."""
+    return max(16, packed.count() // 4)
 
 
 def split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -167,37 +196,70 @@ def split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cut[:-1], cut[1:])]
 
 
-def owner_rows(batch: int, kind: int, keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
-    """What a batch sends to learn the smallest id of each key: distinct keys, their smallest ids, and if they have several."""
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where new values begin in ordered keys."""
+    new = np.zeros(max(0, len(keys[0]) - 1), dtype=bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1)) if len(keys[0]) else np.zeros(0, dtype=np.int64)
+
+
+def owner_rows(batch: int, kind: int, keys: np.ndarray, ids: np.ndarray, buckets: int, more: np.ndarray | None = None) -> list[tuple]:
+    """What a batch sends to learn the smallest id of each key: distinct keys, their smallest ids, and if they have several.
+
+    `more` are 64 more bits of each key.
+    """
     if not len(keys):
         return []
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1))
-    last = np.concatenate((first[1:], [len(keys)])) - 1
-    keys, least, several = keys[first], ids[first], ids[first] != ids[last]
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    parts = [keys] if more is None else [keys, more]
+    order = np.lexsort((ids, *parts[::-1]))
+    parts, ids = [p[order] for p in parts], ids[order]
+    first = _starts(*parts)
+    last = np.concatenate((first[1:], [len(ids)])) - 1
+    parts, least, several = [p[first] for p in parts], ids[first], ids[first] != ids[last]
+    bucket = (parts[0] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    keys, least, several, bucket = keys[order], least[order], several[order], bucket[order]
-    return [(b, batch, kind, squeezed(keys[s:e], least[s:e], several[s:e])) for b, s, e in split(bucket)]
+    columns, bucket = [c[order] for c in (parts[0], least, several, *parts[1:])], bucket[order]
+    return [(b, batch, kind, squeezed(*[c[s:e] for c in columns])) for b, s, e in split(bucket)]
 
 
-def owners(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+def owners(rows: list[tuple[int, bytes]], wide: bool = False) -> list[tuple[int, bytes]]:
     """Answers of a bucket: the keys of each batch that documents with a smaller id have too, with the smallest id of all."""
-    parts = [(batch, *unsqueezed(data, np.uint64, np.int64, bool)) for batch, data in rows]
-    keys, least = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    order = np.lexsort((least, keys))
-    first = np.concatenate(([0], np.flatnonzero(np.diff(keys[order])) + 1))
-    uniq, smallest = keys[order][first], least[order][first]
-    out = []
-    for batch, k, own, several in parts:
-        best = smallest[np.searchsorted(uniq, k)]
+    parts = [(batch, *unsqueezed(data, np.uint64, np.int64, bool, *[np.uint64] * wide)) for batch, data in rows]
+    keys, least = [np.concatenate([p[c] for p in parts]) for c in ((1, 4) if wide else (1,))], np.concatenate([p[2] for p in parts])
+    order = np.lexsort((least, *keys[::-1]))
+    first = _starts(*[k[order] for k in keys])
+    smallest = np.empty(len(order), dtype=np.int64)
+    smallest[order] = np.repeat(least[order][first], np.diff(np.concatenate((first, [len(order)]))))
+    out, at = [], 0
+    for batch, k, own, several, *rest in parts:
+        best = smallest[at : at + len(k)]
+        at += len(k)
         keep = (best < own) | several
         if keep.any():
-            out.append((batch, squeezed(k[keep], best[keep])))
+            out.append((batch, squeezed(k[keep], best[keep], *[r[keep] for r in rest])))
     return out
 
 
+def wide_owners(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    return owners(rows, wide=True)
+
+
+def copy_rows(batch: int, kind: int, digests: list[bytes], ids: np.ndarray, buckets: int) -> list[tuple]:
+    """`owner_rows` of whole documents, by all 128 bits of their digests."""
+    both = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+    return owner_rows(batch, kind, np.ascontiguousarray(both[:, 0]), ids, buckets, np.ascontiguousarray(both[:, 1]))
+
+
+def copied(datas, digests: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """Which documents equal one with a smaller id, from what `wide_owners` answered; a digest may be empty: not asked."""
+    least: dict[bytes, int] = {}
+    for d in datas:
+        keys, ids_of, more = unsqueezed(d, np.uint64, np.int64, np.uint64)
+        least |= {k.to_bytes(8, "little") + m.to_bytes(8, "little"): i for k, m, i in zip(keys.tolist(), more.tolist(), ids_of.tolist())}
+    return np.array([least.get(x, i) < i for x, i in zip(digests, ids.tolist())], dtype=bool)
+
+
 def answers(datas) -> tuple[np.ndarray, np.ndarray]:
     """(keys, smallest ids) in order of the keys, from what `owners` answered."""
     parts = [unsqueezed(d, np.uint64, np.int64) for d in datas]
@@ -228,8 +290,11 @@ def send(packed: DataFrame, emit: Callable[[int, Batch], list[tuple]]) -> DataFr
     return packed.mapInPandas(sending, ROWS)
 
 
-def answer(sent: DataFrame, reply: dict[int, Callable[[list], list]]) -> DataFrame:
-    """(bucket, batch, kind, data): what the buckets say to the batches, by the kind of key or the kind that a reply names."""
+def answer(sent: DataFrame, buckets: int, reply: dict[int, Callable[[list], list]]) -> DataFrame:
+    """(bucket, batch, kind, data): what the buckets say to the batches, by the kind of key or the kind that a reply names.
+
+    There are as many partitions as buckets, so tasks do not grow with the corpus.
+    """
 
     def replying(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -238,11 +303,11 @@ def answer(sent: DataFrame, reply: dict[int, Callable[[list], list]]) -> DataFra
             out += [(bucket, batch, as_kind[0] if as_kind else kind, data) for batch, data, *as_kind in reply[kind](list(zip(part["batch"], part["data"])))]
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "data"])
 
-    return sent.groupBy("bucket").applyInPandas(replying, ROWS)
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(replying, ROWS)
 
 
-def together(packed: DataFrame, replies: DataFrame, then: Callable[[int, Batch, dict[int, list]], pd.DataFrame], schema: str) -> DataFrame:
-    """Each batch with the replies to it, by kind; (bucket, data) pairs."""
+def together(packed: DataFrame, buckets: int, replies: DataFrame, then: Callable[[int, Batch, dict[int, list]], pd.DataFrame], schema: str) -> DataFrame:
+    """Each batch with the replies to it, by kind; (bucket, data) pairs. A partition gets about four batches."""
 
     def meeting(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples(index=False))
@@ -251,4 +316,5 @@ def together(packed: DataFrame, replies: DataFrame, then: Callable[[int, Batch,
             said.setdefault(int(r.kind), []).append((int(r.bucket), r.data))
         return then(row.batch, unpacked(row), said)
 
-    return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(meeting, schema)
+    dealt = lambda rows: rows.repartition(buckets, "batch").groupBy("batch")
+    return dealt(packed).cogroup(dealt(replies)).applyInPandas(meeting, schema)

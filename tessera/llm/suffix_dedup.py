@@ -9,11 +9,13 @@ context, the union of the runs that picked the position, equal pairs are settled
 28-byte rank has several full contexts, at the borders of repeats, are runs ranked one by one at `run` bytes, the threshold.
 A byte goes if a run that covers it also starts in a document with a smaller id.
 
-Ranks are 64-bit hashes (40 bits or more and a 32-bit context at 28 bytes, where a false match only adds work). Documents equal
-to one with a smaller id go whole without being refined.
+Ranks are names of 64 bits that grow by doubling, 2k bytes from the names of their halves. At 28 bytes 36 bits or more of them travel, where
+a false match only adds work, with 40 bits of the full context, which tell a border: two contexts of one rank that agree in those and not
+in the rest would pass for one, once in 10^12 such pairs. Documents equal to one with a smaller id, by 128 bits of a cryptographic
+hash of all their bytes, go whole without being refined.
 
 Nulls are empty; a null id counts as larger than any other. Rows of one id never remove from each other. Rows that repeat stay.
-Empty tables give empty results. Only the id (a whole number) and the text are read.
+Empty tables give empty results. Only the id and the text are read; the id is a whole number below 2^63 - 1, anything else raises.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import Batch, Rolling, answer, answers, buckets_for, look_up, mix, owner_rows, owners, pack, send, split, squeezed, together, unsqueezed
+from tessera.llm.exchange import Batch, Names, answer, answers, buckets_for, copied, copy_rows, digest, look_up, mix, owner_rows, owners, pack, send, split, squeezed, together, unsqueezed, wide_owners
 
 RUN, GRAM = 50, 6
 CONTEXT_KEYS, DOC_KEYS, REPEAT_KEYS, BORDER_KEYS = 0, 1, 2, 3
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PLACE = 30
+_PLACE = 31
 
 
 class Suffixes:
@@ -39,13 +41,14 @@ class Suffixes:
         self.raw = np.frombuffer(batch.text, dtype=np.uint8)
         n = len(self.raw)
         self.bounds, self.run = batch.bounds, run
-        self.rolling = Rolling(_BYTES[self.raw])
+        reach = (run - GRAM) // 2
+        self.names = Names(_BYTES[self.raw], (GRAM, run - reach, reach + GRAM, *range(run, 2 * run)))
         self.at = self.low = self.high = self.doc = np.zeros(0, dtype=np.int64)
         if n < run:
             return
         mask = np.uint64((1 << _PLACE) - 1)
         # The place counts down in the low bits, so the rightmost of equal names is the smallest.
-        least = self.rolling.every(GRAM)
+        least = self.names.every(GRAM)
         least &= ~mask
         least |= np.arange((1 << _PLACE) - 1, (1 << _PLACE) - 1 - len(least), -1, dtype=np.uint64)
         width, have = run - GRAM + 1, 1
@@ -66,7 +69,7 @@ class Suffixes:
 
     def full(self) -> np.ndarray:
         """The rank of each position's full context, which includes where in it the position is."""
-        return mix(self.rolling.hashes(self.low, self.high + self.run, salt=2) + (self.at - self.low).astype(np.uint64))
+        return mix(self.names.ranges(self.low, self.high + self.run, salt=2) + (self.at - self.low).astype(np.uint64))
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """Half contexts as (rank, position's number): to the right for runs that start near it, to the left for the others."""
@@ -74,7 +77,7 @@ class Suffixes:
         right = np.flatnonzero(self.high >= self.at - reach)
         left = np.flatnonzero(self.low <= self.at - reach)
         a, b = self.at[right], self.at[left]
-        ranks = np.concatenate([self.rolling.hashes(a, a + self.run - reach, salt=3), self.rolling.hashes(b - reach, b + GRAM, salt=5)])
+        ranks = np.concatenate([self.names.ranges(a, a + self.run - reach, salt=3), self.names.ranges(b - reach, b + GRAM, salt=5)])
         return ranks, np.concatenate([right, left])
 
 
@@ -82,47 +85,43 @@ def _keys(ranks: np.ndarray, buckets: int) -> np.ndarray:
     return (((ranks >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (ranks & np.uint64(0xFFFFFFFF))
 
 
-def _whole(s: Suffixes, batch: Batch) -> np.ndarray:
-    return s.rolling.hashes(s.bounds[:-1], s.bounds[1:], salt=1)
+def whole(batch: Batch, which: np.ndarray) -> list[bytes]:
+    """Digests of the documents asked for, empty for the others."""
+    return [digest(doc) if asked else b"" for doc, asked in zip(batch.documents(), which.tolist())]
 
 
 def _send_contexts(number: int, batch: Batch, run: int, buckets: int) -> list[tuple]:
-    """Sends distinct (rank, 32 bits of the full context) pairs and if several documents of the batch have them."""
+    """Sends distinct (rank, 40 bits of the full context) pairs and if several documents of the batch have them."""
     s = Suffixes(batch, run)
     ranks, of = s.contexts()
-    key, tag = _keys(ranks, buckets), (s.full() >> np.uint64(32))[of]
+    key, tag = _keys(ranks, buckets), (s.full() >> np.uint64(24))[of]
     doc = s.doc[of]
     order = np.lexsort((doc, tag, key))
     key, tag, doc, out = key[order], tag[order], doc[order], []
     if len(key):
         first = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(tag) != 0)) + 1))
         last = np.concatenate((first[1:], [len(key)])) - 1
-        key, tag, several = key[first], tag[first].astype(np.uint32), doc[first] != doc[last]
-        rest = key.astype(np.uint32)
+        key, tag, several = key[first], tag[first], doc[first] != doc[last]
+        rest, low, high = key.astype(np.uint32), tag.astype(np.uint32), (tag >> np.uint64(32)).astype(np.uint8)
         for b, x, y in split((key >> np.uint64(32)).astype(np.int64)):
-            out.append((b, number, CONTEXT_KEYS, squeezed(rest[x:y], tag[x:y], several[x:y])))
+            out.append((b, number, CONTEXT_KEYS, squeezed(rest[x:y], low[x:y], high[x:y], several[x:y])))
     long = batch.lengths >= run
-    return out + owner_rows(number, DOC_KEYS, _whole(s, batch)[long], batch.ids[long], buckets)
+    return out + copy_rows(number, DOC_KEYS, [d for d in whole(batch, long) if d], batch.ids[long], buckets)
 
 
 def _rank_contexts(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Tells each batch which of its ranks aren't unique, and which of those have several full contexts."""
-    parts = []
-    for number, data in rows:
-        parts.append((number, *unsqueezed(data, np.uint32, np.uint32, bool)))
-    rank = np.concatenate([p[1] for p in parts])
-    pair = (rank.astype(np.uint64) << np.uint64(32)) | np.concatenate([p[2] for p in parts])
-    several = np.concatenate([p[3] for p in parts])
-    order = np.argsort(pair, kind="stable")
-    pair, several = pair[order], several[order]
-    first = np.concatenate(([0], np.flatnonzero(np.diff(pair >> np.uint64(32))) + 1))
-    end = np.concatenate((first[1:], [len(pair)]))
+    parts = [(number, *unsqueezed(data, np.uint32, np.uint32, np.uint8, bool)) for number, data in rows]
+    rank, low, high, several = [np.concatenate([p[c] for p in parts]) for c in (1, 2, 3, 4)]
+    order = np.argsort(rank, kind="stable")
+    rank, several, tag = rank[order], several[order], (high[order].astype(np.uint64) << np.uint64(32)) | low[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(rank)) + 1))
+    end = np.concatenate((first[1:], [len(rank)]))
+    least, most = np.minimum.reduceat(tag, first), np.maximum.reduceat(tag, first)
     shared = ((end - first) > 1) | np.logical_or.reduceat(several, first)
-    border = pair[first] != pair[end - 1]
-    ranks = (pair[first] >> np.uint64(32)).astype(np.uint32)[shared]
-    border = border[shared]
+    ranks, border = rank[first][shared], (least != most)[shared]
     out = []
-    for number, k, _, _ in parts:
+    for number, k, *_ in parts:
         own = np.unique(k)
         to = np.minimum(np.searchsorted(ranks, own), max(0, len(ranks) - 1))
         hit = ranks[to] == own if len(ranks) else np.zeros(len(own), dtype=bool)
@@ -155,23 +154,19 @@ def _runs_of(s: Suffixes, which: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
 
-def _copies(s: Suffixes, batch: Batch, said: dict, run: int) -> np.ndarray:
-    keys, least = answers(d for _, d in said.get(DOC_KEYS, []))
-    copy = np.zeros(len(batch.ids), dtype=bool)
-    at, to = look_up(_whole(s, batch), keys)
-    copy[at] = (least[to] < batch.ids[at]) & (batch.lengths[at] >= run)
-    return copy
+def _copies(batch: Batch, said: dict, run: int) -> np.ndarray:
+    return copied([d for _, d in said.get(DOC_KEYS, [])], whole(batch, (batch.lengths >= run) & bool(said.get(DOC_KEYS))), batch.ids)
 
 
 def _send_repeats(number: int, batch: Batch, said: dict, run: int, buckets: int) -> pd.DataFrame:
     """Sends the full contexts that aren't unique and, at borders, single runs, with their documents."""
     s = Suffixes(batch, run)
     shared, border = _followed(s, said, buckets)
-    alive = ~_copies(s, batch, said, run)[s.doc]
+    alive = ~_copies(batch, said, run)[s.doc]
     full = s.full()[shared & alive]
     starts = _runs_of(s, np.flatnonzero(border & alive))
     doc = np.searchsorted(s.bounds, starts, side="right") - 1
-    keys = np.concatenate([full, s.rolling.hashes(starts, starts + run, salt=7)])
+    keys = np.concatenate([full, s.names.ranges(starts, starts + run, salt=7)])
     ids = np.concatenate([batch.ids[s.doc[shared & alive]], batch.ids[doc]])
     return pd.DataFrame(owner_rows(number, REPEAT_KEYS, keys, ids, buckets), columns=["bucket", "batch", "kind", "data"])
 
@@ -187,13 +182,13 @@ def removed(batch: Batch, said: dict, run: int, buckets: int) -> tuple[Suffixes,
     np.add.at(cover, s.high[at] + run, -1)
     _, border = _followed(s, said, buckets)
     starts = _runs_of(s, np.flatnonzero(border))
-    at, to = look_up(s.rolling.hashes(starts, starts + run, salt=7), keys)
+    at, to = look_up(s.names.ranges(starts, starts + run, salt=7), keys)
     starts = starts[at]
     starts = starts[least[to] < batch.ids[np.searchsorted(s.bounds, starts, side="right") - 1]]
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + run, -1)
     gone = np.cumsum(cover)[:-1] > 0
-    copy = np.flatnonzero(_copies(s, batch, said, run))
+    copy = np.flatnonzero(_copies(batch, said, run))
     for i in copy:
         gone[s.bounds[i] : s.bounds[i + 1]] = True
     return s, gone
@@ -203,9 +198,10 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", run: in
     """Per row: id, kept (the bytes that stay), n_bytes, n_removed, n_spans and kept_sha256."""
     packed = pack(docs, id, text)
     buckets = buckets_for(packed)
-    first = answer(send(packed, lambda number, batch: _send_contexts(number, batch, run, buckets)), {CONTEXT_KEYS: _rank_contexts, DOC_KEYS: owners})
+    first = answer(send(packed, lambda number, batch: _send_contexts(number, batch, run, buckets)), buckets, {CONTEXT_KEYS: _rank_contexts, DOC_KEYS: wide_owners})
     second = answer(
-        together(packed, first, lambda number, batch, said: _send_repeats(number, batch, said, run, buckets), "bucket int, batch long, kind int, data binary"),
+        together(packed, buckets, first, lambda number, batch, said: _send_repeats(number, batch, said, run, buckets), "bucket int, batch long, kind int, data binary"),
+        buckets,
         {REPEAT_KEYS: owners},
     )
 
@@ -221,7 +217,7 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", run: in
         return pd.DataFrame(out, columns=[id, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({id: "Int64"})
 
     needed = first.filter(f"kind <> {CONTEXT_KEYS}")
-    return together(packed, needed.unionByName(second), results, f"{id} long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return together(packed, buckets, needed.unionByName(second), results, f"{id} long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7(spark, sf_dir):

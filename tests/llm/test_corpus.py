@@ -208,6 +208,42 @@ def test_repeats_with_null_and_equal_ids(spark):
         assert sorted((str(x.doc_id), x.n_removed > 0) for x in found.collect()) == sorted([("1", False), ("1", False), ("None", True), (str(2**60 + 1), True), ("0", False)])
 
 
+def test_swapped_values_are_no_repeats(spark):
+    """Two sequences that a polynomial modulo 2 ** 64 cannot tell apart, whatever its base."""
+    swap = [bin(i).count("1") % 2 for i in range(2048)]
+    a = " ".join(f"{'AB'[x]} {i:020d}" for i, x in enumerate(swap))
+    b = " ".join(f"{'BA'[x]} {i:020d}" for i, x in enumerate(swap))
+    rows = [(1, a), (2, b), (3, a.replace(" ", "")), (4, b.replace(" ", "")), (5, "w" * 4096 + a), (6, "w" * 4096 + b)]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.deduplicate(table(spark, rows[:2])).collect()}
+    assert got == words_brute(rows[:2]) and got[2][1] == 0
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicate(table(spark, rows[2:])).collect()}
+    assert got == bytes_brute(rows[2:]) and got[4][1] == 0
+
+
+def test_names_tell_ranges_apart():
+    import numpy as np
+
+    from tessera.llm.exchange import Names
+
+    r = np.random.default_rng(3)
+    values = r.integers(0, 3, 3000).astype(np.uint64)
+    names = Names(values, range(1, 60))
+    for n in (1, 2, 3, 7, 32, 50, 59):
+        at = np.arange(len(values) - n + 1)
+        got = names.every(n)
+        assert (got == names.ranges(at, at + n)).all()
+        seen = {}
+        assert all(seen.setdefault(values[i : i + n].tobytes(), g) == g for i, g in zip(at, got.tolist())) and len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_ids_that_are_no_whole_numbers_are_refused(spark, operator):
+    with pytest.raises(TypeError):
+        operator.deduplicate(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    with pytest.raises(Exception, match="stands for null"):
+        operator.deduplicate(table(spark, [(2**63 - 1, "x")]))
+
+
 # ---- decontamination
 
 
