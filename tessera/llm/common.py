@@ -37,27 +37,54 @@ def ngram_hashes(words: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share; tests, which set none, get one under /tmp."""
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` doesn't have: `name`, with as many underscores in front as it takes."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def barred(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, which no filter or projection passes.
+
+    Without it the optimizer puts an array that is used once into the lambda that reads it, and a filter on a result below the
+    projections that lead to it, and either splits and hashes the text again for every element.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("r")).select("r.*")
+
+
+def root_dir(spark: SparkSession) -> str:
+    """This application's folder under the one that all executors share; a local session that names none gets one under /tmp."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/{context.applicationId}"
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """The rows written to the shared folder and read again: cuts lineage, survives lost executors."""
+    """The rows written to the shared folder and read again: cuts lineage, survives lost executors. `release` removes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    path = f"{root_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes everything that this application's operators wrote; results that are not stored yet cannot be read afterwards."""
+    _delete(spark, root_dir(spark))
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a table that `written` made."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:

@@ -44,28 +44,43 @@ def table(spark, rows=None, extra=False):
 # ---- line dedup
 
 
-def lines_brute(rows, run=3):
+def lines_brute(rows, least=line_dedup.LEAST):
+    """Every run of lines with enough characters, held against all runs before it."""
     seen, out = {}, []
-    for i, t in sorted(rows):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = (t or "").split("\n")
         real = [(n, x) for n, x in enumerate(lines) if re.search(WORDS, x)]
         gone = set()
-        for j in range(len(real) - run + 1):
-            key = tuple(x for _, x in real[j : j + run])
-            if seen.setdefault(key, (i, j)) != (i, j):
-                gone |= {n for n, _ in real[j : j + run]}
+        for a in range(len(real)):
+            for b in range(a, len(real)):
+                key = tuple(x for _, x in real[a : b + 1])
+                if sum(map(len, key)) >= least and seen.setdefault(key, (i, a)) != (i, a):
+                    gone |= {n for n, _ in real[a : b + 1]}
         out.append((i, len(gone), None if t is None else "\n".join(x for n, x in enumerate(lines) if n not in gone)))
     return out
 
 
-def test_line_dedup(spark):
-    r = random.Random(3)
-    rows = [(i, "\n".join(r.choice("abcde ") * r.randint(0, 2) for _ in range(r.randint(0, 14)))) for i in range(60)] + [(60, None), (61, "")]
-    got = sorted((x.doc_id, x._gone, x.text) for x in line_dedup.deduplicate(table(spark, rows, extra=True)).collect())
-    assert got == lines_brute(rows)
-    assert line_dedup.deduplicate(table(spark, [])).count() == 0
-    twice = line_dedup.deduplicate(table(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc")])).collect()
-    assert sorted(x._gone for x in twice) == [0, 3, 3]
+@pytest.mark.parametrize("least", [1, 7, 50])
+def test_line_dedup(spark, least):
+    r = random.Random(least)
+    long = ["x" * 60, "y" * 49, "\u00e9" * 50, "z " * 25]
+    line = lambda: r.choice(long) if r.random() < 0.1 else r.choice("abcd\u00e9 ") * r.randint(0, 9)
+    rows = [(i, "\n".join(line() for _ in range(r.randint(0, 25)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n \n"), (63, "x" * 60), (64, "end\n" + "x" * 60)]
+    rows += [(70 + i, t) for i, t in rows[:5]]
+    found = line_dedup.deduplicate(table(spark, rows, extra=True), least=least)
+    got = sorted((x.doc_id, x._gone, x.text) for x in found.collect())
+    assert got == lines_brute(rows, least)
+    assert found.filter("_gone > 0 and length(text) > 3").count() == sum(n > 0 and len(t) > 3 for _, n, t in got)
+    assert line_dedup.deduplicate(table(spark, []), least=least).count() == 0
+
+
+def test_line_dedup_awkward_tables(spark):
+    a = "a line of more than fifty characters stands here, it does"
+    clash = table(spark, [(1, f"{a}\nb"), (1, f"{a}\nb"), (None, a)]).withColumns({c: F.lit(7) for c in ("_lines", "_gone", "_row", "_spans", "__row", "gone_row", "k1", "salt")})
+    got = line_dedup.deduplicate(clash).collect()
+    assert sorted((x["__gone"], x.text) for x in got) == [(0, a), (1, "b"), (1, "b")] and {(x._lines, x._gone, x._row, x.salt, x.gone_row) for x in got} == {(7, 7, 7, 7, 7)}
+    very = [(1, "\n".join(f"line {i} of a very long text, which has many of them" for i in range(40_000))), (2, "\n".join(f"line {i} of a very long text, which has many of them" for i in range(1, 40_002, 2)))]
+    assert {x.doc_id: x._gone for x in line_dedup.deduplicate(table(spark, very)).collect()} == {1: 0, 2: 20_000}
 
 
 # ---- simhash
