@@ -26,16 +26,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b): each node of the (a, b) edges with the smallest node it is connected to; that node itself is not listed.
 
     Each pair of rounds is written to the shared folder. A node's neighbours are never gathered: minima are aggregated
-    before they are shuffled, and large joins are left to adaptive skew splitting.
+    before they are shuffled, and large joins are left to adaptive skew splitting. Rounds grow with the logarithm of the longest
+    path; more than `rounds` pairs of them raise, so unfinished components are never returned.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
-            break
+            return edges
         before = now
         after = written(_star(_star(edges, True), False), "edges")
         dropped(edges)
         edges = after
-    return edges
+    raise RuntimeError(f"components are not finished after {rounds} rounds")

@@ -12,6 +12,7 @@ share them.
 bound on one fingerprint is either too narrow or links what isn't alike. It takes two independent fingerprints, files each in its own
 grid, and compares all 128 bits of what meets; each bucket sends the shortest edges that connect its candidates, several
 forests deep and never all pairs, and an edge counts only if the sets of shingles themselves, 64 bits each, are as similar as asked.
+Large groups of near copies are connected first, through a few grids; the others then only look for edges between groups.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. A null id never names a component unless all
 its ids are null. Rows that repeat stay. Empty tables give empty results. Only the id and the text are read.
@@ -33,8 +34,8 @@ from tessera.llm.graph import components
 SHINGLE, BITS, BLOCKS, SEED = 4, 4, 8, 42
 #: Cells of up to so many fingerprints are compared together.
 SMALL = 128
-#: Entries that a task gathers before it sends them.
-HELD = 2_000_000
+#: Entries that a task gathers before it sends them, and that a bucket gets.
+HELD, DEALT = 2_000_000, 500_000
 #: Edge-disjoint forests that a bucket sends: a longer way round where an edge turns out to be too little alike.
 FORESTS = 3
 ODD = np.uint64(0x5555555555555555)
@@ -116,10 +117,15 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def _buckets(prints: DataFrame, cells: int) -> int:
+    """As many that a bucket gets about `DEALT` entries, however many fingerprints there are, and no fewer than the session's partitions."""
+    return max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * cells // DEALT))
+
+
 def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: int | None = None) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) that connect all that differ in at most `bits` bits."""
-    buckets = buckets or max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chosen = [np.array(c) for c in combinations(range(blocks), blocks - bits)]
+    buckets = buckets or _buckets(prints, len(chosen))
     width = 64 // blocks // 2 * 2
 
     def filed(prints: list[np.ndarray]) -> pd.DataFrame:
@@ -183,7 +189,7 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: in
         pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return prints.select("fp").mapInPandas(cells, "bucket int, data binary").groupBy("bucket").applyInPandas(search, "a long, b long")
+    return prints.select("fp").mapInPandas(cells, "bucket int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -213,15 +219,18 @@ def _spanning(fp: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int = FORESTS, buckets: int | None = None) -> DataFrame:
+def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int = FORESTS, grids: list[int] | None = None) -> DataFrame:
     """(a1, a2, b1, b2): short edges between distinct pairs of fingerprints (columns f1, f2) that differ in at most `bits` of 128 bits.
 
-    What shares the bit counts of `fixed` of the `blocks` groups of either fingerprint meets in a cell.
+    What shares the bit counts of `fixed` of the `blocks` groups of either fingerprint meets in a cell; `grids`: the numbers of the
+    combinations to use, all if there are none. Fingerprints with the same `part` (0: none) are connected already: no edge
+    is sent within a part, and a forest connects parts.
     """
-    buckets = buckets or max(16, 2 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = 64 // blocks // 2 * 2
     masks = np.array([sum(((1 << width) - 1) << (width * g) for g in groups) for groups in combinations(range(blocks), fixed)], dtype=np.uint64)
-    cells_a_row = 2 * len(masks)
+    used = range(2 * len(masks)) if grids is None else [side * len(masks) + g for side in (0, 1) for g in grids]
+    prints = prints.groupBy("f1", "f2").agg(F.max("part").alias("part"))
+    buckets = _buckets(prints, len(used))
 
     def keys(fp: np.ndarray, grid: np.ndarray) -> np.ndarray:
         side = grid >= len(masks)
@@ -231,17 +240,17 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
     def filed(held: list[np.ndarray]) -> pd.DataFrame:
         """One row a bucket: the fingerprints in it, each with the number of the grid that put it there."""
         fp = np.concatenate(held)
-        bucket = np.concatenate([((keys(fp, np.full(len(fp), g)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32) for g in range(cells_a_row)])
-        order = np.argsort(bucket, kind="stable")
+        bucket = np.concatenate([((keys(fp, np.full(len(fp), g)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32) for g in used])
+        order, numbers = np.argsort(bucket, kind="stable"), np.array(used, dtype=np.uint16)
         parts = [p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
-        return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts], "grid": [(p // len(fp)).astype(np.uint16).tobytes() for p in parts], "data": [fp[p % len(fp)].tobytes() for p in parts]})
+        return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts], "grid": [numbers[p // len(fp)].tobytes() for p in parts], "data": [fp[p % len(fp)].tobytes() for p in parts]})
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for batch in batches:
-            held.append(batch[["f1", "f2"]].to_numpy(np.int64).view(np.uint64))
+            held.append(batch[["f1", "f2", "part"]].to_numpy(np.int64).view(np.uint64))
             n += len(batch)
-            if n * cells_a_row >= HELD:
+            if n * len(used) >= HELD:
                 yield filed(held)
                 held, n = [], 0
         if n:
@@ -249,7 +258,7 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.concatenate([np.frombuffer(g, dtype=np.uint16) for g in pdf["grid"]]).astype(np.int64)
-        fp = np.concatenate([np.frombuffer(d, dtype=np.uint64).reshape(-1, 2) for d in pdf["data"]])
+        fp = np.concatenate([np.frombuffer(d, dtype=np.uint64).reshape(-1, 3) for d in pdf["data"]])
         key = keys(fp, grid)
         order = np.lexsort((fp[:, 1], fp[:, 0], key))
         key, fp = key[order], np.ascontiguousarray(fp[order])
@@ -257,18 +266,21 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
         sizes = np.diff(starts)
         found = [np.array([(d, a + i, a + j) for d, i, j in _spanning(fp[a:b], bits)], dtype=np.int64).reshape(-1, 3) for a, b in zip(starts[:-1][sizes > SMALL], starts[1:][sizes > SMALL])]
         # Small cells are compared all at once, each fingerprint with the one `by` places on.
-        end, at, (one, two) = np.repeat(np.where(sizes > SMALL, 0, starts[1:]), sizes), np.arange(len(fp)), np.ascontiguousarray(fp.T)
+        end, at, (one, two, part) = np.repeat(np.where(sizes > SMALL, 0, starts[1:]), sizes), np.arange(len(fp)), np.ascontiguousarray(fp.T)
         for by in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
             at = at[at + by < end[at]]
             d = np.bitwise_count(one[at] ^ one[at + by]) + np.bitwise_count(two[at] ^ two[at + by])
-            near = d <= bits
+            near = (d <= bits) & ((part[at] != part[at + by]) | (part[at] == 0))
             found.append(np.stack([d[near].astype(np.int64), at[near], at[near] + by], axis=1))
         pairs = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found])
         nodes, where = np.unique(fp[pairs[:, 1:].ravel()], axis=0, return_inverse=True)
         pairs = np.unique(np.column_stack([pairs[:, 0], np.sort(where.reshape(-1, 2), axis=1)]), axis=0)
-        out, rest = [], pairs[pairs[:, 1] != pairs[:, 2]].tolist()  # shortest first
+        # What is connected already counts as one node, named after the first of it.
+        _, named, home = np.unique(np.where(nodes[:, 2] > 0, nodes[:, 2], np.arange(len(nodes), dtype=np.uint64) + (np.uint64(1) << np.uint64(63))), return_index=True, return_inverse=True)
+        home = named[home]
+        out, rest = [], pairs[home[pairs[:, 1]] != home[pairs[:, 2]]].tolist()  # shortest first
         for _ in range(forests):
-            root, later = list(range(len(nodes))), []
+            root, later = home.tolist(), []
             for edge in rest:
                 x, y = edge[1:]
                 while root[x] != x:
@@ -282,9 +294,9 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
                     out.append(edge)
             rest = later
         ends = np.array(out, dtype=np.int64).reshape(-1, 3)
-        return pd.DataFrame(np.concatenate([nodes[ends[:, 1]], nodes[ends[:, 2]]], axis=1).view(np.int64), columns=["a1", "a2", "b1", "b2"])
+        return pd.DataFrame(np.concatenate([nodes[ends[:, 1], :2], nodes[ends[:, 2], :2]], axis=1).view(np.int64), columns=["a1", "a2", "b1", "b2"])
 
-    filled = prints.select("f1", "f2").distinct().mapInPandas(cells, "bucket int, grid binary, data binary")
+    filled = prints.mapInPandas(cells, "bucket int, grid binary, data binary").repartition(buckets, "bucket")
     return filled.groupBy("bucket").applyInPandas(search, "a1 long, a2 long, b1 long, b2 long").distinct()
 
 
@@ -307,16 +319,29 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     nodes = rows.groupBy("set").agg(F.min("id").alias("least"), F.min("whole").alias("whole"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
     first = nodes.groupBy("f1", "f2").agg(F.min("set").alias("first"))
     ends = [first.select(F.col("f1").alias(f"{e}1"), F.col("f2").alias(f"{e}2"), F.col("first").alias(e)) for e in "ab"]
-    edges = close(rows, bits, fixed, blocks).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
+
+    def linked(edges: DataFrame) -> DataFrame:
+        """The (a, b) edges between sets of shingles that are as similar as asked."""
+        edges = written(edges, "candidates")
+        wanted = edges.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(nodes.select("set", "whole"), "set")
+        texts = docs.select(whole.alias("whole"), F.col(text).alias("text")).join(wanted, "whole").groupBy("set").agg(F.first("text").alias("text"))
+        sets = written(texts.select("set", shingled("text").alias("shingles")), "sets")
+        both = edges.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return written(both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
+
+    def candidates(prints: DataFrame, **how) -> DataFrame:
+        return close(prints, bits, fixed, blocks, **how).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
+
     # Different sets with the same fingerprints are held against the first of them.
-    edges = written(edges.unionByName(nodes.join(first, ["f1", "f2"]).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))), "candidates")
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(nodes.select("set", "whole"), "set")
-    sets = docs.select(whole.alias("whole"), F.col(text).alias("text")).join(wanted, "whole").groupBy("set").agg(F.first("text").alias("text"))
-    sets = written(sets.select("set", shingled("text").alias("shingles")), "sets")
-    both = edges.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    roots = components(linked)
+    equal = nodes.join(first, ["f1", "f2"]).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    # A few grids link the dense groups first; all grids then only connect what those left apart.
+    apart = [n for n, groups in enumerate(combinations(range(blocks), fixed)) if groups[0] % fixed == 0 and groups[-1] == groups[0] + fixed - 1]
+    dense = linked(candidates(first.select("f1", "f2", F.lit(0).cast("long").alias("part")), forests=1, grids=apart).unionByName(equal))
+    roots = components(dense)
+    parts = roots.select("a", F.col("b").alias("part")).unionByName(roots.select(F.col("b").alias("a"), F.col("b").alias("part")).distinct())
+    marked = written(first.join(parts, F.col("first") == F.col("a"), "left").select("f1", "f2", F.coalesce("part", F.lit(0)).alias("part")), "parts")
+    roots = components(dense.unionByName(linked(candidates(marked))))
     named = nodes.join(roots.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     return rows.join(named.join(smallest, "root").select("set", "component"), "set").select(F.col("id").alias(id), "component")

@@ -149,6 +149,8 @@ def test_dense_cells_and_chains(spark):
     assert len(edges) == 40
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {(x.a, x.b) for x in graph.components(chain).collect()} == {(i, 0) for i in range(1, 201)}
+    with pytest.raises(RuntimeError, match="not finished"):
+        graph.components(chain, rounds=2)
 
 
 # ---- repeats of words and bytes
