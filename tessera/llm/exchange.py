@@ -70,29 +70,30 @@ class Names:
     other length after the two ranges of the largest power of two that cover it, and the length.
 
     Pairs are mixed at each step, so that no name is a sum over the values: sequences that a polynomial modulo 2 ** 64 cannot tell
-    apart have different names. Ranges are meant to be short; whole documents are told apart by `digest`.
+    apart have different names. Only one level is held at a time, so lengths are asked for in ascending order. Ranges are meant
+    to be short; whole documents are told apart by `digest`.
     """
 
     first, second, third = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
     block = 1 << 15
 
-    def __init__(self, values: np.ndarray, lengths):
-        """`lengths`: those of the ranges that will be asked for."""
-        keep, k, now = {1 << (int(n).bit_length() - 1) for n in lengths}, 1, values
-        self.levels = {1: values} if 1 in keep else {}
-        while 2 * k <= max(keep, default=1):
-            now = self.pairs(now[: max(0, len(now) - k)], now[k:])
-            k *= 2
-            if k in keep:
-                self.levels[k] = now
-
-    def pairs(self, a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
-        out = np.empty(len(a), dtype=np.uint64)
-        for at in range(0, len(a), self.block):  # pieces that stay in the cache
-            x = a[at : at + self.block] * self.first
-            x += b[at : at + self.block]
-            if salt:
-                x += np.uint64(salt & (2**64 - 1))
+    def __init__(self, values: np.ndarray):
+        self.size, self.level = 1, values
+
+    def up_to(self, n: int) -> Names:
+        """The level that names ranges of n values."""
+        while 2 * self.size <= n:
+            count = max(0, len(self.level) - self.size)
+            self.level, self.size = self._pairs(count, lambda a, b: (self.level[a:b], self.level[self.size + a : self.size + b]), 0), 2 * self.size
+        return self
+
+    def _pairs(self, count: int, halves: Callable[[int, int], tuple], salt: int) -> np.ndarray:
+        out = np.empty(count, dtype=np.uint64)
+        for at in range(0, count, self.block):  # pieces that stay in the cache
+            one, two = halves(at, min(count, at + self.block))
+            x = one * self.first
+            x += two
+            x += np.uint64(salt & (2**64 - 1))
             x ^= x >> np.uint64(32)
             x *= self.second
             x ^= x >> np.uint64(29)
@@ -101,19 +102,25 @@ class Names:
 
     def every(self, n: int, salt: int = 0) -> np.ndarray:
         """The names of the ranges of n values that start at each place."""
-        k = 1 << (n.bit_length() - 1)
-        level = self.levels[k]
-        size = max(0, len(level) - (n - k))
-        return self.pairs(level[:size], level[n - k : n - k + size], salt=n * int(self.third) + salt)
-
-    def ranges(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-        """The names of the ranges from starts to ends, none of them empty."""
-        out, n = np.zeros(len(starts), dtype=np.uint64), ends - starts
-        for k, level in self.levels.items():
-            of = np.flatnonzero((n >= k) & (n < 2 * k))
+        self.up_to(n)
+        by = n - self.size
+        return self._pairs(max(0, len(self.level) - by), lambda a, b: (self.level[a:b], self.level[by + a : by + b]), n * int(self.third) + salt)
+
+    def ranges(self, starts: np.ndarray, lengths: np.ndarray, salt: int = 0) -> np.ndarray:
+        """The names of ranges by their starts and lengths, all of which this level names."""
+        back = lengths - self.size
+        return self._pairs(len(starts), lambda a, b: (self.level[starts[a:b]], self.level[starts[a:b] + back[a:b]] + lengths[a:b].astype(np.uint64) * self.third), salt)
+
+    def each(self, starts: np.ndarray, lengths: np.ndarray, salt: int = 0) -> np.ndarray:
+        """The names of ranges of any lengths from this level up."""
+        out, most = np.zeros(len(starts), dtype=np.uint64), int(lengths.max(initial=0))
+        while True:
+            of = np.flatnonzero((lengths >= self.size) & (lengths < 2 * self.size))
             if len(of):
-                out[of] = self.pairs(level[starts[of]], level[ends[of] - k] + n[of].astype(np.uint64) * self.third, salt)
-        return out
+                out[of] = self.ranges(starts[of], lengths[of], salt)
+            if 2 * self.size > most:
+                return out
+            self.up_to(2 * self.size)
 
 
 def digest(data: bytes) -> bytes:

@@ -34,22 +34,20 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 class Words:
     """The words of a batch: names, documents and places."""
 
-    def __init__(self, batch: Batch, run: int):
+    def __init__(self, batch: Batch):
         # One space after each document keeps its last word from meeting the next.
         text = b" ".join(batch.documents()) + b" "
         raw = np.frombuffer(text, dtype=np.uint8)
         edge = np.diff(np.concatenate(([True], _SPACE[raw])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         size = ends - starts
-        names = Names(_BYTES[raw], 1 << np.arange(int(min(size.max(initial=1), LONG)).bit_length()))
-        self.name = names.ranges(starts, ends)
+        self.name = Names(_BYTES[raw]).each(starts, np.minimum(size, LONG))
         for i in np.flatnonzero(size > LONG).tolist():
             self.name[i] = int.from_bytes(digest(text[starts[i] : ends[i]])[:8], "little")
         begin = batch.bounds[:-1] + np.arange(len(batch.ids))
         self.doc = np.searchsorted(begin, starts, side="right") - 1
         self.count = np.bincount(self.doc, minlength=len(batch.ids))
         self.first = np.concatenate(([0], np.cumsum(self.count)))
-        self.names = Names(self.name, (run // 2, run))
 
     def runs(self, n: int) -> np.ndarray:
         """Where runs of n words of one document start."""
@@ -65,13 +63,13 @@ def whole(batch: Batch, which: np.ndarray) -> list[bytes]:
 
 def _block_keys(w: Words, block: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     starts = w.runs(block)
-    h = w.names.every(block)[starts]
+    h = Names(w.name).every(block)[starts]
     return starts, (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
 def _probe(number: int, batch: Batch, run: int, buckets: int) -> list[tuple]:
     """Sends the distinct window keys of a batch with two bits each: is it a block here, and do several documents have it."""
-    w, block = Words(batch, run), run // 2
+    w, block = Words(batch), run // 2
     starts, key = _block_keys(w, block, buckets)
     doc = w.doc[starts]
     is_block = ((starts - w.first[doc]) % block == 0).astype(np.uint64)
@@ -114,7 +112,7 @@ def _hit_blocks(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
 
 def _extend(number: int, batch: Batch, said: dict, run: int, buckets: int) -> pd.DataFrame:
     """Sends the runs around each hit with their documents."""
-    w, block, out = Words(batch, run), run // 2, []
+    w, block, out = Words(batch), run // 2, []
     hits = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | unsqueezed(d, np.uint32)[0].astype(np.uint64) for b, d in said.get(BLOCK_KEYS, [])] or [np.zeros(0, np.uint64)]))
     if len(hits) and len(w.name):
         starts, key = _block_keys(w, block, buckets)
@@ -126,7 +124,7 @@ def _extend(number: int, batch: Batch, said: dict, run: int, buckets: int) -> pd
         runs = w.runs(run)
         runs = runs[np.cumsum(near)[runs] > 0]
         runs = runs[~_copies(w, batch, said, run)[w.doc[runs]]]
-        out = owner_rows(number, RUN_KEYS, w.names.every(run)[runs], batch.ids[w.doc[runs]], buckets)
+        out = owner_rows(number, RUN_KEYS, Names(w.name).every(run)[runs], batch.ids[w.doc[runs]], buckets)
     return pd.DataFrame(out, columns=["bucket", "batch", "kind", "data"])
 
 
@@ -137,10 +135,10 @@ def _copies(w: Words, batch: Batch, said: dict, run: int) -> np.ndarray:
 
 def removed(batch: Batch, said: dict, run: int) -> tuple[Words, np.ndarray]:
     """The words of a batch and which of them go."""
-    w = Words(batch, run)
+    w = Words(batch)
     runs = w.runs(run)
     keys, least = answers(d for _, d in said.get(RUN_KEYS, []))
-    at, to = look_up(w.names.every(run)[runs], keys)
+    at, to = look_up(Names(w.name).every(run)[runs], keys)
     start = runs[at]
     start = start[least[to] < batch.ids[w.doc[start]]]
     cover = np.zeros(len(w.name) + 1, dtype=np.int64)

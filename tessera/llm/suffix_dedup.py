@@ -35,28 +35,22 @@ _PLACE = 31
 
 
 class Suffixes:
-    """The chosen positions of a batch: at, and the runs from `low` to `high` that picked each."""
+    """The chosen positions of a batch: at, the runs from `low` to `high` that picked each, and the ranks of their contexts.
+
+    `full` is the rank of a position's full context, which includes where in it the position is. `ranks` are those of half contexts, to
+    the right for runs that start near the position, to the left for the others, and `of` the position of each.
+    """
 
     def __init__(self, batch: Batch, run: int):
         self.raw = np.frombuffer(batch.text, dtype=np.uint8)
         n = len(self.raw)
         self.bounds, self.run = batch.bounds, run
-        reach = (run - GRAM) // 2
-        self.names = Names(_BYTES[self.raw], (GRAM, run - reach, reach + GRAM, *range(run, 2 * run)))
-        self.at = self.low = self.high = self.doc = np.zeros(0, dtype=np.int64)
+        self.at = self.low = self.high = self.doc = self.of = np.zeros(0, dtype=np.int64)
+        self.full = self.ranks = np.zeros(0, dtype=np.uint64)
         if n < run:
             return
-        mask = np.uint64((1 << _PLACE) - 1)
-        # The place counts down in the low bits, so the rightmost of equal names is the smallest.
-        least = self.names.every(GRAM)
-        least &= ~mask
-        least |= np.arange((1 << _PLACE) - 1, (1 << _PLACE) - 1 - len(least), -1, dtype=np.uint64)
-        width, have = run - GRAM + 1, 1
-        while 2 * have <= width:
-            least = np.minimum(least[:-have], least[have:])
-            have *= 2
-        picked = np.minimum(least[: n - run + 1], least[width - have : width - have + n - run + 1])
-        picked &= mask
+        names = Names(_BYTES[self.raw])
+        picked = self._picked(names.every(GRAM))
         across = np.uint64(1 << 40)
         for end in self.bounds[1:-1].tolist():  # no run reaches into the next document
             picked[max(0, end - run + 1) : end] = across
@@ -65,20 +59,33 @@ class Suffixes:
         inside = picked[first] != across
         self.low, self.high = first[inside], last[inside]
         self.at = ((1 << _PLACE) - 1) - picked[self.low].astype(np.int64)
+        del picked, first, last
         self.doc = np.searchsorted(self.bounds, self.at, side="right") - 1
+        reach = (run - GRAM) // 2
+        left, right = np.flatnonzero(self.low <= self.at - reach), np.flatnonzero(self.high >= self.at - reach)
+        sides = [names.up_to(k).ranges(at, np.full(len(at), k), salt) for at, k, salt in ((self.at[left] - reach, reach + GRAM, 5), (self.at[right], run - reach, 3))]
+        self.ranks, self.of = np.concatenate(sides[::-1]), np.concatenate([right, left])
+        self.whole_runs = Names(names.up_to(run).level)
+        self.whole_runs.size = names.size
+        self.full = mix(names.each(self.low, self.high - self.low + run, salt=2) + (self.at - self.low).astype(np.uint64))
+
+    def _picked(self, least: np.ndarray) -> np.ndarray:
+        """For each run the place of the smallest name in it, counted down."""
+        mask, run = np.uint64((1 << _PLACE) - 1), self.run
+        # The place counts down in the low bits, so the rightmost of equal names is the smallest.
+        least &= ~mask
+        least |= np.arange((1 << _PLACE) - 1, (1 << _PLACE) - 1 - len(least), -1, dtype=np.uint64)
+        n, width, have = len(least) + GRAM - 1, run - GRAM + 1, 1
+        while 2 * have <= width:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        picked = np.minimum(least[: n - run + 1], least[width - have : width - have + n - run + 1])
+        picked &= mask
+        return picked
 
-    def full(self) -> np.ndarray:
-        """The rank of each position's full context, which includes where in it the position is."""
-        return mix(self.names.ranges(self.low, self.high + self.run, salt=2) + (self.at - self.low).astype(np.uint64))
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Half contexts as (rank, position's number): to the right for runs that start near it, to the left for the others."""
-        reach = (self.run - GRAM) // 2
-        right = np.flatnonzero(self.high >= self.at - reach)
-        left = np.flatnonzero(self.low <= self.at - reach)
-        a, b = self.at[right], self.at[left]
-        ranks = np.concatenate([self.names.ranges(a, a + self.run - reach, salt=3), self.names.ranges(b - reach, b + GRAM, salt=5)])
-        return ranks, np.concatenate([right, left])
+    def runs(self, starts: np.ndarray) -> np.ndarray:
+        """The ranks of single runs."""
+        return self.whole_runs.ranges(starts, np.full(len(starts), self.run), salt=7) if len(starts) else np.zeros(0, dtype=np.uint64)
 
 
 def _keys(ranks: np.ndarray, buckets: int) -> np.ndarray:
@@ -93,9 +100,8 @@ def whole(batch: Batch, which: np.ndarray) -> list[bytes]:
 def _send_contexts(number: int, batch: Batch, run: int, buckets: int) -> list[tuple]:
     """Sends distinct (rank, 40 bits of the full context) pairs and if several documents of the batch have them."""
     s = Suffixes(batch, run)
-    ranks, of = s.contexts()
-    key, tag = _keys(ranks, buckets), (s.full() >> np.uint64(24))[of]
-    doc = s.doc[of]
+    key, tag = _keys(s.ranks, buckets), (s.full >> np.uint64(24))[s.of]
+    doc = s.doc[s.of]
     order = np.lexsort((doc, tag, key))
     key, tag, doc, out = key[order], tag[order], doc[order], []
     if len(key):
@@ -135,12 +141,11 @@ def _rank_contexts(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
 def _followed(s: Suffixes, said: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Which positions aren't unique yet, and which are at borders."""
     shared, border = np.zeros(len(s.at), dtype=bool), np.zeros(len(s.at), dtype=bool)
-    ranks, of = s.contexts()
-    key = _keys(ranks, buckets)
+    key = _keys(s.ranks, buckets)
     for kind, flags in ((CONTEXT_KEYS, (shared,)), (BORDER_KEYS, (shared, border))):
         keys = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | unsqueezed(d, np.uint32)[0].astype(np.uint64) for b, d in said.get(kind, [])] or [np.zeros(0, np.uint64)]))
         if len(keys) and len(key):
-            hit = of[keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key]
+            hit = s.of[keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key]
             for f in flags:
                 f[hit] = True
     return shared, border
@@ -163,10 +168,10 @@ def _send_repeats(number: int, batch: Batch, said: dict, run: int, buckets: int)
     s = Suffixes(batch, run)
     shared, border = _followed(s, said, buckets)
     alive = ~_copies(batch, said, run)[s.doc]
-    full = s.full()[shared & alive]
+    full = s.full[shared & alive]
     starts = _runs_of(s, np.flatnonzero(border & alive))
     doc = np.searchsorted(s.bounds, starts, side="right") - 1
-    keys = np.concatenate([full, s.names.ranges(starts, starts + run, salt=7)])
+    keys = np.concatenate([full, s.runs(starts)])
     ids = np.concatenate([batch.ids[s.doc[shared & alive]], batch.ids[doc]])
     return pd.DataFrame(owner_rows(number, REPEAT_KEYS, keys, ids, buckets), columns=["bucket", "batch", "kind", "data"])
 
@@ -174,15 +179,15 @@ def _send_repeats(number: int, batch: Batch, said: dict, run: int, buckets: int)
 def removed(batch: Batch, said: dict, run: int, buckets: int) -> tuple[Suffixes, np.ndarray]:
     """The bytes of a batch that go."""
     s = Suffixes(batch, run)
-    cover = np.zeros(len(s.raw) + 1, dtype=np.int64)
+    cover = np.zeros(len(s.raw) + 1, dtype=np.int32)
     keys, least = answers(d for _, d in said.get(REPEAT_KEYS, []))
-    at, to = look_up(s.full(), keys)
+    at, to = look_up(s.full, keys)
     at = at[least[to] < batch.ids[s.doc[at]]]
     np.add.at(cover, s.low[at], 1)
     np.add.at(cover, s.high[at] + run, -1)
     _, border = _followed(s, said, buckets)
     starts = _runs_of(s, np.flatnonzero(border))
-    at, to = look_up(s.names.ranges(starts, starts + run, salt=7), keys)
+    at, to = look_up(s.runs(starts), keys)
     starts = starts[at]
     starts = starts[least[to] < batch.ids[np.searchsorted(s.bounds, starts, side="right") - 1]]
     np.add.at(cover, starts, 1)
