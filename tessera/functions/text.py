@@ -127,20 +127,28 @@ def signature_tokens(signature: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(signature, F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), identifier_tokens)))
 
 
-def body_tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def _accented() -> tuple[str, str]:
+    """The letters that are one base letter and marks in canonical decomposition, and their base letters."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def folded_tokens(texts: pd.Series) -> pd.Series:
-    """As `body_tokens`, without diacritics."""
+_ACCENTED = _accented()
 
-    def one(t):
-        plain = "".join(c for c in unicodedata.normalize("NFD", (t or "").lower()) if not unicodedata.combining(c))
-        return re.findall(r"[^\W_]+", plain)
 
-    return texts.map(one)
+def without_accents(text: Column) -> Column:
+    """Base letters for accented ones up to U+1FFF, marks that stand alone removed; built-in functions only."""
+    plain = F.regexp_replace(F.translate(text, *_ACCENTED), r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(plain)
+
+
+def body_tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits without diacritics."""
+    return F.filter(F.split(without_accents(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 # ---- measures

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 DIMS = 256
-#: Query vectors are compared in blocks of at most so many, which bounds what is broadcast.
-BLOCK = 4096
+#: About so many query vectors make a block, and so many points a chunk.
+BLOCK, CHUNK = 4096, 16_384
+#: Blocks of queries are broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,60 +38,77 @@ def negative_l2(a: Column, b: Column) -> Column:
 METRICS = {"dot": dot, "cosine": cosine, "l2": negative_l2}
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector", digits: int = 6) -> DataFrame:
+def _chunks(vectors: DataFrame, id: str, vector: str, rows: int) -> DataFrame:
+    """(ids, dims, data) of up to `rows` vectors of one dimension that a task read together, as one matrix."""
+
+    def packing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def matrices() -> Iterator[pd.DataFrame]:
+            both = pd.concat(held)
+            size = both["v"].map(len).to_numpy()
+            for dims in np.unique(size):
+                part = both[size == dims]
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "dims": [int(dims)], "data": [np.stack(part["v"].tolist()).astype(np.float64).tobytes()]})
+
+        for frame in frames:
+            held.append(frame.dropna(subset=["v"]))
+            if sum(map(len, held)) >= rows:
+                yield from matrices()
+                held = []
+        if sum(map(len, held)):
+            yield from matrices()
+
+    kind = dict(vectors.dtypes)[id]
+    return vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")).mapInPandas(packing, f"ids array<{kind}>, dims int, data binary")
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best scores, ties by the smaller id."""
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector", digits: int = 6, chunk: int = CHUNK) -> DataFrame:
     """(query, id, score, rank): the exact k nearest of each query, by (score, id).
 
-    Every task scores its points against a block of queries with matrix products and sends only its own k best of each query,
-    so what is shuffled is k rows a query and task. A dimension that differs from the queries' is an error.
+    Points and queries are packed into matrices inside tasks. Every block of queries meets every chunk of points once, by a product of
+    the two, and only the chunk's k best of each query go on, so what is shuffled is k rows a query and chunk. The blocks are
+    broadcast where all of them fit `BROADCAST_BYTES`; else the chunks are dealt to them by a shuffled join. Rows without a
+    vector are not found and ask nothing; a dimension that differs from the queries' is an error.
     """
-    asked = queries.select(F.col(query).alias("q"), F.col(query_vector).alias("v")).orderBy("q").toLocalIterator()
-    best = None
-    block: list = []
-
-    def score(block: list) -> DataFrame:
-        qid = [r["q"] for r in block]
-        qv = np.array([r["v"] for r in block], dtype=np.float64)
-
-        def scored(frames):
-            held = None
-            for f in frames:
-                if not len(f):
-                    continue
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in f["v"]])
-                if x.shape[1] != qv.shape[1]:
-                    raise ValueError(f"dimension {x.shape[1]} differs from the queries' {qv.shape[1]}")
+    asked = _chunks(queries, query, query_vector, BLOCK).select(F.col("ids").alias("asked"), F.col("dims").alias("asked_dims"), F.col("data").alias("asked_data")).persist()
+    size, blocks = asked.agg(F.coalesce(F.sum(F.octet_length("asked_data")), F.lit(0)), F.count("*")).first()
+    kinds = dict(queries.dtypes)[query], dict(points.dtypes)[id]
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if row.dims != row.asked_dims:
+                    raise ValueError(f"dimension {row.dims} differs from the queries' {row.asked_dims}")
+                x, q = (np.frombuffer(d).reshape(-1, row.dims) for d in (row.data, row.asked_data))
                 if metric == "l2":
-                    s = -np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (qv * qv).sum(1)[None]) - 2 * x @ qv.T, 0))
+                    s = -np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (q * q).sum(1)[None]) - 2 * x @ q.T, 0))
                 else:
-                    s = x @ qv.T
+                    s = x @ q.T
                     if metric == "cosine":
-                        n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(qv, axis=1)[None]
+                        n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
                         s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
-                s = np.round(s, digits) + 0.0
-                ids = f["id"].to_numpy()
-                rows = []
-                for j in range(len(qid)):
-                    pick = np.lexsort((ids, -s[:, j]))[:k]
-                    rows.append(pd.DataFrame({"q": qid[j], "id": ids[pick], "score": s[pick, j]}))
-                both = pd.concat(([held] if held is not None else []) + rows)
-                held = both.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-            if held is not None:
-                yield held
-
-        kind = dict(points.dtypes)[id], dict(queries.dtypes)[query]
-        return points.select(F.col(id).alias("id"), F.col(vector).alias("v")).mapInPandas(scored, f"q {kind[1]}, id {kind[0]}, score double")
-
-    for row in asked:
-        block.append(row)
-        if len(block) == BLOCK:
-            best, block = score(block) if best is None else best.unionByName(score(block)), []
-    if block:
-        best = score(block) if best is None else best.unionByName(score(block))
-    if best is None:
-        return points.select(F.lit(None).cast(dict(queries.dtypes)[query]).alias(query), id, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+                s, ids = np.round(s, digits) + 0.0, np.asarray(row.ids)
+                picks = [_best(s[:, j], ids, k) for j in range(len(q))]
+                yield pd.DataFrame({"q": np.repeat(np.asarray(row.asked), [len(p) for p in picks]), "id": ids[np.concatenate(picks)], "score": np.concatenate([s[p, j] for j, p in enumerate(picks)])})
+
+    # One matrix of either side a row, so few rows make a batch.
+    packed = _chunks(points, id, vector, chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
+    numbered = asked.withColumn("block", (F.row_number().over(W.orderBy(F.element_at("asked", 1))) - 1).cast("int"))  # a row for each block
+    both = packed.join(F.broadcast(numbered) if size <= BROADCAST_BYTES else numbered, "block")
     from tessera.operators.lexical import top
 
-    return top(best, k, "q", "id").select(F.col("q").alias(query), F.col("id").alias(id), "score", "rank")
+    found = both.mapInPandas(scored, f"q {kinds[0]}, id {kinds[1]}, score double")
+    return top(found, k, "q", "id").select(F.col("q").alias(query), F.col("id").alias(id), "score", "rank")
 
 
 def upsert(points: DataFrame, changes: DataFrame, id: str = "vec_id", version: str = "version") -> DataFrame:

@@ -61,12 +61,15 @@ def file_context(units: DataFrame, skipped: DataFrame, path: str) -> DataFrame:
 # ---- recall
 
 
-def recall(candidates: DataFrame, lexical: DataFrame, dense: DataFrame, budget: int, cost: Column, id: str = "entry_id") -> DataFrame:
+def recall(candidates: DataFrame, lexical: DataFrame, dense: DataFrame, budget: int, cost: Column, id: str = "entry_id", least: int = 8) -> DataFrame:
     """All candidates by (score, newest, id), unscored ones with 0, up to the first that would overflow the budget.
 
-    The running cost needs one order over all candidates of a call; a call's candidates are bounded by its scopes' cap.
+    An entry costs `least` at least, so no more than budget / least of them fit: the best of those many are found by a distributed
+    top-k, and the running cost needs an order over them alone.
     """
     fused = rrf(lexical.withColumn("q", F.lit(0)), dense.withColumn("q", F.lit(0)), id=id, query="q", weights=(1.0, 1.0)).select(id, "score")
-    w = W.orderBy(F.desc("score"), F.desc("created_at"), F.asc(id))
+    order = (F.desc("score"), F.desc("created_at"), F.asc(id))
+    w = W.orderBy(*order)
     rows = candidates.join(fused, id, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("cost", cost)
-    return rows.withColumn("spent", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w)).filter(F.col("spent") <= budget)
+    best = rows.orderBy(*order).limit(budget // least + 1)
+    return best.withColumn("spent", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w)).filter(F.col("spent") <= budget)
