@@ -277,8 +277,9 @@ def recall_line(text: Column, cap: int = 1024) -> Column:
     return utf8_cut(F.replace(out, F.lit("</memory"), F.lit("<\\/memory")), cap)
 
 
-def recall_block(entries: DataFrame, scope: str, rank: str = "rank") -> DataFrame:
-    """One row: the entries (kind, state, confidence, text) of a recall, in order, as a block of text; none: the empty text.
+def recall_block(entries: DataFrame, scope: str, rank: str = "rank", by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each recall that `by` names: its entries (kind, state, confidence, text), in order, as a block of text; none:
+    the empty text.
 
     The block is a prompt, so the token budget that chose the entries bounds it.
     """
@@ -286,7 +287,7 @@ def recall_block(entries: DataFrame, scope: str, rank: str = "rank") -> DataFram
     said = F.format_string("%d. [%s|%s|c=%.2f|len=%d] %s\n", F.col(rank).cast("int"), "kind", "state", "confidence", F.octet_length(line), line)
     lines = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), said.alias("line"))))
     head = F.concat(F.lit("<memory v=1 n="), F.count("*").cast("string"), F.lit(f" scope={scope}>\n"))
-    return entries.agg(F.when(F.count("*") > 0, F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("</memory>\n"))).otherwise("").alias("block"))
+    return entries.groupBy(*(by or [])).agg(F.when(F.count("*") > 0, F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("</memory>\n"))).otherwise("").alias("block"))
 
 
 def context_text(path: Column, kind: Column, name: Column, doc: Column, signature: Column, code: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MAX_CHUNK = 2048
 SCHEMA = "path string, ordinal int, kind string, name string, qualified string, start int, end int, parent int, part int"
@@ -93,14 +94,51 @@ def chunk(files: DataFrame, path: str = "path", text: str = "text", kind: str =
 # ---- finishing units
 
 
+class Enclosing:
+    """Walks spans in order of (start, -end) and tells the smallest earlier one around each; only spans that are still open are held."""
+
+    def __init__(self):
+        self.open: list[tuple[int, int, int]] = []
+
+    def __call__(self, start: int, end: int, index: int) -> int | None:
+        self.open = [o for o in self.open if o[1] >= start]
+        around = [(y - x, -j) for x, y, j in self.open if y >= end and (x, y) != (start, end)]
+        self.open.append((start, end, index))
+        return -min(around)[1] if around else None
+
+
+def enclosing(spans: list[tuple[int, int]]) -> list[int | None]:
+    """For each span the number of the smallest one around it; equal spans enclose nothing, of equally long ones the later counts."""
+    walk, out = Enclosing(), [None] * len(spans)
+    for i in sorted(range(len(spans)), key=lambda i: (spans[i][0], -spans[i][1], i)):
+        out[i] = walk(*spans[i], i)
+    return out
+
+
 def parents(units: DataFrame, file: str = "path") -> DataFrame:
     """Each unit (index, start, end) with the index of the smallest unit that encloses it; equal spans enclose nothing, of equally
-    long ones the later counts. The join meets only units of one file."""
-    c, p = units.alias("c"), units.alias("p")
-    encloses = (F.col("p.start") <= F.col("c.start")) & (F.col("p.end") >= F.col("c.end")) & ((F.col("p.start") != F.col("c.start")) | (F.col("p.end") != F.col("c.end")))
-    best = F.min_by(F.col("p.index"), F.struct(F.col("p.end") - F.col("p.start"), -F.col("p.index")))
-    found = c.join(p, (F.col(f"c.{file}") == F.col(f"p.{file}")) & encloses).groupBy(F.col(f"c.{file}").alias(file), F.col("c.index").alias("index")).agg(best.alias("parent"))
-    return units.join(found, [file, "index"], "left")
+    long ones the later counts. Spark sorts the units of a file; a task walks them and holds the spans that are open."""
+    ordered = units.repartition(F.col(file)).sortWithinPartitions(file, "start", F.desc("end"), "index")
+
+    def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, walk = object(), Enclosing()
+        for f in frames:
+            found = []
+            for p, a, b, i in zip(f[file], f["start"], f["end"], f["index"]):
+                if p != who:
+                    who, walk = p, Enclosing()
+                found.append(walk(a, b, i))
+            yield f.assign(parent=pd.array(found, dtype="Int64"))
+
+    kind = dict(units.dtypes)["index"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in units.drop("parent").dtypes)
+    return ordered.drop("parent").mapInPandas(walked, f"{schema}, parent {kind}")
+
+
+def section_ends(marks: DataFrame, file: str = "path", start: str = "start", size: str = "size") -> DataFrame:
+    """Each section's end: the start of the next one of its file, or the file's size."""
+    following = F.lead(start).over(W.partitionBy(file).orderBy(start))
+    return marks.withColumn("end", F.coalesce(following, F.col(size)))
 
 
 def locator(pairs: Column) -> Column:

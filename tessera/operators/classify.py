@@ -32,9 +32,7 @@ def suffix(path: Column) -> Column:
 
 
 def is_binary(path: Column, content: Column) -> Column:
-    return suffix(path).isin(*BINARY) | (F.instr(F.hex(F.substring(content, 1, SNIFFED)), "00") > 0) & F.exists(
-        F.sequence(F.lit(1), F.greatest(F.least(F.octet_length(content), F.lit(SNIFFED)), F.lit(1))), lambda i: F.substr(content, i, F.lit(1)) == F.unhex(F.lit("00"))
-    )
+    return suffix(path).isin(*BINARY) | F.contains(F.substring(content, 1, SNIFFED), F.unhex(F.lit("00")))
 
 
 def is_lfs_pointer(text: Column) -> Column:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.chunk import enclosing
+
 UNITS = "path string, index int, kind string, name string, start int, end int, parent int, error boolean"
 REFERENCES = "path string, reference string, kind string"
 _ID = r"[A-Za-z_$][\w$]*"
@@ -131,11 +133,8 @@ def parse(text: str | None, language: str) -> tuple[list[tuple], list[tuple], bo
     else:
         units, refs = other_units(text, language)
     units = [("file", None, 0, len(text.encode())), *units]
-    out = []
-    for i, (kind, name, a, b) in enumerate(units):
-        around = [(y - x, -j) for j, (_, _, x, y) in enumerate(units) if x <= a and b <= y and (x, y) != (a, b)]
-        out.append((i, kind, name, a, b, -min(around)[1] if around else None))
-    return out, refs, ok
+    parent = enclosing([(a, b) for _, _, a, b in units])
+    return [(i, kind, name, a, b, parent[i]) for i, (kind, name, a, b) in enumerate(units)], refs, ok
 
 
 def units(files: DataFrame, path: str = "path", text: str = "text", language: str = "dialect") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.stats import range_counts
+
 TERMINAL = ("resolved", "retracted", "rejected", "superseded")
 # The legal transitions of each state machine; staying in a state is always legal.
 TRANSITIONS = {
@@ -125,13 +129,21 @@ def audit(changes: DataFrame, id: str = "entry_id", order: str = "at", seen: str
 
 
 def fold_candidates(candidates: DataFrame, key: Column, id: str = "candidate_id", evidence: str = "evidence") -> DataFrame:
-    """Per key the first candidate by (created_at, id), the ids of its copies and the evidence of all."""
+    """(survivor_id, duplicates, evidence): per key the first candidate by (created_at, id), how many copies it has, and all evidence.
+
+    Copies are counted where they lie before anything is shuffled, and `members` lists them a row each, so a key that a third of
+    the candidates share is never gathered; its distinct evidence is.
+    """
     rows = candidates.withColumn("_key", key)
-    w = W.partitionBy("_key").orderBy("created_at", id)
-    marked = rows.withColumn("_n", F.row_number().over(w)).withColumn("_first", F.first(id).over(w))
-    return marked.groupBy(F.col("_first").alias("survivor_id")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.col(id)))).alias("duplicates"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(evidence)))).alias("evidence")
-    )
+    folded = rows.groupBy("_key").agg(F.min_by(id, F.struct("created_at", id)).alias("survivor_id"), (F.count("*") - 1).alias("duplicates"))
+    proof = rows.select("_key", F.explode_outer(evidence).alias("e")).distinct().groupBy("_key").agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    return folded.join(proof, "_key").drop("_key")
+
+
+def members(candidates: DataFrame, key: Column, id: str = "candidate_id") -> DataFrame:
+    """(candidate, survivor_id): every candidate and the first one of its key, itself included."""
+    rows = candidates.withColumn("_key", key)
+    return rows.join(rows.groupBy("_key").agg(F.min_by(id, F.struct("created_at", id)).alias("survivor_id")), "_key").select(id, "survivor_id")
 
 
 DURABLE = ("fact", "decision", "convention", "procedure", "task")
@@ -210,10 +222,9 @@ def retry(runs: DataFrame, now_ms: int, build: str) -> DataFrame:
 
 
 def _observed(runs: DataFrame, envelopes: DataFrame, session: str) -> DataFrame:
-    """Runs and `observations`, the envelopes in their window; the join meets only rows of one session."""
-    e = envelopes.select(F.col(session).alias("_s"), "received_seq")
-    inside = runs.join(e, (F.col(session) == F.col("_s")) & F.col("received_seq").between(F.col("from_seq"), F.col("to_seq")), "left")
-    return inside.groupBy("run_id").agg(F.count("received_seq").alias("observations")).join(runs, "run_id")
+    """Runs and `observations`, the envelopes in their window."""
+    seen = range_counts(runs, envelopes, session, "from_seq", "to_seq", "received_seq", "run_id").withColumnRenamed("n", "observations")
+    return runs.join(seen, "run_id")
 
 
 def stuck_runs(runs: DataFrame, cursors: DataFrame, envelopes: DataFrame, build: str, attempts: int = 3, session: str = "session_id") -> DataFrame:
@@ -251,10 +262,28 @@ def pending_normalization(entries: DataFrame, done: DataFrame, version: int, now
 
 
 def purge(entries: DataFrame, evidence: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries and evidence without the entries named."""
     gone = ids.select("entry_id").distinct()
     return entries.join(gone, "entry_id", "left_anti"), evidence.join(gone, "entry_id", "left_anti")
 
 
+def purge_session(entries: DataFrame, evidence: DataFrame, envelopes: DataFrame, session: object) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries, evidence and envelopes without a session: its envelopes go, evidence that rests on them goes with them, and so do
+    entries that have no evidence left."""
+    gone = envelopes.filter(F.col("session_id") == F.lit(session)).select("event_id").distinct()
+    left = evidence.join(gone, "event_id", "left_anti")
+    had = evidence.join(gone, "event_id", "left_semi").select("entry_id").distinct()
+    orphans = had.join(left.select("entry_id").distinct(), "entry_id", "left_anti")
+    return entries.join(orphans, "entry_id", "left_anti"), left.join(orphans, "entry_id", "left_anti"), envelopes.filter(~F.col("session_id").eqNullSafe(F.lit(session)))
+
+
+def purge_preview(before: dict[str, DataFrame], after: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(name, rows, gone) of each table: what a purge would delete; without `after`, of everything."""
+    counted = lambda name, table, rows, gone: table.agg(F.lit(name).alias("name"), (F.count("*") * rows).alias("rows"), (F.count("*") * gone).alias("gone"))
+    parts = [counted(name, table, 1, 1) for name, table in before.items()] + [counted(name, table, 0, -1) for name, table in (after or {}).items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("gone").alias("gone"))
+
+
 def inspect(entries: DataFrame, evidence: DataFrame, audits: DataFrame) -> DataFrame:
     """Entries with their evidence and audit trail nested, in order."""
     ev = evidence.groupBy("entry_id").agg(F.array_sort(F.collect_list("event_id")).alias("evidence"))

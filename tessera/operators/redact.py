@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -24,7 +25,8 @@ ENTROPY_LENGTH, ENTROPY_BITS = 40, 4.5
 _PEM = re.compile(rb"^[^\S\n]*-----BEGIN[^\n]*PRIVATE KEY[^\n]*?(?=\r*$)", re.M)
 _KEY = re.compile(rb"(?<![A-Za-z0-9_])(?:" + "|".join(sorted(KEYS, key=len, reverse=True)).encode() + rb")(?![A-Za-z0-9_])", re.I)
 _VALUE = re.compile(rb"""[ \t]*[=:][ \t]*(?:"([^"\n]{8,})"|'([^'\n]{8,})')""")
-_URL = re.compile(rb"""[A-Za-z0-9+.-]*://[^\s"'`<>)]*""")
+# The scheme starts where its run of characters does, so that a long run without `://` is passed once.
+_URL = re.compile(rb"""(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]*+://[^\s"'`<>)]*""")
 _TOKEN = re.compile(rb"[A-Za-z0-9_+/=-]+")
 _CREDENTIAL = re.compile(b"|".join(b"(?:%s.{%d,})" % (re.escape(p.encode()), n - len(p)) for p, n in CREDENTIALS.items()), re.S)
 _NO_SECRET = re.compile("|".join(PLACEHOLDERS + VOCABULARY).encode())
@@ -53,20 +55,22 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     data, found = (text or "").encode(), []
     pem = [(m.start(), m.end()) for m in _PEM.finditer(data)]
     found += [("private_key", a, b) for a, b in pem]
-    at = 0
+    in_pem, at = {a for a, _ in pem}, 0
     for line in data.split(b"\n"):
-        if not any(a <= at <= b for a, b in pem) and (key := _KEY.search(line)) and (value := _VALUE.match(line, key.end())):
+        if at not in in_pem and (key := _KEY.search(line)) and (value := _VALUE.match(line, key.end())):
             which = 1 if value[1] is not None else 2
             if _assigned(value[which], key[0]):
                 found.append(("assigned_secret", at + value.start(which), at + value.end(which)))
         at += len(line) + 1
     urls = [m.span() for m in _URL.finditer(data)]
+    starts = [a for a, _ in urls]
     for m in _TOKEN.finditer(data):
         token = m[0]
         if any(_CREDENTIAL.match(p) for p in re.split(rb"[=+/]", token)):
             found.append(("credential_token", *m.span()))
         elif len(token) >= ENTROPY_LENGTH and not token.startswith(tuple(p.encode() for p in INTEGRITY)) and _entropic(token):
-            if not any(a <= m.start() and m.end() <= b for a, b in urls):
+            near = bisect.bisect_right(starts, m.start()) - 1
+            if near < 0 or m.end() > urls[near][1]:
                 found.append(("high_entropy", *m.span()))
     return sorted(found, key=lambda f: f[1])
 
@@ -81,10 +85,11 @@ def redact_text(text: str | None) -> tuple[str | None, int]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    data = text.encode()
-    for a, b in reversed(spans):
-        data = data[:a] + MARKER.encode() + data[b:]
-    return data.decode(), len(spans)
+    data, parts, at = text.encode(), [], 0
+    for a, b in spans:
+        parts += [data[at:a], MARKER.encode()]
+        at = b
+    return b"".join([*parts, data[at:]]).decode(), len(spans)
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("findings", T.IntegerType())]))

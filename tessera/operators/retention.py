@@ -23,15 +23,46 @@ def pinned(generations: DataFrame, now_ms: int, keep: int = 2, hours: int = 168,
     return out.distinct()
 
 
-def sweep_plan(generations: DataFrame, pins: DataFrame, members: dict[str, DataFrame]) -> DataFrame:
-    """(phase, rows): what a sweep would delete from each table that has a generation_id."""
-    gone = generations.join(pins, "generation_id", "left_anti").select("generation_id")
-    out = gone.agg(F.lit("generation").alias("phase"), F.count("*").alias("rows"))
-    for name, table in members.items():
-        out = out.unionByName(table.join(gone, "generation_id", "left_semi").agg(F.lit(name).alias("phase"), F.count("*").alias("rows")))
+# The tables that a sweep deletes from, children before their parents, and the key that ties each to what stays.
+PHASES = (
+    ("edge", "generation_id"), ("occurrence", "generation_id"), ("file", "generation_id"), ("skipped", "generation_id"), ("generation", "generation_id"),
+    ("reference", "revision_id"), ("unit", "revision_id"), ("revision", "revision_id"), ("blob", "blob_id"),
+)
+BATCH_ROWS = 500
+
+
+def sweepable(tables: dict[str, DataFrame], pins: DataFrame) -> dict[str, DataFrame]:
+    """The rows that a sweep deletes from each table, in order of the phases.
+
+    Members of a generation go with it. Revisions go that no file of a generation that stays names, with their references and units;
+    blobs go that no revision that stays names. `tables`: edge, occurrence, file (generation_id, revision_id), skipped and generation with a
+    generation_id; reference, unit and revision (revision_id, blob_id) with a revision_id; blob with a blob_id. Absent tables have no phase.
+    """
+    stays = {"generation_id": pins.select("generation_id").distinct()}
+    if "file" in tables:
+        stays["revision_id"] = tables["file"].join(stays["generation_id"], "generation_id", "left_semi").select("revision_id").distinct()
+    if "revision" in tables and "revision_id" in stays:
+        stays["blob_id"] = tables["revision"].join(stays["revision_id"], "revision_id", "left_semi").select("blob_id").distinct()
+    return {name: tables[name].join(stays[key], key, "left_anti") for name, key in PHASES if name in tables and key in stays}
+
+
+def sweep_plan(tables: dict[str, DataFrame], pins: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """(position, phase, rows, batches): what a sweep would delete, in its order; nothing is deleted."""
+    out = None
+    for name, gone in sweepable(tables, pins).items():
+        position = [p[0] for p in PHASES].index(name)
+        row = gone.agg(F.lit(position).alias("position"), F.lit(name).alias("phase"), F.count("*").alias("rows")).withColumn("batches", F.ceil(F.col("rows") / batch_rows).cast("long"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def switch_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, change): what changes from the old generation to the new one: add, remove or replace."""
+    a, b = old.select(key, F.col(value).alias("_old"), F.lit(True).alias("_in_old")), new.select(key, F.col(value).alias("_new"), F.lit(True).alias("_in_new"))
+    change = F.when(F.col("_in_old").isNull(), "add").when(F.col("_in_new").isNull(), "remove").when(~F.col("_old").eqNullSafe(F.col("_new")), "replace")
+    return a.join(b, key, "full_outer").select(key, change.alias("change")).filter("change is not null")
+
+
 def sweep(table: DataFrame, pins: DataFrame) -> DataFrame:
     """The rows that stay."""
     return table.join(pins, "generation_id", "left_semi")

@@ -36,7 +36,8 @@ def unaccounted(candidates: DataFrame, accounted: DataFrame, key: str = "path",
     """Files of no table by extension, most first, with the first few as examples."""
     rows = candidates.join(accounted, key, "left_anti").withColumn("extension", extension(F.col(path)))
     nth = F.row_number().over(W.partitionBy("extension").orderBy(path))
-    return rows.withColumn("_n", nth).groupBy("extension").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= examples, F.col(path)))).alias("examples")).orderBy(F.desc("n"), "extension")
+    first = rows.withColumn("_n", nth).filter(F.col("_n") <= examples).groupBy("extension").agg(F.array_sort(F.collect_list(path)).alias("examples"))
+    return rows.groupBy("extension").agg(F.count("*").alias("n")).join(first, "extension").orderBy(F.desc("n"), "extension")
 
 
 def progress(rows: DataFrame, done: Column, lately: Column, minutes: float = 5.0) -> DataFrame:
@@ -73,3 +74,17 @@ def divergence(heads: DataFrame) -> DataFrame:
         .when(F.col("head_manifest") != F.col("manifest"), "manifest_hash")
     )
     return heads.withColumn("divergence", ladder)
+
+
+def range_counts(ranges: DataFrame, points: DataFrame, key: str, low: str, high: str, at: str, id: str) -> DataFrame:
+    """(id, n): how many points of the key lie from low to high, both included.
+
+    Points and ends of ranges are sorted together and points are counted once along the order, so a key with many of both costs no
+    more than its rows; nothing is joined.
+    """
+    ends = lambda c, side, sign: ranges.select(F.col(key).alias("k"), F.col(c).alias("at"), F.lit(side).alias("side"), F.lit(0).alias("point"), F.lit(sign).alias("sign"), F.col(id).alias("id"))
+    none = F.lit(None).cast(dict(ranges.dtypes)[id])
+    seen = points.select(F.col(key).alias("k"), F.col(at).alias("at"), F.lit(1).alias("side"), F.lit(1).alias("point"), F.lit(0).alias("sign"), none.alias("id"))
+    before = F.sum("point").over(W.partitionBy("k").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0))
+    every = ends(low, 0, -1).unionByName(ends(high, 2, 1)).unionByName(seen).withColumn("before", before)
+    return every.filter("sign <> 0").groupBy(F.col("id").alias(id)).agg(F.greatest(F.sum(F.col("sign") * F.col("before")), F.lit(0)).alias("n"))

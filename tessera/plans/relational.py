@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators import ledger, retention
+from tessera.plans.texts import REASONS, reasons
 from tessera.plans.views import NOW, entries, files, observations, with_
 from tessera.session import table
 
@@ -25,12 +26,16 @@ def query(name: str, sql: str | None = None):
 # ---- joins
 
 
-@query("j1_occurrence_unit_blob", "SELECT l_orderkey, l_linenumber, o_orderpriority, p_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 AND o_orderstatus = 'F'")
+_UNITS = "occ AS (SELECT doc_id, path, generation_id, sha256(text) AS blob_id, lang AS unit_kind FROM files), unit AS (SELECT DISTINCT blob_id, unit_kind FROM occ), blob AS (SELECT sha256(text) AS blob_id, max(strlen(text)) AS n_bytes FROM files GROUP BY 1)"
+
+
+@query("j1_occurrence_unit_blob", with_("files", rest=_UNITS) + "SELECT doc_id, path, unit_kind, n_bytes FROM occ JOIN unit USING (blob_id, unit_kind) JOIN blob USING (blob_id) WHERE generation_id = 'g1'")
 def j1(spark, d):
-    li = table(spark, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey")
-    o = table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    return li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey).select("l_orderkey", "l_linenumber", "o_orderpriority", "p_name")
+    """Occurrences of a generation with their units and the blobs that the units share."""
+    f = files(spark, d).select("doc_id", "path", "generation_id", F.sha2("text", 256).alias("blob_id"), F.col("lang").alias("unit_kind"), F.octet_length("text").alias("n_bytes"))
+    blob = f.groupBy("blob_id").agg(F.max("n_bytes").cast("bigint").alias("n_bytes"))
+    occ = f.filter("generation_id = 'g1'").select("doc_id", "path", "blob_id", "unit_kind")
+    return occ.join(f.select("blob_id", "unit_kind").distinct(), ["blob_id", "unit_kind"]).join(blob, "blob_id").select("doc_id", "path", "unit_kind", "n_bytes")
 
 
 @query("j2_occurrence_unit", with_("files") + "SELECT f.doc_id, path, quality FROM files f JOIN labels l ON f.doc_id = l.doc_id")
@@ -38,9 +43,11 @@ def j2(spark, d):
     return files(spark, d).join(table(spark, d, "labels"), "doc_id").select("doc_id", "path", "quality")
 
 
-@query("j3_file_references", with_("files") + "SELECT lang, count(*) AS n FROM files f JOIN pages p ON f.doc_id = p.page_id GROUP BY lang")
+@query("j3_file_references", with_("files", rest="r AS (SELECT page_id, TRY_CAST(regexp_extract(coalesce(url, ''), '/([0-9]+)', 1) AS BIGINT) AS doc_id FROM pages)") + "SELECT path, count(*) AS references_in, min(page_id) AS first_page FROM r JOIN files USING (doc_id) GROUP BY path")
 def j3(spark, d):
-    return files(spark, d).join(table(spark, d, "pages"), F.col("doc_id") == F.col("page_id")).groupBy("lang").agg(F.count("*").alias("n"))
+    """Files with the pages whose urls refer to them."""
+    refs = table(spark, d, "pages").select("page_id", F.expr("try_cast(regexp_extract(coalesce(url, ''), '/([0-9]+)', 1) as bigint)").alias("doc_id")).filter("doc_id is not null")
+    return files(spark, d).select("doc_id", "path").join(refs, "doc_id").groupBy("path").agg(F.count("*").alias("references_in"), F.min("page_id").alias("first_page"))
 
 
 @query("j4_left_count", with_("files") + "SELECT source, lang, count(l.doc_id) AS labelled FROM files f LEFT JOIN labels l ON f.doc_id = l.doc_id GROUP BY source, lang")
@@ -63,6 +70,14 @@ def j6(spark, d):
     return m.select("entry_id").join(n, "entry_id", "left").filter("seen is null or version < 2 or (attempts > 0 and attempts < 2)").select("entry_id")
 
 
+@query("j7_search_postings", with_("files", rest="t AS (SELECT DISTINCT doc_id, unnest(string_split(path, '/')) AS term FROM files), q AS (SELECT item_id, 'src' || (item_id % 5) AS term FROM benchmark)") + "SELECT item_id, doc_id FROM q JOIN t USING (term)")
+def j7(spark, d):
+    """Terms of questions against the terms of paths."""
+    terms = files(spark, d).select("doc_id", F.explode(F.array_distinct(F.split("path", "/"))).alias("term"))
+    asked = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 5).alias("term"))
+    return terms.join(asked, "term").select("item_id", "doc_id")
+
+
 @query("j8_anti_not_live", "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def j8(spark, d):
     returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -86,10 +101,12 @@ _RUNS = "runs AS (SELECT session_id, event_type, min(received_seq) AS from_seq,
 
 @query("j11_range_join", with_("obs", rest=_RUNS) + "SELECT r.session_id, r.event_type, r.from_seq, count(o.received_seq) AS n FROM runs r LEFT JOIN obs o ON o.session_id = r.session_id AND o.received_seq BETWEEN r.from_seq AND r.to_seq GROUP BY ALL")
 def j11(spark, d):
+    from tessera.operators.stats import range_counts
+
     o = observations(spark, d)
     r = o.groupBy("session_id", "event_type").agg(F.min("received_seq").alias("from_seq")).withColumn("to_seq", F.col("from_seq") + 500)
-    e = o.select(F.col("session_id").alias("s"), F.col("received_seq").alias("seq"))
-    return r.join(e, (F.col("session_id") == F.col("s")) & F.col("seq").between(F.col("from_seq"), F.col("to_seq")), "left").groupBy("session_id", "event_type", "from_seq").agg(F.count("seq").alias("n"))
+    r = r.withColumn("run", F.concat_ws("|", "session_id", "event_type"))
+    return r.join(range_counts(r, o, "session_id", "from_seq", "to_seq", "received_seq", "run"), "run").select("session_id", "event_type", "from_seq", "n")
 
 
 @query("j12_vector_lookup", with_("files") + "SELECT doc_id, path, label FROM files JOIN embeddings ON doc_id = vec_id")
@@ -115,12 +132,18 @@ def j15(spark, d):
     return parents(u).select(F.col("index").alias("unit"), "parent")
 
 
-@query("j16_root_resolution", "SELECT p.page_id, CASE WHEN d.doc_id IS NOT NULL THEN 'resolved' WHEN l.n = 1 THEN 'resolved_by_hint' WHEN l.n > 1 THEN 'ambiguous' ELSE 'global_only' END AS resolution FROM pages p LEFT JOIN documents d ON p.page_id * 3 = d.doc_id LEFT JOIN (SELECT doc_id % 400 AS k, count(*) AS n FROM labels GROUP BY 1) l ON p.page_id = l.k")
+@query("j16_root_resolution", """WITH roots AS (SELECT doc_id AS root_id, sha256(text) AS fingerprint, source || '/' || lang AS hint FROM documents WHERE doc_id % 3 = 0), fp AS (SELECT fingerprint, min(root_id) AS root_id FROM roots GROUP BY 1), h AS (SELECT hint, count(*) AS n FROM roots GROUP BY 1)
+SELECT doc_id, CASE WHEN fp.root_id IS NOT NULL THEN 'resolved' WHEN h.n = 1 THEN 'resolved_by_hint' WHEN h.n > 1 THEN 'ambiguous' ELSE 'global_only' END AS resolution, coalesce(h.n, 0) AS hints
+FROM documents d LEFT JOIN fp ON fp.fingerprint = sha256(d.text) LEFT JOIN h ON h.hint = d.source || '/' || CASE WHEN d.doc_id % 10 = 1 THEN 'x' || d.doc_id ELSE d.lang END""")
 def j16(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("k1"), F.lit(True).alias("current"))
-    hints = table(spark, d, "labels").groupBy((F.col("doc_id") % 400).alias("k2")).agg(F.count("*").alias("n"))
-    rows = table(spark, d, "pages").select("page_id").join(docs, F.col("page_id") * 3 == F.col("k1"), "left").join(hints, F.col("page_id") == F.col("k2"), "left")
-    return rows.select("page_id", F.when(F.col("current"), "resolved").when(F.col("n") == 1, "resolved_by_hint").when(F.col("n") > 1, "ambiguous").otherwise("global_only").alias("resolution"))
+    """Documents against known roots: by the fingerprint of the text, else by source and language as a hint."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"), "source", "lang")
+    roots = docs.filter("doc_id % 3 = 0")
+    exact = roots.select("fingerprint").distinct().withColumn("current", F.lit(True))
+    hints = roots.groupBy(F.concat_ws("/", "source", "lang").alias("hint")).agg(F.count("*").alias("n"))
+    asked = docs.withColumn("hint", F.concat_ws("/", "source", F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("lang"))))
+    resolution = F.when(F.col("current"), "resolved").when(F.col("n") == 1, "resolved_by_hint").when(F.col("n") > 1, "ambiguous").otherwise("global_only")
+    return asked.join(exact, "fingerprint", "left").join(hints, "hint", "left").select("doc_id", resolution.alias("resolution"), F.coalesce("n", F.lit(0)).alias("hints"))
 
 
 # ---- aggregates
@@ -146,10 +169,9 @@ def a3(spark, d):
     return directory_rollup(files(spark, d)).select(F.col("depth").cast("bigint").alias("depth"), "directory", "files")
 
 
-@query("a4_skip_tally", with_("files") + "SELECT CASE WHEN length(text) > 8000 THEN 'huge' WHEN regexp_matches(text, '[#$%&]{3}') THEN 'binary' ELSE 'indexed' END AS reason, count(*) AS n FROM files GROUP BY 1")
+@query("a4_skip_tally", f"SELECT {REASONS} AS reason, count(*) AS n FROM documents GROUP BY 1")
 def a4(spark, d):
-    reason = F.when(F.length("text") > 8000, "huge").when(F.col("text").rlike("[#$%&]{3}"), "binary").otherwise("indexed")
-    return files(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return reasons(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("a5_entries_by_kind_state", with_("mem") + "SELECT kind, state, count(*) AS n FROM mem GROUP BY kind, state")
@@ -242,12 +264,6 @@ def w4(spark, d):
     return retention.evict(c, 500_000_000, c.filter("key % 10 = 0")).select("key", "bytes")
 
 
-@query("w8_section_end", "SELECT l_orderkey, l_linenumber, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS next_line FROM lineitem WHERE l_orderkey % 7 = 1")
-def w8(spark, d):
-    x = table(spark, d, "lineitem").filter("l_orderkey % 7 = 1").select("l_orderkey", "l_linenumber")
-    return x.withColumn("next_line", F.lead("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")))
-
-
 @query("w9_w10_nth_and_ordinal", "SELECT o_orderkey, o_orderpriority || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS name, ordinal FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal FROM orders)")
 def w9(spark, d):
     n = F.row_number().over(W.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey"))
@@ -286,11 +302,12 @@ def p7(spark, d):
     return ledger.in_scope(entries(spark, d), "repo", 2, "k7").select("entry_id", "kind")
 
 
-@query("p13_ids_in_order", "SELECT page_id, url, pos FROM (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 37) % 101, vec_id) - 1 AS pos FROM embeddings WHERE vec_id < 60) JOIN pages ON page_id = vec_id ORDER BY pos")
+@query("p13_ids_in_order", "SELECT page_id, url, (vec_id * 37) % 1000003 AS pos FROM embeddings JOIN pages ON page_id = vec_id ORDER BY pos")
 def p13(spark, d):
-    ids = table(spark, d, "embeddings").filter("vec_id < 60").select("vec_id")
-    asked = ids.withColumn("pos", (F.row_number().over(W.orderBy(F.col("vec_id") * 37 % 101, "vec_id")) - 1).cast("bigint"))
-    return table(spark, d, "pages").select("page_id", "url").join(asked, F.col("page_id") == F.col("vec_id")).select("page_id", "url", "pos").orderBy("pos")
+    from tessera.operators.lexical import in_order
+
+    asked = table(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), (F.col("vec_id") * 37 % 1_000_003).alias("pos"))
+    return in_order(table(spark, d, "pages").select("page_id", "url"), asked, "page_id")
 
 
 @query("p14_exists", with_("obs", rest=_CURSORS) + "SELECT session_id, bool_or(event_type = 'error' AND received_seq > coalesce(last_seq, 0)) AS checkpoint FROM obs LEFT JOIN cur USING (session_id) GROUP BY session_id")

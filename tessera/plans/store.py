@@ -126,7 +126,7 @@ def m5(spark, d):
 def m6(spark, d):
     m = entries(spark, d).withColumn("evidence", F.array(F.col("entry_id") % 17))
     folded = ledger.fold_candidates(m, F.sha2(F.concat_ws("|", "role", "kind", "scope_kind"), 256), "entry_id")
-    return folded.select("survivor_id", F.size("duplicates").cast("bigint").alias("duplicates"), F.size("evidence").cast("bigint").alias("evidence"))
+    return folded.select("survivor_id", "duplicates", F.size("evidence").cast("bigint").alias("evidence"))
 
 
 @query("m7_l7_conflict_set", with_("mem", rest=f"c AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN entry_id % 6 = 0 THEN 0 ELSE 1 END, CASE WHEN entry_id % 6 = 0 THEN entry_id ELSE -entry_id END) AS n FROM mem WHERE {_LIVE} AND scope_kind = 'repo'), t AS (SELECT *, sum(CAST(ceil(length(text) / 4.0) + 8 AS BIGINT)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS spent FROM c WHERE n <= 50)") + "SELECT entry_id, CAST(n AS INTEGER) AS n, CAST(spent AS BIGINT) AS spent FROM t WHERE spent <= 12000")
@@ -282,10 +282,27 @@ def g4(spark, d):
     return retention.pinned(g, NOW, external=g.filter("generation_id % 1000 = 0"), leases=leases)
 
 
-@query("g5_sweep_plan", "WITH " + _GEN + ", gone AS (SELECT generation_id FROM g WHERE generation_id NOT IN (SELECT generation_id FROM pin)) SELECT 'generation' AS phase, count(*) AS rows FROM gone UNION ALL SELECT 'occurrence', count(*) FROM lineitem WHERE l_orderkey IN (SELECT generation_id FROM gone)")
+_SWEEP = _GEN + """, f AS (SELECT l_orderkey AS generation_id, l_partkey AS revision_id FROM lineitem), rev AS (SELECT p_partkey AS revision_id, p_partkey % 700 AS blob_id FROM part),
+live_rev AS (SELECT DISTINCT revision_id FROM f WHERE generation_id IN (SELECT generation_id FROM pin)), live_blob AS (SELECT DISTINCT blob_id FROM rev WHERE revision_id IN (SELECT revision_id FROM live_rev)),
+gone AS (SELECT generation_id FROM g WHERE generation_id NOT IN (SELECT generation_id FROM pin)), n AS (
+ SELECT 0 AS position, 'edge' AS phase, count(*) AS rows FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT generation_id FROM gone)
+ UNION ALL SELECT 1, 'occurrence', count(*) FROM lineitem WHERE l_orderkey IN (SELECT generation_id FROM gone) UNION ALL SELECT 2, 'file', count(*) FROM f WHERE generation_id IN (SELECT generation_id FROM gone)
+ UNION ALL SELECT 3, 'skipped', count(*) FROM lineitem WHERE l_linestatus = 'O' AND l_orderkey IN (SELECT generation_id FROM gone) UNION ALL SELECT 4, 'generation', count(*) FROM gone
+ UNION ALL SELECT 5, 'reference', count(*) FROM rev WHERE revision_id % 2 = 0 AND revision_id NOT IN (SELECT revision_id FROM live_rev) UNION ALL SELECT 6, 'unit', count(*) FROM rev WHERE revision_id NOT IN (SELECT revision_id FROM live_rev)
+ UNION ALL SELECT 7, 'revision', count(*) FROM rev WHERE revision_id NOT IN (SELECT revision_id FROM live_rev) UNION ALL SELECT 8, 'blob', count(*) FROM (SELECT DISTINCT blob_id FROM rev) WHERE blob_id NOT IN (SELECT blob_id FROM live_blob))"""
+
+
+@query("g5_sweep_plan", "WITH " + _SWEEP + " SELECT position, phase, rows, CAST(ceil(rows / 500.0) AS BIGINT) AS batches FROM n")
 def g5(spark, d):
-    g = _generations(spark, d)
-    return retention.sweep_plan(g, retention.pinned(g, NOW), {"occurrence": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("generation_id"))})
+    """Orders as generations, line items as their members, parts as revisions that share blobs."""
+    g, li = _generations(spark, d), table(spark, d, "lineitem")
+    of = lambda where: li.filter(where).select(F.col("l_orderkey").alias("generation_id"))
+    rev = table(spark, d, "part").select(F.col("p_partkey").alias("revision_id"), (F.col("p_partkey") % 700).alias("blob_id"))
+    tables = {
+        "generation": g, "edge": of("l_returnflag = 'R'"), "occurrence": of("true"), "skipped": of("l_linestatus = 'O'"), "file": li.select(F.col("l_orderkey").alias("generation_id"), F.col("l_partkey").alias("revision_id")),
+        "revision": rev, "unit": rev, "reference": rev.filter("revision_id % 2 = 0"), "blob": rev.select("blob_id").distinct(),
+    }
+    return retention.sweep_plan(tables, retention.pinned(g, NOW))
 
 
 @query("g3_superseded_builds", "WITH " + _GEN + ", a AS (SELECT worktree_id, max(generation_id) AS top FROM g WHERE state = 'active' GROUP BY worktree_id) SELECT generation_id FROM g JOIN a USING (worktree_id) WHERE state = 'building' AND generation_id < top")
@@ -295,8 +312,17 @@ def g3(spark, d):
 
 @query("g6_switch_diff", with_("files") + "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'add' WHEN doc_id % 4 = 1 THEN 'remove' ELSE 'replace' END AS change FROM files WHERE doc_id % 4 < 2 OR doc_id % 8 = 2")
 def g6(spark, d):
-    f = files(spark, d).select("doc_id", "text")
-    old = f.filter("doc_id % 4 <> 0").select("doc_id", F.sha2("text", 256).alias("old"))
-    new = f.filter("doc_id % 4 <> 1").select("doc_id", F.when(F.col("doc_id") % 8 == 2, "changed").otherwise(F.sha2("text", 256)).alias("new"))
-    change = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").when(F.col("old") != F.col("new"), "replace")
-    return old.join(new, "doc_id", "full_outer").select("doc_id", change.alias("change")).filter("change is not null")
+    f = files(spark, d).select("doc_id", F.sha2("text", 256).alias("hash"))
+    new = f.filter("doc_id % 4 <> 1").withColumn("hash", F.when(F.col("doc_id") % 8 == 2, "changed").otherwise(F.col("hash")))
+    return retention.switch_diff(f.filter("doc_id % 4 <> 0"), new, "doc_id", "hash")
+
+
+@query("m8_purge_preview", with_("mem", rest="ev AS (SELECT entry_id, conv_id * 10 + turn % 3 AS event_id FROM mem UNION SELECT entry_id, (conv_id + 1) * 10 FROM mem WHERE turn % 2 = 0), en AS (SELECT DISTINCT conv_id AS session_id, conv_id * 10 + turn % 3 AS event_id FROM mem), dead AS (SELECT event_id FROM en WHERE session_id = 3), lef AS (SELECT * FROM ev WHERE event_id NOT IN (SELECT event_id FROM dead)), orph AS (SELECT DISTINCT entry_id FROM ev WHERE event_id IN (SELECT event_id FROM dead) AND entry_id NOT IN (SELECT entry_id FROM lef))") + """SELECT 'entries' AS name, (SELECT count(*) FROM mem) AS rows, (SELECT count(*) FROM orph) AS gone UNION ALL SELECT 'evidence', (SELECT count(*) FROM ev), (SELECT count(*) FROM ev WHERE event_id IN (SELECT event_id FROM dead)) UNION ALL SELECT 'envelopes', (SELECT count(*) FROM en), (SELECT count(*) FROM en WHERE session_id = 3)""")
+def m8b(spark, d):
+    """What the purge of a session would delete."""
+    m = entries(spark, d)
+    own = m.select("entry_id", (F.col("conv_id") * 10 + F.col("turn") % 3).alias("event_id"))
+    evidence = own.union(m.filter("turn % 2 = 0").select("entry_id", (F.col("conv_id") * 10 + 10).alias("event_id"))).distinct()
+    envelopes = m.select(F.col("conv_id").alias("session_id"), (F.col("conv_id") * 10 + F.col("turn") % 3).alias("event_id")).distinct()
+    before = {"entries": m, "evidence": evidence, "envelopes": envelopes}
+    return ledger.purge_preview(before, dict(zip(before, ledger.purge_session(m, evidence, envelopes, 3))))

@@ -13,9 +13,9 @@ from tessera.operators.classify import MAX_BYTES, ignored
 PRUNED = (".git",)
 
 
-def _listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path below the root, size, mtime, content); columns that aren't selected are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+def _listing(spark: SparkSession, root: str, pattern: str = "*", paths: list[str] | None = None) -> DataFrame:
+    """(path below the root, size, mtime, content) of all files or of those named; columns that aren't selected are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths or root)
     # Spark gives whole locations; the part after the root's last segment is the path.
     name = root.rstrip("/").rsplit("/", 1)[-1]
     below = F.regexp_replace(F.col("path"), rf"^.*/{name}/", "")
@@ -28,6 +28,27 @@ def _kept(rows: DataFrame, prune: tuple[str, ...], rules: list | None) -> DataFr
     return rows if not rules else ignored(rows, rules).filter(~F.col("ignored")).drop("ignored")
 
 
+def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[tuple[str, list[str]]]:
+    """(folder, lines) of the ignore files of a tree; lines of later `names` come last and so decide.
+
+    They are configuration, a few lines each, and Spark's readers pass over names with a leading dot, so the driver looks for them in
+    each depth that has files.
+    """
+    depth = _listing(spark, root).agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs, found = path.getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    top = fs.makeQualified(path).toString().rstrip("/")
+    for name in names:
+        for level in range(depth):
+            for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path("/".join([top, *["*"] * level, name]))) or []:
+                stream = fs.open(status.getPath())
+                text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                folder = status.getPath().getParent().toString().removeprefix(top).strip("/")
+                found.setdefault(folder, []).extend(text.split("\n"))
+    return sorted(found.items())
+
+
 def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, prune: tuple[str, ...] = PRUNED, rules: list | None = None) -> DataFrame:
     """(path, size, mtime, content_hash) in order of the path; larger files are listed without a hash."""
     rows = _kept(_listing(spark, root), prune, rules)
@@ -38,15 +59,23 @@ def scan_paths(spark: SparkSession, root: str, prune: tuple[str, ...] = PRUNED,
     return _kept(_listing(spark, root).select("path"), prune, rules).distinct().orderBy("path")
 
 
-def reuse_hashes(now: DataFrame, before: DataFrame, strict: bool = False) -> DataFrame:
-    """(path, size, mtime, content_hash, reused): the hash of an unchanged path, size and time is taken over; strict: never.
-
-    `now` has the column content_hash lazily; where it is taken over, the files need not be hashed.
-    """
-    old = before.select("path", "size", "mtime", F.col("content_hash").alias("_old"))
-    rows = now.join(old, ["path", "size", "mtime"], "left")
-    known = F.col("_old") if not strict else F.lit(None).cast("string")
-    return rows.select("path", "size", "mtime", F.coalesce(known, "content_hash").alias("content_hash"), known.isNotNull().alias("reused"))
+def rescan(spark: SparkSession, root: str, before: DataFrame, strict: bool = False, max_bytes: int = MAX_BYTES, prune: tuple[str, ...] = PRUNED, rules: list | None = None) -> DataFrame:
+    """(path, size, mtime, content_hash, reused): as `scan`, but the hash of an unchanged path, size and time is taken over from `before`
+    and that file isn't opened; strict: every file is."""
+    listed = _kept(_listing(spark, root).select("path", "size", "mtime"), prune, rules)
+    if strict:
+        return scan(spark, root, max_bytes, prune, rules).withColumn("reused", F.lit(False))
+    same = ["path", "size", "mtime"]
+    known = listed.join(before.filter("content_hash is not null").select(*same, "content_hash"), same).withColumn("reused", F.lit(True))
+    fresh = listed.join(known, same, "left_anti").persist()
+    large = fresh.filter(F.col("size") > max_bytes).withColumn("content_hash", F.lit(None).cast("string"))
+    # The driver lists every file of a scan anyway; what has changed is opened by name.
+    names = [f"{root.rstrip('/')}/{r['path']}" for r in fresh.filter(F.col("size") <= max_bytes).select("path").toLocalIterator()]
+    out = known.unionByName(large.withColumn("reused", F.lit(False)))
+    if names:
+        opened = _listing(spark, root, paths=names).select(*same, content_hash(F.col("content")).alias("content_hash"))
+        out = out.unionByName(opened.withColumn("reused", F.lit(False)))
+    return out.orderBy("path")
 
 
 def prepare(files: DataFrame, content: str = "text") -> DataFrame:
@@ -101,6 +130,15 @@ def write_shard(points: DataFrame, path: str, id: str = "vec_id", partitions: in
     points.repartitionByRange(partitions, id).sortWithinPartitions(id).write.mode("overwrite").parquet(path)
 
 
+def read_shard(spark: SparkSession, path: str, count: int, dims: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The vectors of a shard. Raises if their number, their dimensions or the uniqueness of their ids isn't as expected."""
+    rows = spark.read.parquet(path)
+    seen = rows.agg(F.count("*").alias("n"), F.countDistinct(id).alias("ids"), F.count(F.when(F.coalesce(F.size(vector), F.lit(-1)) != dims, 1)).alias("bad")).first()
+    if (seen["n"], seen["ids"], seen["bad"]) != (count, count, 0):
+        raise ValueError(f"shard has {seen['n']} rows, {seen['ids']} ids and {seen['bad']} vectors of another dimension; {count} of {dims} are expected")
+    return rows
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
     """ON CONFLICT DO UPDATE or, without `update`, DO NOTHING. Of new rows with equal keys the last by all columns counts."""
     once = new.groupBy(*keys).agg(F.max(F.struct(*[c for c in old.columns if c not in keys])).alias("_r")).select(*keys, "_r.*").select(*old.columns)

@@ -205,16 +205,28 @@ def test_scan_and_snapshots(spark, tmp_path):
     manifest = files.scan(spark, str(root), max_bytes=1, rules=[("", ["*.tmp"])])
     assert [(r.path, r.content_hash is None) for r in manifest.collect()] == [("a.py", False), ("b/c.md", True)]
     assert [r.path for r in files.scan_paths(spark, str(root)).collect()] == ["a.py", "b/c.md", "b/skip.tmp"]
-    again = files.reuse_hashes(manifest, manifest)
-    assert again.filter("reused").count() == 1 and files.reuse_hashes(manifest, manifest, strict=True).filter("reused").count() == 0
+    again = files.rescan(spark, str(root), manifest, max_bytes=1, rules=[("", ["*.tmp"])])
+    assert [(r.path, r.reused) for r in again.collect()] == [("a.py", True), ("b/c.md", False)]
+    assert files.rescan(spark, str(root), manifest, strict=True).filter("reused").count() == 0
+    (root / "a.py").write_text("other")
+    (root / ".gitignore").write_text("*.tmp\n")
+    (root / "b" / ".ignore").write_text("!skip.tmp\n*.md\n")
+    rules = files.ignore_rules(spark, str(root))
+    assert rules == [("", ["*.tmp", ""]), ("b", ["!skip.tmp", "*.md", ""])]
+    seen = files.rescan(spark, str(root), manifest, rules=rules)
+    assert {r.path: (r.reused, r.content_hash) for r in seen.collect()} == {r.path: (False, r.content_hash) for r in files.scan(spark, str(root), rules=rules).collect()} and "b/skip.tmp" in {r.path for r in seen.collect()}
     changed, seen = files.reconcile(manifest, None)
     assert changed and files.reconcile(manifest, seen) == (False, seen)
     out = str(tmp_path / "pub")
     files.publish(manifest, out, "m")
     files.publish(manifest.limit(1), out, "m")
     assert files.current(spark, out, "m").count() == 1
-    files.write_shard(spark.range(10).withColumnRenamed("id", "vec_id"), str(tmp_path / "shard"), partitions=2)
-    assert spark.read.parquet(str(tmp_path / "shard")).count() == 10
+    points = spark.createDataFrame([(i, [0.5, float(i)]) for i in range(10)], "vec_id long, embedding array<float>")
+    files.write_shard(points, str(tmp_path / "shard"), partitions=2)
+    assert sorted(r.vec_id for r in files.read_shard(spark, str(tmp_path / "shard"), 10, 2).collect()) == list(range(10))
+    for count, dims in ((9, 2), (10, 3)):
+        with pytest.raises(ValueError):
+            files.read_shard(spark, str(tmp_path / "shard"), count, dims)
 
 
 def test_eviction_walks_the_oldest_and_spares_pins(spark):
@@ -249,7 +261,7 @@ def test_whole_table_queries_keep_every_row(spark):
     from tessera.plans import catalog
 
     d = "/root/testdata/sf0.01"
-    got = {r.doc_id: r.reason for r in catalog.QUERIES["p1_p4_classify_all"](spark, d).collect()}
+    got = {r.doc_id: r.reason for r in catalog.QUERIES["p1_p4_classify"](spark, d).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert set(got) == set(texts) and "secret" in got.values()
     assert {i for i, t in texts.items() if len((t or "").encode()) > 12000} == {i for i, r in got.items() if r == "huge"}
@@ -260,6 +272,78 @@ def test_whole_table_queries_keep_every_row(spark):
         t = re.sub(r"[\x00-\x1f\x7f-\x9f]", "", t.replace("\n", " ")).replace("</memory", "<\\/memory")
         return t.encode()[:1024].decode(errors="ignore")
 
-    lines = sorted((r.conv_id, r.turn, r.line) for r in catalog.QUERIES["r23_recall_line_all"](spark, d).collect())
+    lines = sorted((r.conv_id, r.turn, r.line) for r in catalog.QUERIES["r23_recall_line"](spark, d).collect())
     turns = spark.read.parquet(f"{d}/conversations.parquet").collect()
     assert lines == sorted((r.conv_id, r.turn, line(r.text)) for r in turns) and any(len(r.text.encode()) > 1024 for r in turns)
+
+
+def test_long_runs_are_scanned_once():
+    """A line of a million characters of one kind, where a careless pattern takes minutes."""
+    import time
+
+    from tessera.operators.redact import redact_text
+
+    for text in ("a" * 1_000_000, "a." * 500_000, "-----BEGIN " * 90_000, "://" * 300_000):
+        began = time.time()
+        redact_text(text)
+        assert time.time() - began < 20
+    keys = "".join(f"key{i} = {i}\n" for i in range(20_000))
+    began = time.time()
+    units, _, _ = code_units.parse(keys, "toml")
+    assert len(units) == 20_001 and all(u[5] == 0 for u in units[1:]) and time.time() - began < 30
+
+
+def test_parents_equal_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    spans = [(p, i, a := r.randint(0, 30), a + r.randint(0, 12)) for p in ("x", "y") for i in range(60)]
+    got = {(u.path, u["index"]): u.parent for u in chunk.parents(spark.createDataFrame(spans, "path string, index long, start long, end long")).collect()}
+    for p, i, a, b in spans:
+        around = [(y - x, -j) for q, j, x, y in spans if q == p and x <= a and b <= y and (x, y) != (a, b)]
+        assert got[p, i] == (-min(around)[1] if around else None)
+
+
+def test_scan_manifest_hashes_the_files(spark):
+    import hashlib
+    import os
+
+    from tessera.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    want = {n: hashlib.sha256(open(f"{d}/{n}", "rb").read()).hexdigest() for n in os.listdir(d) if os.path.isfile(f"{d}/{n}")}
+    got = catalog.QUERIES["s1_s4_scan_manifest"](spark, d).collect()
+    assert {r.path: r.content_hash for r in got} == want and {r.reused for r in got} == {True, False}
+    listed = {r.path for r in catalog.QUERIES["s2_s3_scan_paths"](spark, d).collect()}
+    assert listed == {n for n in want if not n.endswith("n.parquet")} | {"region.parquet"}
+
+
+def test_purges(spark):
+    m = spark.createDataFrame([(1,), (2,), (3,)], "entry_id long")
+    ev = spark.createDataFrame([(1, 10), (2, 10), (2, 20), (3, 20)], "entry_id long, event_id long")
+    env = spark.createDataFrame([("a", 10), ("b", 20), (None, 30)], "session_id string, event_id long")
+    kept, proof, left = ledger.purge_session(m, ev, env, "a")
+    assert sorted(r.entry_id for r in kept.collect()) == [2, 3] and proof.count() == 2 and left.count() == 2
+    seen = {r.name: (r.rows, r.gone) for r in ledger.purge_preview({"m": m, "ev": ev}, {"m": kept, "ev": proof}).collect()}
+    assert seen == {"m": (3, 1), "ev": (4, 2)} and ledger.purge_preview({"m": m}).first().gone == 3
+
+
+def test_nearest_equals_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    v = r.integers(-2, 3, (300, 4)).astype(float)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(400, None)], "vec_id long, embedding array<float>").repartition(5)
+    asked = df.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
+    for metric in ("dot", "cosine", "l2"):
+        got = {}
+        for x in dense.nearest(df, asked, 7, metric, chunk=64).orderBy("rank").collect():
+            got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        for i in range(0, 300, 20):
+            norm = np.linalg.norm(v, axis=1) * np.linalg.norm(v[i])
+            s = v @ v[i] if metric == "dot" else -np.linalg.norm(v - v[i], axis=1) if metric == "l2" else np.divide(v @ v[i], norm, out=np.zeros(300), where=norm > 0)
+            s = np.round(s, 6) + 0.0
+            assert got[i] == [(int(j), s[j]) for j in np.lexsort((np.arange(300), -s))[:7]]
+    assert dense.nearest(df, asked.limit(0), 7).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        dense.nearest(df, asked.withColumn("query_vector", F.slice("query_vector", 1, 3)), 7).count()
