@@ -4,25 +4,30 @@ A document is split into pre-tokens, the pieces that byte-pair encoding never me
 leaves (`leaf` pre-tokens each) of a sum tree. An edit re-encodes from the last pre-token boundary that it cannot have moved,
 two characters of context before it, to the first boundary after it that the old split has too; from there on the old
 split holds, as a pre-token depends only on what follows its start. The leaves touched and the sums above them are updated;
-nothing else is encoded again.
+nothing else is encoded again. `plant_trees` makes the trees, columns to be stored with the texts; `edit_trees` takes stored trees
+and edits and returns the texts and trees after them, so that later edits start from there. `count_tokens` does both at once.
 
 Pre-tokens' counts are remembered by each task in a table of bounded size. The vocabulary is a file whose path is a parameter; the
 driver reads it and sends its bytes, so executors need no such file.
 
-Nulls and empty texts have no tokens. Edits are (start, end, replacement) in characters; they are applied in order of their start,
-must not overlap, are cut to the text, and a null list or null replacement means none or an empty one. Rows that repeat are counted
-one by one. Empty tables give empty results. Only the named columns are read.
+Nulls and empty texts have no tokens. Edits are (start, end, replacement) in characters; they are applied in order of their start, are cut
+to the text and to what earlier edits leave, those with a null start or end are left out, a null replacement is empty and a null list
+means none. Very long texts and runs take time in proportion to their length. Rows that repeat are counted one by one. Empty tables
+give empty results. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.common import bounded_batches
 
@@ -30,8 +35,8 @@ LEAF = 32
 CONTEXT = 3
 LOOK_AHEAD = 64
 REMEMBERED = 400_000
-#: What the query edits out: mail addresses and long digit runs.
-PRIVATE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[MAIL]"), (r"[0-9]{9,}", "[NUMBER]")
+#: What the query edits out: mail addresses, which begin where a run of their characters does, and long digit runs.
+PRIVATE = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[MAIL]"), (r"[0-9]{9,}", "[NUMBER]")
 
 
 class Encoder:
@@ -64,42 +69,71 @@ class Encoder:
         return np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.array(counts, dtype=np.int64)
 
 
-class SumTree:
-    """Sums over leaves, level by level up to the root."""
+@dataclass
+class Tree:
+    """What is kept of a document: lengths and token counts of its pre-tokens, how many of them each leaf has, and the sums over the
+    leaves, level by level up to the root."""
+
+    lengths: np.ndarray
+    counts: np.ndarray
+    sizes: np.ndarray
+    levels: list[np.ndarray]
 
-    def __init__(self, counts: np.ndarray, leaf: int = LEAF):
+    @classmethod
+    def of(cls, lengths: np.ndarray, counts: np.ndarray, leaf: int = LEAF) -> Tree:
         at = np.arange(0, len(counts), leaf)
-        self.levels = [np.add.reduceat(counts, at) if len(at) else np.zeros(1, dtype=np.int64)]
-        while len(self.levels[-1]) > 1:
-            low = self.levels[-1]
-            self.levels.append(np.add.reduceat(low, np.arange(0, len(low), 2)))
+        levels = [np.add.reduceat(counts, at) if len(at) else np.zeros(1, dtype=np.int64)]
+        while len(levels[-1]) > 1:
+            levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), 2)))
+        return cls(lengths, counts, np.diff(np.append(at, len(counts))) if len(at) else np.zeros(1, dtype=np.int64), levels)
 
-    def add(self, leaf: int, change: int) -> None:
+    def add(self, leaf: int, tokens: int, pretokens: int) -> None:
+        self.sizes[leaf] += pretokens
         for level in self.levels:
-            level[leaf] += change
+            level[leaf] += tokens
             leaf //= 2
 
     @property
     def total(self) -> int:
         return int(self.levels[-1][0])
 
+    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
+        return tuple(a.astype(np.int32).tobytes() for a in (self.lengths, self.counts, self.sizes, np.concatenate(self.levels)))
 
-@dataclass
-class Counted:
-    before: int
-    after: int
-    pretokens: int
-    encoded_again: int
-    edits: int
+    @classmethod
+    def unpacked(cls, lengths: bytes, counts: bytes, sizes: bytes, sums: bytes) -> Tree:
+        lengths, counts, sizes, sums = (np.frombuffer(b, np.int32).astype(np.int64) for b in (lengths, counts, sizes, sums))
+        levels, at, n = [], 0, len(sizes)
+        while True:
+            levels.append(sums[at : at + n])
+            at += n
+            if n <= 1:
+                return cls(lengths, counts, sizes, levels)
+            n = (n + 1) // 2
 
 
-def recount(text: str, edits: list[tuple[int, int, str]], encoder: Encoder, leaf: int = LEAF) -> Counted:
-    """Token counts before and after the edits, and how many pre-tokens were encoded again."""
+def plant(text: str, encoder: Encoder, leaf: int = LEAF) -> Tree:
     ends, counts = encoder.split(text)
-    tree = SumTree(counts, leaf)
-    before, again, upto = tree.total, 0, 0
-    edits = sorted((max(0, a), min(len(text), b), new) for a, b, new in edits)
-    k = 0
+    return Tree.of(np.diff(ends, prepend=0), counts, leaf)
+
+
+def orderly(text: str, edits) -> list[tuple[int, int, str]]:
+    """Edits in order, within the text and apart; without those that have no start or end."""
+    out, at = [], 0
+    for a, b, new in sorted((a, b, new or "") for a, b, new in edits if a is not None and b is not None):
+        a = min(max(a, at), len(text))
+        b = min(max(b, a), len(text))
+        out.append((a, b, new))
+        at = b
+    return out
+
+
+def edited(text: str, tree: Tree, edits, encoder: Encoder, leaf: int = LEAF) -> tuple[str, Tree, int]:
+    """The text after the edits, its tree, and how many pre-tokens were encoded for it. `tree` itself stays as it is."""
+    edits, ends, counts = orderly(text, edits), np.cumsum(tree.lengths), tree.counts
+    last_of = np.cumsum(tree.sizes)
+    tree = Tree(tree.lengths, counts, tree.sizes.copy(), [level.copy() for level in tree.levels])
+    lengths, kept, again, upto, k = [], [], 0, 0, 0
     while k < len(edits):
         first = edits[k][0]
         left = int(np.searchsorted(ends, first - CONTEXT, side="right"))  # pre-tokens that stay before the edit
@@ -113,11 +147,11 @@ def recount(text: str, edits: list[tuple[int, int, str]], encoder: Encoder, leaf
                 group.append(edits[k])
                 k += 1
                 stop = min(len(text), group[-1][1] + reach)
-            parts, at = [], start
+            pieces, at = [], start
             for a, b, new in group:
-                parts += [text[at:a], new]
+                pieces += [text[at:a], new]
                 at = b
-            fresh = "".join(parts)
+            fresh = "".join(pieces)
             changed, snippet = len(fresh), fresh + text[at:stop]
             new_ends, new_counts = encoder.split(snippet)
             last = len(snippet) if stop == len(text) else len(snippet) - CONTEXT
@@ -132,16 +166,25 @@ def recount(text: str, edits: list[tuple[int, int, str]], encoder: Encoder, leaf
             if stop == len(text):
                 done = True
             reach *= 4
-        tree_from, tree_to = left // leaf, max(left, right - 1) // leaf
-        removed = counts[left:right]
-        for leaf_at in range(tree_from, min(tree_to, len(tree.levels[0]) - 1) + 1):
-            lost = removed[max(0, leaf_at * leaf - left) : max(0, (leaf_at + 1) * leaf - left)].sum()
-            if lost:
-                tree.add(leaf_at, -int(lost))
-        tree.add(min(tree_from, len(tree.levels[0]) - 1), int(new_counts[:n].sum()))
+        touched = int(np.searchsorted(last_of, left, side="right"))
+        into = min(touched, len(tree.sizes) - 1)
+        for at_leaf in range(touched, min(int(np.searchsorted(last_of, max(left, right - 1), side="right")), len(tree.sizes) - 1) + 1):
+            low = int(last_of[at_leaf - 1]) if at_leaf else 0
+            lost = counts[max(left, low) : min(right, int(last_of[at_leaf]))]
+            tree.add(at_leaf, -int(lost.sum()), -len(lost))
+        tree.add(into, int(new_counts[:n].sum()), n)
+        lengths += [tree.lengths[upto:left], np.diff(new_ends[:n], prepend=0)]
+        kept += [counts[upto:left], new_counts[:n]]
         again += n
         upto = right
-    return Counted(before, tree.total, len(counts), again, len(edits))
+    tree.lengths, tree.counts = np.concatenate([*lengths, tree.lengths[upto:]]), np.concatenate([*kept, counts[upto:]])
+    out, at = [], 0
+    for a, b, new in edits:
+        out += [text[at:a], new]
+        at = b
+    if tree.sizes.max(initial=0) > 8 * leaf:  # a leaf has grown by insertions: the same counts under new leaves
+        tree = Tree.of(tree.lengths, tree.counts, leaf)
+    return "".join([*out, text[at:]]), tree, again
 
 
 def private_edits(text: str) -> list[tuple[int, int, str]]:
@@ -160,36 +203,67 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, id: str = "doc_
 
     `edits` names a column of (start, end, replacement) structs; without it, `rule` makes the edits from the text.
     """
-    bounded_batches(docs.sparkSession)
+
+    def counted(encoder: Encoder, row) -> tuple:
+        t = row.text or ""
+        given = rule(t) if edits is None else _given(row.edits)
+        tree = plant(t, encoder, leaf)
+        _, after, again = edited(t, tree, given, encoder, leaf)
+        return row.id, tree.total, after.total, len(orderly(t, given)), len(tree.counts), again
+
+    names = [id, "n_tokens", "n_tokens_edited", "n_edits", "n_pretokens", "n_encoded_again"]
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *([F.col(edits).alias("edits")] if edits else []))
+    return _mapped(rows, vocabulary, pattern, counted, names, [dict(docs.dtypes)[id]] + ["long"] * 5)
+
+
+def _given(edits) -> list[tuple]:
+    return [(e["start"], e["end"], e["replacement"]) for e in (edits if edits is not None else []) if e is not None]
+
+
+def _mapped(rows: DataFrame, vocabulary: str, pattern: str, one, names: list[str], kinds: list[str]) -> DataFrame:
+    """Applies `one` (encoder, row) to each row; a task has one encoder and holds one batch of texts."""
+    bounded_batches(rows.sparkSession)
     with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = "struct<n_tokens:long,n_tokens_edited:long,n_edits:long,n_pretokens:long,n_encoded_again:long>"
-
-    def counted(encoder: Encoder, t: str | None, given) -> tuple:
-        t = t or ""
-        if edits is None:
-            given = rule(t)
-        else:
-            given = [(e["start"], e["end"], e["replacement"] or "") for e in (given if given is not None else [])]
-        c = recount(t, given, encoder, leaf)
-        return c.before, c.after, c.edits, c.pretokens, c.encoded_again
-
-    names = ["n_tokens", "n_tokens_edited", "n_edits", "n_pretokens", "n_encoded_again"]
-
-    @F.pandas_udf(kind)
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(ranks.value, pattern)
-        for texts in batches:
-            yield pd.DataFrame([counted(encoder, t, None) for t in texts], columns=names)
+        ranks = rows.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf(kind)
-    def applied(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
-        for texts, given in batches:
-            yield pd.DataFrame([counted(encoder, t, e) for t, e in zip(texts, given)], columns=names)
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            found = [one(encoder, Row(*values)) for values in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate(arrow)], names)
+
+    schema = T.DataType.fromDDL(", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    arrow, Row = [f.type for f in to_arrow_schema(schema)], namedtuple("Row", rows.columns)
+    return rows.mapInArrow(mapped, schema)
+
+
+TREE = ["lengths", "counts", "sizes", "sums"]
+
+
+def plant_trees(docs: DataFrame, vocabulary: str, pattern: str, id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+    """Per row: id, text, n_tokens and the tree (lengths, counts, sizes, sums), to be stored for later edits."""
+
+    def planted(encoder: Encoder, row) -> tuple:
+        tree = plant(row.text or "", encoder, leaf)
+        return row.id, row.text, tree.total, *tree.packed()
+
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    return _mapped(rows, vocabulary, pattern, planted, [id, text, "n_tokens", *TREE], [dict(docs.dtypes)[id], "string", "long"] + ["binary"] * 4)
+
+
+def edit_trees(trees: DataFrame, vocabulary: str, pattern: str, edits: str, id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+    """What `plant_trees` or this function returned, with a column of edits, after the edits: the same columns and n_encoded_again.
+
+    Text outside the edits' surroundings is neither split nor encoded.
+    """
+
+    def grown(encoder: Encoder, row) -> tuple:
+        t, tree, again = edited(row.text or "", Tree.unpacked(row.lengths, row.counts, row.sizes, row.sums), _given(row.edits), encoder, leaf)
+        return row.id, None if row.text is None and not t else t, tree.total, *tree.packed(), again
 
-    out = made(F.col(text)) if edits is None else applied(F.col(text), F.col(edits))
-    return docs.select(F.col(id), out.alias("_c")).select(id, "_c.*")
+    rows = trees.select(F.col(id).alias("id"), F.col(text).alias("text"), *TREE, F.col(edits).alias("edits"))
+    return _mapped(rows, vocabulary, pattern, grown, [id, text, "n_tokens", *TREE, "n_encoded_again"], [dict(trees.dtypes)[id], "string", "long"] + ["binary"] * 4 + ["long"])
 
 
 def op3(spark, sf_dir):
