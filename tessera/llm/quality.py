@@ -11,7 +11,9 @@ broadcast and summed where the text is read; the others are joined by n-gram and
 fixed number of buckets, for small corpora: one array, no join; as the buckets fill up its ratios go to 0.
 
 Nulls and empty texts have no words: all counts are 0 and the base rules fail. Rows that repeat are judged one by one. Null ids
-are never trusted. Empty tables give empty results. Only the named columns are read.
+are never trusted. Without a trusted row that has words all ratios are 0, so the base rules alone decide. A ratio equal to the threshold is
+kept. Very long texts take time in proportion to their length, and to its logarithm where they repeat windows. Empty tables give empty
+results. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ngram_hashes, words, written
+from tessera.llm.common import barred, ngram_hashes, words, written
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 50_000
@@ -93,49 +95,59 @@ def _row_ratios(docs: DataFrame, llr: DataFrame, id: str, text: str) -> DataFram
     return both.select("row_id", "row_hash", F.round(F.coalesce("sum", F.lit(0.0)) / F.col("n"), 9).alias("ratio"))
 
 
-def _repeated(hashes: Column, ordered: Column) -> Column:
+def _repeated(ordered: Column) -> Column:
     """Words inside three-word windows that the text holds twice or more; `ordered`: (hash, place) pairs in order."""
     same = lambda i, by: F.coalesce(F.get(ordered, i)["h"] == F.get(ordered, i + by)["h"], F.lit(False))
     places = F.transform(F.filter(ordered, lambda x, i: same(i, 1) | same(i, -1)), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(places))))
+    return F.size(F.array_distinct(F.flatten(places)))
 
 
 def measure(docs: DataFrame, llr: np.ndarray | DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept."""
+    """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept.
+
+    Filters on the result stay above the arrays it is made from, which are built once a row.
+    """
     exact = isinstance(llr, DataFrame)
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(id).alias("id"),
-        F.xxhash64(F.col(text)).alias("row_hash"),
-        words(F.col(text)).alias("words"),
-        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+    rows = barred(
+        docs.select(
+            F.col(id).alias("id"),
+            F.xxhash64(F.col(text)).alias("row_hash"),
+            words(F.col(text)).alias("words"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        )
     )
-    rows = rows.withColumn("h", ngram_hashes(F.col("words"), 3))
     if exact:
         ratio = F.lit(0.0)
     else:
         table = F.split(F.lit(",".join(f"{x:.9g}" for x in llr)), ",").cast("array<double>")
-        rows = rows.withColumn("bs", _buckets(F.col("words"), len(llr)))
+        rows = barred(rows.withColumn("bs", _buckets(F.col("words"), len(llr))))
         total = F.aggregate("bs", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b + 1))
         ratio = F.when(F.size("bs") > 0, F.round(total / F.size("bs"), 9)).otherwise(F.lit(0.0))
-    rows = rows.withColumn("ordered", F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    rows = rows.select(
-        "id",
-        "row_hash",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("h"), F.col("ordered")).cast("long").alias("n_repeat_words"),
-        ratio.alias("ratio"),
+    rows = barred(
+        rows.select(
+            "id",
+            "row_hash",
+            F.size("words").cast("long").alias("n_words"),
+            F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+            "n_symbols",
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            ngram_hashes(F.col("words"), 3).alias("h"),
+            ratio.alias("ratio"),
+        )
     )
+    # Only texts that repeat a window are sorted.
+    pairs = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = barred(rows.withColumn("ordered", F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs)).drop("h"))
+    rows = rows.withColumn("n_repeat_words", F.when(F.col("ordered").isNull(), F.lit(0)).otherwise(_repeated(F.col("ordered"))).cast("long")).drop("ordered")
     if exact:
         found = _row_ratios(docs, llr, id, text)
         rows = rows.drop("ratio").join(found, rows["id"].eqNullSafe(found["row_id"]) & (rows["row_hash"] == found["row_hash"]), "left").drop("row_id", found["row_hash"])
         rows = rows.withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop("row_hash").withColumnRenamed("id", id)
+    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    return rows.select(F.col("id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
 
 
 def op10(spark, sf_dir):
