@@ -136,16 +136,16 @@ def choose(counts: pd.DataFrame, positive: int, negative: int, max_terms: int =
     return dict(sorted(kept.items(), key=lambda x: (-have[x[0]], x[0]))[:max_terms])
 
 
-def curve(features: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton's method with a small ridge."""
+def curve(features: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve through weighted points, by Newton's method with a small ridge."""
     if not len(labels) or labels.min() == labels.max():
-        rate = labels.mean() if len(labels) else 0.0
+        rate = labels[0] if len(labels) else 0.0
         return 0.0, math.log((rate + 1e-9) / (1 - rate + 1e-9))
     x = np.column_stack([features, np.ones(len(features))])
     b, ridge = np.zeros(2), np.diag([1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (labels - p) - ridge @ b)
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weights * (labels - p)) - ridge @ b)
         b += step
         if np.abs(step).max() < 1e-9:
             break
@@ -215,14 +215,14 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         for batch in batches:
             yield pd.DataFrame({"x": [model.feature(fold(t), automaton) for t in batch["text"]], "y": batch["label"].astype("int32")})
 
-    # Repeated ids could multiply the rows, so the curve takes them as counted groups of equal features.
-    seen = rows.mapInPandas(features, "x double, y int").limit(4 * fit_rows).toPandas().sort_values(["x", "y"])
-    model.slope, model.intercept = curve(seen["x"].to_numpy(float), seen["y"].to_numpy(float))
+    # Repeated ids could multiply the rows, so the curve takes them as counted groups of equal features, a few thousand at most.
+    seen = rows.mapInPandas(features, "x double, y int").groupBy(F.round("x", 3).alias("x"), "y").count().toPandas().sort_values(["x", "y"])
+    model.slope, model.intercept = curve(seen["x"].to_numpy(float), seen["y"].to_numpy(float), seen["count"].to_numpy(float))
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """All columns of `docs` and the score, under a name that must not be one of them."""
+    """All columns of `docs` and the score; a column that has its name is replaced."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -27,6 +27,8 @@ RULES = (
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SUPPORT, CONFIDENCE, BROADCAST_RULES = 0.004, 0.6, 50_000
+#: A rule rests on at least so many labelled urls, and is proven on a quarter as many that it wasn't mined from.
+LEAST = 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,16 +67,23 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(urls: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(tokens, verdict, confidence, support) from labelled urls (`bad`: 1 block, 0 allow)."""
+def mine(urls: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+    """(tokens, verdict, confidence, support) from labelled urls (`bad`: 1 block, 0 allow).
+
+    A third of the urls, by a hash, is held out. A rule is mined from the rest, where at least `least` urls with its verdict hold it, and
+    stays only if it is as sure on the urls held out, of which a quarter of `least` must hold it.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     spark = urls.sparkSession
     named = F.when(F.col(bad) == 1, F.lit("=block")).otherwise(F.lit("=allow"))
-    baskets = urls.filter(F.col(bad).isin(0, 1)).select(F.concat(tokens(F.col(url)), F.array(named)).alias("items"))
-    if baskets.isEmpty():
+    labelled = urls.filter(F.col(bad).isin(0, 1)).select(F.col(url).alias("url"), F.col(bad).alias("bad"), named.alias("class"))
+    held_out = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 3 == 1
+    baskets = labelled.filter(~held_out).select(F.concat(tokens(F.col("url")), F.array("class")).alias("items")).persist()
+    n = baskets.count()
+    if n < least:
         return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
     rules = model.associationRules.filter(F.element_at("consequent", 1) == "=block").select(
         F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 2, 10).alias("verdict"), "confidence", "support"
     )
@@ -83,7 +92,18 @@ def mine(urls: DataFrame, url: str = "url", bad: str = "bad", support: float = S
     shorter = parts.select("row", "confidence", F.explode_outer(F.transform("tokens", lambda t: F.array_join(F.array_remove("tokens", t), "\n"))).alias("less"))
     sure = parts.select(F.col("row").alias("less"), F.col("confidence").alias("less_confidence"))
     beaten = shorter.join(sure, "less").filter(F.col("less_confidence") >= F.col("confidence")).select("row").distinct()
-    return parts.join(beaten, "row", "left_anti").drop("row")
+    return proven(parts.join(beaten, "row", "left_anti").drop("row"), labelled.filter(held_out), "url", "bad", confidence, -(-least // 4))
+
+
+def proven(rules: DataFrame, urls: DataFrame, url: str, bad: str, confidence: float, least: int) -> DataFrame:
+    """The block rules that hold for at least `least` of the labelled urls and are right for the share `confidence` of them."""
+    rows = urls.select(F.col(bad).alias("bad"), tokens(F.col(url)).alias("have"))
+    hits = (
+        rows.select("bad", "have", F.explode_outer("have").alias("token")).join(index(rules, urls, url), "token")
+        .filter(F.size(F.array_except("tokens", "have")) == 0)
+        .groupBy("tokens").agg(F.count("*").alias("n"), F.avg("bad").alias("right"))
+    )
+    return rules.join(hits.filter((F.col("n") >= least) & (F.col("right") >= confidence)).select("tokens"), "tokens", "left_semi")
 
 
 def index(rules: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
