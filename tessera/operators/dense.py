@@ -145,36 +145,52 @@ def verified(rows: DataFrame, blob: str = "blob", dimensions: str = "dimensions"
 _FNV, _PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def fnv1a(data: bytes) -> int:
-    h = _FNV
-    for b in data:
-        h = (h ^ b) * _PRIME & (1 << 64) - 1
-    return h
-
-
-def _pair(a: int, b: int) -> int:
-    """The feature of two words in a row."""
-    full = (1 << 64) - 1
-    turned = (b << 31 | b >> 33) & full
-    return (((a ^ 0x9E3779B97F4A7C15) * _PRIME & full) ^ turned) * _PRIME & full
+def fnv1a(tokens: list[str]) -> np.ndarray:
+    """The 64-bit hash of each token, all of them a byte at a time; few tokens are long, so the longest are left to the end."""
+    data = [t.encode() for t in tokens]
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    order = np.argsort(-size, kind="stable")
+    ends, raw = np.cumsum(size), np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    at, size, h = (ends - size)[order], size[order], np.full(len(data), _FNV, dtype=np.uint64)
+    for i in range(int(size[0]) if len(size) else 0):
+        n = np.searchsorted(-size, -i, side="left")  # tokens with more than i bytes
+        h[:n] = (h[:n] ^ raw[at[:n] + i]) * np.uint64(_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """The features of two words in a row."""
+    a, b = h[:-1], h[1:]
+    turned = b << np.uint64(31) | b >> np.uint64(33)
+    return ((a ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(_PRIME) ^ turned) * np.uint64(_PRIME)
+
+
+def embed_texts(texts: list[str | None], dims: int = DIMS) -> list[np.ndarray]:
+    """Words and word pairs, each added to or taken from the bucket of its hash by the hash's top bit, then normalised; a text without
+    words is the bucket of the text itself. Each distinct word of the list is hashed once."""
+    words = [re.findall(r"\w+", (t or "").lower()) or [t or ""] for t in texts]
+    empty = [not re.search(r"\w", t or "") for t in texts]
+    distinct = list(dict.fromkeys(w for ws in words for w in ws))
+    known, out = dict(zip(distinct, fnv1a(distinct))), []
+    for ws, none in zip(words, empty):
+        h = np.fromiter((known[w] for w in ws), np.uint64, len(ws))
+        h = h if none else np.concatenate([h, _pairs(h)])
+        sign = np.ones(1) if none else np.where(h >> np.uint64(63), -1.0, 1.0)
+        v = np.bincount((h % np.uint64(dims)).astype(np.int64), sign, minlength=dims)
+        n = np.linalg.norm(v)
+        out.append((v / n if n else v).astype(np.float32))
+    return out
 
 
 def embed_text(text: str | None, dims: int = DIMS) -> np.ndarray:
-    """Words and word pairs, each added to or taken from the bucket of its hash by the hash's top bit, then normalised; a text without
-    words is the bucket of the text itself."""
-    words = [fnv1a(w.encode()) for w in re.findall(r"\w+", (text or "").lower())]
-    out = np.zeros(dims)
-    for h in words + [_pair(a, b) for a, b in zip(words, words[1:])]:
-        out[h % dims] += -1.0 if h >> 63 else 1.0
-    if not words:
-        out[fnv1a((text or "").encode()) % dims] = 1.0
-    n = np.linalg.norm(out)
-    return (out / n if n else out).astype(np.float32)
+    return embed_texts([text], dims)[0]
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
-    return texts.map(embed_text)
+    return pd.Series(embed_texts(texts.tolist()), index=texts.index, dtype=object)
 
 
 def backfill(subjects: DataFrame, cached: DataFrame, key: str = "subject_hash", text: str = "text") -> DataFrame:

@@ -347,3 +347,49 @@ def test_nearest_equals_brute_force(spark):
     assert dense.nearest(df, asked.limit(0), 7).count() == 0
     with pytest.raises(Exception, match="dimension"):
         dense.nearest(df, asked.withColumn("query_vector", F.slice("query_vector", 1, 3)), 7).count()
+
+
+def test_embedding_equals_the_rule_by_hand():
+    import numpy as np
+
+    full = (1 << 64) - 1
+
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 & full
+        return h
+
+    texts = ["Alpha beta_1 alpha", "", None, "!?", "caf\u00e9 " + "x" * 300, "one"]
+    for text, got in zip(texts, dense.embed_texts(texts)):
+        words, want = [fnv(w.encode()) for w in re.findall(r"\w+", (text or "").lower())], np.zeros(dense.DIMS)
+        pairs = [(((a ^ 0x9E3779B97F4A7C15) * 0x100000001B3 & full) ^ ((b << 31 | b >> 33) & full)) * 0x100000001B3 & full for a, b in zip(words, words[1:])]
+        for h in words + pairs:
+            want[h % dense.DIMS] += -1 if h >> 63 else 1
+        if not words:
+            want[fnv((text or "").encode()) % dense.DIMS] = 1
+        assert np.allclose(got, want / np.linalg.norm(want))
+
+
+def test_sweepable_keeps_what_is_named(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "generation": df([(1,), (2,)], "generation_id int"), "file": df([(1, 10), (2, 20), (2, 10)], "generation_id int, revision_id int"),
+        "revision": df([(10, 100), (20, 200), (30, 100)], "revision_id int, blob_id int"), "blob": df([(100,), (200,), (300,)], "blob_id int"),
+    }
+    gone = {name: sorted(tuple(r) for r in rows.collect()) for name, rows in retention.sweepable(tables, tables["generation"].filter("generation_id = 1")).items()}
+    assert gone == {"file": [(2, 10), (2, 20)], "generation": [(2,)], "revision": [(20, 200), (30, 100)], "blob": [(200,), (300,)]} and list(gone) == ["file", "generation", "revision", "blob"]
+    plan = retention.sweep_plan(tables, tables["generation"].filter("generation_id = 1"), batch_rows=1).collect()
+    assert {(r.phase, r.rows, r.batches) for r in plan} == {("file", 2, 2), ("generation", 1, 1), ("revision", 2, 2), ("blob", 2, 2)}
+
+
+def test_range_counts_equal_brute_force(spark):
+    import random
+
+    from tessera.operators.stats import range_counts
+
+    r = random.Random(6)
+    points = [(r.choice("ab"), r.randint(0, 30)) for _ in range(80)]
+    ranges = [(i, r.choice("abc"), a := r.randint(-2, 30), a + r.randint(-3, 9)) for i in range(60)]
+    got = {x.id: x.n for x in range_counts(spark.createDataFrame(ranges, "id int, k string, lo int, hi int"), spark.createDataFrame(points, "k string, at int"), "k", "lo", "hi", "at", "id").collect()}
+    assert got == {i: sum(k == p and a <= x <= b for p, x in points) for i, k, a, b in ranges}
