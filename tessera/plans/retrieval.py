@@ -152,7 +152,10 @@ def r15(spark, d):
     return found.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "path")
 
 
-@query("r16_snippets")
+@query("r16_snippets", """WITH s AS (SELECT doc_id, strlen(text) AS size, doc_id % 40 AS start, substr(hex(encode(text)), 2 * (doc_id % 40) + 1) AS x FROM documents),
+g AS (SELECT *, start <= size AND NOT regexp_matches(x, '^[89AB]') AS good FROM s)
+SELECT doc_id, CASE WHEN good THEN decode(unhex(CASE WHEN length(x) > 16384 THEN regexp_replace(substr(x, 1, 16384), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', '') ELSE x END)) END AS text,
+       CASE WHEN good THEN CAST(size - start AS BIGINT) END AS full_bytes, CASE WHEN good THEN sha256(unhex(x)) END AS full_hash, CASE WHEN good THEN size - start > 8192 END AS truncated FROM g""")
 def r16(spark, d):
     rows = files(spark, d).select("doc_id", "text", (F.col("doc_id") % 40).cast("int").alias("start"), F.octet_length("text").alias("end"))
     return fusion.with_snippets(rows).select("doc_id", "snippet.*")

@@ -91,7 +91,8 @@ def g2(spark, d):
     return src.plan_build(f.drop("doc_id"), rev, "v1", 6000)
 
 
-@query("a18_manifest_hash")
+@query("a18_manifest_hash", with_("files", rest="""h AS (SELECT DISTINCT sha256(strlen(path) || ':' || path || '|' || strlen(coalesce(text, '')) || ':' || coalesce(text, '')) AS h FROM files),
+b AS (SELECT substr(h, 1, 2) AS b, count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS x, sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS y FROM h GROUP BY 1)""") + "SELECT sha256(string_agg(b || ',' || n || ',' || x || ',' || y, ';' ORDER BY b)) AS manifest_hash FROM b")
 def a18(spark, d):
     return src.manifest_hash(files(spark, d), "path", "text")
 

@@ -393,3 +393,54 @@ def test_range_counts_equal_brute_force(spark):
     ranges = [(i, r.choice("abc"), a := r.randint(-2, 30), a + r.randint(-3, 9)) for i in range(60)]
     got = {x.id: x.n for x in range_counts(spark.createDataFrame(ranges, "id int, k string, lo int, hi int"), spark.createDataFrame(points, "k string, at int"), "k", "lo", "hi", "at", "id").collect()}
     assert got == {i: sum(k == p and a <= x <= b for p, x in points) for i, k, a, b in ranges}
+
+
+def test_codec_and_backfill_queries(spark):
+    """Queries that SQL cannot express, against the same computed by hand."""
+    import hashlib
+    import struct
+    import unicodedata
+
+    from tessera.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    vectors = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    blobs = {i: b"".join(struct.pack("<f", x) for x in v) for i, v in vectors.items()}
+    got = {r.vec_id: (r.checksum, r.divergence is not None, r.decoded) for r in catalog.QUERIES["s11_vector_codec"](spark, d).collect()}
+    assert got == {i: ("bad" if i % 10 == 0 else sha(b), i % 10 == 0, len(vectors[i])) for i, b in blobs.items()}
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    valid = {sha(t.encode()) for i, t in texts.items() if i % 3 == 0 and i % 9 != 0}
+    todo = {sha(t.encode()): t for t in texts.values() if sha(t.encode()) not in valid}
+    got = {r.subject_hash: r.vector_sha256 for r in catalog.QUERIES["r24_r25_backfill"](spark, d).collect()}
+    assert got == {h: sha(dense.embed_text(t).astype("<f4").tobytes()) for h, t in todo.items()}
+
+    def normal(t):
+        t = unicodedata.normalize("NFC", t.lstrip("\ufeff") if t.startswith("\ufeff") else t).replace("\r\n", "\n").replace("\r", "\n")
+        return "\n".join(line.rstrip() for line in t.split("\n"))
+
+    assert {r.doc_id: r.normalized_sha256 for r in catalog.QUERIES["f1_normalize_unicode"](spark, d).collect()} == {i: sha(normal(t).encode()) for i, t in texts.items()}
+
+
+def test_chunk_query_covers_every_file(spark):
+    from tessera.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = {}
+    for r in catalog.QUERIES["c1_c6_universal_chunks"](spark, d).collect():
+        rows.setdefault(int(re.search(r"/d(\d+)\.", r.path)[1]), []).append(r)
+    assert set(rows) == set(docs)
+    for i, found in rows.items():
+        data = (f"# A\n{docs[i]}\n## B\nend" if i % 5 == 0 else docs[i]).encode()
+        found.sort(key=lambda r: r.ordinal)
+        assert [r.ordinal for r in found] == list(range(len(found))) and (found[0].kind, found[0].start, found[0].end, found[0].parent) == ("file", 0, len(data), None)
+        at = 0
+        for r in found[1:]:
+            assert r.parent == 0 and r.start >= at and not data[at : r.start].strip() and data[r.start : r.end].strip()
+            assert r.end - r.start <= chunk.MAX_CHUNK or data[r.start : r.end].rstrip(b"\n").count(b"\n") == 0
+            at = r.end
+        assert not data[at:].strip()
+        if i % 5 == 0 and found[0].path.endswith(".md"):
+            assert found[1].name == "A" and found[-1].name == "B"
