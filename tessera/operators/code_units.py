@@ -1,12 +1,14 @@
 """Units and references in source code.
 
-Python is parsed exactly, by its own parser. The other languages are matched declaration by declaration with regular expressions; a
-unit ends where its braces (or, for scripts and tables, the next unit of its level) end, which is an approximation.
+Python is parsed exactly, by its own parser. The other languages are matched declaration by declaration with regular expressions, outside
+comments and strings; a unit ends where its braces (or, for scripts and tables, the next unit of its level) end, which is an
+approximation.
 """
 
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -81,13 +83,38 @@ def python_units(text: str) -> tuple[list[tuple], list[tuple], bool]:
     return units, refs, True
 
 
-def _end(data: str, start: int, stop: int) -> int:
+_C_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+_DOUBLE, _SINGLE, _BACK = r'"(?:\\[\s\S]|[^"\\\n])*"?', r"'(?:\\[\s\S]|[^'\\\n])*'?", r"`(?:\\[\s\S]|[^`\\])*`?"
+#: What is no code: comments and the insides of strings.
+_ASIDE = {
+    "javascript": "|".join((_C_COMMENT, _DOUBLE, _SINGLE, _BACK)), "typescript": "|".join((_C_COMMENT, _DOUBLE, _SINGLE, _BACK)),
+    "rust": "|".join((_C_COMMENT, r'r(#*)"[\s\S]*?"\1', r'"(?:\\[\s\S]|[^"\\])*"?', r"'(?:\\[^\n]{1,10}?|[^'\\\n])'")), "go": "|".join((_C_COMMENT, _DOUBLE, r"'(?:\\[^\n]{1,10}?|[^'\\\n])'", r"`[^`]*`?")),
+    "bash": "|".join((r"(?<![^\s;])#[^\n]*", r'"(?:\\[\s\S]|[^"\\])*"?', r"'[^']*'?")), "toml": r"(?m)#[^\n]*$|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}", "yaml": r"(?<![^\s])#[^\n]*",
+}
+
+
+def code_only(text: str, language: str) -> str:
+    """The text with blanks for comments and the insides of strings; every place stays where it is."""
+
+    def blank(m: re.Match) -> str:
+        quoted = m[0][0] in "\"'`" and len(m[0]) > 1
+        inside = re.sub(r"[^\n]", " ", m[0][1:-1] if quoted else m[0])
+        return m[0][0] + inside + m[0][-1] if quoted else inside
+
+    return re.sub(_ASIDE[language], blank, text) if language in _ASIDE else text
+
+
+#: Kinds whose braces, if any, open on the line they begin on.
+_ON_A_LINE = ("variable", "constant", "static", "type_alias", "declaration")
+
+
+def _end(data: str, start: int, stop: int, far: int = 200) -> int:
     """Where the braces that open on the declaration's first lines close, else the end of its line."""
     line = data.find("\n", start)
     line = len(data) if line < 0 else line
     opened = data.find("{", start)
     semi = data.find(";", start)
-    if opened < 0 or (0 <= semi < opened) or opened > line + 200:
+    if opened < 0 or (0 <= semi < opened) or opened > line + far:
         return semi + 1 if 0 <= semi <= line else line
     depth = 0
     for i in range(opened, len(data)):
@@ -99,6 +126,7 @@ def _end(data: str, start: int, stop: int) -> int:
 
 def other_units(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
     seen: dict[int, tuple] = {}
+    whole, text = text, code_only(text, language)
     for kind, pattern in DECLARATIONS.get(language, []):
         for m in re.finditer(pattern, text, re.M):
             start = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -112,11 +140,19 @@ def other_units(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
             end = next((m.start() for m in re.finditer(r"^[ \t]*[^\s#]", text[_line_end(text, start) :], re.M) if len(m[0]) - 1 <= indent(start)), None)
             end = len(text) if end is None else _line_end(text, start) + end
         else:
-            end = _end(text, start, len(text))
-        size = lambda s: len(s.encode())
-        units.append((kind, name, size(text[:start]), size(text[:end])))
-    refs = [(m[1].strip(), kind) for kind, pattern in IMPORTS.get(language, []) for m in re.finditer(pattern, text, re.M)]
-    return units, refs
+            end = _end(text, start, len(text), 0 if kind in _ON_A_LINE else 200)
+        units.append((kind, name, start, end))
+    # Imports name their source in a string, so they are looked for in the whole text, and count where code begins there.
+    refs = [(m[1].strip(), kind) for kind, pattern in IMPORTS.get(language, []) for m in re.finditer(pattern, whole, re.M) if text[m.start() : m.end()].strip()[:1] == m[0].strip()[:1]]
+    return [(kind, name, at(start), at(end)) for at in (_bytes_at(whole),) for kind, name, start, end in units], refs
+
+
+def _bytes_at(text: str):
+    """From places in characters to places in bytes."""
+    if text.isascii():
+        return lambda i: i
+    ends = [0, *itertools.accumulate(len(c.encode()) for c in text)]
+    return lambda i: ends[i]
 
 
 def _line_end(text: str, at: int) -> int:

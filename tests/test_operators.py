@@ -444,3 +444,25 @@ def test_chunk_query_covers_every_file(spark):
         assert not data[at:].strip()
         if i % 5 == 0 and found[0].path.endswith(".md"):
             assert found[1].name == "A" and found[-1].name == "B"
+
+
+@pytest.mark.parametrize(
+    "language, text, want",
+    [
+        ("javascript", "// class No {\nconst s = 'function no() {';\nfunction f() {\n  return `}` + \"}\"; /* } */\n}\nclass A {\n  m(x) {\n  }\n}\n", [("function", "f", 5), ("class", "A", 9), ("method", "m", 8)]),
+        ("rust", "/* fn no() { */\nfn f<'a>(x: &'a str) -> char {\n    let s = r#\"}\"#; '}'\n}\nstruct S { a: u8 }\n", [("function", "f", 4), ("struct", "S", 5)]),
+        ("go", "package p\nvar x = `func no() {`\nfunc f() {\n\ts := \"}\" // }\n}\n", [("variable", "x", 2), ("function", "f", 5)]),
+        ("bash", "# no() {\nf() {\n  echo '}' \"}\" # }\n}\n", [("function", "f", 4)]),
+        ("toml", "a = \"\"\"\nno = 1\n\"\"\"\n# b = 2\n[t]\nk = 1\n", [("key", "a", 1), ("table", "t", 6), ("key", "k", 6)]),
+    ],
+)
+def test_units_outside_strings_and_comments(language, text, want):
+    found = [(kind, name, text.encode()[:end].count(b"\n") + (not text.encode()[:end].endswith(b"\n"))) for _, kind, name, _, end, _ in code_units.parse(text, language)[0][1:]]
+    assert sorted(found) == sorted(want)
+
+
+def test_imports_outside_comments():
+    text = "// import a from 'no';\nimport b from 'yes';\nconst s = `\nimport c from 'no';\n`;\n"
+    assert [r for r, _ in code_units.parse(text, "javascript")[1]] == ["yes"]
+    units, _, _ = code_units.parse("fn é() {}\nfn b() {}\n", "rust")
+    assert [u[3:5] for u in units[1:]][-1] == (11, 20) or units[-1][2] == "b"
