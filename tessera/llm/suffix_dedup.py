@@ -25,7 +25,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tessera.llm.common import barred, written
 from tessera.llm.exchange import Batch, Names, answer, answers, buckets_for, copied, copy_rows, digest, look_up, mix, owner_rows, owners, pack, send, split, squeezed, together, unsqueezed, wide_owners
 
 RUN, GRAM = 50, 6
@@ -225,6 +228,32 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", run: in
     return together(packed, buckets, needed.unionByName(second), results, f"{id} long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def doubled(docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, start: int = 4) -> DataFrame:
+    """(id, at): every byte at which a string of `run` bytes starts that also starts in a document with a smaller id.
+
+    Prefix doubling over all positions, in DataFrame functions: strings of `start` bytes are ranked by their value; in each round Spark
+    sorts the pairs of ranks at a position and at a growing offset behind it and ranks the pairs that occur twice; positions whose pair is
+    unique are dropped. It states the rule that `deduplicate` applies, position by position, but sorts every byte of the corpus, which
+    costs about a hundred times the input: it is for small corpora and for tests. Nulls as there.
+    """
+    data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    rows = docs.select(F.struct(F.col(id).isNull().alias("last"), F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("hash")).alias("doc"), data.alias("data"))
+    at = F.when(F.octet_length("data") >= run, F.sequence(F.lit(0), F.octet_length("data") - start)).otherwise(F.array().cast("array<int>"))
+    places = barred(rows).select("doc", "data", F.explode_outer(at).alias("at")).filter("at is not null")
+    now = places.select("doc", "at", F.conv(F.hex(F.substr("data", F.col("at") + 1, F.lit(start))), 16, 10).cast("bigint").alias("rank"))
+    size = start
+    while size < run:
+        by = min(size, run - size)
+        behind = W.partitionBy("doc").orderBy("at").rangeBetween(by, by)
+        pairs = written(now.withColumn("next", F.first("rank").over(behind)).filter("next is not null"), "pairs")
+        twice = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1").orderBy("rank", "next")
+        ranks = twice.select("rank", "next", F.monotonically_increasing_id().alias("new"))  # ascends with the order of the pairs
+        now, size = written(pairs.join(ranks, ["rank", "next"]).select("doc", "at", F.col("new").alias("rank")), "ranks"), size + by
+    who = F.struct("doc.last", "doc.id")
+    least = now.groupBy("rank").agg(F.min(who).alias("least"), F.max(who).alias("most")).filter("least < most").drop("most")
+    return now.join(least, "rank").filter(F.col("least") < who).select(F.col("doc.id").alias(id), "at")
+
+
 def op7(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -125,6 +125,36 @@ def test_simhash(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_simhash_with_null_and_equal_ids(spark):
+    p, q = passage(1), passage(2)
+    rows = [(None, p), (7, p), (7, q), (3, q), (None, None), (None, "")]
+    got = sorted(((x.doc_id, x.component) for x in simhash.near_duplicates(table(spark, rows, extra=True)).collect()), key=repr)
+    assert got == sorted([(None, 7), (7, 7), (7, 3), (3, 3), (None, None), (None, None)], key=repr)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.root_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert common.root_dir(Session) == "hdfs://x/y/app"
+
+
+def test_release_removes_what_was_written(spark):
+    import os
+
+    common.written(spark.range(3), "kept")
+    assert os.path.isdir(common.root_dir(spark))
+    common.release(spark)
+    assert not os.path.isdir(common.root_dir(spark))
+
+
 @pytest.mark.parametrize("bits, blocks", [(4, 8), (7, 10), (0, 4)])
 def test_links_lose_nothing(spark, bits, blocks):
     r = random.Random(bits)
@@ -218,6 +248,19 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.deduplicate(table(spark, [])).count() == 0
 
 
+def test_doubling_over_all_positions(spark):
+    rows = repeats()[:40]
+    starts = {}
+    for x in suffix_dedup.doubled(table(spark, rows, extra=True)).collect():
+        starts.setdefault(x.doc_id, []).append(x["at"])
+    got = {i: len({p for a in starts.get(i, []) for p in range(a, a + 50)}) for i, _ in rows}
+    assert got == {i: n for i, (_, n, _, _) in bytes_brute(rows).items()} and any(got.values())
+    p = passage(1)
+    null = suffix_dedup.doubled(table(spark, [(1, p), (None, p), (1, p), (2, None), (3, "short")])).collect()
+    assert {x.doc_id for x in null} == {None} and len(null) == len(p.encode()) - 49
+    assert suffix_dedup.doubled(table(spark, [])).count() == 0
+
+
 def test_repeats_with_null_and_equal_ids(spark):
     p = passage(1)
     rows = [(1, p), (1, p), (None, p), (2**60 + 1, p), (0, "x")]
@@ -359,6 +402,11 @@ def test_toxicity_without_labels(spark):
     model = toxicity.learn(docs, labels)
     assert model.weights == {} and toxicity.score(docs, model).filter("score >= 0.7").count() == 0
     assert toxicity.score(docs.limit(0), model).count() == 0
+    clash = toxicity.score(docs.withColumn("score", F.lit("clash")), model)
+    assert dict(clash.dtypes)["score"] == "double" and clash.count() == docs.count()
+    same = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3 + [(None, 1), (3, None)], "doc_id long, toxic int")
+    twice = docs.unionByName(docs).unionByName(docs)
+    assert toxicity.learn(twice, same).slope == pytest.approx(toxicity.learn(twice, same.distinct()).slope)
 
 
 # ---- urls
