@@ -192,7 +192,7 @@ def pack(docs: DataFrame, id: str, text: str, batch_bytes: int = BATCH_BYTES, ba
 
 def buckets_for(packed: DataFrame) -> int:
     """A bucket gets the keys of about four batches, whatever the size of the corpus."""
-    return max(16, packed.count() // 4)
+    return max(8, packed.count() // 4)
 
 
 def split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -300,7 +300,7 @@ def send(packed: DataFrame, emit: Callable[[int, Batch], list[tuple]]) -> DataFr
 def answer(sent: DataFrame, buckets: int, reply: dict[int, Callable[[list], list]]) -> DataFrame:
     """(bucket, batch, kind, data): what the buckets say to the batches, by the kind of key or the kind that a reply names.
 
-    There are as many partitions as buckets, so tasks do not grow with the corpus.
+    Buckets are dealt over four times as many partitions, so few meet in a task and tasks do not grow with the corpus.
     """
 
     def replying(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +310,7 @@ def answer(sent: DataFrame, buckets: int, reply: dict[int, Callable[[list], list
             out += [(bucket, batch, as_kind[0] if as_kind else kind, data) for batch, data, *as_kind in reply[kind](list(zip(part["batch"], part["data"])))]
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "data"])
 
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(replying, ROWS)
+    return sent.repartition(4 * buckets, "bucket").groupBy("bucket").applyInPandas(replying, ROWS)
 
 
 def together(packed: DataFrame, buckets: int, replies: DataFrame, then: Callable[[int, Batch, dict[int, list]], pd.DataFrame], schema: str) -> DataFrame:
