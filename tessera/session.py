@@ -9,9 +9,9 @@ TABLES = (
 ).split()
 
 
-def build_session(cpus: str | int = "*", name: str = "tessera", partitions: int = 8, heap: str = "8g") -> SparkSession:
-    """A local session; on a cluster the caller brings a session of its own."""
-    spark = (
+def build_session(cpus: str | int = "*", name: str = "tessera", partitions: int = 8, heap: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session; on a cluster the caller brings a session of its own. `shared`: the folder for what operators write."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,8 +20,8 @@ def build_session(cpus: str | int = "*", name: str = "tessera", partitions: int
         .config("spark.driver.memory", heap)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -12,8 +12,7 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session(4, "tests", partitions=4, heap="4g")
+    session = build_session(4, "tests", partitions=4, heap="4g", shared=str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
