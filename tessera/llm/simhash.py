@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, written
+from tessera.llm.common import bounded_batches, dropped, written
 from tessera.llm.graph import components
 
 SHINGLE, BITS, BLOCKS, SEED = 4, 4, 8, 42
@@ -37,7 +37,7 @@ SMALL = 128
 #: Entries that a task gathers before it sends them, and that a bucket gets.
 HELD, DEALT = 2_000_000, 500_000
 #: Edge-disjoint forests that a bucket sends: a longer way round where an edge turns out to be too little alike.
-FORESTS = 3
+FORESTS = 2
 ODD = np.uint64(0x5555555555555555)
 
 
@@ -237,10 +237,13 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
         key = (segment_counts(np.where(side, fp[:, 1], fp[:, 0])) & masks[grid % len(masks)]) * np.uint64(0x9E3779B97F4A7C15)
         return (key ^ (key >> np.uint64(29)) ^ (grid.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xBF58476D1CE4E5B9)
 
+    def placed(fp: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        return ((keys(fp, grid) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
     def filed(held: list[np.ndarray]) -> pd.DataFrame:
         """One row a bucket: the fingerprints in it, each with the number of the grid that put it there."""
         fp = np.concatenate(held)
-        bucket = np.concatenate([((keys(fp, np.full(len(fp), g)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32) for g in used])
+        bucket = np.concatenate([placed(fp, np.full(len(fp), g)) for g in used])
         order, numbers = np.argsort(bucket, kind="stable"), np.array(used, dtype=np.uint16)
         parts = [p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
         return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts], "grid": [numbers[p // len(fp)].tobytes() for p in parts], "data": [fp[p % len(fp)].tobytes() for p in parts]})
@@ -256,6 +259,15 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
         if n:
             yield filed(held)
 
+    def owner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The bucket of the first cell that both ends share, which alone takes the pair: every pair has one, so forests over each
+        bucket's own pairs connect what all pairs would."""
+        apart = segment_counts(a[:, :2]) ^ segment_counts(b[:, :2])
+        first = np.full(len(a), -1, dtype=np.int64)
+        for g in used:
+            first[(first < 0) & (apart[:, g // len(masks)] & masks[g % len(masks)] == 0)] = g
+        return placed(a, first)
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.concatenate([np.frombuffer(g, dtype=np.uint16) for g in pdf["grid"]]).astype(np.int64)
         fp = np.concatenate([np.frombuffer(d, dtype=np.uint64).reshape(-1, 3) for d in pdf["data"]])
@@ -278,7 +290,8 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
         # What is connected already counts as one node, named after the first of it.
         _, named, home = np.unique(np.where(nodes[:, 2] > 0, nodes[:, 2], np.arange(len(nodes), dtype=np.uint64) + (np.uint64(1) << np.uint64(63))), return_index=True, return_inverse=True)
         home = named[home]
-        out, rest = [], pairs[home[pairs[:, 1]] != home[pairs[:, 2]]].tolist()  # shortest first
+        pairs = pairs[home[pairs[:, 1]] != home[pairs[:, 2]]]
+        out, rest = [], pairs[owner(nodes[pairs[:, 1]], nodes[pairs[:, 2]]) == int(pdf["bucket"].iloc[0])].tolist()  # shortest first
         for _ in range(forests):
             root, later = home.tolist(), []
             for edge in rest:
@@ -297,7 +310,7 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
         return pd.DataFrame(np.concatenate([nodes[ends[:, 1], :2], nodes[ends[:, 2], :2]], axis=1).view(np.int64), columns=["a1", "a2", "b1", "b2"])
 
     filled = prints.mapInPandas(cells, "bucket int, grid binary, data binary").repartition(buckets, "bucket")
-    return filled.groupBy("bucket").applyInPandas(search, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return filled.groupBy("bucket").applyInPandas(search, "a1 long, a2 long, b1 long, b2 long")
 
 
 def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 30, fixed: int = 3, blocks: int = 10) -> DataFrame:
@@ -323,25 +336,31 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     def linked(edges: DataFrame) -> DataFrame:
         """The (a, b) edges between sets of shingles that are as similar as asked."""
         edges = written(edges, "candidates")
-        wanted = edges.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(nodes.select("set", "whole"), "set")
+        wanted = edges.select(F.col("a").alias("set")).union(edges.select("b")).distinct().join(nodes.select("set", "whole"), "set")
         texts = docs.select(whole.alias("whole"), F.col(text).alias("text")).join(wanted, "whole").groupBy("set").agg(F.first("text").alias("text"))
         sets = written(texts.select("set", shingled("text").alias("shingles")), "sets")
         both = edges.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return written(both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
+        out = written(both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
+        dropped(edges)
+        dropped(sets)
+        return out
 
     def candidates(prints: DataFrame, **how) -> DataFrame:
         return close(prints, bits, fixed, blocks, **how).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
 
     # Different sets with the same fingerprints are held against the first of them.
     equal = nodes.join(first, ["f1", "f2"]).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
-    # A few grids link the dense groups first; all grids then only connect what those left apart.
+    # A few grids connect the dense groups first; all grids then only look between groups.
     apart = [n for n, groups in enumerate(combinations(range(blocks), fixed)) if groups[0] % fixed == 0 and groups[-1] == groups[0] + fixed - 1]
     dense = linked(candidates(first.select("f1", "f2", F.lit(0).cast("long").alias("part")), forests=1, grids=apart).unionByName(equal))
     roots = components(dense)
     parts = roots.select("a", F.col("b").alias("part")).unionByName(roots.select(F.col("b").alias("a"), F.col("b").alias("part")).distinct())
     marked = written(first.join(parts, F.col("first") == F.col("a"), "left").select("f1", "f2", F.coalesce("part", F.lit(0)).alias("part")), "parts")
-    roots = components(dense.unionByName(linked(candidates(marked))))
+    wide = linked(candidates(marked))
+    dropped(marked)
+    dropped(roots)
+    roots = components(dense.unionByName(wide))
     named = nodes.join(roots.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     return rows.join(named.join(smallest, "root").select("set", "component"), "set").select(F.col("id").alias(id), "component")

@@ -152,5 +152,10 @@ def parse_locator(text: Column) -> Column:
     return F.str_to_map(F.regexp_replace(text, ";$", ""), F.lit(";"), F.lit("="))
 
 
+def fingerprint(pairs: Column) -> Column:
+    """A map of versions as `k=v` in order of the keys, between semicolons."""
+    return F.array_join(F.transform(F.sort_array(F.map_entries(pairs)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
 def parser_fingerprint(**versions: str) -> str:
     return ";".join(f"{k}={v}" for k, v in sorted(versions.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,11 @@ def routing(expected: DataFrame, predicted: DataFrame, case: str = "case_id", ki
     )
 
 
+def gated(value: Column, baseline: Column, tolerance: Column) -> Column:
+    """As `gate`, over columns."""
+    return F.round((baseline - value) * 1e4) <= F.round(tolerance * 1e4)
+
+
 def gate(value: float, baseline: float, tolerance: float) -> bool:
     """Compared in ten thousandths, so that what prints equal is equal."""
     return round((baseline - value) * 1e4) <= round(tolerance * 1e4)

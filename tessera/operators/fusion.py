@@ -11,6 +11,8 @@ from tessera.functions.text import snippet
 # The constant of the ranks and the depth that a lexical hit may displace.
 RANK_CONSTANT, DISPLACEMENT = 60, 2
 DENSE_WEIGHT = 1.0
+# How many results a call gets unless it says so, and at most.
+SEARCH_LIMIT, SEARCH_MOST = 10, 50
 LEXICAL_WEIGHT = 1 - (RANK_CONSTANT + 1) / (RANK_CONSTANT + DISPLACEMENT)
 
 
@@ -24,8 +26,10 @@ def rrf(lexical: DataFrame, dense: DataFrame, limit: int | None = None, id: str
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
-def search(lexical: DataFrame | None, dense: DataFrame | None, limit: int, mode: str = "hybrid", **names) -> tuple[DataFrame, str]:
-    """The ranked ids and how the answer came about: hybrid, lexical_only or dense_only. Modes: hybrid, lexical, code."""
+def search(lexical: DataFrame | None, dense: DataFrame | None, limit: int = SEARCH_LIMIT, mode: str = "hybrid", **names) -> tuple[DataFrame, str]:
+    """The ranked ids and how the answer came about: hybrid, lexical_only or dense_only. Modes: hybrid, lexical, code. No call gets
+    more than `SEARCH_MOST` of a query."""
+    limit = min(limit, SEARCH_MOST)
     if mode not in ("hybrid", "lexical", "code"):
         raise ValueError(f"no such mode: {mode}")
     if mode == "lexical":

@@ -292,8 +292,13 @@ def inspect(entries: DataFrame, evidence: DataFrame, audits: DataFrame) -> DataF
     return entries.join(ev, "entry_id", "left").join(au, "entry_id", "left").withColumn("evidence", F.coalesce("evidence", none)).orderBy("created_at", "entry_id")
 
 
-def list_entries(entries: DataFrame, scopes: list[tuple[str, object]], kind: str | None = None, state: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page by (created_at, id), with the total and if there is more."""
+# Entries on a page unless a call says so, and at most.
+LIST_LIMIT, LIST_MOST = 20, 100
+
+
+def list_entries(entries: DataFrame, scopes: list[tuple[str, object]], kind: str | None = None, state: str | None = None, limit: int = LIST_LIMIT, offset: int = 0) -> DataFrame:
+    """A page by (created_at, id) of at most `LIST_MOST` entries, with the total and if there is more."""
+    limit = min(limit, LIST_MOST)
     rows = None
     for k, owner in scopes:
         part = in_scope(entries, k, owner, live_only=False)

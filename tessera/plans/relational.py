@@ -328,6 +328,12 @@ def l4(spark, d):
     return ledger.list_entries(entries(spark, d), [("repo", 2)], offset=5).select("entry_id", "kind", F.col("total").cast("bigint").alias("total"), "has_more")
 
 
+@query("l5_limits", with_("mem") + "SELECT entry_id, (SELECT count(*) FROM mem WHERE scope_kind IN ('repo', 'global') AND scope_owner IN (0, 2) AND (scope_kind, scope_owner) IN (('repo', 2), ('global', 0))) AS total FROM mem WHERE (scope_kind, scope_owner) IN (('repo', 2), ('global', 0)) ORDER BY created_at, entry_id LIMIT 100")
+def l5(spark, d):
+    """A page that asks for more than a call may get."""
+    return ledger.list_entries(entries(spark, d), [("repo", 2), ("global", 0)], limit=5000).select("entry_id", F.col("total").cast("bigint").alias("total"))
+
+
 @query("l6_u2_scope_union", with_("mem") + "SELECT DISTINCT entry_id, kind FROM mem WHERE state NOT IN ('resolved', 'retracted', 'rejected', 'superseded') AND ((scope_kind = 'global' AND scope_owner = 0) OR (scope_kind = 'repo' AND scope_owner = 2) OR (scope_kind = 'worktree' AND scope_owner = 1)) ORDER BY entry_id LIMIT 20000")
 def l6(spark, d):
     return ledger.scopes_union(entries(spark, d), [("global", 0), ("repo", 2), ("worktree", 1), ("repo", 2)]).select("entry_id", "kind")

@@ -277,3 +277,9 @@ SELECT round(sum(tp)::DOUBLE / sum(p), 6) AS precision, round(sum(tp)::DOUBLE /
 def a22(spark, d):
     e = table(spark, d, "events").select("event_id", (F.col("user_id") % 40).alias("case_id"), F.col("event_type").alias("kind"))
     return evaluate.routing(e, e.withColumn("kind", F.when(F.col("event_id") % 7 == 0, "view").otherwise(F.col("kind"))))
+
+
+@query("a23_gate", "SELECT event_id, round((0.7 - value / 1000.0::DOUBLE) * 1e4) <= round((event_id % 5) * 0.1::DOUBLE * 1e4) AS passed FROM events")
+def a23(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", evaluate.gated(F.col("value") / 1000, F.lit(0.7), F.col("event_id") % 5 * F.lit(0.1)).alias("passed"))

@@ -97,6 +97,20 @@ def a18(spark, d):
     return src.manifest_hash(files(spark, d), "path", "text")
 
 
+_MANIFEST = """h{n} AS (SELECT DISTINCT sha256(strlen(path) || ':' || path || '|64:' || sha256(text)) AS h FROM files WHERE {where}),
+b{n} AS (SELECT substr(h, 1, 2) AS b, count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS x, sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS y FROM h{n} GROUP BY 1),
+m{n} AS (SELECT sha256(string_agg(b || ',' || n || ',' || x || ',' || y, ';' ORDER BY b)) AS m FROM b{n})"""
+
+
+@query("g1_reconcile", with_("files", rest=", ".join(_MANIFEST.format(n=n, where=w) for n, w in enumerate(("true", "doc_id <> 3")))) + "SELECT 'same' AS built, m0.m AS manifest_hash, false AS changed FROM m0 UNION ALL SELECT 'older', m0.m, m0.m <> m1.m FROM m0, m1")
+def g1(spark, d):
+    """A manifest against itself as built last, and against one without a file."""
+    now = files(spark, d).select("doc_id", "path", F.sha2("text", 256).alias("content_hash"))
+    cases = [(built, src.reconciled(now, last)) for built, last in (("same", now), ("older", now.filter("doc_id <> 3")))]
+    rows = [found.select(F.lit(built).alias("built"), "manifest_hash", "changed") for built, found in cases]
+    return rows[0].unionByName(rows[1])
+
+
 # ---- classification and predicates
 
 
@@ -361,3 +375,10 @@ def c11(spark, d):
 def c9(spark, d):
     loc = chunk.locator(F.create_map(F.lit("name"), F.col("source"), F.lit("kind"), F.lit("fn")))
     return table(spark, d, "documents").select("doc_id", loc.alias("locator"), chunk.parse_locator(loc)["name"].alias("parsed"))
+
+
+@query("c10_parser_fingerprint", with_("files") + "SELECT doc_id, 'chunk_bytes=2048;dialect=' || (['text','python','config','rust','text'])[CAST(doc_id % 5 AS INTEGER) + 1] || ';policy=v' || (doc_id % 3) AS fingerprint FROM files")
+def c10(spark, d):
+    lit = F.lit
+    pairs = F.create_map(lit("policy"), F.concat(lit("v"), F.col("doc_id") % 3), lit("dialect"), classify.dialect(F.col("path")), lit("chunk_bytes"), lit(str(chunk.MAX_CHUNK)))
+    return files(spark, d).select("doc_id", chunk.fingerprint(pairs).alias("fingerprint"))

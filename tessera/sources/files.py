@@ -108,6 +108,12 @@ def reconcile(manifest: DataFrame, last_hash: str | None) -> tuple[bool, str]:
     return now != last_hash, now
 
 
+def reconciled(manifest: DataFrame, last: DataFrame) -> DataFrame:
+    """One row: the manifest's hash, and if it differs from that of `last`, the manifest that was built last; equal ones need no build."""
+    both = manifest_hash(manifest, "path", "content_hash").withColumn("_now", F.lit(1)).unionByName(manifest_hash(last, "path", "content_hash").withColumn("_now", F.lit(0)))
+    return both.agg(F.max_by("manifest_hash", "_now").alias("manifest_hash"), (F.countDistinct("manifest_hash") > 1).alias("changed"))
+
+
 def publish(df: DataFrame, root: str, name: str) -> str:
     """Writes a version and then names it in `_current`: readers see the old or the new one whole."""
     import uuid
