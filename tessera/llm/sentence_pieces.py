@@ -36,6 +36,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 WORD = r"▁*[^▁\n]+|\n|▁+"
 FREQUENT, REMEMBERED, SEEN, SLICE = 200_000, 150_000, 3, 256
+#: Words outside the frequent ones whose ids a task remembers, twice over; fewer take less of a task's room and more of its time.
+KEPT = 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -296,7 +298,7 @@ def frequent_words(docs: DataFrame, model: Model, text: str = "text", most: int
     return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
-def encode(docs: DataFrame, model: Model, text: str = "text", to: str = "ids", most: int = FREQUENT, back: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: Model, text: str = "text", to: str = "ids", most: int = FREQUENT, back: str | None = None, kept: int = KEPT) -> DataFrame:
     """`docs` and the ids of each row's text; with `back`, also what they decode to, under that name.
 
     Rows pass through in slices of `SLICE`, so that a task holds the ids of few texts at a time. Columns that `docs` has under the new
@@ -324,7 +326,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", to: str = "ids", m
             if ids is None:
                 ids = array("i", rule.ids(w)).tobytes()
             if len(w) <= 64:
-                if len(rare) >= REMEMBERED:
+                if len(rare) >= kept:
                     rare, before = {}, rare
                 rare[w] = ids
             return ids
