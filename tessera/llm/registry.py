@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, fingerprints, line_dedup, quality, sentence_pieces, simhash, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
+from tessera.llm import decontamination, fingerprints, line_dedup, quality, sentence_pieces, simhash, spelling, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_sentence_pieces": sentence_pieces.op9,
     "op10_quality_rules": quality.op10,
     "op12_document_fingerprints": fingerprints.op12,
+    "op13_spelling_variants": spelling.op13,
 }
 SQL = {"op7_suffix_array_dedup": suffix_dedup.OP7_SQL, "op5_substring_dedup": substring_dedup.OP5_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_benchmark_decontamination": decontamination.OP8_SQL}
