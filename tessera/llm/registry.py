@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, fingerprints, line_dedup, quality, sentence_pieces, simhash, spelling, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
+from tessera.llm import conversations, decontamination, fingerprints, line_dedup, quality, sentence_pieces, simhash, spelling, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8,
     "op9_sentence_pieces": sentence_pieces.op9,
     "op10_quality_rules": quality.op10,
+    "op11_conversation_repair": conversations.op11,
     "op12_document_fingerprints": fingerprints.op12,
     "op13_spelling_variants": spelling.op13,
 }
