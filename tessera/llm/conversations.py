@@ -166,7 +166,7 @@ def solved(found: DataFrame) -> DataFrame:
     done, parts, width = pieces.filter(whole), pieces.filter(~whole), BLOCK
     while (parts.groupBy("conv").count().agg(F.max("count")).first()[0] or 0) > FAN:
         width *= FAN
-        parts = written(parts.groupBy("conv", F.floor(F.col("place") / width).alias("part")).applyInPandas(lambda k: _joined(k.drop(columns="part"), columns), schema), "pieces")
+        parts = written(parts.groupBy("conv", F.floor(F.col("place") / width).alias("part")).applyInPandas(lambda k: _joined(k, columns), schema), "pieces")
     ended = parts.groupBy("conv").applyInPandas(lambda k: _joined(k, columns), schema)
     best = F.array_min(F.transform(F.filter("paths", lambda p: (p["start"] == 0) & p["goal"].isin(-1, *ENDS)), lambda p: F.struct(p["cost"], p["audit"])))
     return done.unionByName(ended).withColumn("best", best).select(*[c for c in columns if c != "paths"], F.col("best.cost").alias("cost"), F.col("best.audit").alias("audit"))
