@@ -101,11 +101,9 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least
     return later.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
-def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, most: float = 1.0) -> DataFrame:
+def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """`docs` with the text of each row without the lines that go, and two counts of lines, `_lines` and `_gone`, with more
     underscores in front where `docs` has such columns.
-
-    A row that would lose more than the share `most` of its characters stays whole: it is a copy, to be dealt with as such.
     """
     row, late, spans, every, lines, n_lines, n_gone = (unused(docs, name) for name in ("_row", "_late", "_spans", "_every", "_places", "_lines", "_gone"))
     gone = removed_lines(docs, id, text, least).select(F.col("row").alias(late), F.col("gone").alias(spans))
@@ -117,8 +115,7 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     worded = F.transform(_lines(F.col(text)), lambda x: x["i"])
     out = barred(out.select(*docs.columns, F.split(text, "\n").alias(every), F.when(F.col(spans).isNotNull(), F.array_intersect(worded, covered)).alias(lines)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), lines), lambda i: F.get(every, i))
-    lost = F.aggregate(lines, F.lit(0), lambda n, i: n + F.length(F.get(every, i)))
-    whole = F.col(lines).isNull() | (F.lit(most < 1) & (lost > F.length(text) * most))
+    whole = F.col(lines).isNull()
     stays = F.when(whole, F.col(text)).otherwise(F.array_join(kept, "\n"))
     return out.select(
         *[stays.alias(c) if c == text else F.col(c) for c in docs.columns],

@@ -618,6 +618,8 @@ def test_queries_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_queries_return_every_row(spark, name):
+    if name.startswith(("op11_", "op13_")):  # a row for each conversation, and for each word: see test_repair.py
+        return
     source = "pages" if name.startswith("op1_") else "documents"
     assert registry.QUERIES[name](spark, D).count() == spark.read.parquet(f"{D}/{source}.parquet").count()
 
@@ -677,11 +679,12 @@ def test_pipeline(spark):
             a = model.automaton()
             assert {r.doc_id for r in out.collect()} == {i for i, t in rows.items() if model.score(model.feature(toxicity.fold(t), a)) < toxicity.THRESHOLD}
         elif name == "line dedup":
-            share = lambda a, b: sum(map(len, a.split("\n"))) - sum(map(len, b.split("\n"))) > p.COPIED * len(a)
-            assert sorted((r.doc_id, r.text) for r in out.collect()) == [(i, rows[i] if share(rows[i], t) else t) for i, _, t in lines_brute(list(rows.items()))]
+            assert sorted((r.doc_id, r.text) for r in out.collect()) == [(i, t) for i, _, t in lines_brute(list(rows.items()))]
         elif name == "simhash near-dedup":
             kept = {r.doc_id for r in out.collect()}
-            assert kept == near_brute(rows, p.SHINGLE, p.SIMILAR)
+            came = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect() if r.doc_id in rows}
+            assert kept == near_brute(rows, p.SHINGLE, p.SIMILAR) & near_brute(came, p.SHINGLE, p.SIMILAR)
+            assert len(near_brute(rows, p.SHINGLE, p.SIMILAR)) > len(kept)
         elif name == "benchmark decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
             assert {r.doc_id for r in out.collect()} == {i for i, _, hit, _ in leaks_brute(list(rows.items()), items) if not hit}
