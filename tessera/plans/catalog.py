@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational, retrieval, store, texts
+from tessera.plans import persisted, relational, retrieval, store, texts
 
-QUERIES = {**retrieval.Q, **store.Q, **texts.Q, **relational.Q}
-SQL = {**retrieval.SQL, **store.SQL, **texts.SQL, **relational.SQL}
+QUERIES = {**retrieval.Q, **store.Q, **persisted.Q, **texts.Q, **relational.Q}
+SQL = {**retrieval.SQL, **store.SQL, **persisted.SQL, **texts.SQL, **relational.SQL}

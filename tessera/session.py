@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -28,3 +30,12 @@ def build_session(cpus: str | int = "*", name: str = "tessera", partitions: int
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for what an operator stores, in the one that all executors share; a local session that names none gets one under /tmp."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/{context.applicationId}/{uuid.uuid4().hex}/{name}"
