@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators import index
+from tessera.plans import retrieval
 from tessera.plans.views import observations, with_
 from tessera.session import shared_dir
 from tessera.sources import spool
@@ -67,3 +69,39 @@ def s6(spark, d):
 @query("s6_spool_stops", _FRAMES + f"SELECT CAST(s AS VARCHAR) AS session, CAST(n // {SEGMENT} + 1 AS INTEGER) AS segment, status FROM stops WHERE status IS NOT NULL")
 def s6_stops(spark, d):
     return spool.parsed(spool.read_spool(spark, spooled(spark, d))).filter("status <> 'ok'").select("session", "segment", "status")
+
+
+# ---- the inverted index
+
+_RANKED = retrieval.SQL["r7_r8_bm25_leg"]
+
+
+def _found(spark, d, root):
+    found = index.search(spark, root, retrieval.questions(spark, d), 50)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r3_stored_index", _RANKED)
+def r3(spark, d):
+    root = shared_dir(spark, "index")
+    index.build(retrieval.corpus(spark, d), retrieval.FIELDS, root)
+    return _found(spark, d, root)
+
+
+@query("r3_index_merge", _RANKED)
+def r3_merge(spark, d):
+    """An index of other documents becomes that of the documents: some had another text, some were missing, some go."""
+    root, now = shared_dir(spark, "index"), retrieval.corpus(spark, d)
+    was = now.filter("doc_id % 10 <> 4").withColumn("body_tokens", F.when(F.col("doc_id") % 10 == 3, F.slice("body_tokens", 1, 20)).otherwise(F.col("body_tokens")))
+    more = now.filter("doc_id % 7 = 0").withColumn("doc_id", F.col("doc_id") + 100_000_000)
+    index.build(was.unionByName(more), retrieval.FIELDS, root, shards=8)
+    index.merge(spark, root, retrieval.FIELDS, now.filter("doc_id % 10 in (3, 4)"))
+    index.merge(spark, root, retrieval.FIELDS, gone=more.select("doc_id"))
+    return _found(spark, d, root)
+
+
+@query("r3_document_frequency", with_("files", rest=retrieval._CORPUS) + "SELECT term, df FROM df")
+def r3_frequency(spark, d):
+    root = shared_dir(spark, "index")
+    index.build(retrieval.corpus(spark, d), retrieval.FIELDS, root)
+    return index.frequencies(spark, root)

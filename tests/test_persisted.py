@@ -1,11 +1,16 @@
 """What the engine stores in formats of its own, against plain Python."""
 
+import glob
 import json
+import math
 import os
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tessera.operators import index, lexical
 from tessera.sources import spool
 
 
@@ -126,3 +131,117 @@ def test_stream_resumes_inside_a_segment(spark, tmp_path):
     assert drain() == [("a", "e1"), ("a", "e2"), ("a", "e3"), ("b", "e1")]
     write(root, "a", 2, second)
     assert drain()[-2:] == [("a", "e3"), ("b", "e1")] and len(drain()) == 5
+
+
+# ---- the inverted index
+
+FIELDS = {"name": "name", "body": "body"}
+
+
+def indexed(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, name array<string>, body array<string>")
+
+
+def ranked(rows, questions, k):
+    """BM25 of every document for every question, by plain sums."""
+    n, size = len(rows), {i: len(a) + len(b) for i, a, b in rows}
+    average = sum(size.values()) / n
+    weight = {i: Counter() for i in size}
+    for i, a, b in rows:
+        for w, tokens in ((4.0, a), (1.0, b)):
+            for t in tokens:
+                weight[i][t] += w
+    df = Counter(t for c in weight.values() for t in c)
+    out = []
+    for q, tokens in questions:
+        terms = set(tokens)
+        few = {t for t in terms if df[t] <= n // 2} or set(sorted(terms, key=lambda t: (df[t], t))[:1])
+        score = Counter()
+        for i, c in weight.items():
+            for t in few & set(c):
+                score[i] += max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * size[i] / average))
+        best = sorted(((-round(s, 6), i) for i, s in score.items()))[:k]
+        out += [(q, i, -s, r + 1) for r, (s, i) in enumerate(best)]
+    return out
+
+
+def corpus(seed, ids):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    return [(i, r.choices(words, k=r.randint(0, 3)), r.choices(words, weights=[60 - j for j in range(60)], k=r.randint(0, 40))) for i in ids]
+
+
+def searched(spark, root, questions, k, **how):
+    q = spark.createDataFrame(questions, "query_id long, tokens array<string>")
+    return [(r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in index.search(spark, root, q, k, **how).orderBy("query_id", "rank").collect()]
+
+
+QUESTIONS = [(1, ["w3", "w50", "w51"]), (2, ["w0"]), (3, ["w59", "nowhere"]), (4, []), (5, ["nowhere"]), (6, [f"w{i}" for i in range(0, 60, 3)]), (7, ["w1", "w1", None])]
+
+
+def asked(questions):
+    return [(q, [t for t in tokens if t]) for q, tokens in questions if any(tokens)]
+
+
+def test_index_ranks_as_plain_sums(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 8)
+    rows = corpus(1, [*range(0, 900, 3), 2**40, -5])
+    root = f"{tmp_path}/i"
+    index.build(indexed(spark, rows), FIELDS, root, shards=3)
+    for k in (1, 10, 2000):
+        got, want = searched(spark, root, QUESTIONS, k), ranked(rows, asked(QUESTIONS), k)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want, strict=True))
+    monkeypatch.setattr(index, "PASS", 5)
+    assert searched(spark, root, QUESTIONS, 10) == searched(spark, root, QUESTIONS, 10) == [(q, i, round(s, 6), r) for q, i, s, r in ranked(rows, asked(QUESTIONS), 10)]
+    some = indexed(spark, rows).filter("doc_id % 2 = 0").select("doc_id")
+    inside = searched(spark, root, [(1, ["w3", "w50"])], 5, within=some)
+    every = [x for x in searched(spark, root, [(1, ["w3", "w50"])], 2000) if x[1] % 2 == 0][:5]
+    assert [x[1:3] for x in inside] == [x[1:3] for x in every]
+
+
+def test_merged_index_equals_a_new_one_and_leaves_other_shards(spark, tmp_path):
+    old, new = corpus(1, range(400)), corpus(2, [*range(0, 400, 40), 1000, 1001])
+    root, again = f"{tmp_path}/i", f"{tmp_path}/j"
+    index.build(indexed(spark, old), FIELDS, root, shards=64)
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/postings/*/*/*.parquet")}
+    index.merge(spark, root, FIELDS, indexed(spark, new), indexed(spark, old).filter("doc_id in (7, 80)").select("doc_id"))
+    gone, replaced = {7, 80}, {i for i, _, _ in new}
+    now = [x for x in old if x[0] not in gone | replaced] + [x for x in new if x[0] not in gone]
+    index.build(indexed(spark, now), FIELDS, again, shards=5)
+    want = [(q, i, round(s, 6), r) for q, i, s, r in ranked(now, asked(QUESTIONS), 20)]
+    assert searched(spark, root, QUESTIONS, 20) == searched(spark, again, QUESTIONS, 20) == want
+    assert {f: os.path.getmtime(f) for f in before} == before
+    written = glob.glob(f"{root}/postings/*/shard=*")
+    assert 64 < len(written) <= 64 + 13, "only the shards of changed documents are written"
+    df = {r.term: r.df for r in index.frequencies(spark, root).collect()}
+    assert df == Counter(t for _, a, b in now for t in {*a, *b})
+    index.merge(spark, root, FIELDS, gone=indexed(spark, now).select("doc_id").limit(0))
+    assert searched(spark, root, QUESTIONS, 20) == want
+
+
+def test_a_search_leaves_out_postings_and_files(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, ["common"], ["common"] * r.randint(1, 3) + ["rare"] * (i % 500 == 0) + ["filler"] * r.randint(0, 30)) for i in range(4000)]
+    group = index.blocks(lexical.postings(indexed(spark, rows), FIELDS), "doc_id", 1).filter("term in ('common', 'rare')").toPandas()
+    count = [0, 0]
+    found = index._scored(group, {1: [("rare", 6.0), ("common", 1e-6)]}, 5, 20.0, 2e-6, count)
+    assert count[0] < 0.1 * count[1] and set(found["id"]) <= set(range(0, 4000, 500))
+    root = f"{tmp_path}/i"
+    index.build(indexed(spark, rows), FIELDS, root, shards=2)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    df = index.search(spark, root, spark.createDataFrame([(1, ["rare", "other"])], "query_id long, tokens array<string>"), 3)
+    pushed = re.findall(r"PushedFilters: \[([^]]*\]?[^]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert pushed and all("term" in x and "rare" in x for x in pushed), pushed
+    # What leaves the tasks that score: at most k rows for a query and shard.
+    inside = index._scored(group, {q: [("common", 1.0)] for q in range(7)}, 3, 20.0, 0.0)
+    assert len(inside) >= 21 and df.count() == 3
+
+
+def test_scores_are_not_shuffled(spark):
+    docs = indexed(spark, corpus(1, range(300)))
+    q = spark.createDataFrame(QUESTIONS, "query_id long, tokens array<string>")
+    plan = lexical.lexical_leg(docs, q, FIELDS, 5)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("InMemoryTableScan")]
+    assert above.count("Exchange hashpartitioning") == 1 and above.index("Final") < above.index("Exchange hashpartitioning") < above.index("Partial"), "only the best k of each task are dealt by query"
+    spark.catalog.clearCache()
