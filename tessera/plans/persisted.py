@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 from tessera.operators import index
 from tessera.plans import retrieval
 from tessera.plans.views import observations, with_
-from tessera.session import shared_dir
+from tessera.session import shared_dir, table
 from tessera.sources import spool
+from tessera.streaming import stateful
 
 Q, SQL = {}, {}
 
@@ -105,3 +106,42 @@ def r3_frequency(spark, d):
     root = shared_dir(spark, "index")
     index.build(retrieval.corpus(spark, d), retrieval.FIELDS, root)
     return index.frequencies(spark, root)
+
+
+# ---- streams with keyed state
+
+
+def _drained(spark, d, make, schema_of):
+    """All of the events as a stream through `make`; returns what it wrote."""
+    came, out, state = (shared_dir(spark, x) for x in ("came", "stream", "state"))
+    events = table(spark, d, "events")
+    events.write.parquet(came)  # a stream's source is a folder, whether the table is one or a file
+    source = spark.readStream.schema(events.schema).parquet(came)
+    run = make(schema_of(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _enveloped(events):
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    return events.select(
+        F.col("user_id").alias("session_id"), F.concat_ws(":", "event_type", (F.col("event_id") % 7).cast("string")).alias("source_event_id"), at.alias("at_ms"), F.col("event_id").alias("received_seq"), F.col("ts").cast("timestamp").alias("ts")
+    )
+
+
+@query("t2_stream_dedup", """WITH RECURSIVE r AS (SELECT user_id AS s, event_id, event_type || ':' || (event_id % 7) AS e, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (SELECT DISTINCT s, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST([] AS STRUCT(e VARCHAR, t BIGINT, k BIGINT)[]) AS m, true AS again FROM r
+ UNION ALL SELECT s, i, event_id, CASE WHEN again THEN m ELSE list_append(m, {'e': e, 't': t, 'k': CAST(len(m) + 1 AS BIGINT)}) END, again
+ FROM (SELECT r.s, r.i, r.event_id, r.e, r.t, w.m, len(list_filter(w.m, lambda x: x.e = r.e AND (x.t >= r.t - 600000 OR len(w.m) - x.k < 8))) > 0 AS again FROM w JOIN r ON r.s = w.s AND r.i = w.i + 1))
+SELECT s AS session_id, event_id AS received_seq FROM w WHERE NOT again""")
+def t2_stream(spark, d):
+    """Windowed dedup as a stream, with a window of eight rows, so that rows leave it."""
+    return _drained(spark, d, lambda s: stateful.stream_windowed_dedup(s, "1 hour", window_rows=8), _enveloped).select("session_id", "received_seq")
+
+
+@query("t4_stream_expiry", """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS came FROM events)
+SELECT session_id, id, 'stored' AS change, came AS at_ms FROM p UNION ALL SELECT session_id, id, 'expired', came + 72 * 3600000 FROM p WHERE came + 72 * 3600000 <= (SELECT max(came) FROM p)""")
+def t4_stream(spark, d):
+    """Payloads of 72 hours, by the events' own times."""
+    rows = lambda e: _enveloped(e).select("session_id", F.col("received_seq").alias("observation_id"), F.col("at_ms").alias("imported_ms"), "ts")
+    return _drained(spark, d, stateful.stream_payloads, rows)
