@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators import index
+from tessera.operators import index, plan
 from tessera.plans import retrieval
-from tessera.plans.views import observations, with_
+from tessera.plans.views import entries, observations, with_
 from tessera.session import shared_dir, table
 from tessera.sources import spool
 from tessera.streaming import stateful
@@ -145,3 +145,58 @@ def t4_stream(spark, d):
     """Payloads of 72 hours, by the events' own times."""
     rows = lambda e: _enveloped(e).select("session_id", F.col("received_seq").alias("observation_id"), F.col("at_ms").alias("imported_ms"), "ts")
     return _drained(spark, d, stateful.stream_payloads, rows)
+
+
+# ---- plans of operations
+
+_LOG = with_("mem", rest="""v AS (SELECT *, state IN ('resolved', 'retracted', 'rejected', 'superseded') AS ended, row_number() OVER (PARTITION BY scope_kind, scope_owner, conv_id % 50 ORDER BY entry_id) = 1 AS first FROM mem),
+one AS (SELECT *, CASE WHEN turn % 2 = 1 THEN 'version_conflict' WHEN ended THEN 'entry_terminal' ELSE 'applied' END AS o1 FROM v),
+log AS (SELECT *, CASE WHEN o1 = 'applied' THEN 'applied' ELSE 'version_conflict' END AS o2, CASE WHEN o1 = 'applied' THEN 'replayed' WHEN ended THEN 'entry_terminal' ELSE 'applied' END AS o3, CASE WHEN first THEN 'applied' ELSE 'canonical_key_conflict' END AS o4 FROM one)""")
+
+
+def _planned(spark, d) -> dict:
+    """Four operations on each entry: an edit, half of them with a stale version; a reinforcement that builds on it; the edit again under the same key; and an entry
+    whose canonical key others want too."""
+    m = entries(spark, d).withColumn("importance", F.lit(0.5)).withColumn("supersedes_id", F.lit(None).cast("long")).select(*[c.split()[0] for c in plan.ENTRY.split(", ")], "conv_id", "turn")
+    v, none = F.col("entry_version"), F.lit(None)
+    blank = {c.split()[0]: none.cast(c.split(maxsplit=1)[1]) for c in plan.OP.split(", ")}
+
+    def op(n: int, **given) -> object:
+        fields = {**blank, "index": F.col("entry_id") * 10 + n, "entry_id": F.col("entry_id"), "actor": F.lit("user"), **given}
+        return F.struct(*[c.cast(dict(zip(blank, kinds))[k]).alias(k) for k, c in fields.items()])
+
+    kinds = [c.split(maxsplit=1)[1] for c in plan.OP.split(", ")]
+    key = F.concat(F.lit("k"), F.col("entry_id").cast("string"))
+    log = m.select(
+        F.inline(
+            F.array(
+                op(1, op=F.lit("edit"), expected_version=v + F.col("turn") % 2, text=F.lit("first"), idempotency_key=key),
+                op(2, op=F.lit("reinforce"), expected_version=v + 1, confidence=F.lit(0.9), evidence=F.array(F.struct(F.col("entry_id").alias("event_id"), F.lit("tool_result").alias("evidence_kind")))),
+                op(3, op=F.lit("edit"), expected_version=v, text=F.lit("again"), idempotency_key=key),
+                op(4, op=F.lit("create"), entry_id=F.col("entry_id") + 10_000_000, kind=F.lit("fact"), scope_kind=F.col("scope_kind"), scope_owner=F.col("scope_owner"), canonical_key=F.concat(F.lit("n"), (F.col("conv_id") % 50).cast("string")), text=F.lit("new")),
+            )
+        )
+    )
+    evidence = spark.createDataFrame([], "entry_id long, event_id long, evidence_kind string")
+    audits = spark.createDataFrame([], "entry_id long, version long, op string, idempotency_key string")
+    return plan.apply_plan(m.drop("conv_id", "turn"), evidence, audits, log)
+
+
+@query("m_apply_plan", _LOG + """SELECT entry_id * 10 + 1 AS index, o1 AS outcome, CASE WHEN o1 = 'applied' THEN entry_version + 1 END AS entry_version FROM log
+UNION ALL SELECT entry_id * 10 + 2, o2, CASE WHEN o2 = 'applied' THEN entry_version + 2 END FROM log
+UNION ALL SELECT entry_id * 10 + 3, o3, CASE WHEN o3 IN ('applied', 'replayed') THEN entry_version + 1 END FROM log
+UNION ALL SELECT entry_id * 10 + 4, o4, CASE WHEN o4 = 'applied' THEN 1 END FROM log""")
+def m_plan(spark, d):
+    return _planned(spark, d)["results"].select("index", "outcome", "entry_version")
+
+
+@query("m_apply_plan_entries", _LOG + """SELECT entry_id, state, entry_version + CASE WHEN o1 = 'applied' THEN 2 WHEN o3 = 'applied' THEN 1 ELSE 0 END AS entry_version, CASE WHEN o1 = 'applied' THEN 'first' WHEN o3 = 'applied' THEN 'again' ELSE text END AS text, CASE WHEN o2 = 'applied' THEN 0.9::DOUBLE ELSE confidence END AS confidence FROM log
+UNION ALL SELECT entry_id + 10000000, 'active', 1, 'new', NULL FROM log WHERE o4 = 'applied'""")
+def m_plan_entries(spark, d):
+    return _planned(spark, d)["entries"].select("entry_id", "state", "entry_version", "text", "confidence")
+
+
+@query("m_apply_plan_audits", _LOG + """SELECT entry_id, entry_version + 1 AS version, 'edit' AS op, 'k' || entry_id AS idempotency_key FROM log WHERE o1 = 'applied' OR o3 = 'applied'
+UNION ALL SELECT entry_id, entry_version + 2, 'reinforce', NULL FROM log WHERE o2 = 'applied' UNION ALL SELECT entry_id + 10000000, 1, 'create', NULL FROM log WHERE o4 = 'applied'""")
+def m_plan_audits(spark, d):
+    return _planned(spark, d)["audits"].select("entry_id", "version", "op", "idempotency_key")
