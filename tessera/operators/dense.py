@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ def negative_l2(a: Column, b: Column) -> Column:
 METRICS = {"dot": dot, "cosine": cosine, "l2": negative_l2}
 
 
-def _chunks(vectors: DataFrame, id: str, vector: str, rows: int) -> DataFrame:
-    """(ids, dims, data) of up to `rows` vectors of one dimension that a task read together, as one matrix."""
+def _chunks(vectors: DataFrame, id: str, vector: str, rows: int, tag: Column | None = None) -> DataFrame:
+    """(ids, dims, data, tags) of up to `rows` vectors of one dimension that a task read together, as one matrix; `tag`: a text for each."""
 
     def packing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -49,7 +50,7 @@ def _chunks(vectors: DataFrame, id: str, vector: str, rows: int) -> DataFrame:
             size = both["v"].map(len).to_numpy()
             for dims in np.unique(size):
                 part = both[size == dims]
-                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "dims": [int(dims)], "data": [np.stack(part["v"].tolist()).astype(np.float64).tobytes()]})
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "dims": [int(dims)], "data": [np.stack(part["v"].tolist()).astype(np.float64).tobytes()], "tags": [part["tag"].to_numpy()]})
 
         for frame in frames:
             held.append(frame.dropna(subset=["v"]))
@@ -60,7 +61,8 @@ def _chunks(vectors: DataFrame, id: str, vector: str, rows: int) -> DataFrame:
             yield from matrices()
 
     kind = dict(vectors.dtypes)[id]
-    return vectors.select(F.col(id).alias("id"), F.col(vector).alias("v")).mapInPandas(packing, f"ids array<{kind}>, dims int, data binary")
+    rows_of = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"), (F.lit(None) if tag is None else tag).cast("string").alias("tag"))
+    return rows_of.mapInPandas(packing, f"ids array<{kind}>, dims int, data binary, tags array<string>")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -72,17 +74,41 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector", digits: int = 6, chunk: int = CHUNK) -> DataFrame:
+def _l2(x: np.ndarray, q: np.ndarray, k: int, digits: int) -> np.ndarray:
+    """(rows of x, rows of q): minus the distance where it can be among the k smallest of a row of q, exact to the last digits, else minus infinity.
+
+    The square's expansion loses digits far from the origin, so it only chooses, with its error bound; what it chooses is computed from differences."""
+    size = (x * x).sum(1)[:, None] + (q * q).sum(1)[None]
+    rough = np.maximum(size - 2 * (x @ q.T), 0)
+    error = 4 * (x.shape[1] + 2) * np.finfo(float).eps * size
+    out = np.full(rough.shape, -np.inf)
+    for j in range(len(q)):
+        at = np.arange(len(x))
+        if len(x) > k:
+            far = np.sqrt(np.partition(rough[:, j] + error[:, j], k - 1)[k - 1]) + 2 * 10.0**-digits  # equal once rounded
+            at = np.flatnonzero(rough[:, j] - error[:, j] <= far * far)
+        out[at, j] = -np.sqrt(((x[at] - q[j]) ** 2).sum(1))
+    return out
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector", digits: int = 6, chunk: int = CHUNK, kind: str | None = None, kinds: str | None = None) -> DataFrame:
     """(query, id, score, rank): the exact k nearest of each query, by (score, id).
 
     Points and queries are packed into matrices inside tasks. Every block of queries meets every chunk of points once, by a product of
     the two, and only the chunk's k best of each query go on, so what is shuffled is k rows a query and chunk. The blocks are
     broadcast where all of them fit `BROADCAST_BYTES`; else the chunks are dealt to them by a shuffled join. Rows without a
     vector are not found and ask nothing; a dimension that differs from the queries' is an error.
+
+    `kind` names a column of the points, `kinds` an array column of the queries: a query then finds points of its kinds alone, chosen before its k best are, so
+    that a filter that keeps few never leaves less than there is. A null array asks for every kind, an empty one for none.
     """
-    asked = _chunks(queries, query, query_vector, BLOCK).select(F.col("ids").alias("asked"), F.col("dims").alias("asked_dims"), F.col("data").alias("asked_data")).persist()
+    if (kind is None) != (kinds is None):
+        raise ValueError("kind and kinds go together")
+    wanted = None if kinds is None else F.to_json(F.col(kinds).cast("array<string>"))
+    asked = _chunks(queries, query, query_vector, BLOCK, wanted).select(F.col("ids").alias("asked"), F.col("dims").alias("asked_dims"), F.col("data").alias("asked_data"), F.col("tags").alias("wanted"))
+    asked = asked.withColumn("_uid", F.monotonically_increasing_id()).persist()
     size, blocks = asked.agg(F.coalesce(F.sum(F.octet_length("asked_data")), F.lit(0)), F.count("*")).first()
-    kinds = dict(queries.dtypes)[query], dict(points.dtypes)[id]
+    types = dict(queries.dtypes)[query], dict(points.dtypes)[id]
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -90,24 +116,37 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
                 if row.dims != row.asked_dims:
                     raise ValueError(f"dimension {row.dims} differs from the queries' {row.asked_dims}")
                 x, q = (np.frombuffer(d).reshape(-1, row.dims) for d in (row.data, row.asked_data))
-                if metric == "l2":
-                    s = -np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (q * q).sum(1)[None]) - 2 * x @ q.T, 0))
-                else:
-                    s = x @ q.T
-                    if metric == "cosine":
-                        n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
-                        s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
-                s, ids = np.round(s, digits) + 0.0, np.asarray(row.ids)
-                picks = [_best(s[:, j], ids, k) for j in range(len(q))]
-                yield pd.DataFrame({"q": np.repeat(np.asarray(row.asked), [len(p) for p in picks]), "id": ids[np.concatenate(picks)], "score": np.concatenate([s[p, j] for j, p in enumerate(picks)])})
+                ids, tags, wants = np.asarray(row.ids), np.asarray(row.tags, object), np.asarray(row.wanted, object)
+                asked_ids, found = np.asarray(row.asked), []
+                # Queries with the same kinds meet the same points.
+                for want in dict.fromkeys(wants.tolist()):
+                    mine = np.flatnonzero([w == want for w in wants])
+                    here = np.arange(len(x)) if want is None else np.flatnonzero(np.isin(tags.astype(str), json.loads(want)) & (tags != None))  # noqa: E711
+                    if not len(here):
+                        continue
+                    if metric == "l2":
+                        s = _l2(x[here], q[mine], k, digits)
+                    else:
+                        s = x[here] @ q[mine].T
+                        if metric == "cosine":
+                            n = np.linalg.norm(x[here], axis=1)[:, None] * np.linalg.norm(q[mine], axis=1)[None]
+                            s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+                    s = np.round(s, digits) + 0.0
+                    for c, j in enumerate(mine):
+                        p = _best(s[:, c], ids[here], k)
+                        found.append((np.repeat(asked_ids[j : j + 1], len(p)), ids[here][p], s[p, c]))
+                if found:
+                    yield pd.DataFrame(dict(zip(("q", "id", "score"), map(np.concatenate, zip(*found)))))
 
     # One matrix of either side a row, so few rows make a batch.
-    packed = _chunks(points, id, vector, chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
-    numbered = asked.withColumn("block", (F.row_number().over(W.orderBy(F.element_at("asked", 1))) - 1).cast("int"))  # a row for each block
+    packed = _chunks(points, id, vector, chunk, None if kind is None else F.col(kind)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
+    # Blocks are numbered by a table of their numbers alone; the matrices stay where they are.
+    order = asked.select("_uid").withColumn("block", (F.row_number().over(W.orderBy("_uid")) - 1).cast("int"))
+    numbered = asked.join(F.broadcast(order), "_uid").drop("_uid")
     both = packed.join(F.broadcast(numbered) if size <= BROADCAST_BYTES else numbered, "block")
     from tessera.operators.lexical import top
 
-    found = both.mapInPandas(scored, f"q {kinds[0]}, id {kinds[1]}, score double")
+    found = both.mapInPandas(scored, f"q {types[0]}, id {types[1]}, score double")
     return top(found, k, "q", "id").select(F.col("q").alias(query), F.col("id").alias(id), "score", "rank")
 
 
@@ -142,6 +181,7 @@ def verified(rows: DataFrame, blob: str = "blob", dimensions: str = "dimensions"
 
 # ---- feature hashing
 
+# The hash's start and prime, and how two words in a row are mixed.
 _FNV, _PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 

@@ -63,13 +63,17 @@ def scopes_union(entries: DataFrame, scopes: list[tuple[str, object]], id: str =
 
 
 def create(entries: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """New rows whose idempotency key and, within their scope, canonical key are not taken; version 1, active."""
+    """New rows whose idempotency key and, within their scope, canonical key are not taken, neither by entries nor by rows before them in order of
+    the id; version 1, active."""
     replay = entries.select("idempotency_key").filter("idempotency_key is not null")
     taken = entries.filter(~F.col("state").isin(*TERMINAL) & F.col("canonical_key").isNotNull()).select("scope_kind", "scope_owner", "canonical_key").distinct()
     first = W.partitionBy("idempotency_key").orderBy("entry_id")
     fresh = new.withColumn("_nth", F.when(F.col("idempotency_key").isNull(), 1).otherwise(F.row_number().over(first))).filter("_nth = 1").drop("_nth")
     fresh = fresh.filter(~((F.col("kind").isin("fact", "decision", "convention", "procedure")) & (F.col("evidence_kind") == "model_claim")))
     rows = fresh.join(replay, "idempotency_key", "left_anti").join(taken, ["scope_kind", "scope_owner", "canonical_key"], "left_anti")
+    owner = F.row_number().over(W.partitionBy("scope_kind", "scope_owner", "canonical_key").orderBy("entry_id"))
+    keyed = rows.filter("canonical_key is not null").withColumn("_nth", owner).filter("_nth = 1").drop("_nth")
+    rows = keyed.unionByName(rows.filter("canonical_key is null"))
     return rows.withColumn("state", F.lit("active")).withColumn("entry_version", F.lit(1).cast("long")).withColumn("updated_at", now)
 
 

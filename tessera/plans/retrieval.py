@@ -113,6 +113,15 @@ def r10_l2(spark, d):
     return _nearest(spark, d, 20, "l2")
 
 
+@query("l3_filtered_knn", "WITH qv AS (SELECT vec_id AS query_id, embedding AS q, label AS mine FROM embeddings WHERE vec_id % 20 = 0), dsc AS (SELECT query_id, vec_id AS doc_id, " + _COS + " AS score FROM embeddings, qv WHERE label = mine OR label = mine + 1 OR query_id % 3 = 0), den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dsc) SELECT query_id, doc_id, score, rank FROM den WHERE rank <= 20")
+def l3(spark, d):
+    """Vectors of two labels each; every third query asks for all."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    kinds = F.when(F.col("vec_id") % 3 != 0, F.array("label", F.col("label") + 1))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), kinds.alias("kinds"))
+    return dense.nearest(e, q, 20, kind="label", kinds="kinds").select("query_id", F.col("vec_id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 _HYBRID = """dq AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
 dsc AS (SELECT query_id, vec_id AS doc_id, """ + _COS + """ AS score FROM embeddings, dq), dleg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dsc) WHERE rank <= 50),
 fu AS (SELECT coalesce(l.query_id, x.query_id) AS query_id, coalesce(l.doc_id, x.doc_id) AS doc_id, l.rank AS lexical_rank, x.rank AS dense_rank,

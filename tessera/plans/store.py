@@ -31,7 +31,8 @@ def _ops(spark, d, columns: str):
 
 
 @query("m1a_create", with_("mem", rest="""new AS (SELECT entry_id + 1000000 AS entry_id, scope_kind, scope_owner, kind, canonical_key, role, 'i' || (entry_id % 50) AS ik FROM mem),
-one AS (SELECT *, row_number() OVER (PARTITION BY ik ORDER BY entry_id) AS n FROM new)""") + f"SELECT entry_id, kind, 'active' AS state, CAST(1 AS BIGINT) AS entry_version FROM one o WHERE n = 1 AND NOT (kind IN ('fact', 'decision', 'convention', 'procedure') AND role = 'assistant') AND ik NOT IN (SELECT 'i' || entry_id FROM mem) AND NOT EXISTS (SELECT 1 FROM mem m WHERE m.{_LIVE} AND m.scope_kind = o.scope_kind AND m.scope_owner = o.scope_owner AND m.canonical_key = o.canonical_key)")
+one AS (SELECT *, row_number() OVER (PARTITION BY ik ORDER BY entry_id) AS n FROM new),
+""" + f"free AS (SELECT *, row_number() OVER (PARTITION BY scope_kind, scope_owner, canonical_key ORDER BY entry_id) AS nth FROM one o WHERE n = 1 AND NOT (kind IN ('fact', 'decision', 'convention', 'procedure') AND role = 'assistant') AND ik NOT IN (SELECT 'i' || entry_id FROM mem) AND NOT EXISTS (SELECT 1 FROM mem m WHERE m.{_LIVE} AND m.scope_kind = o.scope_kind AND m.scope_owner = o.scope_owner AND m.canonical_key = o.canonical_key))") + "SELECT entry_id, kind, 'active' AS state, CAST(1 AS BIGINT) AS entry_version FROM free WHERE canonical_key IS NULL OR nth = 1")
 def m1a(spark, d):
     m = entries(spark, d)
     new = m.select((F.col("entry_id") + 1_000_000).alias("entry_id"), "scope_kind", "scope_owner", "kind", "canonical_key", F.when(F.col("role") == "assistant", "model_claim").otherwise("user_statement").alias("evidence_kind"), F.concat(F.lit("i"), F.col("entry_id") % 50).alias("idempotency_key"))

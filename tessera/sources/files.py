@@ -16,9 +16,10 @@ PRUNED = (".git",)
 def _listing(spark: SparkSession, root: str, pattern: str = "*", paths: list[str] | None = None) -> DataFrame:
     """(path below the root, size, mtime, content) of all files or of those named; columns that aren't selected are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths or root)
-    # Spark gives whole locations; the part after the root's last segment is the path.
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.regexp_replace(F.col("path"), rf"^.*/{name}/", "")
+    # Spark gives whole locations; what comes after the root's own is the path.
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    below = F.substring("path", F.lit(len(top) + 2), F.length("path"))
     return files.select(canonical_path(below).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content")
 
 

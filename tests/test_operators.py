@@ -466,3 +466,60 @@ def test_imports_outside_comments():
     assert [r for r, _ in code_units.parse(text, "javascript")[1]] == ["yes"]
     units, _, _ = code_units.parse("fn é() {}\nfn b() {}\n", "rust")
     assert [u[3:5] for u in units[1:]][-1] == (11, 20) or units[-1][2] == "b"
+
+
+# ---- what a search, a scan and a create once got wrong
+
+
+def test_distances_far_from_the_origin(spark):
+    points = [(i, [1000.0 + i * 0.0008, 1000.0, -1000.0]) for i in range(60)]
+    p = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1000.0, 1000.0, -1000.0]), (2, [1000.0238, 1000.0, -1000.0])], "query_id long, query_vector array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in dense.nearest(p, q, 4, "l2", chunk=7).collect()}
+    for query, at in ((1, 1000.0), (2, 1000.0238)):
+        want = sorted((round(abs(v[0] - at), 6), i) for i, v in points)[:4]
+        assert [got[query, k + 1] for k in range(4)] == [(i, -d + 0.0) for d, i in want]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_neighbours_of_some_kinds(spark, monkeypatch, broadcast):
+    import random
+
+    if not broadcast:
+        monkeypatch.setattr(dense, "BROADCAST_BYTES", 0)
+    r = random.Random(3)
+    points = [(i, [r.gauss(0, 1) for _ in range(5)], "rare" if i % 1000 == 7 else "tenth" if i % 10 == 1 else None if i % 11 == 0 else "common") for i in range(3000)]
+    asked = [(1, ["rare"]), (2, ["tenth"]), (3, None), (4, ["rare", "tenth"]), (5, []), (6, ["nothing"]), (7, ["common", "None"])]
+    queries = [(i, [r.gauss(0, 1) for _ in range(5)], kinds) for i, kinds in asked]
+    for metric in ("cosine", "l2"):
+        got = dense.nearest(
+            spark.createDataFrame(points, "vec_id long, embedding array<double>, kind string"), spark.createDataFrame(queries, "query_id long, query_vector array<double>, kinds array<string>"), 8, metric, chunk=500, kind="kind", kinds="kinds"
+        ).collect()
+        for i, v, kinds in queries:
+            near = lambda x, v=v: sum(a * b for a, b in zip(x, v)) / (sum(a * a for a in x) * sum(b * b for b in v)) ** 0.5 if metric == "cosine" else -(sum((a - b) ** 2 for a, b in zip(x, v)) ** 0.5)
+            want = sorted((-round(near(x), 6), p) for p, x, kind in points if kinds is None or kind in kinds)[:8]
+            assert [(x.vec_id, x.score) for x in sorted((g for g in got if g.query_id == i), key=lambda g: g["rank"])] == [(p, -s) for s, p in want]
+
+
+def test_scans_below_folders_of_the_same_name(spark, tmp_path):
+    root = tmp_path / "src.d"
+    for name in ("b.py", "a/src.d/b.py", "a/srcxd/b.py", "src.d/src.d/c.py", "é/ä b.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    want = sorted(["b.py", "a/src.d/b.py", "a/srcxd/b.py", "src.d/src.d/c.py", "é/ä b.py"])
+    for given in (str(root), f"{root}/", f"file://{root}"):
+        assert [r.path for r in files.scan_paths(spark, given).collect()] == want
+        assert len({r.content_hash for r in files.scan(spark, given).collect()}) == 5
+    before = files.scan(spark, str(root))
+    before = spark.createDataFrame([tuple(r) for r in before.collect()], before.schema)
+    (root / "a/src.d/b.py").write_text("changed")
+    after = {r.path: r.reused for r in files.rescan(spark, str(root), before).collect()}
+    assert after == {p: p != "a/src.d/b.py" for p in want}
+
+
+def test_creates_with_one_canonical_key(spark):
+    schema = "entry_id long, kind string, scope_kind string, scope_owner long, canonical_key string, state string, idempotency_key string, evidence_kind string"
+    old = spark.createDataFrame([(1, "fact", "repo", 1, "taken", "active", None, "tool_result")], schema)
+    new = [(10, "k"), (11, "k"), (12, None), (13, None), (14, "taken"), (15, "other")]
+    rows = spark.createDataFrame([(i, "fact", "repo", 1, key, None, None, "user_statement") for i, key in new] + [(16, "fact", "repo", 2, "k", None, None, "user_statement")], schema).drop("state")
+    assert sorted(r.entry_id for r in ledger.create(old, rows, F.lit(0)).collect()) == [10, 12, 13, 15, 16]
