@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators import index, plan
+from tessera.operators import generations, index, plan
 from tessera.plans import retrieval
-from tessera.plans.views import entries, observations, with_
+from tessera.plans.views import entries, files, observations, with_
 from tessera.session import shared_dir, table
 from tessera.sources import spool
 from tessera.streaming import stateful
@@ -200,3 +200,50 @@ def m_plan_entries(spark, d):
 UNION ALL SELECT entry_id, entry_version + 2, 'reinforce', NULL FROM log WHERE o2 = 'applied' UNION ALL SELECT entry_id + 10000000, 1, 'create', NULL FROM log WHERE o4 = 'applied'""")
 def m_plan_audits(spark, d):
     return _planned(spark, d)["audits"].select("entry_id", "version", "op", "idempotency_key")
+
+
+# ---- generations
+
+
+def _lines(fresh):
+    return fresh.select("revision", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+_TREES = with_("files", rest="""t AS (SELECT 1 AS generation, path, sha256(CASE WHEN doc_id % 10 = 3 THEN 'old' || doc_id ELSE text END) AS revision, CASE WHEN doc_id % 10 = 3 THEN 'old' || doc_id ELSE text END AS text FROM files WHERE doc_id % 10 <> 4
+ UNION ALL SELECT 2, path, sha256(text), text FROM files UNION ALL SELECT 3, path, sha256(CASE WHEN doc_id % 10 = 3 THEN 'old' || doc_id ELSE text END), CASE WHEN doc_id % 10 = 3 THEN 'old' || doc_id ELSE text END FROM files WHERE doc_id % 7 <> 0)""")
+
+
+def _generations(spark, d) -> str:
+    """Three generations of the documents: some with older texts and some missing, all as they are, some gone and some older again."""
+    root, now = shared_dir(spark, "generations"), files(spark, d)
+    older = now.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("old"), F.col("doc_id").cast("string"))).otherwise(F.col("text")))
+    for tree in (older.filter("doc_id % 10 <> 4"), now, older.filter("doc_id % 7 <> 0")):
+        generations.build(tree.withColumn("content_hash", F.sha2("text", 256)), root, _lines)
+    return root
+
+
+@query("g2_generations", _TREES + "SELECT generation, path, revision FROM t")
+def g2(spark, d):
+    root = _generations(spark, d)
+    parts = [generations.at(spark, root, g).select(F.lit(g).alias("generation"), "path", "revision") for g in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("g2_parsed_units", _TREES + "SELECT path, revision, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM t WHERE generation = 3")
+def g2_parsed(spark, d):
+    return generations.parsed(spark, _generations(spark, d), 3, "n_lines bigint")
+
+
+@query("g6_difference", _TREES + """SELECT coalesce(a.path, b.path) AS path, a.revision AS was, b.revision AS now FROM (SELECT * FROM t WHERE generation = 1) a FULL JOIN (SELECT * FROM t WHERE generation = 3) b USING (path)
+WHERE a.revision IS DISTINCT FROM b.revision""")
+def g6_difference(spark, d):
+    return generations.difference(spark, _generations(spark, d), 1, 3)
+
+
+@query("g6_switch", _TREES + "SELECT path, revision FROM t WHERE generation = 3")
+def g6_switch(spark, d):
+    """A projection goes from the first generation to the second and on to the third, by their differences."""
+    root, target = _generations(spark, d), shared_dir(spark, "projection")
+    for g in (1, 2, 3):
+        generations.switch(spark, root, target, g)
+    return generations.projected(spark, target)[1]

@@ -8,9 +8,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import index, lexical
+from tessera.operators import generations, index, lexical
 from tessera.sources import spool
 
 
@@ -245,3 +246,67 @@ def test_scores_are_not_shuffled(spark):
     above = plan[: plan.index("InMemoryTableScan")]
     assert above.count("Exchange hashpartitioning") == 1 and above.index("Final") < above.index("Exchange hashpartitioning") < above.index("Partial"), "only the best k of each task are dealt by query"
     spark.catalog.clearCache()
+
+
+# ---- generations
+
+
+def folder(path):
+    return {f: os.path.getmtime(f) for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+
+
+def test_generations_write_what_changed_and_all_stay_readable(spark, tmp_path):
+    r, root = random.Random(2), f"{tmp_path}/g"
+    tree, trees, looked = {f"p{i}": f"text {i}" for i in range(300)}, {}, []
+
+    def parse(fresh):
+        looked.append(sorted(x.revision for x in fresh.collect()))
+        return fresh.select("revision", F.length("text").alias("n"))
+
+    def built(t):
+        return generations.build(spark.createDataFrame([(p, x, x) for p, x in t.items()], "path string, content_hash string, text string"), root, parse)
+
+    assert generations.head(spark, root) == (0, None)
+    for g in range(1, 6):
+        trees[g] = dict(tree)
+        before = folder(root)
+        assert built(tree) == (g, True) and built(tree) == (g, False)
+        assert {f: t for f, t in folder(root).items() if f in before} == before, "what earlier generations wrote stays"
+        for p in r.sample(sorted(tree), 3):
+            tree[p] = r.choice([f"text {r.randrange(300)}", f"new {g}{p}"])
+        del tree[r.choice(sorted(tree))]
+        tree[f"added{g}"] = "text 1" if g == 2 else f"added {g}"
+    seen = set()
+    for g, t in trees.items():
+        assert {(x.path, x.revision) for x in generations.at(spark, root, g).collect()} == set(t.items())
+        assert looked[g - 1] == sorted(set(t.values()) - seen), "only revisions that are new are parsed, each once"
+        seen |= set(t.values())
+        assert {(x.path, x.n) for x in generations.parsed(spark, root, g, "n int").collect()} == {(p, len(x)) for p, x in t.items()}
+        if g > 1:
+            assert spark.read.parquet(f"{root}/opened/generation={g}").count() <= 5
+    for one, two in ((1, 5), (4, 2), (3, 3)):
+        want = {p: (trees[one].get(p), trees[two].get(p)) for p in {*trees[one], *trees[two]} if trees[one].get(p) != trees[two].get(p)}
+        assert {x.path: (x.was, x.now) for x in generations.difference(spark, root, one, two).collect()} == want
+    target = f"{tmp_path}/t"
+    for g in (2, 5, 1, 1, 4):
+        generations.switch(spark, root, target, g)
+        now, rows, _ = generations.projected(spark, target)
+        assert now == g and {(x.path, x.revision) for x in rows.collect()} == set(trees[g].items())
+
+
+def test_a_build_that_was_cut_off_is_started_again(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/g"
+    table = lambda rows: spark.createDataFrame([(p, x, x) for p, x in rows], "path string, content_hash string, text string")
+    parse = lambda fresh: fresh.select("revision")
+    generations.build(table([("a", "1"), ("b", "2")]), root, parse)
+
+    def failing(fresh):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        generations.build(table([("a", "9"), ("c", "3")]), root, failing)
+    assert generations.head(spark, root)[0] == 1 and sorted(x.path for x in generations.at(spark, root, 1).collect()) == ["a", "b"]
+    assert generations.members(spark, root).filter("last is null").count() == 2, "what the lost build left is not read"
+    assert generations.build(table([("a", "1"), ("c", "3")]), root, parse) == (2, True)
+    assert sorted(map(tuple, generations.at(spark, root, 2).collect())) == [("a", "1"), ("c", "3")]
+    assert generations.build(table([]), root, parse) == (3, True) and generations.at(spark, root, 3).count() == 0
