@@ -97,3 +97,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
         if key.endswith("RecordsPerBatch") and now is not None and 0 < int(now) <= rows:
             continue
         spark.conf.set(key, str(value))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files go when the query that wrote them has ended, instead of when the driver collects its garbage: for what runs many queries.
+
+    Sets a session option; queries that read one DataFrame several times through shuffles write them again."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
