@@ -1,7 +1,8 @@
 """Line dedup by winnowing, in DataFrame functions alone.
 
 Lines are what `\\n` separates; lines without a word are kept and skipped over. A line goes if it lies in a run of lines with at least
-`least` characters that occurs at an earlier position too, by (id, line): a long line alone, or short ones together.
+`least` characters that occurs at an earlier position too, by (id, line): a long line alone, or short ones together. An earlier position that shares lines with
+the run doesn't count, so the first occurrence stays whole where a run repeats itself: of forty equal lines of ten characters five stay.
 
 From each line the shortest run with that many characters is a window, and so is the one that ends with it; any repeated run
 is covered by its own windows. Each window selects the smallest hash of its lines as its fingerprint, which equal windows must share.
@@ -60,7 +61,7 @@ def _windows(least: int) -> Column:
 
 
 def windows(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(row, start, a, b, fp, at, k1, k2): each window's first line among those with a word, its places from a to b among all lines,
+    """(row, start, n, a, b, fp, at, k1, k2): each window's first line among those with a word, the number of its lines, its places from a to b among all lines,
     its fingerprint with its place, and the hash of its lines."""
     rows = docs.select(_row(F.col(id), F.col(text)).alias("row"), _lines(F.col(text)).alias("lines"))
     rows = barred(
@@ -75,7 +76,7 @@ def windows(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int
         start, n = code.bitwiseAND(F.lit(2**32 - 1)).cast("int"), F.shiftright(code, 32).cast("int")
         one, two = F.slice("h1", start + 1, n), F.slice("h2", start + 1, n)
         return F.struct(
-            start.alias("start"), F.get("places", start).alias("a"), F.get("places", start + n - 1).alias("b"), F.array_min(one).alias("fp"),
+            start.alias("start"), n.alias("n"), F.get("places", start).alias("a"), F.get("places", start + n - 1).alias("b"), F.array_min(one).alias("fp"),
             (start + F.array_position(one, F.array_min(one))).cast("int").alias("at"), F.xxhash64(n, one).alias("k1"), F.xxhash64(n, two).alias("k2"),
         )
 
@@ -97,7 +98,8 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least
     found = _salted(found, shared, ["fp"], "left_semi")
     here = F.struct("row", "start")
     first = found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
-    later = _salted(found, first, ["k1", "k2"], "inner").filter(here > F.col("first"))
+    apart = ~F.col("row").eqNullSafe(F.col("first.row")) | (F.col("start") >= F.col("first.start") + F.col("n"))
+    later = _salted(found, first, ["k1", "k2"], "inner").filter((here > F.col("first")) & apart)
     return later.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
@@ -138,8 +140,8 @@ c AS (
 p AS (SELECT a.doc_id, a.j AS s, b.j AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j BETWEEN a.j AND a.j + 49 AND b.upto - a.upto + a.n >= 50),
 w AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM p GROUP BY doc_id, e),
 k AS (SELECT w.doc_id, s, list(i ORDER BY j) AS places, list(line ORDER BY j) AS lines FROM w JOIN c ON w.doc_id = c.doc_id AND j BETWEEN s AND e GROUP BY w.doc_id, s, e),
-f AS (SELECT doc_id, places, row_number() OVER (PARTITION BY lines ORDER BY doc_id, s) AS nth FROM k),
-gone AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM f WHERE nth > 1),
+f AS (SELECT doc_id, s, places, first_value(doc_id) OVER o AS d0, first_value(s) OVER o AS s0 FROM k WINDOW o AS (PARTITION BY lines ORDER BY doc_id, s)),
+gone AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM f WHERE doc_id <> d0 OR s >= s0 + len(places)),
 kept AS (
   SELECT l.doc_id, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS t
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)

@@ -54,7 +54,10 @@ def lines_brute(rows, least=line_dedup.LEAST):
         for a in range(len(real)):
             for b in range(a, len(real)):
                 key = tuple(x for _, x in real[a : b + 1])
-                if sum(map(len, key)) >= least and seen.setdefault(key, (i, a)) != (i, a):
+                if sum(map(len, key)) < least:
+                    continue
+                where, first = seen.setdefault(key, (i, a))
+                if where != i or a > b - a + first:  # apart from the first occurrence
                     gone |= {n for n, _ in real[a : b + 1]}
         out.append((i, len(gone), None if t is None else "\n".join(x for n, x in enumerate(lines) if n not in gone)))
     return out
@@ -79,6 +82,10 @@ def test_line_dedup_awkward_tables(spark):
     clash = table(spark, [(1, f"{a}\nb"), (1, f"{a}\nb"), (None, a)]).withColumns({c: F.lit(7) for c in ("_lines", "_gone", "_row", "_spans", "__row", "gone_row", "k1", "salt")})
     got = line_dedup.deduplicate(clash).collect()
     assert sorted((x["__gone"], x.text) for x in got) == [(0, a), (1, "b"), (1, "b")] and {(x._lines, x._gone, x._row, x.salt, x.gone_row) for x in got} == {(7, 7, 7, 7, 7)}
+    # A run that repeats itself keeps its first occurrence; a later text with the run loses it.
+    ten, mixed = "ten chars.", "one line\nthe other"
+    repeating = [(1, "\n".join([ten] * 40)), (2, "\n".join([ten] * 6)), (3, "\n".join([mixed] * 9)), (4, "\n".join([ten] * 4))]
+    assert {x.doc_id: (x._lines - x._gone, x._gone) for x in line_dedup.deduplicate(table(spark, repeating)).collect()} == {1: (5, 35), 2: (0, 6), 3: (6, 12), 4: (4, 0)}
     very = [(1, "\n".join(f"line {i} of a very long text, which has many of them" for i in range(40_000))), (2, "\n".join(f"line {i} of a very long text, which has many of them" for i in range(1, 40_002, 2)))]
     assert {x.doc_id: x._gone for x in line_dedup.deduplicate(table(spark, very)).collect()} == {1: 0, 2: 20_000}
 
