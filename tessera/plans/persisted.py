@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators import generations, index, plan
+from tessera.operators import deletion, generations, index, plan, retention
 from tessera.plans import retrieval
-from tessera.plans.views import entries, files, observations, with_
+from tessera.plans import store as stores
+from tessera.plans.views import NOW, entries, files, observations, with_
 from tessera.session import shared_dir, table
 from tessera.sources import spool
 from tessera.streaming import stateful
@@ -247,3 +248,42 @@ def g6_switch(spark, d):
     for g in (1, 2, 3):
         generations.switch(spark, root, target, g)
     return generations.projected(spark, target)[1]
+
+
+# ---- deletions
+
+
+@query("g5_sweep_stored", "WITH " + stores._SWEEP + """, stay AS (SELECT 0 AS gone, generation_id FROM pin), x AS (
+ SELECT 'edge' AS name, l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT generation_id FROM gone) UNION ALL SELECT 'occurrence', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT generation_id FROM gone)
+ UNION ALL SELECT 'file', generation_id FROM f WHERE generation_id NOT IN (SELECT generation_id FROM gone) UNION ALL SELECT 'skipped', l_orderkey FROM lineitem WHERE l_linestatus = 'O' AND l_orderkey NOT IN (SELECT generation_id FROM gone)
+ UNION ALL SELECT 'generation', generation_id FROM pin UNION ALL SELECT 'reference', revision_id FROM rev WHERE revision_id % 2 = 0 AND revision_id IN (SELECT revision_id FROM live_rev) UNION ALL SELECT 'unit', revision_id FROM rev WHERE revision_id IN (SELECT revision_id FROM live_rev)
+ UNION ALL SELECT 'revision', revision_id FROM rev WHERE revision_id IN (SELECT revision_id FROM live_rev) UNION ALL SELECT 'blob', blob_id FROM live_blob)
+SELECT name, id, count(*) AS n FROM x GROUP BY name, id""")
+def g5_stored(spark, d):
+    """The nine tables stored, swept with a break after the third phase, and what is left of them."""
+    root, tables = shared_dir(spark, "store"), stores.sweep_tables(spark, d)
+    keys = dict(retention.PHASES)
+    for name, rows in tables.items():
+        deletion.store(rows, root, name, keys[name], buckets=8)
+    pins = retention.pinned(tables["generation"], NOW)
+    deletion.sweep(spark, root, list(tables), pins, steps=3)
+    deletion.resume(spark, root)
+    out = None
+    for name in tables:
+        part = deletion.read(spark, root, name).groupBy(F.col(keys[name]).alias("id")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("m8_purge_stored", stores.SQL["m8_purge_preview"].split("SELECT 'entries' AS name")[0] + "SELECT 'entries' AS name, entry_id AS id FROM mem WHERE entry_id NOT IN (SELECT entry_id FROM orph) UNION ALL SELECT 'evidence', event_id FROM lef WHERE entry_id NOT IN (SELECT entry_id FROM orph) UNION ALL SELECT 'envelopes', event_id FROM en WHERE session_id <> 3")
+def m8_stored(spark, d):
+    """Entries, evidence and envelopes stored, and a session purged from them, with a break after the first step."""
+    root, m = shared_dir(spark, "store"), entries(spark, d)
+    own = m.select("entry_id", (F.col("conv_id") * 10 + F.col("turn") % 3).alias("event_id"))
+    deletion.store(m, root, "entries", "scope_owner", buckets=8)
+    deletion.store(own.union(m.filter("turn % 2 = 0").select("entry_id", (F.col("conv_id") * 10 + 10).alias("event_id"))).distinct(), root, "evidence", "entry_id", buckets=8)
+    deletion.store(m.select(F.col("conv_id").alias("session_id"), (F.col("conv_id") * 10 + F.col("turn") % 3).alias("event_id")).distinct(), root, "envelopes", "session_id", buckets=8)
+    deletion.purge_session(spark, root, 3, steps=1)
+    deletion.resume(spark, root)
+    of = lambda name, id: deletion.read(spark, root, name).select(F.lit(name).alias("name"), F.col(id).alias("id"))
+    return of("entries", "entry_id").unionByName(of("evidence", "event_id")).unionByName(of("envelopes", "event_id"))

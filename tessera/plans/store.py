@@ -295,15 +295,18 @@ gone AS (SELECT generation_id FROM g WHERE generation_id NOT IN (SELECT generati
 
 @query("g5_sweep_plan", "WITH " + _SWEEP + " SELECT position, phase, rows, CAST(ceil(rows / 500.0) AS BIGINT) AS batches FROM n")
 def g5(spark, d):
+    return retention.sweep_plan(sweep_tables(spark, d), retention.pinned(_generations(spark, d), NOW))
+
+
+def sweep_tables(spark, d):
     """Orders as generations, line items as their members, parts as revisions that share blobs."""
     g, li = _generations(spark, d), table(spark, d, "lineitem")
     of = lambda where: li.filter(where).select(F.col("l_orderkey").alias("generation_id"))
     rev = table(spark, d, "part").select(F.col("p_partkey").alias("revision_id"), (F.col("p_partkey") % 700).alias("blob_id"))
-    tables = {
+    return {
         "generation": g, "edge": of("l_returnflag = 'R'"), "occurrence": of("true"), "skipped": of("l_linestatus = 'O'"), "file": li.select(F.col("l_orderkey").alias("generation_id"), F.col("l_partkey").alias("revision_id")),
         "revision": rev, "unit": rev, "reference": rev.filter("revision_id % 2 = 0"), "blob": rev.select("blob_id").distinct(),
     }
-    return retention.sweep_plan(tables, retention.pinned(g, NOW))
 
 
 @query("g3_superseded_builds", "WITH " + _GEN + ", a AS (SELECT worktree_id, max(generation_id) AS top FROM g WHERE state = 'active' GROUP BY worktree_id) SELECT generation_id FROM g JOIN a USING (worktree_id) WHERE state = 'building' AND generation_id < top")

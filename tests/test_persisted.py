@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import generations, index, lexical
+from tessera.operators import deletion, generations, index, lexical, retention
 from tessera.sources import spool
 
 
@@ -310,3 +310,62 @@ def test_a_build_that_was_cut_off_is_started_again(spark, tmp_path, monkeypatch)
     assert generations.build(table([("a", "1"), ("c", "3")]), root, parse) == (2, True)
     assert sorted(map(tuple, generations.at(spark, root, 2).collect())) == [("a", "1"), ("c", "3")]
     assert generations.build(table([]), root, parse) == (3, True) and generations.at(spark, root, 3).count() == 0
+
+
+# ---- deletions
+
+
+def small_store(spark, root):
+    """Generations 0 to 19 with files; revision r has blob r % 7."""
+    r = random.Random(9)
+    files = [(g, r.randrange(40)) for g in range(20) for _ in range(4)]
+    revisions = [(x, x % 7) for x in range(40)]
+    tables = {
+        "generation": spark.createDataFrame([(g,) for g in range(20)], "generation_id long"), "file": spark.createDataFrame(files, "generation_id long, revision_id long"), "edge": spark.createDataFrame([(g, "e") for g, _ in files], "generation_id long, name string"),
+        "occurrence": spark.createDataFrame([(g,) for g, _ in files], "generation_id long"), "skipped": spark.createDataFrame([(3,), (5,)], "generation_id long"), "revision": spark.createDataFrame(revisions, "revision_id long, blob_id long"),
+        "unit": spark.createDataFrame(revisions, "revision_id long, blob_id long"), "reference": spark.createDataFrame(revisions[:9], "revision_id long, blob_id long"), "blob": spark.createDataFrame([(b,) for b in range(8)], "blob_id long"),
+    }
+    keys = dict(retention.PHASES)
+    for name, rows in tables.items():
+        deletion.store(rows, root, name, keys[name], buckets=16)
+    return tables, files, revisions
+
+
+def test_sweeps_delete_and_leave_other_partitions(spark, tmp_path):
+    pins = spark.createDataFrame([(g,) for g in range(20) if g % 4], "generation_id long")
+    stays = {g for g in range(20) if g % 4}
+    states = []
+    for cut in (None, 1, 4, 8):
+        root = f"{tmp_path}/{cut}"
+        tables, files, revisions = small_store(spark, root)
+        before = folder(root)
+        if cut is not None:
+            assert len(deletion.sweep(spark, root, list(tables), pins, steps=cut)) == cut
+            # What is left of the pins doesn't change what was written down.
+            assert len(deletion.resume(spark, root)) == 9 - cut
+        else:
+            steps = deletion.sweep(spark, root, list(tables), pins)
+            assert [t for t, _ in steps] == [t for t, _ in retention.PHASES]
+            for table, touched in steps:
+                same = {f for f, t in folder(f"{root}/{table}").items() if before.get(f) == t}
+                assert same == {f for f in before if f"/{table}/" in f and int(re.search(r"bucket=(\d+)", f)[1]) not in touched}, "untouched partitions keep their files"
+        assert not glob.glob(f"{root}/_deletions/*") and deletion.resume(spark, root) == []
+        states.append({name: sorted(map(tuple, deletion.read(spark, root, name).collect())) for name in tables})
+    live = {x for g, x in files if g in stays}
+    blobs = {b for x, b in revisions if x in live}
+    want = {
+        "generation": sorted((g,) for g in stays), "file": sorted(f for f in files if f[0] in stays), "edge": sorted((g, "e") for g, _ in files if g in stays), "occurrence": sorted((g,) for g, _ in files if g in stays), "skipped": [(3,), (5,)],
+        "revision": [x for x in revisions if x[0] in live], "unit": [x for x in revisions if x[0] in live], "reference": [x for x in revisions[:9] if x[0] in live], "blob": sorted((b,) for b in blobs),
+    }
+    assert states == [want] * 4
+
+
+def test_a_table_can_lose_all_rows(spark, tmp_path):
+    root = str(tmp_path)
+    deletion.store(spark.createDataFrame([(k, "x") for k in range(5)], "id long, v string"), root, "t", "id", buckets=3)
+    deletion.begin(spark, root, [("t", "id", spark.range(4))])
+    assert len(deletion.resume(spark, root)[0][1]) >= 1 and [r.id for r in deletion.read(spark, root, "t").collect()] == [4]
+    assert deletion.remove(spark, root, "t", "id", spark.range(100, 110)) == []
+    deletion.remove(spark, root, "t", "id", spark.range(10))
+    assert deletion.read(spark, root, "t").columns == ["id", "v"] and deletion.read(spark, root, "t").count() == 0
+    assert deletion.remove(spark, root, "t", "id", spark.range(10)) == []
