@@ -31,7 +31,7 @@ def store(rows: DataFrame, root: str, name: str, owner: str, buckets: int = BUCK
 
 def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table with its `bucket`; its columns are known even when it has no files left."""
-    schema = spark.read.parquet(f"{root}/_schemas/{name}").schema.add("bucket", "int")
+    schema = spark.read.parquet(f"{root}/_schemas/{name}").schema.add("bucket", "integer")
     return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 

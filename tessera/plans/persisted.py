@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators import deletion, generations, index, plan, retention
+from tessera.operators import deletion, generations, index, plan, retention, shard
 from tessera.plans import retrieval
 from tessera.plans import store as stores
 from tessera.plans.views import NOW, entries, files, observations, with_
@@ -287,3 +287,44 @@ def m8_stored(spark, d):
     deletion.resume(spark, root)
     of = lambda name, id: deletion.read(spark, root, name).select(F.lit(name).alias("name"), F.col(id).alias("id"))
     return of("entries", "entry_id").unionByName(of("evidence", "event_id")).unionByName(of("envelopes", "event_id"))
+
+
+# ---- vector shards
+
+
+def _dims(spark, d) -> int:
+    return table(spark, d, "embeddings").select(F.size("embedding")).first()[0]
+
+
+@query("s9_shard_lookup", "SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 7")
+def s9(spark, d):
+    e, root = table(spark, d, "embeddings").select("vec_id", "embedding"), shared_dir(spark, "shard")
+    shard.write(e, root, _dims(spark, d), "g1", per_file=500)
+    return shard.lookup(spark, root, e.filter("vec_id % 50 = 7").select("vec_id").union(spark.range(10**9, 10**9 + 5)))
+
+
+@query("r28_shard_ladder", "SELECT * FROM (VALUES ('sound', NULL), ('no head', 'missing_head'), ('other generation', 'generation'), ('other format', 'format_version'), ('other dimension', 'dims'), ('lost points', 'count'), ('cut vector', 'vectors'), ('other id', 'digest')) v(spoiled, divergence)")
+def r28_shard(spark, d):
+    """A shard of the embeddings, and the same spoiled in seven ways."""
+    e, dims = table(spark, d, "embeddings").select("vec_id", "embedding"), _dims(spark, d)
+    cut = {
+        "lost points": e.filter("vec_id % 9 <> 0"), "cut vector": e.withColumn("embedding", F.when(F.col("vec_id") % 1000 == 5, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))),
+        "other id": e.withColumn("vec_id", F.when(F.col("vec_id") % 1000 == 5, F.col("vec_id") + 10**9).otherwise(F.col("vec_id"))),
+    }
+    heads = {"other generation": F.lit("g0").alias("generation"), "other format": F.lit(99).alias("format_version"), "other dimension": F.lit(dims + 1).alias("dims")}
+    out = []
+    for case in ("sound", "no head", *heads, *cut):
+        root = shared_dir(spark, "shard")
+        shard.write(e, root, dims, "g1")
+        head = spark.read.parquet(f"{root}/head").persist()
+        head.count()
+        if case in heads:
+            shard._head(head.withColumn({"other generation": "generation", "other format": "format_version", "other dimension": "dims"}[case], heads[case]), root)
+        if case in cut:
+            cut[case].select(F.col("vec_id").alias("id"), "embedding").write.mode("overwrite").parquet(f"{root}/points")
+        if case == "no head":
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/head")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        head.unpersist()
+        out.append((case, shard.validate(spark, root, dims, "g1")))
+    return spark.createDataFrame(out, "spoiled string, divergence string")

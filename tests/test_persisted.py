@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import deletion, generations, index, lexical, retention
+from tessera.operators import deletion, generations, index, lexical, retention, shard
 from tessera.sources import spool
 
 
@@ -369,3 +369,21 @@ def test_a_table_can_lose_all_rows(spark, tmp_path):
     deletion.remove(spark, root, "t", "id", spark.range(10))
     assert deletion.read(spark, root, "t").columns == ["id", "v"] and deletion.read(spark, root, "t").count() == 0
     assert deletion.remove(spark, root, "t", "id", spark.range(10)) == []
+
+
+# ---- vector shards
+
+
+def test_shard_lookups_open_few_files(spark, tmp_path):
+    root = str(tmp_path)
+    points = spark.createDataFrame([(i * 3, [float(i), 1.0]) for i in range(1000)], "vec_id long, embedding array<double>")
+    shard.write(points, root, 2, "g", per_file=100)
+    ids = spark.createDataFrame([(30,), (33,), (31,), (2997,), (-5,), (10**12,)], "vec_id long")
+    assert len(shard.holding(spark, root, ids)) == 2 and 9 <= spark.read.parquet(f"{root}/files").count() <= 11
+    assert sorted((r.vec_id, r.embedding[0]) for r in shard.lookup(spark, root, ids).collect()) == [(30, 10.0), (33, 11.0), (2997, 999.0)]
+    assert shard.lookup(spark, root, ids.limit(0)).count() == 0
+    for bad in ([(1, [1.0]), (2, [1.0, 2.0])], [(1, [1.0, 2.0]), (1, [1.0, 2.0])], [(1, None)]):
+        with pytest.raises(ValueError, match="dimensions"):
+            shard.write(spark.createDataFrame(bad, points.schema), f"{root}/bad", 2, "g")
+    shard.write(points.limit(0), f"{root}/empty", 2, "g")
+    assert shard.validate(spark, f"{root}/empty", 2, "g") is None and shard.lookup(spark, f"{root}/empty", ids).count() == 0
