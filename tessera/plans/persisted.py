@@ -328,3 +328,17 @@ def r28_shard(spark, d):
         head.unpersist()
         out.append((case, shard.validate(spark, root, dims, "g1")))
     return spark.createDataFrame(out, "spoiled string, divergence string")
+
+
+@query("t7_lease_stream")
+def t7_stream(spark, d):
+    """Events as what happens to the runs of sixteen sessions; a walk in order, which SQL can't express."""
+    def happened(events):
+        e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+        kinds = F.array(*[F.lit(x) for x in ("start", "start", "start", "renew", "transient", "transient", "overflow", "mechanical", "apply")])
+        return e.select(
+            F.concat(F.lit("r"), F.col("user_id") % 16).alias("run_id"), F.element_at(kinds, (F.pmod(F.xxhash64("event_id"), F.lit(9)) + 1).cast("int")).alias("event"), F.unix_millis("ts").alias("at_ms"), F.col("event_id").alias("seq"),
+            F.concat(F.lit("b"), F.floor(F.col("event_id") / 500)).alias("build"), F.lit(20).cast("long").alias("batch"), "ts",
+        )
+
+    return _drained(spark, d, lambda s: stateful.stream_leases(s, "1 second"), happened)

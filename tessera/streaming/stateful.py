@@ -125,3 +125,91 @@ def stream_payloads(stream: DataFrame, hours: float = PAYLOAD_HOURS, session: st
     rows = stream.select(F.col(session).cast("string").alias("session_id"), F.col(id).cast("string").alias("id"), F.col(at).alias("at"), "ts").withWatermark("ts", "0 seconds")
     schema = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("id", T.StringType()), T.StructField("change", T.StringType()), T.StructField("at_ms", T.LongType())])
     return rows.groupBy("session_id").transformWithStateInPandas(_Payloads(int(hours * 3_600_000), ("id", "at")), schema, "Append", "eventTime")
+
+
+# ---- leases
+
+# How long a lease lasts, waits between attempts, and the attempt at which a failure counts as one that won't pass.
+LEASE_MS, WAIT_MS, WAIT_MOST_MS, LAST_ATTEMPT = 120_000, 250, 4_000, 8
+RUN = "state string, attempt int, lease_until long, next_attempt_at long, failed_build string, batch long, floored boolean"
+CHANGE = "run_id string, at_ms long, seq long, change string, attempt int, batch long"
+
+
+def wait_ms(attempt: int) -> int:
+    """0 after the first failure, then doubling up to a limit."""
+    return 0 if attempt <= 1 else min(WAIT_MS << min(attempt - 2, 62), WAIT_MOST_MS)
+
+
+def lease_step(run: tuple | None, event: str, at: int, build: str, batch: int) -> tuple[tuple, list[tuple[str, int]]]:
+    """A run after an event, and what changed, with the time of it: started, renewed, applied, retry, parked, shrunk, floored, stale or refused.
+
+    A run that runs and whose lease is over is stale before anything else happens. It starts when it is new, stale, or failed and due, unless it is parked: a failure that
+    won't pass waits for another build. An overflow halves the window, which then may start at once, down to one row, which is parked."""
+    state, attempt, lease, due, failed, size, floored = run or ("pending", 0, None, None, None, batch, False)
+    changes = []
+    if state == "running" and lease <= at:
+        state, lease = "pending", None
+        changes.append(("stale", at if event == "expire" else min(at, run[2])))
+    if event == "expire":
+        return (state, attempt, lease, due, failed, size, floored), changes
+    change = "refused"
+    if event == "start" and (state == "pending" or state == "failed" and failed != build and (due is None or due <= at)):
+        state, lease, due, failed, floored, change = "running", at + LEASE_MS, None, None, False, "started"
+    elif event == "renew" and state == "running":
+        lease, change = at + LEASE_MS, "renewed"
+    elif event == "apply" and state == "running":
+        state, lease, change = "applied", None, "applied"
+    elif event in ("transient", "mechanical", "overflow") and state == "running":
+        state, lease, attempt = "failed", None, attempt + 1
+        if event == "overflow" and size > 1:
+            size, due, change = max(1, size // 2), None, "shrunk"
+        elif event == "transient" and attempt < LAST_ATTEMPT:
+            due, change = at + wait_ms(attempt), "retry"
+        else:
+            failed, floored = build, event == "overflow"
+            change = "floored" if floored else "parked"
+    return (state, attempt, lease, due, failed, size, floored), [*changes, (change, at)]
+
+
+class _Leases(StatefulProcessor):
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", RUN)
+
+    def _applied(self, key, events) -> pd.DataFrame:
+        run = self.run.get() if self.run.exists() else None
+        before = run[2] if run else None
+        out = []
+        for event, at, seq, build, batch in events:
+            run, changes = lease_step(run, event, int(at), build, int(batch))
+            out += [(key[0], when, None if change == "stale" else int(seq), change, run[1], run[5]) for change, when in changes]
+        self.run.update(run)
+        if run[2] != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if run[2] is not None:
+                self.handle.registerTimer(run[2])
+        return pd.DataFrame(out, columns=["run_id", "at_ms", "seq", "change", "attempt", "batch"]).astype({"seq": "Int64"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        yield self._applied(key, batch[["event", "at_ms", "seq", "build", "batch"]].itertuples(index=False))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        run = self.run.get()
+        if run[0] == "running" and run[2] is not None and run[2] <= at:
+            after, changes = lease_step(run, "expire", at, "", 1)
+            self.run.update(after)
+            yield pd.DataFrame([(key[0], when, None, change, after[1], after[5]) for change, when in changes], columns=["run_id", "at_ms", "seq", "change", "attempt", "batch"]).astype({"seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_leases(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """`CHANGE` of runs from their events (run_id string, event string, at_ms, seq, build, batch, ts): start, renew, apply, transient, mechanical, overflow. Events of a run come in order
+    of `seq`; a lease that nothing renews is over once event time has passed it."""
+    prepared(stream.sparkSession)
+    rows = stream.select("run_id", "event", "at_ms", "seq", "build", "batch", "ts").withWatermark("ts", late)
+    return rows.groupBy("run_id").transformWithStateInPandas(_Leases(), CHANGE, "Append", "eventTime")

@@ -81,3 +81,62 @@ def test_payloads_expire_and_envelopes_stay(stateful_session, tmp_path):
     assert expired == {f"p{k}" for k in range(90)} or expired == {f"p{k}" for k in range(89)}
     left = spark.read.format("statestore").option("stateVarName", "live").load(f"{tmp_path}/state").count()
     assert left == 100 - len(expired)
+
+
+# ---- leases
+
+
+def leased(events, last):
+    """The changes of each run by one walk; a lease that is over before the last event's time is stale, once."""
+    runs, out = {}, []
+    for run, event, at, seq, build, batch in sorted(events, key=lambda e: e[3]):
+        x = runs.setdefault(run, {"state": "pending", "attempt": 0, "size": batch, "lease": None, "due": -1, "build": None})
+
+        def say(change, at=at, seq=seq, x=x, run=run):
+            out.append((run, at, seq, change, x["attempt"], x["size"]))
+
+        if x["state"] == "running" and x["lease"] <= at:
+            x["state"] = "pending"
+            say("stale", x["lease"], None)
+        if event == "start" and (x["state"] == "pending" or x["state"] == "failed" and x["build"] != build and x["due"] <= at):
+            x.update(state="running", lease=at + 120_000, build=None, due=-1)
+            say("started")
+        elif x["state"] != "running" or event == "start":
+            say("refused")
+        elif event == "renew":
+            x["lease"] = at + 120_000
+            say("renewed")
+        elif event == "apply":
+            x["state"] = "applied"
+            say("applied")
+        else:
+            x["state"] = "failed"
+            x["attempt"] += 1
+            if event == "overflow" and x["size"] > 1:
+                x["size"] //= 2
+                say("shrunk")
+            elif event == "transient" and x["attempt"] < 8:
+                x["due"] = at + (0, 0, 250, 500, 1000, 2000, 4000, 4000)[x["attempt"]]
+                say("retry")
+            else:
+                x["build"] = build
+                say("floored" if event == "overflow" else "parked")
+    for run, x in runs.items():
+        if x["state"] == "running" and x["lease"] <= last:
+            out.append((run, x["lease"], None, "stale", x["attempt"], x["size"]))
+    return sorted(out, key=repr)
+
+
+def test_leases_over_restarts(stateful_session, tmp_path):
+    spark, r = stateful_session, random.Random(11)
+    at, events = 1_700_000_000_000, []
+    for k in range(900):
+        at += r.choice([0, 100, 300, 5_000, 5_000, 70_000])
+        events.append((f"r{r.randrange(6)}", r.choice(["start"] * 5 + ["renew", "apply" if k > 250 else "renew", "transient", "transient", "transient", "overflow", "mechanical" if k % 5 == 0 else "transient"]), at, k, f"b{k // 300}", 8))
+    events.append(("late", "start", at + 500_000, 900, "b9", 1))
+    schema = "run_id string, event string, at_ms long, seq long, build string, batch long"
+    out = streamed(spark, tmp_path, lambda s: stateful.stream_leases(s, "1 second"), schema, [events[:100], events[100:101], events[101:600], events[600:]], F.col("at_ms"))
+    got = sorted(((x.run_id, x.at_ms, x.seq, x.change, x.attempt, x.batch) for x in out.collect()), key=repr)
+    want = leased(events, at + 499_000)
+    assert got == want
+    assert {c for _, _, _, c, _, _ in want} == {"started", "renewed", "applied", "retry", "parked", "shrunk", "floored", "stale", "refused"}
