@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.text import snippet
+from tessera.operators.ledger import TERMINAL
+from tessera.session import shared_dir
 
 # The constant of the ranks and the depth that a lexical hit may displace.
 RANK_CONSTANT, DISPLACEMENT = 60, 2
@@ -65,15 +67,39 @@ def file_context(units: DataFrame, skipped: DataFrame, path: str) -> DataFrame:
 # ---- recall
 
 
-def recall(candidates: DataFrame, lexical: DataFrame, dense: DataFrame, budget: int, cost: Column, id: str = "entry_id", least: int = 8) -> DataFrame:
+def placed(rows: DataFrame, *order: Column, to: str = "rank") -> DataFrame:
+    """The rows with their place in order over all of them, from 1, and without a task that sees them all: ranges are sorted side by side, and each counts on from the
+    rows of the ranges before it."""
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "placed")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    at = spark.read.schema(rows.schema.add("_at", "long")).parquet(path)
+    part = F.shiftright("_at", 33)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = at.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn(to, F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + 1).drop("_at", "_part", "_before")
+
+
+def recall(candidates: DataFrame, lexical: DataFrame, dense: DataFrame, budget: int, cost: Column, id: str = "entry_id", least: int = 8, fresh: DataFrame | None = None) -> DataFrame:
     """All candidates by (score, newest, id), unscored ones with 0, up to the first that would overflow the budget.
 
     An entry costs `least` at least, so no more than budget / least of them fit: the best of those many are found by a distributed
-    top-k, and the running cost needs an order over them alone.
+    top-k, and the running cost needs an order over them alone. `fresh`: the entries as they are now (id, state, text); candidates that are gone or in a closing
+    state by now are passed over, and what an entry costs is what its text costs now.
     """
-    fused = rrf(lexical.withColumn("q", F.lit(0)), dense.withColumn("q", F.lit(0)), id=id, query="q", weights=(1.0, 1.0)).select(id, "score")
+    fused = rrf_scores(lexical, dense, id)
     order = (F.desc("score"), F.desc("created_at"), F.asc(id))
     w = W.orderBy(*order)
+    if fresh is not None:
+        now = fresh.filter(~F.col("state").isin(*TERMINAL)).select(id, "text")
+        candidates = candidates.drop("text").join(now, id)
     rows = candidates.join(fused, id, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("cost", cost)
     best = rows.orderBy(*order).limit(budget // least + 1)
     return best.withColumn("spent", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w)).filter(F.col("spent") <= budget)
+
+
+def rrf_scores(lexical: DataFrame, dense: DataFrame, id: str, digits: int = 9) -> DataFrame:
+    """(id, score) of one question's legs (id, rank), both with weight 1; nothing is ranked."""
+    part = lambda r: F.coalesce(1.0 / (RANK_CONSTANT + F.col(r)), F.lit(0.0))
+    both = lexical.select(id, F.col("rank").alias("_l")).join(dense.select(id, F.col("rank").alias("_d")), id, "full_outer")
+    return both.select(id, F.round(part("_l") + part("_d"), digits).alias("score"))

@@ -225,14 +225,14 @@ sp AS (SELECT *, sum(cost) OVER w AS spent, row_number() OVER w AS rank FROM sco
 def r19(spark, d):
     """Both legs over all candidates, fused, in order and cut to the budget: the newest entry's text and one vector ask."""
     c = _live(spark, d).persist()
-    n = c.count()
     newest = c.agg(F.max_by(F.struct("entry_id", "body_tokens"), "entry_id").alias("m")).select(F.col("m.entry_id").alias("query_id"), F.col("m.body_tokens").alias("tokens"))
-    lx = lexical.lexical_leg(c, newest, {"body": "body_tokens"}, n, "entry_id", digits=6).select("entry_id", "rank")
+    best = (F.desc("score"), F.asc("entry_id"))
+    lx = fusion.placed(lexical.lexical_scores(c, newest, {"body": "body_tokens"}, "entry_id", digits=6).select("entry_id", "score"), *best)
     e = table(spark, d, "embeddings")
-    asked = e.agg(F.min_by("embedding", "vec_id").alias("query_vector")).withColumn("query_id", F.lit(0))
-    scored = c.join(e.select(F.col("vec_id").alias("conv_id"), "embedding"), "conv_id").select("entry_id", "embedding")
-    dx = dense.nearest(scored, asked, n, id="entry_id").select("entry_id", "rank")
-    out = fusion.recall(c.select("entry_id", "text", "created_at"), lx, dx, 4000, fx.token_estimate(F.col("text")))
+    asked = e.agg(F.min_by("embedding", "vec_id").alias("asked"))  # one vector
+    scored = c.join(e.select(F.col("vec_id").alias("conv_id"), "embedding"), "conv_id").join(F.broadcast(asked))
+    dx = fusion.placed(scored.select("entry_id", (F.round(dense.cosine(F.col("embedding"), F.col("asked")), 6) + 0.0).alias("score")), *best)
+    out = fusion.recall(c.select("entry_id", "text", "created_at"), lx, dx, 4000, fx.token_estimate(F.col("text")), fresh=entries(spark, d).select("entry_id", "state", "text"))
     return out.select("entry_id", "score", "cost", "spent", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -523,3 +523,22 @@ def test_creates_with_one_canonical_key(spark):
     new = [(10, "k"), (11, "k"), (12, None), (13, None), (14, "taken"), (15, "other")]
     rows = spark.createDataFrame([(i, "fact", "repo", 1, key, None, None, "user_statement") for i, key in new] + [(16, "fact", "repo", 2, "k", None, None, "user_statement")], schema).drop("state")
     assert sorted(r.entry_id for r in ledger.create(old, rows, F.lit(0)).collect()) == [10, 12, 13, 15, 16]
+
+
+def test_places_over_ranges(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, r.choice([0.0, 0.5, r.random()])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, score double").repartition(7)
+    got = {x.id: x["rank"] for x in fusion.placed(df, F.desc("score"), F.asc("id")).collect()}
+    assert got == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
+    assert fusion.placed(df.limit(0), F.asc("id")).count() == 0
+
+
+def test_recall_passes_over_what_has_changed(spark):
+    c = spark.createDataFrame([(i, f"text {i}", i) for i in range(6)], "entry_id long, text string, created_at long")
+    legs = spark.createDataFrame([(i, i + 1) for i in range(6)], "entry_id long, rank long")
+    now = spark.createDataFrame([(0, "active", "a" * 40), (1, "retracted", "text 1"), (2, "active", "text 2"), (4, "superseded", "x"), (5, "confirmed", "text 5")], "entry_id long, state string, text string")
+    got = fusion.recall(c, legs, legs, 100, fx.token_estimate(F.col("text")), fresh=now).orderBy("rank").collect()
+    assert [(x.entry_id, x.text) for x in got] == [(0, "a" * 40), (2, "text 2"), (5, "text 5")] and got[0].cost == 18
