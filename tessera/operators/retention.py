@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.session import shared_dir
+
 HOUR = 3_600_000
 # Lifetimes in milliseconds.
 LIFETIMES = {"candidate": 30 * 24 * HOUR, "session": 14 * 24 * HOUR, "shard": 7 * 24 * HOUR, "payload": 72 * HOUR}
@@ -71,20 +73,20 @@ def sweep(table: DataFrame, pins: DataFrame) -> DataFrame:
 def evict(cache: DataFrame, budget: int, pins: DataFrame | None = None, key: str = "key", size: str = "bytes", used: str = "last_used") -> DataFrame:
     """The least recently used rows that are not pinned, until the rest fits the budget.
 
-    The walk is one running sum over the whole cache, so it is done in two steps: sums of time slots first, whose number is fixed,
-    then the running sum within a slot. No task gets more than a slot's rows.
+    The walk is one running sum over the whole cache, so it is done in two steps: sums of sorted ranges first, then the running sum within a
+    range. Ranges are cut by time and key, so that rows of one time are dealt over as many tasks as they need.
     """
     over = max(0, (cache.agg(F.sum(size)).first()[0] or 0) - budget)
     free = cache if pins is None else cache.join(pins.select(key).distinct(), key, "left_anti")
-    first, last = free.agg(F.min(used), F.max(used)).first()
-    if not over or first is None:
+    if not over:
         return cache.limit(0)
-    slots = 1024
-    rows = free.withColumn("_slot", F.floor((F.col(used) - first) * (slots - 1) / max(1, last - first)).cast("int"))
-    sums = rows.groupBy("_slot").agg(F.sum(size).alias("_sum"))  # at most `slots` rows
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    w = W.partitionBy("_slot").orderBy(used, key).rowsBetween(W.unboundedPreceding, -1)
-    walk = rows.join(F.broadcast(before), "_slot").withColumn("_freed", F.col("_before") + F.coalesce(F.sum(size).over(w), F.lit(0)))
+    spark, path = cache.sparkSession, shared_dir(cache.sparkSession, "ranges")
+    free.repartitionByRange(used, key).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.schema(free.schema.add("_part", "integer")).parquet(path)
+    sums = rows.groupBy("_part").agg(F.sum(size).alias("_sum"))  # a row for each range
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    w = W.partitionBy("_part").orderBy(used, key).rowsBetween(W.unboundedPreceding, -1)
+    walk = rows.join(F.broadcast(before), "_part").withColumn("_freed", F.col("_before") + F.coalesce(F.sum(size).over(w), F.lit(0)))
     return walk.filter(F.col("_freed") < over).select(*cache.columns)
 
 

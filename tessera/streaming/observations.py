@@ -22,23 +22,29 @@ def stream_exact_dedup(stream: DataFrame, key: str = "dedup_key", at: str = "ts"
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_dedup(rows: DataFrame, window_ms: int = WINDOW_MS, window_rows: int = WINDOW_ROWS, session: str = "session_id", event: str = "source_event_id", at: str = "at_ms", order: str = "received_seq") -> DataFrame:
+def windowed_dedup(rows: DataFrame, window_ms: int = WINDOW_MS, window_rows: int = WINDOW_ROWS, session: str = "session_id", event: str = "source_event_id", at: str = "at_ms", order: str = "received_seq", late_ms: int | None = None) -> DataFrame:
     """Rows whose event was kept before in their session, not earlier than `window_ms` before or among the last `window_rows` kept,
     go. A dropped row extends nothing, so a session is walked in order; sessions are independent.
 
     Each (session, event) pair is decided by rows of that pair and by the session's count of kept rows, so sessions are sorted by Spark
-    and walked as a stream of batches; a task holds one session's window, never its rows.
+    and walked as a stream of batches; a task holds one session's events, never its rows. `late_ms`: rows are at most so far behind the latest time before them;
+    events that neither test can find any more are then forgotten, and a task holds the session's window alone.
     """
     columns = rows.columns
     ordered = rows.repartition(F.col(session)).sortWithinPartitions(session, order)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, kept_at, place, n = object(), {}, {}, 0
+        who, kept_at, place, n, latest, seen = object(), {}, {}, 0, 0, 0
         for f in frames:
             keep = []
             for s, e, t in zip(f[session], f[event], f[at]):
                 if s != who:
-                    who, kept_at, place, n = s, {}, {}, 0
+                    who, kept_at, place, n, latest, seen = s, {}, {}, 0, t, 0
+                latest = max(latest, t)
+                if late_ms is not None and n - seen >= window_rows:
+                    seen = n
+                    for old in [x for x in kept_at if kept_at[x] < latest - late_ms - window_ms and n - place[x] >= window_rows]:
+                        del kept_at[old], place[old]
                 last = kept_at.get(e) if e is not None else None
                 if last is not None and (last >= t - window_ms or n - place[e] < window_rows):
                     keep.append(False)

@@ -542,3 +542,17 @@ def test_recall_passes_over_what_has_changed(spark):
     now = spark.createDataFrame([(0, "active", "a" * 40), (1, "retracted", "text 1"), (2, "active", "text 2"), (4, "superseded", "x"), (5, "confirmed", "text 5")], "entry_id long, state string, text string")
     got = fusion.recall(c, legs, legs, 100, fx.token_estimate(F.col("text")), fresh=now).orderBy("rank").collect()
     assert [(x.entry_id, x.text) for x in got] == [(0, "a" * 40), (2, "text 2"), (5, "text 5")] and got[0].cost == 18
+
+
+def test_evict_rows_of_one_time(spark):
+    rows = [(i, 10, 5 if i % 2 else i) for i in range(500)]
+    cache = spark.createDataFrame(rows, "key long, bytes long, last_used long")
+    pins = spark.createDataFrame([(1,), (2,)], "key long")
+    walk, gone, freed = sorted((r for r in rows if r[0] not in (1, 2)), key=lambda r: (r[2], r[0])), set(), 0
+    for key, size, _ in walk:
+        if freed >= 5000 - 1234:
+            break
+        gone.add(key)
+        freed += size
+    assert {r.key for r in retention.evict(cache, 1234, pins).collect()} == gone
+    assert retention.evict(cache, 5000).count() == 0 and retention.evict(cache.limit(0), 0).count() == 0

@@ -53,6 +53,8 @@ def test_windowed_dedup_over_restarts(stateful_session, tmp_path):
     assert sorted(r.received_seq for r in out.collect()) == want and 50 < len(want) < 600
     batch = observations.windowed_dedup(spark.createDataFrame(rows, ROWS), window_rows=4)
     assert sorted(r.received_seq for r in batch.collect()) == want
+    forgetful = observations.windowed_dedup(spark.createDataFrame(rows, ROWS), window_rows=4, late_ms=100_000)
+    assert sorted(r.received_seq for r in forgetful.collect()) == want
     state = spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/state")
     assert 0 < state.count() <= 2 * 12
 
