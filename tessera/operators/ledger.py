@@ -50,6 +50,25 @@ def in_scope(entries: DataFrame, kind: str, owner, canonical_key: str | None = N
     return out if canonical_key is None else out.filter(F.col("canonical_key") == canonical_key)
 
 
+#: Entries in a prompt at most, and what they may cost.
+PROMPT_ENTRIES, PROMPT_BUDGET = 50, 12_000
+
+
+def conflict_set(entries: DataFrame, hits: DataFrame, kind: str, owner, pending: DataFrame | None = None, limit: int = PROMPT_ENTRIES, budget: int = PROMPT_BUDGET) -> DataFrame:
+    """(entry_id, n, spent): live entries of a scope that a new one may conflict with, those of `hits` (entry_id, rank) first, by their rank, then the newest; at most `limit`, as
+    long as they fit the budget. `pending`: entries that an earlier operation of the same plan makes; they count as entries."""
+    from tessera.functions.text import token_estimate
+
+    here = in_scope(entries, kind, owner)
+    if pending is not None:
+        here = here.unionByName(in_scope(pending, kind, owner).select(*here.columns))
+    order = (F.col("rank").isNull(), F.col("rank"), F.desc("created_at"), F.desc("entry_id"))
+    best = here.join(hits.select("entry_id", "rank"), "entry_id", "left").orderBy(*order).limit(limit)
+    w = W.orderBy(*order)  # over `limit` rows
+    rows = best.withColumn("n", F.row_number().over(w)).withColumn("spent", F.sum(token_estimate(F.col("text"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.filter(F.col("spent") <= budget).select("entry_id", "n", "spent")
+
+
 def scopes_union(entries: DataFrame, scopes: list[tuple[str, object]], id: str = "entry_id", cap: int = 20_000) -> DataFrame:
     """Entries of all scopes, each once, at most `cap` by id: the cap is the feature."""
     out = None

@@ -26,10 +26,27 @@ def top_references(references: DataFrame, column: str = "reference", limit: int
     return references.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(limit)
 
 
-def overview(files: DataFrame, references: DataFrame, path: str = "path") -> dict[str, DataFrame]:
+def overview(files: DataFrame, references: DataFrame, path: str = "path") -> DataFrame:
+    """(part, depth, name, n): the folders with their files, the entry points, and the references that most files name."""
     from tessera.operators.classify import is_entry_point
 
-    return {"tree": directory_rollup(files, path), "entry_points": files.filter(is_entry_point(F.col(path))).select(path), "imports": top_references(references)}
+    none = F.lit(None).cast("int")
+    tree = directory_rollup(files, path).select(F.lit("tree").alias("part"), "depth", F.col("directory").alias("name"), F.col("files").alias("n"))
+    entries = files.filter(is_entry_point(F.col(path))).select(F.lit("entry_point").alias("part"), none.alias("depth"), F.col(path).alias("name"), F.lit(1).cast("bigint").alias("n"))
+    named = top_references(references).select(F.lit("reference").alias("part"), none.alias("depth"), F.col("reference").alias("name"), "n")
+    return tree.unionByName(entries).unionByName(named)
+
+
+def cached_overview(files: DataFrame, references: DataFrame, root: str, path: str = "path", content: str = "content_hash") -> DataFrame:
+    """`overview`, kept under the hash of the files' manifest: the same files are only looked at once."""
+    from tessera.sources.files import manifest_hash
+
+    spark = files.sparkSession
+    folder = f"{root}/{manifest_hash(files, path, content).first()[0]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        overview(files, references, path).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def unaccounted(candidates: DataFrame, accounted: DataFrame, key: str = "path", path: str = "path", examples: int = 10) -> DataFrame:

@@ -96,9 +96,24 @@ def m2(spark, d):
     return ledger.illegal(entries(spark, d).select(F.col("kind").alias("machine"), F.col("state").alias("from_state"), to.alias("to_state")).distinct())
 
 
-@query("sm_state_machines")
+_LEGAL = """VALUES ('task','active','resolved'), ('task','active','retracted'), ('question','active','resolved'), ('question','active','retracted'), ('hypothesis','active','confirmed'), ('hypothesis','active','rejected'), ('hypothesis','active','superseded'), ('hypothesis','confirmed','superseded'),
+ ('fact','active','superseded'), ('fact','active','retracted'), ('decision','active','superseded'), ('decision','active','retracted'), ('convention','active','superseded'), ('convention','active','retracted'), ('procedure','active','superseded'), ('procedure','active','retracted')"""
+
+
+@query("sm_state_machines", with_("mem", rest=f"legal(kind, state, to_state) AS (SELECT * FROM ({_LEGAL}) v)") + "SELECT entry_id, kind, state, to_state FROM mem JOIN legal USING (kind, state)")
 def sm(spark, d):
-    return ledger.transitions(spark)
+    """The states that each entry may come to."""
+    moves = ledger.transitions(spark).select(F.col("machine").alias("kind"), F.col("from_state").alias("state"), "to_state")
+    return entries(spark, d).join(F.broadcast(moves), ["kind", "state"]).select("entry_id", "kind", "state", "to_state")
+
+
+@query("l7_m7_conflict_sets", with_("mem", rest=f"""c AS (SELECT entry_id, text, created_at, CASE WHEN entry_id % 6 = 0 THEN created_at % 7 END AS rank FROM mem WHERE {_LIVE} AND scope_kind = 'repo' AND scope_owner = 1 UNION ALL SELECT entry_id + 1000000, 'pending', created_at, NULL FROM mem WHERE {_LIVE} AND scope_kind = 'repo' AND scope_owner = 1 AND entry_id % 9 = 0),
+o AS (SELECT *, row_number() OVER (ORDER BY rank IS NULL, rank, created_at DESC, entry_id DESC) AS n FROM c), t AS (SELECT *, sum(CAST(ceil(length(text) / 4.0) + 8 AS BIGINT)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS spent FROM o WHERE n <= 50)""") + "SELECT entry_id, CAST(n AS INTEGER) AS n, CAST(spent AS BIGINT) AS spent FROM t WHERE spent <= 12000")
+def l7(spark, d):
+    m = entries(spark, d)
+    hits = m.filter("entry_id % 6 = 0").select("entry_id", (F.col("created_at") % 7).alias("rank"))
+    pending = m.filter("entry_id % 9 = 0").withColumn("entry_id", F.col("entry_id") + 1_000_000).withColumn("text", F.lit("pending"))
+    return ledger.conflict_set(m, hits, "repo", 1, pending)
 
 
 @query("m3_audit_versions", with_("mem", rest="one AS (SELECT *, row_number() OVER (PARTITION BY 'k' || (entry_id % 97) ORDER BY created_at, conv_id) AS n FROM mem)") + "SELECT entry_id, 2 + row_number() OVER (PARTITION BY conv_id ORDER BY created_at, 'k' || (entry_id % 97)) AS version FROM one WHERE n = 1")

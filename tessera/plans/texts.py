@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import identity, text as fx
-from tessera.operators import chunk, classify, code_units, redact
+from tessera.operators import chunk, classify, code_units, redact, stats
 from tessera.plans.views import files, observations, with_
-from tessera.session import table
+from tessera.session import shared_dir, table
 from tessera.sources import events as ev, files as src
 
 Q, SQL = {}, {}
@@ -179,6 +179,18 @@ def f7b(spark, d):
     return table(spark, d, "documents").filter(redact.credential_like(F.col("text"))).select("doc_id")
 
 
+_PLANTED = """CASE doc_id % 5 WHEN 0 THEN 'AKIA' || upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 16)) WHEN 1 THEN 'ghp_' || md5(CAST(doc_id AS VARCHAR)) || 'abcd' WHEN 2 THEN 'xoxb-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 20) WHEN 3 THEN 'sk-' || md5(CAST(doc_id AS VARCHAR)) ELSE lang END"""
+
+
+@query("f7_redact_planted", f"SELECT doc_id, 'in ' || source || ' a ' || CASE WHEN doc_id % 5 < 4 THEN '[REDACTED]' ELSE lang END || chr(10) || 'and words' AS text, CAST(doc_id % 5 < 4 AS INTEGER) AS findings, doc_id % 5 < 4 AS found FROM (SELECT *, {_PLANTED} AS planted FROM documents)")
+def f7c(spark, d):
+    """A credential of each document's own among its words, in four kinds; every fifth has none."""
+    planted = F.expr(_PLANTED.replace("VARCHAR", "STRING"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("in "), "source", F.lit(" a "), planted, F.lit("\nand words")).alias("text"))
+    out = rows.select("doc_id", redact.redact("text").alias("r"), redact.credential_like(F.col("text")).alias("found"))
+    return out.select("doc_id", "r.text", "r.findings", "found")
+
+
 # ---- scalars
 
 
@@ -300,7 +312,9 @@ def r1(spark, d):
 
 @query("r1_identifier_tokens_any_script")
 def r1u(spark, d):
-    return table(spark, d, "documents").select("doc_id", fx.identifier_tokens_any(F.regexp_extract("text", r"(\S+)", 1)).alias("tokens"))
+    """Every distinct word of the whole texts, split once."""
+    words = table(spark, d, "documents").select(F.explode_outer(F.array_distinct(F.split("text", r"\s+"))).alias("word")).filter("word <> ''").distinct()
+    return words.select("word", fx.identifier_tokens_any("word").alias("tokens"))
 
 
 @query("r2_r3_field_tokens", with_("files") + "SELECT doc_id, [source, regexp_replace(source, '[0-9]', '', 'g'), regexp_extract(source, '[0-9]+'), lang, 'd' , CAST(doc_id AS VARCHAR), (['md','py','json','rs','txt'])[CAST(doc_id % 5 AS INTEGER) + 1]] AS tokens FROM files")
@@ -371,6 +385,32 @@ def c11(spark, d):
     return code_units.references(_sources(spark, d))
 
 
+def _importing(spark, d):
+    """Each document as a program that imports its source and its language, with the text in a comment."""
+    return table(spark, d, "documents").select(
+        F.concat_ws("/", "source", F.concat("lang", F.when(F.col("doc_id") % 9 == 0, "/main.py").otherwise(F.concat(F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".ts"))))).alias("path"),
+        F.concat(F.lit("import a from '"), "source", F.lit("';\nimport b from '"), "lang", F.lit("';\n/* "), F.regexp_replace("text", r"\*/", ""), F.lit("\nimport c from 'no';\n*/\n")).alias("text"),
+    ).withColumns({"dialect": F.lit("typescript"), "content_hash": F.sha2("text", 256)})
+
+
+_IMPORTED = "i AS (SELECT source AS reference FROM documents UNION ALL SELECT lang FROM documents), top AS (SELECT reference, count(*) AS n FROM i GROUP BY reference ORDER BY n DESC, reference LIMIT 20)"
+
+
+@query("a1_top_references", f"WITH {_IMPORTED} SELECT reference, n FROM top")
+def a1_references(spark, d):
+    return stats.top_references(code_units.references(_importing(spark, d)))
+
+
+@query("r18_overview", f"""WITH {_IMPORTED}, p AS (SELECT source || '/' || lang || CASE WHEN doc_id % 9 = 0 THEN '/main.py' ELSE '/d' || doc_id || '.ts' END AS path FROM documents), x AS (SELECT string_split(path, '/') AS s FROM p), e AS (SELECT unnest(range(0, least(len(s) - 1, 3) + 1)) AS depth, s FROM x)
+SELECT 'tree' AS part, CAST(depth AS INTEGER) AS depth, array_to_string(s[1:depth], '/') AS name, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT 'entry_point', NULL, path, 1 FROM p WHERE path LIKE '%/main.py' UNION ALL SELECT 'reference', NULL, reference, n FROM top""")
+def r18_overview(spark, d):
+    """The overview of all programs, asked for twice: the second time it is read."""
+    programs, root = _importing(spark, d), shared_dir(spark, "overview")
+    for _ in range(2):
+        out = stats.cached_overview(programs, code_units.references(programs), root)
+    return out
+
+
 @query("c9_c10_locator", "SELECT doc_id, 'kind=fn;name=' || source || ';' AS locator, source AS parsed FROM documents")
 def c9(spark, d):
     loc = chunk.locator(F.create_map(F.lit("name"), F.col("source"), F.lit("kind"), F.lit("fn")))

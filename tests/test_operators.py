@@ -556,3 +556,24 @@ def test_evict_rows_of_one_time(spark):
         freed += size
     assert {r.key for r in retention.evict(cache, 1234, pins).collect()} == gone
     assert retention.evict(cache, 5000).count() == 0 and retention.evict(cache.limit(0), 0).count() == 0
+
+
+def test_overviews_are_kept_by_manifest(spark, tmp_path):
+    from tessera.operators import stats
+
+    files_ = spark.createDataFrame([("a/b/main.py", "1"), ("a/c.ts", "2"), ("bin/x", "3")], "path string, content_hash string")
+    refs = spark.createDataFrame([("m",), ("m",), ("n",)], "reference string")
+    look = lambda f, r: sorted(map(tuple, stats.cached_overview(f, r, str(tmp_path)).collect()), key=repr)
+    first = look(files_, refs)
+    assert ("entry_point", None, "bin/x", 1) in first and ("reference", None, "m", 2) in first and ("tree", 1, "a", 2) in first and ("tree", 0, "", 3) in first
+    assert look(files_, refs.limit(0)) == first, "the same files are not looked at again"
+    assert look(files_.filter("path <> 'bin/x'"), refs.limit(0)) != first
+
+
+def test_words_of_any_script_are_split_whole(spark):
+    from tessera.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = {r.word: r.tokens for r in catalog.QUERIES["r1_identifier_tokens_any_script"](spark, d).collect()}
+    words = {w for r in spark.read.parquet(f"{d}/documents.parquet").collect() for w in re.split(r"[ \t\n\x0b\f\r]+", r.text or "") if w}
+    assert set(got) == words and all(got[w] == fx.split_identifier(w) for w in words)
