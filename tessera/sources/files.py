@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.identity import content_hash
 from tessera.functions.text import canonical_path, newline_style
@@ -13,14 +18,77 @@ from tessera.operators.classify import MAX_BYTES, ignored
 PRUNED = (".git",)
 
 
-def _listing(spark: SparkSession, root: str, pattern: str = "*", paths: list[str] | None = None) -> DataFrame:
-    """(path below the root, size, mtime, content) of all files or of those named; columns that aren't selected are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths or root)
-    # Spark gives whole locations; what comes after the root's own is the path.
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
-    below = F.substring("path", F.lit(len(top) + 2), F.length("path"))
-    return files.select(canonical_path(below).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content")
+def _qualified(spark: SparkSession, root: str):
+    """The root's file system and its whole location."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(path).toString().rstrip("/")
+
+
+def _below(location, top: str):
+    """The part of a location after the root's own."""
+    return F.substring(location, F.lit(len(top) + 2), F.length(location))
+
+
+@F.pandas_udf(T.BinaryType())
+def content_of(locations: pd.Series) -> pd.Series:
+    """The bytes of files that Spark's readers pass over."""
+
+    def read(location: str) -> bytes:
+        if location.startswith("file:"):
+            system, path = fs.LocalFileSystem(), "/" + location[5:].lstrip("/")
+        else:
+            system, path = fs.FileSystem.from_uri(quote(location, safe=":/@"))
+        with system.open_input_stream(path) as stream:
+            return stream.read()
+
+    return locations.map(read)
+
+
+def hidden(spark: SparkSession, root: str, prune: tuple[str, ...] = PRUNED) -> tuple[list[str], list[tuple[str, int, int]], list[str]]:
+    """(folders, files, nested): what Spark's readers pass over below a root, names that begin with a dot or an underscore: folders, and files with size and time; and the folders
+    that are roots of working trees of their own, as they hold `.git`. All are few, and looked for level by level; folders in `prune` are not entered."""
+    system, top = _qualified(spark, root)
+    visible = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top).select(_below(F.col("path"), top).alias("path"))
+    depth = visible.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+    folders, files, nested, below = set(), set(), set(), [top]
+    while below:
+        further = []
+        for folder in below:
+            for level in range(depth + 1):
+                pattern = "/".join([folder, *["*"] * level, "{.*,_*}"])
+                for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)) or []:
+                    at = status.getPath().toString()
+                    parts, name = at[len(folder) + 1 :].split("/"), status.getPath().getName()
+                    if name == ".git" and at != f"{top}/.git":
+                        nested.add(status.getPath().getParent().toString()[len(top) + 1 :])
+                    if any(p[0] in "._" for p in parts[:-1]) or name in prune or status.isSymlink():
+                        continue
+                    if not status.isDirectory():
+                        files.add((at, status.getLen(), status.getModificationTime()))
+                    elif at not in folders:
+                        folders.add(at)
+                        further.append(at)
+        below = further
+    return sorted(folders), sorted(files), sorted(nested)
+
+
+def _listing(spark: SparkSession, root: str, pattern: str = "*", paths: list[tuple[str, int, int]] | None = None, prune: tuple[str, ...] = PRUNED) -> DataFrame:
+    """(path below the root, size, mtime, content) of all files, hidden ones included, or of those named (location, size, mtime); columns that aren't selected are not read. Working trees within
+    the tree are left out."""
+    _, top = _qualified(spark, root)
+    folders, single, nested = hidden(spark, root, prune) if paths is None else ([], [], [])
+    if paths is not None:
+        single = [p for p in paths if p[0].rsplit("/", 1)[-1][0] in "._"]
+        paths = [p[0] for p in paths if p not in single]
+    rows = spark.createDataFrame(single, "path string, size long, mtime long").select("path", "size", "mtime", content_of("path").alias("content"))
+    if paths is None or paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths or [top, *folders])
+        rows = files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content").unionByName(rows)
+    rows = rows.withColumn("_at", _below(F.col("path"), top)).drop("path")
+    for folder in nested:
+        rows = rows.filter(~F.col("_at").startswith(f"{folder}/"))
+    return rows.select(canonical_path(F.col("_at")).alias("path"), "size", "mtime", "content")
 
 
 def _kept(rows: DataFrame, prune: tuple[str, ...], rules: list | None) -> DataFrame:
@@ -32,21 +100,19 @@ def _kept(rows: DataFrame, prune: tuple[str, ...], rules: list | None) -> DataFr
 def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[tuple[str, list[str]]]:
     """(folder, lines) of the ignore files of a tree; lines of later `names` come last and so decide.
 
-    They are configuration, a few lines each, and Spark's readers pass over names with a leading dot, so the driver looks for them in
-    each depth that has files.
+    They are configuration, a few lines each, so the driver reads them, in each depth that has files. The tree's own `.git/info/exclude` comes before all.
     """
     depth = _listing(spark, root).agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs, found = path.getFileSystem(spark._jsc.hadoopConfiguration()), {}
-    top = fs.makeQualified(path).toString().rstrip("/")
-    for name in names:
-        for level in range(depth):
-            for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path("/".join([top, *["*"] * level, name]))) or []:
-                stream = fs.open(status.getPath())
-                text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                folder = status.getPath().getParent().toString().removeprefix(top).strip("/")
-                found.setdefault(folder, []).extend(text.split("\n"))
+    system, top = _qualified(spark, root)
+    found: dict[str, list[str]] = {}
+    places = [(".git/info/exclude", "")] + [("/".join([*["*"] * level, name]), None) for name in names for level in range(depth)]
+    for place, folder in places:
+        for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{place}")) or []:
+            stream = system.open(status.getPath())
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            own = status.getPath().getParent().toString().removeprefix(top).strip("/") if folder is None else folder
+            found.setdefault(own, []).extend(text.split("\n"))
     return sorted(found.items())
 
 
@@ -71,7 +137,8 @@ def rescan(spark: SparkSession, root: str, before: DataFrame, strict: bool = Fal
     fresh = listed.join(known, same, "left_anti").persist()
     large = fresh.filter(F.col("size") > max_bytes).withColumn("content_hash", F.lit(None).cast("string"))
     # The driver lists every file of a scan anyway; what has changed is opened by name.
-    names = [f"{root.rstrip('/')}/{r['path']}" for r in fresh.filter(F.col("size") <= max_bytes).select("path").toLocalIterator()]
+    _, top = _qualified(spark, root)
+    names = [(f"{top}/{r['path']}", r["size"], r["mtime"]) for r in fresh.filter(F.col("size") <= max_bytes).select("path", "size", "mtime").toLocalIterator()]
     out = known.unionByName(large.withColumn("reused", F.lit(False)))
     if names:
         opened = _listing(spark, root, paths=names).select(*same, content_hash(F.col("content")).alias("content_hash"))

@@ -577,3 +577,22 @@ def test_words_of_any_script_are_split_whole(spark):
     got = {r.word: r.tokens for r in catalog.QUERIES["r1_identifier_tokens_any_script"](spark, d).collect()}
     words = {w for r in spark.read.parquet(f"{d}/documents.parquet").collect() for w in re.split(r"[ \t\n\x0b\f\r]+", r.text or "") if w}
     assert set(got) == words and all(got[w] == fx.split_identifier(w) for w in words)
+
+
+def test_scans_see_hidden_files_and_leave_other_trees_out(spark, tmp_path):
+    root = tmp_path / "tree"
+    seen = [".env", "a/.hidden", "a/_under/x.py", ".github/workflows/ci.yml", ".github/.deep/y", "b/c/d.py", "_build/z", "kept.log"]
+    unseen = [".git/config", "a/sub/.git/HEAD", "a/sub/x.py", "a/sub/deep/y.py", "linked/.git", "linked/z.py", "no.tmp", "a/no.log"]
+    for name in seen + unseen:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / ".git/info").mkdir()
+    (root / ".git/info/exclude").write_text("*.tmp\n*.log\n")
+    (root / ".gitignore").write_text("!kept.log\n")
+    rules = files.ignore_rules(spark, str(root))
+    assert [r.path for r in files.scan_paths(spark, str(root), rules=rules).collect()] == sorted([*seen, ".gitignore"])
+    assert {r.path for r in files.scan_paths(spark, str(root)).collect()} == {*seen, ".gitignore", "no.tmp", "a/no.log"}
+    before = files.scan(spark, str(root))
+    before = spark.createDataFrame([tuple(r) for r in before.collect()], before.schema)
+    (root / ".env").write_text("changed")
+    assert [r.path for r in files.rescan(spark, str(root), before).filter("not reused").collect()] == [".env"]
