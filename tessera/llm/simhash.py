@@ -313,10 +313,10 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
     return filled.groupBy("bucket").applyInPandas(search, "a1 long, a2 long, b1 long, b2 long")
 
 
-def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 30, fixed: int = 3, blocks: int = 10, leave: DataFrame | None = None) -> DataFrame:
+def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 30, fixed: int = 3, blocks: int = 10, only: DataFrame | None = None) -> DataFrame:
     """Per row: id and component, the smallest id that links between texts sharing at least `least` of their shingles reach from it.
 
-    Rows with the ids in `leave` (one column, named as `id`) take no part and are not returned; they go as sketches, so no text is shuffled for it."""
+    `only` (one column, named as `id`): rows with other ids, or none, take no part and are not returned; they go as sketches, so no text is shuffled for it."""
     bounded_batches(docs.sparkSession)
     kind = "struct<set:bigint,f1:bigint,f2:bigint>"
 
@@ -331,8 +331,8 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
 
     whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = written(docs.select(F.col(id).alias("id"), whole.alias("whole"), sketched(F.col(text)).alias("s")).select("id", "whole", "s.*"), "sketches")
-    if leave is not None:
-        rows = rows.join(leave.select(F.col(id).alias("id")), "id", "left_anti")
+    if only is not None:
+        rows = rows.join(only.select(F.col(id).alias("id")), "id", "left_semi")
     nodes = rows.groupBy("set").agg(F.min("id").alias("least"), F.min("whole").alias("whole"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
     first = nodes.groupBy("f1", "f2").agg(F.min("set").alias("first"))
     ends = [first.select(F.col("f1").alias(f"{e}1"), F.col("f2").alias(f"{e}2"), F.col("first").alias(e)) for e in "ab"]
