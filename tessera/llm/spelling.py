@@ -11,7 +11,7 @@ Short prefixes, which many words share, are broadcast: there are at most `len(AL
 splitting. Neither words nor pairs go through the driver or one task.
 
 Null and empty texts and texts without a word have no words, a null id counts as an empty one. Very long texts take time in proportion to their
-length; a run of letters is one word, however long. Rows that repeat, with the same id or not, count as often as they come. Ties are broken by code points. An
+length; a run of letters is one word, however long, and a word that occurs twice has a node for each of its letters, so its prefixes take the square of its length. Rows that repeat, with the same id or not, count as often as they come. Ties are broken by code points. An
 empty table gives an empty result. Only id and text are read.
 """
 
