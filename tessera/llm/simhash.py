@@ -8,11 +8,13 @@ Manhattan bound goes first, then the exact count of differing bits. Only a spann
 breadth-first search compares each fingerprint with those not yet reached. Equal fingerprints are one node, however many texts
 share them.
 
-`similar` asks for a share of common shingles instead. Texts that share 0.8 of their shingles differ in about ten bits of 64, so one
-bound on one fingerprint is either too narrow or links what isn't alike. It takes two independent fingerprints, files each in its own
-grid, and compares all 128 bits of what meets; each bucket sends the shortest edges that connect its candidates, several
-forests deep and never all pairs, and an edge counts only if the sets of shingles themselves, 64 bits each, are as similar as asked.
-Large groups of near copies are connected first, through a few grids; the others then only look for edges between groups.
+`similar` asks for a share of common shingles instead, and finds every link. Two independent fingerprints, each filed in a few grids of
+its own, connect the dense groups first: 128 bits of what meets are compared, and each bucket sends the shortest edges that connect its
+candidates. What fingerprints miss comes from the shingles themselves: two sets that share `least` of their shingles share one of the first
+`n - least * n + 1` of either in any order of shingles that all sets keep, so sets are filed under these keys. Each is first held against
+one set of each of its keys, chosen by hash; then all pairs of a key that no links connect yet are held against each other. Before that
+counts, their sizes and the parities of their shingles over 512 places, which bound the number of shingles they don't share from below,
+must allow it. In all cases an edge counts only if the sets of shingles, 64 bits each, are as similar as asked.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. A null id never names a component unless all
 its ids are null. Rows that repeat stay. Empty tables give empty results. Only the id and the text are read.
@@ -20,12 +22,13 @@ its ids are null. Rows that repeat stay. Empty tables give empty results. Only t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, dropped, written
@@ -36,8 +39,12 @@ SHINGLE, BITS, BLOCKS, SEED = 4, 4, 8, 42
 SMALL = 128
 #: Entries that a task gathers before it sends them, and that a bucket gets.
 HELD, DEALT = 2_000_000, 500_000
-#: Edge-disjoint forests that a bucket sends: a longer way round where an edge turns out to be too little alike.
-FORESTS = 2
+#: The same where a forest is taken of what meets: an entry is in up to `SMALL` pairs.
+CLOSE_HELD, CLOSE_DEALT = 500_000, 125_000
+#: 64-bit words of the parities of a set of shingles.
+PARITIES = 8
+#: The order of shingles puts what is frequent last, so that few sets share a key. One text in `ORDERED_BY` says what is; any order finds the same links.
+ORDERED_BY, OFTEN, ORDERED = 16, 4, 50_000
 ODD = np.uint64(0x5555555555555555)
 
 
@@ -68,16 +75,30 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(shingles(text, shingle))
 
 
-def sketch(text: str | None, shingle: int) -> tuple[int, int, int]:
+def sketch(h: np.ndarray) -> tuple[int, int, int]:
     """A hash of the set of shingles, and two independent fingerprints of it."""
     import xxhash
 
-    h = np.unique(shingles(text, shingle))
     other = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     other = (other ^ (other >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return xxhash.xxh64_intdigest(h.tobytes(), SEED), majority(h), majority(other ^ (other >> np.uint64(31)))
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 64 * `PARITIES` places. Two sets differ in at least as many shingles as places."""
+    odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def prefix(h: np.ndarray, least: float, often: np.ndarray) -> np.ndarray:
+    """The shingles of which a set that shares `least` has one, if it keeps the same order: `often` (sorted) last, else by value."""
+    if not len(h):
+        return h
+    late = np.isin(h, often, assume_unique=True) if len(often) else np.zeros(len(h), dtype=bool)
+    due = max(1, int(np.ceil(least * len(h) - 1e-6)))
+    return np.concatenate([h[~late], h[late]])[: len(h) - due + 1]
+
+
 def segment_counts(prints: np.ndarray) -> np.ndarray:
     """The bit counts of the 32 two-bit segments, two bits each, in one word."""
     return (prints & ODD) + ((prints >> np.uint64(1)) & ODD)
@@ -117,9 +138,9 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _buckets(prints: DataFrame, cells: int) -> int:
-    """As many that a bucket gets about `DEALT` entries, however many fingerprints there are, and no fewer than the session's partitions."""
-    return max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * cells // DEALT))
+def _buckets(prints: DataFrame, cells: int, dealt: int = DEALT) -> int:
+    """As many that a bucket gets about `dealt` entries, however many fingerprints there are, and no fewer than the session's partitions."""
+    return max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * cells // dealt))
 
 
 def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, buckets: int | None = None) -> DataFrame:
@@ -219,18 +240,17 @@ def _spanning(fp: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int = FORESTS, grids: list[int] | None = None) -> DataFrame:
-    """(a1, a2, b1, b2): short edges between distinct pairs of fingerprints (columns f1, f2) that differ in at most `bits` of 128 bits.
+def close(prints: DataFrame, bits: int, fixed: int, blocks: int, grids: list[int]) -> DataFrame:
+    """(a1, a2, b1, b2): a forest of short edges between distinct pairs of fingerprints (columns f1, f2) that differ in at most `bits` of 128 bits.
 
     What shares the bit counts of `fixed` of the `blocks` groups of either fingerprint meets in a cell; `grids`: the numbers of the
-    combinations to use, all if there are none. Fingerprints with the same `part` (0: none) are connected already: no edge
-    is sent within a part, and a forest connects parts.
+    combinations to use.
     """
     width = 64 // blocks // 2 * 2
     masks = np.array([sum(((1 << width) - 1) << (width * g) for g in groups) for groups in combinations(range(blocks), fixed)], dtype=np.uint64)
-    used = range(2 * len(masks)) if grids is None else [side * len(masks) + g for side in (0, 1) for g in grids]
-    prints = prints.groupBy("f1", "f2").agg(F.max("part").alias("part"))
-    buckets = _buckets(prints, len(used))
+    used = [side * len(masks) + g for side in (0, 1) for g in grids]
+    prints = prints.select("f1", "f2").distinct()
+    buckets = _buckets(prints, len(used), CLOSE_DEALT)
 
     def keys(fp: np.ndarray, grid: np.ndarray) -> np.ndarray:
         side = grid >= len(masks)
@@ -251,9 +271,9 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for batch in batches:
-            held.append(batch[["f1", "f2", "part"]].to_numpy(np.int64).view(np.uint64))
+            held.append(batch[["f1", "f2"]].to_numpy(np.int64).view(np.uint64))
             n += len(batch)
-            if n * len(used) >= HELD:
+            if n * len(used) >= CLOSE_HELD:
                 yield filed(held)
                 held, n = [], 0
         if n:
@@ -262,7 +282,7 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
     def owner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The bucket of the first cell that both ends share, which alone takes the pair: every pair has one, so forests over each
         bucket's own pairs connect what all pairs would."""
-        apart = segment_counts(a[:, :2]) ^ segment_counts(b[:, :2])
+        apart = segment_counts(a) ^ segment_counts(b)
         first = np.full(len(a), -1, dtype=np.int64)
         for g in used:
             first[(first < 0) & (apart[:, g // len(masks)] & masks[g % len(masks)] == 0)] = g
@@ -270,7 +290,7 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.concatenate([np.frombuffer(g, dtype=np.uint16) for g in pdf["grid"]]).astype(np.int64)
-        fp = np.concatenate([np.frombuffer(d, dtype=np.uint64).reshape(-1, 3) for d in pdf["data"]])
+        fp = np.concatenate([np.frombuffer(d, dtype=np.uint64).reshape(-1, 2) for d in pdf["data"]])
         key = keys(fp, grid)
         order = np.lexsort((fp[:, 1], fp[:, 0], key))
         key, fp = key[order], np.ascontiguousarray(fp[order])
@@ -278,61 +298,85 @@ def close(prints: DataFrame, bits: int, fixed: int, blocks: int, forests: int =
         sizes = np.diff(starts)
         found = [np.array([(d, a + i, a + j) for d, i, j in _spanning(fp[a:b], bits)], dtype=np.int64).reshape(-1, 3) for a, b in zip(starts[:-1][sizes > SMALL], starts[1:][sizes > SMALL])]
         # Small cells are compared all at once, each fingerprint with the one `by` places on.
-        end, at, (one, two, part) = np.repeat(np.where(sizes > SMALL, 0, starts[1:]), sizes), np.arange(len(fp)), np.ascontiguousarray(fp.T)
+        end, at, (one, two) = np.repeat(np.where(sizes > SMALL, 0, starts[1:]), sizes), np.arange(len(fp)), np.ascontiguousarray(fp.T)
         for by in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
             at = at[at + by < end[at]]
             d = np.bitwise_count(one[at] ^ one[at + by]) + np.bitwise_count(two[at] ^ two[at + by])
-            near = (d <= bits) & ((part[at] != part[at + by]) | (part[at] == 0))
+            near = d <= bits
             found.append(np.stack([d[near].astype(np.int64), at[near], at[near] + by], axis=1))
         pairs = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found])
         nodes, where = np.unique(fp[pairs[:, 1:].ravel()], axis=0, return_inverse=True)
         pairs = np.unique(np.column_stack([pairs[:, 0], np.sort(where.reshape(-1, 2), axis=1)]), axis=0)
-        # What is connected already counts as one node, named after the first of it.
-        _, named, home = np.unique(np.where(nodes[:, 2] > 0, nodes[:, 2], np.arange(len(nodes), dtype=np.uint64) + (np.uint64(1) << np.uint64(63))), return_index=True, return_inverse=True)
-        home = named[home]
-        pairs = pairs[home[pairs[:, 1]] != home[pairs[:, 2]]]
-        out, rest = [], pairs[owner(nodes[pairs[:, 1]], nodes[pairs[:, 2]]) == int(pdf["bucket"].iloc[0])].tolist()  # shortest first
-        for _ in range(forests):
-            root, later = home.tolist(), []
-            for edge in rest:
-                x, y = edge[1:]
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                while root[y] != y:
-                    root[y] = y = root[root[y]]
-                if x == y:
-                    later.append(edge)
-                else:
-                    root[max(x, y)] = min(x, y)
-                    out.append(edge)
-            rest = later
+        root, out = list(range(len(nodes))), []
+        for edge in pairs[owner(nodes[pairs[:, 1]], nodes[pairs[:, 2]]) == int(pdf["bucket"].iloc[0])].tolist():  # shortest first
+            x, y = edge[1:]
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append(edge)
         ends = np.array(out, dtype=np.int64).reshape(-1, 3)
-        return pd.DataFrame(np.concatenate([nodes[ends[:, 1], :2], nodes[ends[:, 2], :2]], axis=1).view(np.int64), columns=["a1", "a2", "b1", "b2"])
+        return pd.DataFrame(np.concatenate([nodes[ends[:, 1]], nodes[ends[:, 2]]], axis=1).view(np.int64), columns=["a1", "a2", "b1", "b2"])
 
     filled = prints.mapInPandas(cells, "bucket int, grid binary, data binary").repartition(buckets, "bucket")
     return filled.groupBy("bucket").applyInPandas(search, "a1 long, a2 long, b1 long, b2 long")
 
 
+def _often(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Shingles that many texts have, the more frequent the later, at most `ORDERED` of them: they are only put last in an order."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [np.zeros(0, dtype=np.uint64)], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held += [np.unique(shingles(t, shingle)) for t in batch["text"]]
+                n += sum(map(len, held[-len(batch) :])) if len(batch) else 0
+            if n >= HELD or batch is None:
+                found, times = np.unique(np.concatenate(held), return_counts=True)
+                yield pd.DataFrame({"h": found[times > 1].view(np.int64), "n": times[times > 1]})
+                held, n = [np.zeros(0, dtype=np.uint64)], 0
+
+    some = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(ORDERED_BY)) == 0)
+    counts = some.mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(ORDERED).collect()], dtype=np.int64).view(np.uint64))
+
+
+def _allowed(least: float) -> Column:
+    """Whether the sizes and parities of two sets (structs x and y) leave room for the share that is asked for."""
+    apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITIES)), F.lit(0))
+    x, y = F.col("x.n"), F.col("y.n")
+    return (F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-6) & (apart <= F.lit((1 - least) / (1 + least)) * (x + y) + 1e-6)
+
+
 def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 30, fixed: int = 3, blocks: int = 10, only: DataFrame | None = None) -> DataFrame:
     """Per row: id and component, the smallest id that links between texts sharing at least `least` of their shingles reach from it.
 
     `only` (one column, named as `id`): rows with other ids, or none, take no part and are not returned; they go as sketches, so no text is shuffled for it."""
     bounded_batches(docs.sparkSession)
-    kind = "struct<set:bigint,f1:bigint,f2:bigint>"
+    often = _often(docs, text, shingle)
+    numbers = ["set", "f1", "f2", "n", *(f"p{k}" for k in range(PARITIES))]
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(f"struct<{','.join(f'{c}:bigint' for c in numbers)},keys:array<bigint>>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
-        found = np.array([sketch(t, shingle) for t in texts], dtype=np.uint64).reshape(-1, 3)
-        return pd.DataFrame(found.view(np.int64), columns=["set", "f1", "f2"])
+        found, keys = np.zeros((len(texts), len(numbers)), dtype=np.uint64), []
+        for k, t in enumerate(texts):
+            h = np.unique(shingles(t, shingle))
+            found[k, :3], found[k, 3], found[k, 4:] = sketch(h), len(h), parities(h)
+            keys.append(prefix(h, least, often).view(np.int64))
+        return pd.DataFrame(found.view(np.int64), columns=numbers).assign(keys=pd.Series(keys, dtype=object))
 
     @F.pandas_udf("array<bigint>")
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingles(t, shingle)).view(np.int64) for t in texts])
 
     whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = written(docs.select(F.col(id).alias("id"), whole.alias("whole"), sketched(F.col(text)).alias("s")).select("id", "whole", "s.*"), "sketches")
+    sketches = written(docs.select(F.col(id).alias("id"), whole.alias("whole"), sketched(F.col(text)).alias("s")).select("id", "whole", "s.*"), "sketches")
+    rows = sketches.select("id", "whole", "set", "f1", "f2")
     if only is not None:
         rows = rows.join(only.select(F.col(id).alias("id")), "id", "left_semi")
+    rows = written(rows, "rows")
     nodes = rows.groupBy("set").agg(F.min("id").alias("least"), F.min("whole").alias("whole"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
     first = nodes.groupBy("f1", "f2").agg(F.min("set").alias("first"))
     ends = [first.select(F.col("f1").alias(f"{e}1"), F.col("f2").alias(f"{e}2"), F.col("first").alias(e)) for e in "ab"]
@@ -350,20 +394,38 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
         dropped(sets)
         return out
 
-    def candidates(prints: DataFrame, **how) -> DataFrame:
-        return close(prints, bits, fixed, blocks, **how).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
+    def pairs(edges: DataFrame) -> DataFrame:
+        return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # One row of each set: its keys that another set has too, and of the sets of a key the one that all are held against first.
+    one = nodes.select(F.col("set").alias("of"), "least")
+    alone = sketches.join(one, (F.col("set") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
+    key = Window.partitionBy("key")
+    filed = alone.select("set", F.explode("keys").alias("key"))
+    filed = filed.select("key", "set", F.min("set").over(key).alias("lo"), F.max("set").over(key).alias("hi"), F.min(F.struct(F.xxhash64("set", "key"), "set")).over(key)["set"].alias("hub"))
+    shared = written(filed.filter("lo <> hi").select("key", "set", "hub"), "shared")
+    marks = sketches.select("set", F.struct(*numbers[3:]).alias("x")).join(shared.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
+    marks = written(marks, "marks")
+    x, y = marks.select(F.col("set").alias("a"), "x"), marks.select(F.col("set").alias("b"), F.col("x").alias("y"))
+    stars = pairs(shared.select(F.col("set").alias("a"), F.col("hub").alias("b"))).join(x, "a").join(y, "b").filter(_allowed(least)).select("a", "b")
 
     # Different sets with the same fingerprints are held against the first of them.
     equal = nodes.join(first, ["f1", "f2"]).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
-    # A few grids connect the dense groups first; all grids then only look between groups.
-    apart = [n for n, groups in enumerate(combinations(range(blocks), fixed)) if groups[0] % fixed == 0 and groups[-1] == groups[0] + fixed - 1]
-    dense = linked(candidates(first.select("f1", "f2", F.lit(0).cast("long").alias("part")), forests=1, grids=apart).unionByName(equal))
+    grids = [n for n, groups in enumerate(combinations(range(blocks), fixed)) if groups[0] % fixed == 0 and groups[-1] == groups[0] + fixed - 1]
+    met = close(first.select("f1", "f2"), bits, fixed, blocks, grids).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
+    dense = linked(pairs(met.unionByName(equal).unionByName(stars)))
+    dropped(sketches)
     roots = components(dense)
-    parts = roots.select("a", F.col("b").alias("part")).unionByName(roots.select(F.col("b").alias("a"), F.col("b").alias("part")).distinct())
-    marked = written(first.join(parts, F.col("first") == F.col("a"), "left").select("f1", "f2", F.coalesce("part", F.lit(0)).alias("part")), "parts")
-    wide = linked(candidates(marked))
-    dropped(marked)
-    dropped(roots)
+
+    # What is left are pairs of a key that no links connect.
+    rooted = shared.select("key", "set").distinct().join(roots.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = rooted.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).filter("lo <> hi").select("key", "set", "root").join(marks, "set")
+    rooted = written(rooted, "rooted")
+    left, right = rooted.select("key", F.col("set").alias("a"), F.col("root").alias("ra"), "x"), rooted.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("x").alias("y"))
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _allowed(least)).select("a", "b").distinct()
+    wide = linked(rest)
+    for table in (shared, marks, rooted, roots):
+        dropped(table)
     roots = components(dense.unionByName(wide))
     named = nodes.join(roots.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -740,6 +740,30 @@ def test_similar_links_by_shared_shingles(spark):
     assert sorted((str(x.doc_id), x.component) for x in simhash.similar(table(spark, same_sets)).collect()) == [("1", 1), ("1", 1), ("3", 3), ("5", 5), ("None", 1), ("None", 5)]
 
 
+def test_similar_misses_no_link(spark, monkeypatch):
+    """Short and long texts just above the share, chains, a group around one text, a line that all have; with and without an order by frequency."""
+    r = random.Random(11)
+    line = [f"c{k}" for k in range(9)]
+    rows = []
+    for n in range(300):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice((14, 25, 40, 80, 300)))]
+        rows += [line + words, line + altered(r, words, 0.8)]
+    base = [f"b{k}" for k in range(120)]
+    for n in range(60):
+        rows.append(altered(r, base, r.choice((0.78, 0.8, 0.85))))
+    chain = [f"k{k}" for k in range(100)]
+    for n in range(12):
+        rows.append(chain)
+        chain = altered(r, chain, 0.8)
+    rows += [["a"], ["a", "b"], ["b", "a"], [], ["x"] * 30, ["x"] * 40]
+    rows = {i: " ".join(w) for i, w in enumerate(rows)}
+    want = near_brute(rows, 5, 0.8)
+    for by in (simhash.ORDERED_BY, 1):
+        monkeypatch.setattr(simhash, "ORDERED_BY", by)
+        found = simhash.similar(table(spark, list(rows.items())), least=0.8).collect()
+        assert len(found) == len(rows) and {x.component for x in found} == want
+
+
 # ---- exact n-gram ratios
 
 
