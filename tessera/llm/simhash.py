@@ -14,7 +14,7 @@ candidates. What fingerprints miss comes from the shingles themselves: two sets
 `n - least * n + 1` of either in any order of shingles that all sets keep, so sets are filed under these keys. Each is first held against
 one set of each of its keys, chosen by hash; then all pairs of a key that no links connect yet are held against each other. Before that
 counts, their sizes and the parities of their shingles over 512 places, which bound the number of shingles they don't share from below,
-must allow it. In all cases an edge counts only if the sets of shingles, 64 bits each, are as similar as asked.
+(4096 for long sets) must allow it. In all cases an edge counts only if the sets of shingles, 64 bits each, are as similar as asked.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. A null id never names a component unless all
 its ids are null. Rows that repeat stay. Empty tables give empty results. Only the id and the text are read.
@@ -43,6 +43,8 @@ HELD, DEALT = 2_000_000, 500_000
 CLOSE_HELD, CLOSE_DEALT = 500_000, 125_000
 #: 64-bit words of the parities of a set of shingles.
 PARITIES = 8
+#: Sets of more shingles than this fill those places; pairs of them are also held against each other by so many words.
+LONG, LONG_PARITIES = 600, 64
 #: The order of shingles puts what is frequent last, so that few sets share a key. One text in `ORDERED_BY` says what is; any order finds the same links.
 ORDERED_BY, OFTEN, ORDERED = 16, 4, 50_000
 ODD = np.uint64(0x5555555555555555)
@@ -84,9 +86,9 @@ def sketch(h: np.ndarray) -> tuple[int, int, int]:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED), majority(h), majority(other ^ (other >> np.uint64(31)))
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls on each of 64 * `PARITIES` places. Two sets differ in at least as many shingles as places."""
-    odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+def parities(h: np.ndarray, words: int = PARITIES) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 64 * `words` places. Two sets differ in at least as many shingles as places."""
+    odd = np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
@@ -358,14 +360,15 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     often = _often(docs, text, shingle)
     numbers = ["set", "f1", "f2", "n", *(f"p{k}" for k in range(PARITIES))]
 
-    @F.pandas_udf(f"struct<{','.join(f'{c}:bigint' for c in numbers)},keys:array<bigint>>")
+    @F.pandas_udf(f"struct<{','.join(f'{c}:bigint' for c in numbers)},keys:array<bigint>,long:array<bigint>>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
-        found, keys = np.zeros((len(texts), len(numbers)), dtype=np.uint64), []
+        found, keys, long = np.zeros((len(texts), len(numbers)), dtype=np.uint64), [], []
         for k, t in enumerate(texts):
             h = np.unique(shingles(t, shingle))
             found[k, :3], found[k, 3], found[k, 4:] = sketch(h), len(h), parities(h)
             keys.append(prefix(h, least, often).view(np.int64))
-        return pd.DataFrame(found.view(np.int64), columns=numbers).assign(keys=pd.Series(keys, dtype=object))
+            long.append(parities(h, LONG_PARITIES).view(np.int64) if len(h) > LONG else None)
+        return pd.DataFrame(found.view(np.int64), columns=numbers).assign(keys=pd.Series(keys, dtype=object), long=pd.Series(long, dtype=object))
 
     @F.pandas_udf("array<bigint>")
     def shingled(texts: pd.Series) -> pd.Series:
@@ -381,9 +384,14 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     first = nodes.groupBy("f1", "f2").agg(F.min("set").alias("first"))
     ends = [first.select(F.col("f1").alias(f"{e}1"), F.col("f2").alias(f"{e}2"), F.col("first").alias(e)) for e in "ab"]
 
+    longs = written(sketches.filter("long is not null").select("set", "n", "long").dropDuplicates(["set"]), "longs")
+    long_ends = [longs.select(F.col("set").alias(e), F.col("n").alias(f"n{e}"), F.col("long").alias(f"l{e}")) for e in "ab"]
+    apart = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+
     def linked(edges: DataFrame) -> DataFrame:
         """The (a, b) edges between sets of shingles that are as similar as asked."""
-        edges = written(edges, "candidates")
+        edges = edges.join(long_ends[0], "a", "left").join(long_ends[1], "b", "left")
+        edges = written(edges.filter(F.coalesce(apart <= F.lit((1 - least) / (1 + least)) * (F.col("na") + F.col("nb")) + 1e-6, F.lit(True))).select("a", "b"), "candidates")
         wanted = edges.select(F.col("a").alias("set")).union(edges.select("b")).distinct().join(nodes.select("set", "whole"), "set")
         texts = docs.select(whole.alias("whole"), F.col(text).alias("text")).join(wanted, "whole").groupBy("set").agg(F.first("text").alias("text"))
         sets = written(texts.select("set", shingled("text").alias("shingles")), "sets")
@@ -424,7 +432,7 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     left, right = rooted.select("key", F.col("set").alias("a"), F.col("root").alias("ra"), "x"), rooted.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("x").alias("y"))
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _allowed(least)).select("a", "b").distinct()
     wide = linked(rest)
-    for table in (shared, marks, rooted, roots):
+    for table in (shared, marks, rooted, roots, longs):
         dropped(table)
     roots = components(dense.unionByName(wide))
     named = nodes.join(roots.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))

@@ -755,6 +755,9 @@ def test_similar_misses_no_link(spark, monkeypatch):
     for n in range(12):
         rows.append(chain)
         chain = altered(r, chain, 0.8)
+    for n in range(6):
+        words = [f"l{r.randrange(10**6)}" for _ in range(2500)]
+        rows += [words, altered(r, words, 0.8), altered(r, words, 0.77)]
     rows += [["a"], ["a", "b"], ["b", "a"], [], ["x"] * 30, ["x"] * 40]
     rows = {i: " ".join(w) for i, w in enumerate(rows)}
     want = near_brute(rows, 5, 0.8)
