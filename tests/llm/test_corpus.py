@@ -817,3 +817,18 @@ def test_quality_holds_as_the_corpus_grows(spark):
         found = {r.quality: r.low for r in rows.groupBy("quality").agg(low.alias("low")).collect()}
         rejected, kept = [*rejected, found[0]], [*kept, 1 - found[1]]
     assert rejected[1] >= rejected[0] - 0.01 and min(rejected) > 0.9 and min(kept) > 0.95, (rejected, kept)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_quality_ratios_in_parts(spark, monkeypatch, parts):
+    """Parts hold all n-grams between them, each in one of them, and leave the ratios as they are."""
+    monkeypatch.setattr(quality, "PARTS", parts)
+    monkeypatch.setattr(quality, "FREQUENT", 20)
+    rows = [*enumerate(texts()), (3, texts()[3])]
+    docs, good = table(spark, rows), {1, 3, 9}
+    plain = docs.selectExpr("doc_id as row", "1 as good", "text")
+    found = [[x.gram for x in quality._grams(plain, part).collect()] for part in range(parts)]
+    assert sorted(g for x in found for g in x) == sorted(x.gram for x in quality._grams(plain).collect())
+    assert len(set().union(*found)) == sum(len(set(x)) for x in found)
+    got = quality.measure(docs, quality.gram_ratios(docs, docs.filter(F.col("doc_id").isin(*good)).select("doc_id"))).collect()
+    assert sorted(((x.doc_id, round(x.ratio, 6)) for x in got), key=repr) == ratios_brute(rows, good)
