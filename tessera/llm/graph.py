@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from tessera.llm.common import dropped, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over (a, b) edges: neighbours are hung on the smallest node that `a` sees."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if not large:
-        both = both.filter("b <= a")
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    hung = both.join(least, "a")
-    if large:
-        out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+def _stars(edges: DataFrame) -> DataFrame:
+    """A large star and a small one over (a, b) edges, a > b, each row once: neighbours are hung on the smallest node that a node sees.
+
+    As every edge points downwards, neither star needs it both ways round but for the first minima, and rows that repeat go at the end alone: an edge
+    makes one row in the large star and two in the small one.
+    """
+    seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = seen.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    large = edges.join(least, "b").select("a", F.col("m").alias("b"))
+    hung = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+    both = F.explode_outer(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+    return hung.select(both.alias("e")).select("e.*").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -27,16 +27,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each pair of rounds is written to the shared folder. A node's neighbours are never gathered: minima are aggregated
     before they are shuffled, and large joins are left to adaptive skew splitting. Rounds grow with the logarithm of the longest
-    path; more than `rounds` pairs of them raise, so unfinished components are never returned.
+    path, and end once all edges are stars: edges that come as stars take none. More than `rounds` pairs of them raise, so unfinished
+    components are never returned.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(rounds):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if nodes.filter("below > 1 or below = 1 and above = 1").isEmpty():
             return edges
-        before = now
-        after = written(_star(_star(edges, True), False), "edges")
+        after = written(_stars(edges), "edges")
         dropped(edges)
         edges = after
     raise RuntimeError(f"components are not finished after {rounds} rounds")

@@ -381,7 +381,8 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
         rows = rows.join(only.select(F.col(id).alias("id")), "id", "left_semi")
     rows = written(rows, "rows")
     nodes = rows.groupBy("set").agg(F.min("id").alias("least"), F.min("whole").alias("whole"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
-    first = nodes.groupBy("f1", "f2").agg(F.min("set").alias("first"))
+    nodes = written(nodes, "nodes")
+    first = written(nodes.groupBy("f1", "f2").agg(F.min("set").alias("first")), "first")
     ends = [first.select(F.col("f1").alias(f"{e}1"), F.col("f2").alias(f"{e}2"), F.col("first").alias(e)) for e in "ab"]
 
     longs = written(sketches.filter("long is not null").select("set", "n", "long").dropDuplicates(["set"]), "longs")
@@ -420,7 +421,7 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     # Different sets with the same fingerprints are held against the first of them.
     equal = nodes.join(first, ["f1", "f2"]).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
     grids = [n for n, groups in enumerate(combinations(range(blocks), fixed)) if groups[0] % fixed == 0 and groups[-1] == groups[0] + fixed - 1]
-    met = close(first.select("f1", "f2"), bits, fixed, blocks, grids).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
+    met = close(first, bits, fixed, blocks, grids).join(ends[0], ["a1", "a2"]).join(ends[1], ["b1", "b2"]).select("a", "b")
     dense = linked(pairs(met.unionByName(equal).unionByName(stars)))
     dropped(sketches)
     roots = components(dense)
@@ -432,10 +433,12 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     left, right = rooted.select("key", F.col("set").alias("a"), F.col("root").alias("ra"), "x"), rooted.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("x").alias("y"))
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _allowed(least)).select("a", "b").distinct()
     wide = linked(rest)
-    for table in (shared, marks, rooted, roots, longs):
+    for table in (shared, marks, rooted, longs):
         dropped(table)
-    roots = components(dense.unionByName(wide))
-    named = nodes.join(roots.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    # What the first links connect are stars by now; `wide` connects stars.
+    merged = components(roots.unionByName(wide))
+    dropped(roots)
+    named = nodes.join(merged.select(F.col("a").alias("set"), F.col("b").alias("root")), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     return rows.join(named.join(smallest, "root").select("set", "component"), "set").select(F.col("id").alias(id), "component")
 

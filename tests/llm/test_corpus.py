@@ -190,6 +190,20 @@ def test_dense_cells_and_chains(spark):
         graph.components(chain, rounds=2)
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Each round is a table of its own; what comes as stars is only stored, a path takes rounds as its logarithm."""
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or common.written(df, name))
+    stars = {(i, i % 7) for i in range(7, 90)}
+    both = spark.createDataFrame([e for a, b in stars for e in ((a, b), (b, a))], "a long, b long")
+    assert {(x.a, x.b) for x in graph.components(both).collect()} == stars and len(tables) == 1
+    assert graph.components(both.limit(0)).count() == 0 and len(tables) == 2
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {(x.a, x.b) for x in graph.components(path).collect()} == {(i, 0) for i in range(1, 65)} and len(tables) <= 2 + 7
+    twice = spark.createDataFrame([(5, 1), (5, 2), (5, 5), (7, 6)], "a long, b long")
+    assert {(x.a, x.b) for x in graph.components(twice).collect()} == {(5, 1), (2, 1), (7, 6)}
+
+
 # ---- repeats of words and bytes
 
 
