@@ -33,7 +33,9 @@ MAX_REPEATED = 50
 #: So many n-grams at most are broadcast: the most frequent of the rows of which one in `LOOKED_AT` is looked at. Any set gives the same ratios.
 FREQUENT, LOOKED_AT = 50_000, 16
 #: The other n-grams are counted in so many parts, one after the other, so that only one part's occurrences lie on disk at a time.
-PARTS = 3
+PARTS = 4
+#: Bits in which a window's place is kept beside the upper bits of its hash.
+PLACE = 20
 #: Up to so many trusted ids are broadcast, more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -114,6 +116,14 @@ def gram_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: s
     return sums.groupBy("row").agg(F.sum("sum").alias("sum")).join(copies, "row", "left").select("row", (F.col("sum") / F.coalesce("copies", F.lit(1))).alias("sum"))
 
 
+def _alike(marks: Column) -> Column:
+    """The places of windows whose hash another window may have: `marks` are hashes in order, each with its place in the lowest `PLACE` bits."""
+    upper = lambda x: F.shiftright(x, PLACE)
+    same = lambda x, other: F.coalesce(upper(x) == upper(other), F.lit(False))
+    met = F.filter(marks, lambda x, i: same(x, F.get(marks, i + 1)) | same(x, F.get(marks, i - 1)))
+    return F.transform(met, lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"))
+
+
 def _repeated(ordered: Column) -> Column:
     """Words inside three-word windows that the text holds twice or more; `ordered`: (hash, place) pairs in order."""
     same = lambda i, by: F.coalesce(F.get(ordered, i)["h"] == F.get(ordered, i + by)["h"], F.lit(False))
@@ -132,7 +142,7 @@ def measure(docs: DataFrame, llr: np.ndarray | DataFrame, id: str = "doc_id", te
         docs.select(
             F.col(id).alias("id"),
             _row(id, text).alias("row"),
-            words(F.col(text)).alias("words"),
+            F.array_remove(F.split(t, SPACES), "").alias("words"),
             F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         )
@@ -144,6 +154,7 @@ def measure(docs: DataFrame, llr: np.ndarray | DataFrame, id: str = "doc_id", te
         rows = barred(rows.withColumn("bs", _buckets(F.col("words"), len(llr))))
         total = F.aggregate("bs", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b + 1))
         ratio = F.when(F.size("bs") > 0, F.round(total / F.size("bs"), 9)).otherwise(F.lit(0.0))
+    following = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
     rows = barred(
         rows.select(
             "id",
@@ -152,13 +163,18 @@ def measure(docs: DataFrame, llr: np.ndarray | DataFrame, id: str = "doc_id", te
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             "n_symbols",
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            ngram_hashes(F.col("words"), 3).alias("h"),
+            F.slice(F.transform("words", following), F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))).alias("h"),
             ratio.alias("ratio"),
         )
     )
-    # Only texts that repeat a window are sorted.
-    pairs = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = barred(rows.withColumn("ordered", F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs)).drop("h"))
+    # Only texts that repeat a window are sorted: as numbers first, then, as pairs, what may be equal there; very long ones as pairs at once.
+    marks = F.sort_array(F.transform("h", lambda h, i: h.bitwiseAND(F.lit(-1 << PLACE)).bitwiseOR(i.cast("long"))))
+    short = F.size("h") <= 1 << PLACE
+    rows = barred(rows.withColumn("again", F.size(F.array_distinct("h")) < F.size("h")).withColumn("marks", F.when(F.col("again") & short, marks)))
+    places = F.when(short, _alike(F.col("marks"))).otherwise(F.sequence(F.lit(0), F.size("h") - 1))
+    rows = barred(rows.withColumn("places", F.when(F.col("again"), places)).drop("marks"))
+    pairs = F.sort_array(F.transform("places", lambda i: F.struct(F.get("h", i).alias("h"), i.alias("i"))))
+    rows = barred(rows.withColumn("ordered", F.when(F.col("again"), pairs)).drop("h", "again", "places"))
     rows = rows.withColumn("n_repeat_words", F.when(F.col("ordered").isNull(), F.lit(0)).otherwise(_repeated(F.col("ordered"))).cast("long")).drop("ordered")
     if exact:
         rows = rows.join(llr, "row", "left").withColumn("ratio", F.round(F.coalesce("sum", F.lit(0.0)) / F.greatest(2 * F.col("n_words") - 1, F.lit(1)), 9))

@@ -781,6 +781,27 @@ def test_similar_misses_no_link(spark, monkeypatch):
         assert len(found) == len(rows) and {x.component for x in found} == want
 
 
+def test_quality_sorts_few_windows_as_pairs(spark, monkeypatch):
+    """Windows are held against each other as pairs only where numbers with places in them may be equal; with few bits for places texts are too long for that."""
+    r = random.Random(3)
+    rows = [(n, " ".join(r.choices([f"w{k}" for k in range(r.choice((3, 40, 400)))], k=r.choice((2, 3, 5, 60, 300))))) for n in range(80)]
+    rows += [(90, "a b c d a b c"), (91, "a a a a"), (92, " a b\tc\x0ba  b c "), (93, ""), (94, None)]
+
+    def brute(t):
+        w = re.findall(WORDS, t or "")
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        return len({i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)})
+
+    empty = spark.createDataFrame([], "row long, sum double")
+    for place in (20, 4):
+        monkeypatch.setattr(quality, "PLACE", place)
+        got = quality.measure(table(spark, rows), empty).collect()
+        assert {x.doc_id: x.n_repeat_words for x in got} == {i: brute(t) for i, t in rows}
+    marks = spark.createDataFrame([([1 << 20, (1 << 20) + 5, (2 << 20) + 2, (5 << 20) + 1, (5 << 20) + 7],)], "m array<bigint>")
+    monkeypatch.setattr(quality, "PLACE", 20)
+    assert sorted(marks.select(quality._alike(F.col("m"))).first()[0]) == [0, 1, 5, 7]
+
+
 # ---- exact n-gram ratios
 
 
