@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
 from tessera.plans import catalog
+from tessera.sources import spool
 
 D = "/root/testdata/sf0.001"
 
@@ -50,3 +51,42 @@ def test_ages_of_hours_and_days(spark, tables):
     agrees(spark, "f16_f18_f19_scalars", tables(events.withColumn("user_id", F.col("event_id") * 977), "events"))
     ages = spark.sql("select explode(array(0, 59, 3599, 12300, 532800)) as s").select(fx.humanized_age(F.col("s") * 1000).alias("a"), fx.humanized_age(F.col("s") * 1000, "h").alias("b"), fx.humanized_age(F.col("s") * 1000, "m").alias("c"))
     assert [tuple(r) for r in ages.collect()][2:] == [("59m ago",) * 3, ("3h 25m ago", "3h 25m ago", "205m ago"), ("6d 4h ago", "148h 0m ago", "8880m ago")]
+
+
+# ---- spool segments
+
+
+def segment(payloads):
+    sums = spool.crc32c(payloads).tolist()
+    return spool.MAGIC + b"\x01\x00" + bytes(10) + b"".join(len(p).to_bytes(4, "little") + c.to_bytes(4, "little") + p for p, c in zip(payloads, sums))
+
+
+def test_small_segments_share_tasks(spark, tmp_path):
+    """Two thousand segments in ranges smaller than they are: tasks grow with the bytes, not with the ranges."""
+    for s in range(4):
+        (tmp_path / str(s)).mkdir()
+        for n in range(500):
+            (tmp_path / str(s) / f"{n + 1:06}.seg").write_bytes(segment([b"%d %d %d" % (s, n, i) for i in range(5)]))
+    frames = spool.read_spool(spark, str(tmp_path), width=32)
+    assert frames.rdd.getNumPartitions() <= 8
+    got = sorted((r.session, r.segment, bytes(r.payload)) for r in frames.collect())
+    assert got == sorted((str(s), n + 1, b"%d %d %d" % (s, n, i)) for s in range(4) for n in range(500) for i in range(5))
+
+
+def test_ranges_of_a_segment_one_by_one(tmp_path):
+    payloads = [b"x" * n for n in (0, 1, 200, 7, 90, 33)]
+    (tmp_path / "a").mkdir()
+    path = tmp_path / "a" / "000001.seg"
+    path.write_bytes(segment(payloads))
+    for width in (5, 16, 64, 1000):
+        ranges = [spool.Segment("a", 1, str(path), a, a + width, 0) for a in range(0, path.stat().st_size, width)]
+        got = [b for r in ranges for batch in spool._read(str(tmp_path), [r]) for b in batch.column("payload").to_pylist()]
+        assert got == payloads
+        assert [len(p.parts) for p in spool.dealt((r, width) for r in ranges)] == [1]
+
+
+def test_envelopes_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "000001.seg").write_bytes(segment([b"{}"]))
+    plan = spool.parsed(spool.read_spool(spark, str(tmp_path))).filter("status <> 'ok'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
