@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 DIMS = 256
 #: About so many query vectors make a block, and so many points a chunk.
 BLOCK, CHUNK = 4096, 16_384
+#: A matrix has at most so many bytes, and so many scores are held at a time: of all points of a chunk and some queries of a block.
+MATRIX_BYTES, CELLS = 16 << 20, 1 << 20
 #: Blocks of queries are broadcast up to so many bytes.
 BROADCAST_BYTES = 64 << 20
 
@@ -50,7 +52,10 @@ def _chunks(vectors: DataFrame, id: str, vector: str, rows: int, tag: Column | N
             size = both["v"].map(len).to_numpy()
             for dims in np.unique(size):
                 part = both[size == dims]
-                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "dims": [int(dims)], "data": [np.stack(part["v"].tolist()).astype(np.float64).tobytes()], "tags": [part["tag"].to_numpy()]})
+                step = max(1, min(rows, MATRIX_BYTES // (8 * max(1, int(dims)))))
+                for a in range(0, len(part), step):
+                    some = part.iloc[a : a + step]
+                    yield pd.DataFrame({"ids": [some["id"].to_numpy()], "dims": [int(dims)], "data": [np.stack(some["v"].tolist()).astype(number).tobytes()], "tags": [some["tag"].to_numpy()]})
 
         for frame in frames:
             held.append(frame.dropna(subset=["v"]))
@@ -60,11 +65,15 @@ def _chunks(vectors: DataFrame, id: str, vector: str, rows: int, tag: Column | N
         if sum(map(len, held)):
             yield from matrices()
 
-    kind = dict(vectors.dtypes)[id]
+    kind, number = dict(vectors.dtypes)[id], np.float32 if dict(vectors.dtypes)[vector] == "array<float>" else np.float64
     rows_of = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"), (F.lit(None) if tag is None else tag).cast("string").alias("tag"))
     return rows_of.mapInPandas(packing, f"ids array<{kind}>, dims int, data binary, tags array<string>")
 
 
+def _matrix(data: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if len(data) < 8 * rows * dims else np.float64).reshape(rows, dims).astype(np.float64, copy=False)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """The places of the k best scores, ties by the smaller id."""
     if len(scores) > k:
@@ -75,27 +84,53 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _l2(x: np.ndarray, q: np.ndarray, k: int, digits: int) -> np.ndarray:
-    """(rows of x, rows of q): minus the distance where it can be among the k smallest of a row of q, exact to the last digits, else minus infinity.
+    """(rows of q, rows of x): minus the distance where it can be among the k smallest of a row of q, exact to the last digits, else minus infinity.
 
     The square's expansion loses digits far from the origin, so it only chooses, with its error bound; what it chooses is computed from differences."""
-    size = (x * x).sum(1)[:, None] + (q * q).sum(1)[None]
-    rough = np.maximum(size - 2 * (x @ q.T), 0)
-    error = 4 * (x.shape[1] + 2) * np.finfo(float).eps * size
+    size = (q * q).sum(1)[:, None] + (x * x).sum(1)[None]
+    rough = q @ x.T
+    rough *= -2
+    rough += size
+    np.maximum(rough, 0, out=rough)
+    error = size
+    error *= 4 * (x.shape[1] + 2) * np.finfo(float).eps
     out = np.full(rough.shape, -np.inf)
     for j in range(len(q)):
         at = np.arange(len(x))
         if len(x) > k:
-            far = np.sqrt(np.partition(rough[:, j] + error[:, j], k - 1)[k - 1]) + 2 * 10.0**-digits  # equal once rounded
-            at = np.flatnonzero(rough[:, j] - error[:, j] <= far * far)
-        out[at, j] = -np.sqrt(((x[at] - q[j]) ** 2).sum(1))
+            far = np.sqrt(np.partition(rough[j] + error[j], k - 1)[k - 1]) + 2 * 10.0**-digits  # equal once rounded
+            at = np.flatnonzero(rough[j] - error[j] <= far * far)
+        out[j, at] = -np.sqrt(((x[at] - q[j]) ** 2).sum(1))
+    return out
+
+
+def _scores(x: np.ndarray, q: np.ndarray, metric: str, k: int, digits: int) -> np.ndarray:
+    """(rows of q, rows of x), rounded."""
+    if metric == "l2":
+        s = _l2(x, q, k, digits)
+    else:
+        s = q @ x.T
+        if metric == "cosine":
+            n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+            s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+    return np.round(s, digits, out=s) + 0.0
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, asked: np.ndarray, metric: str, k: int, digits: int) -> list[tuple]:
+    """(query, ids, scores) of the k best rows of x for each row of q, with the scores of some queries at a time."""
+    out, step = [], max(1, CELLS // len(x))
+    for a in range(0, len(q), step):
+        for j, s in enumerate(_scores(x, q[a : a + step], metric, k, digits), a):
+            p = _best(s, ids, k)
+            out.append((np.repeat(asked[j : j + 1], len(p)), ids[p], s[p]))
     return out
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector", digits: int = 6, chunk: int = CHUNK, kind: str | None = None, kinds: str | None = None) -> DataFrame:
     """(query, id, score, rank): the exact k nearest of each query, by (score, id).
 
-    Points and queries are packed into matrices inside tasks. Every block of queries meets every chunk of points once, by a product of
-    the two, and only the chunk's k best of each query go on, so what is shuffled is k rows a query and chunk. The blocks are
+    Points and queries are packed into matrices inside tasks. Every block of queries meets every chunk of points once, by products of
+    some of its queries and the chunk, so that a task holds a bounded number of scores, and only the chunk's k best of each query go on, so what is shuffled is k rows a query and chunk. The blocks are
     broadcast where all of them fit `BROADCAST_BYTES`; else the chunks are dealt to them by a shuffled join. Rows without a
     vector are not found and ask nothing; a dimension that differs from the queries' is an error.
 
@@ -115,7 +150,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
             for row in frame.itertuples(index=False):
                 if row.dims != row.asked_dims:
                     raise ValueError(f"dimension {row.dims} differs from the queries' {row.asked_dims}")
-                x, q = (np.frombuffer(d).reshape(-1, row.dims) for d in (row.data, row.asked_data))
+                x, q = (_matrix(d, len(i), row.dims) for d, i in ((row.data, row.ids), (row.asked_data, row.asked)))
                 ids, tags, wants = np.asarray(row.ids), np.asarray(row.tags, object), np.asarray(row.wanted, object)
                 asked_ids, found = np.asarray(row.asked), []
                 # Queries with the same kinds meet the same points.
@@ -124,17 +159,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
                     here = np.arange(len(x)) if want is None else np.flatnonzero(np.isin(tags.astype(str), json.loads(want)) & (tags != None))  # noqa: E711
                     if not len(here):
                         continue
-                    if metric == "l2":
-                        s = _l2(x[here], q[mine], k, digits)
-                    else:
-                        s = x[here] @ q[mine].T
-                        if metric == "cosine":
-                            n = np.linalg.norm(x[here], axis=1)[:, None] * np.linalg.norm(q[mine], axis=1)[None]
-                            s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
-                    s = np.round(s, digits) + 0.0
-                    for c, j in enumerate(mine):
-                        p = _best(s[:, c], ids[here], k)
-                        found.append((np.repeat(asked_ids[j : j + 1], len(p)), ids[here][p], s[p, c]))
+                    found += _nearest(x if len(here) == len(x) else x[here], ids[here], q[mine], asked_ids[mine], metric, k, digits)
                 if found:
                     yield pd.DataFrame(dict(zip(("q", "id", "score"), map(np.concatenate, zip(*found)))))
 

@@ -1,12 +1,15 @@
 """Queries against their SQL over tables that hold what only larger ones of the driver do."""
 
 import os
+import tracemalloc
 
+import numpy as np
 import pytest
 from compare import same
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
+from tessera.operators import dense
 from tessera.plans import catalog
 from tessera.sources import spool
 
@@ -90,3 +93,24 @@ def test_envelopes_are_parsed_once(spark, tmp_path):
     (tmp_path / "a" / "000001.seg").write_bytes(segment([b"{}"]))
     plan = spool.parsed(spool.read_spool(spark, str(tmp_path))).filter("status <> 'ok'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+# ---- vectors
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_a_task_holds_few_scores(metric):
+    """A chunk and a block as large as they come: all of their scores would take half a gigabyte, several times over."""
+    r = np.random.default_rng(1)
+    x, q = r.integers(-4, 5, (dense.CHUNK, 8)).astype(float), r.integers(-4, 5, (dense.BLOCK, 8)).astype(float)
+    tracemalloc.start()
+    found = dense._nearest(x, np.arange(len(x)), q, np.arange(len(q)), metric, 5, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20, peak
+    for j in (0, 63, 64, 65, 4095):
+        norms = np.linalg.norm(x, axis=1) * np.linalg.norm(q[j])
+        s = {"l2": -np.sqrt(((x - q[j]) ** 2).sum(1)), "dot": x @ q[j], "cosine": np.where(norms > 0, x @ q[j] / np.where(norms > 0, norms, 1), 0)}[metric]
+        s = np.round(s, 6) + 0.0
+        asked, ids, scores = found[j]
+        assert set(asked.tolist()) == {j} and ids.tolist() == np.lexsort((np.arange(len(x)), -s))[:5].tolist() and scores.tolist() == s[ids].tolist()
