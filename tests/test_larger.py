@@ -114,3 +114,51 @@ def test_a_task_holds_few_scores(metric):
         s = np.round(s, 6) + 0.0
         asked, ids, scores = found[j]
         assert set(asked.tolist()) == {j} and ids.tolist() == np.lexsort((np.arange(len(x)), -s))[:5].tolist() and scores.tolist() == s[ids].tolist()
+
+
+# ---- streams
+
+
+def test_payloads_of_a_group_are_read_together(spark, monkeypatch):
+    """Calls to the state don't grow with the payloads of a group, and a payload that is due when the watermark comes to its time is due."""
+    import pandas as pd
+
+    from tessera.streaming import stateful
+
+    calls, held, timers = [], [], []
+
+    class List:
+        def get(self):
+            calls.append("get")
+            return iter(list(held))
+
+        def appendList(self, rows):
+            calls.append("append")
+            held.extend(rows)
+
+        def put(self, rows):
+            calls.append("put")
+            held[:] = rows
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+    class Handle:
+        getListState = staticmethod(lambda *a: List())
+        listTimers = staticmethod(lambda: iter(list(timers)))
+        registerTimer, deleteTimer = timers.append, timers.remove
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    p = stateful._Payloads(100)
+    p.init(Handle())
+    rows = lambda start, n: iter([pd.DataFrame({"session_id": ["a", "b"] * n, "id": [str(start + k) for k in range(2 * n)], "at": range(start, start + 2 * n)})])
+    assert sum(map(len, p.handleInputRows(("x",), rows(0, 500), None))) == 1000 and timers == [99]
+    assert sum(map(len, p.handleInputRows(("x",), rows(990, 10), None))) == 10, "ten came again"
+    timers.clear()  # as one does that fires
+    gone = list(p.handleExpiredTimer(("x",), Now(700), Now(99)))[0]
+    assert gone["at_ms"].tolist() == list(range(100, 701)) and timers == [700] and len(held) == 1010 - 601
+    assert len(calls) <= 6
