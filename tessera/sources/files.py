@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from urllib.parse import quote
 
 import pandas as pd
@@ -16,6 +17,8 @@ from tessera.operators.classify import MAX_BYTES, ignored
 
 #: Folders that no scan enters.
 PRUNED = (".git",)
+#: So many bytes of a file are hashed at a time.
+READ = 4 << 20
 
 
 def _qualified(spark: SparkSession, root: str):
@@ -30,17 +33,20 @@ def _below(location, top: str):
     return F.substring(location, F.lit(len(top) + 2), F.length(location))
 
 
-@F.pandas_udf(T.BinaryType())
-def content_of(locations: pd.Series) -> pd.Series:
-    """The bytes of files that Spark's readers pass over."""
+@F.pandas_udf(T.StringType())
+def hash_of(locations: pd.Series) -> pd.Series:
+    """As `content_hash` of files that Python reaches, a few MB of them at a time."""
 
-    def read(location: str) -> bytes:
+    def read(location: str) -> str:
         if location.startswith("file:"):
             system, path = fs.LocalFileSystem(), "/" + location[5:].lstrip("/")
         else:
             system, path = fs.FileSystem.from_uri(quote(location, safe=":/@"))
+        found = hashlib.sha256()
         with system.open_input_stream(path) as stream:
-            return stream.read()
+            while data := stream.read(READ):
+                found.update(data)
+        return found.hexdigest()
 
     return locations.map(read)
 
@@ -74,21 +80,22 @@ def hidden(spark: SparkSession, root: str, prune: tuple[str, ...] = PRUNED) -> t
 
 
 def _listing(spark: SparkSession, root: str, pattern: str = "*", paths: list[tuple[str, int, int]] | None = None, prune: tuple[str, ...] = PRUNED) -> DataFrame:
-    """(path below the root, size, mtime, content) of all files, hidden ones included, or of those named (location, size, mtime); columns that aren't selected are not read. Working trees within
-    the tree are left out."""
+    """(path below the root, size, mtime, content_hash) of all files, hidden ones included, or of those named (location, size, mtime); where the hash isn't selected, or filtered by size, files
+    are not read. Working trees within the tree are left out. Local files are hashed a few MB at a time; those in a store that only Spark reaches come whole, one to a task."""
     _, top = _qualified(spark, root)
     folders, single, nested = hidden(spark, root, prune) if paths is None else ([], [], [])
     if paths is not None:
         single = [p for p in paths if p[0].rsplit("/", 1)[-1][0] in "._"]
         paths = [p[0] for p in paths if p not in single]
-    rows = spark.createDataFrame(single, "path string, size long, mtime long").select("path", "size", "mtime", content_of("path").alias("content"))
+    rows = spark.createDataFrame(single, "path string, size long, mtime long").select("path", "size", "mtime", hash_of("path").alias("content_hash"))
     if paths is None or paths:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths or [top, *folders])
-        rows = files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content").unionByName(rows)
+        found = hash_of("path") if top.startswith("file:") else content_hash(F.col("content"))
+        rows = files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), found.alias("content_hash")).unionByName(rows)
     rows = rows.withColumn("_at", _below(F.col("path"), top)).drop("path")
     for folder in nested:
         rows = rows.filter(~F.col("_at").startswith(f"{folder}/"))
-    return rows.select(canonical_path(F.col("_at")).alias("path"), "size", "mtime", "content")
+    return rows.select(canonical_path(F.col("_at")).alias("path"), "size", "mtime", "content_hash")
 
 
 def _kept(rows: DataFrame, prune: tuple[str, ...], rules: list | None) -> DataFrame:
@@ -119,7 +126,10 @@ def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".git
 def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, prune: tuple[str, ...] = PRUNED, rules: list | None = None) -> DataFrame:
     """(path, size, mtime, content_hash) in order of the path; larger files are listed without a hash."""
     rows = _kept(_listing(spark, root), prune, rules)
-    return rows.select("path", "size", "mtime", F.when(F.col("size") <= max_bytes, content_hash(F.col("content"))).alias("content_hash")).orderBy("path")
+    # Filters on the size keep larger files from being opened; a condition within a column would not.
+    opened = rows.filter(F.col("size") <= max_bytes).select("path", "size", "mtime", "content_hash")
+    large = rows.filter(F.col("size") > max_bytes).select("path", "size", "mtime", F.lit(None).cast("string").alias("content_hash"))
+    return opened.unionByName(large).orderBy("path")
 
 
 def scan_paths(spark: SparkSession, root: str, prune: tuple[str, ...] = PRUNED, rules: list | None = None) -> DataFrame:
@@ -141,7 +151,7 @@ def rescan(spark: SparkSession, root: str, before: DataFrame, strict: bool = Fal
     names = [(f"{top}/{r['path']}", r["size"], r["mtime"]) for r in fresh.filter(F.col("size") <= max_bytes).select("path", "size", "mtime").toLocalIterator()]
     out = known.unionByName(large.withColumn("reused", F.lit(False)))
     if names:
-        opened = _listing(spark, root, paths=names).select(*same, content_hash(F.col("content")).alias("content_hash"))
+        opened = _listing(spark, root, paths=names).select(*same, "content_hash")
         out = out.unionByName(opened.withColumn("reused", F.lit(False)))
     return out.orderBy("path")
 

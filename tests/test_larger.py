@@ -1,5 +1,6 @@
 """Queries against their SQL over tables that hold what only larger ones of the driver do."""
 
+import hashlib
 import os
 import tracemalloc
 
@@ -162,3 +163,21 @@ def test_payloads_of_a_group_are_read_together(spark, monkeypatch):
     gone = list(p.handleExpiredTimer(("x",), Now(700), Now(99)))[0]
     assert gone["at_ms"].tolist() == list(range(100, 701)) and timers == [700] and len(held) == 1010 - 601
     assert len(calls) <= 6
+
+
+# ---- files
+
+
+def test_files_too_large_to_read_are_listed(spark, tmp_path):
+    from tessera.sources import files
+
+    (tmp_path / "small.txt").write_bytes(b"small")
+    (tmp_path / "few.bin").write_bytes(bytes(range(256)) * 40_000)  # more than one read
+    for name in ("large.bin", ".large"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(3 << 30)  # no blocks on disk
+    want = {"small.txt": hashlib.sha256(b"small").hexdigest(), "few.bin": hashlib.sha256(bytes(range(256)) * 40_000).hexdigest(), "large.bin": None, ".large": None}
+    before = files.scan(spark, str(tmp_path), max_bytes=1 << 30).persist()
+    assert {r.path: r.content_hash for r in before.collect()} == want
+    again = files.rescan(spark, str(tmp_path), before.filter("path <> 'few.bin'"), max_bytes=1 << 30)
+    assert {r.path: (r.content_hash, r.reused) for r in again.collect()} == {k: (v, k == "small.txt") for k, v in want.items()}
